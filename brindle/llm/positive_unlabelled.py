@@ -221,7 +221,7 @@ def _sample_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary())], ["id", "f"])
 
     got = rows.mapInArrow(run, "id long, f binary").collect()
-    return [np.frombuffer(r.f, np.int32).astype(np.int64) for r in sorted(got, key=lambda r: r.id)]
+    return [np.frombuffer(r.f, np.int32) for r in sorted(got, key=lambda r: r.id)]
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, spec: FeatureSpec, *, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 3, held_out_remainder: int = 1, max_positive: int = 4000, max_unlabelled: int = 12000, max_prior_rows: int = 200_000, calibration_prior: float | None = None, **options) -> Model:
