@@ -9,10 +9,11 @@ Jaccard similarity of their sets is at least ``threshold``; a component is what
   similarity. Bands of ``rows`` registers make candidates; a pair at the threshold shares no
   band with probability (1 - threshold**rows)**bands, 3e-6 as set.
 * Documents with equal sets are one class, so copies never meet in pairs. In each band bucket,
-  every class is compared with one hub, the class found in the fullest buckets. Only classes of
-  one bucket that no link has joined yet are then compared with each other, so a group of
-  near copies costs a star rather than all pairs, and no candidate is left out.
-* A candidate goes to the exact check unless the joint likelihood of both sketches puts its
+  every class is compared with one hub, the class found in the fullest buckets, so a group of
+  near copies costs a star. The members of a hub that no link has joined to its largest
+  component are then compared with all its members, exactly and in blocks that emit links only;
+  no candidate of a bucket is left out.
+* A star candidate goes to the exact check unless the joint likelihood of both sketches puts its
   similarity more than ``margin`` below the threshold (about 6 standard errors).
 
 Nulls and odd rows: a null or blank text has an empty set and is linked with nothing; a null
@@ -44,6 +45,7 @@ class Params:
     base: float = 1.001
     limit: int = 65534
     margin: float = 0.24
+    block: int = 1024
 
     @property
     def registers(self) -> int:
@@ -160,11 +162,8 @@ def _plausible(pairs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """Of the pairs (a, b), those whose full sets reach the threshold."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = scratch.write(texts, "texts")
     side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
 
     def run(batches):
@@ -181,6 +180,67 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: Params, scratch: Scratch) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
+def block_links(left: list[np.ndarray], right: list[np.ndarray], left_comp: np.ndarray, right_comp: np.ndarray, p: Params) -> list[tuple[int, int]]:
+    """Exact links between two blocks of sets of different components; for each left set one link to each component."""
+    sizes = np.array([len(s) for s in right])
+    h = np.concatenate(right)
+    owner = np.repeat(np.arange(len(right)), sizes)
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    found = []
+    for i, s in enumerate(left):
+        lo, hi = np.searchsorted(h, s, "left"), np.searchsorted(h, s, "right")
+        n = hi - lo
+        if not n.any():
+            continue
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(right))
+        ok = (p.threshold[1] * both >= p.threshold[0] * (len(s) + sizes - both)) & (right_comp != left_comp[i])
+        at = np.flatnonzero(ok)
+        found.extend((i, int(j)) for j in at[np.unique(right_comp[at], return_index=True)[1]])
+    return found
+
+
+def _remaining(members: DataFrame, comp: DataFrame, texts: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """Exact links (a, b) between the members of each hub (hub, rep) that stand in different components.
+
+    In each group the members outside the largest component meet all members, in blocks of at most
+    about ``p.block`` sets on either side; blocks are dealt out singly and small groups share tasks.
+    """
+    placed = members.join(comp, members.rep == comp.node, "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = scratch.write(placed, "members")
+    sizes = placed.groupBy("hub", "comp").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("hub").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("k"))
+    groups = groups.where("k > 1").select("hub", "main", F.ceil(F.col("n") / p.block).alias("right"), F.ceil((F.col("n") - F.col("most")) / p.block).alias("left"))
+    rows = placed.join(groups, "hub").withColumn("h", F.xxhash64("rep"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    right = rows.select("hub", "rep", "comp", F.lit(1).alias("side"), every("left").alias("i"), F.pmod("h", "right").alias("j"))
+    left = rows.where("comp <> main").select("hub", "rep", "comp", F.lit(0).alias("side"), F.pmod("h", "left").alias("i"), every("right").alias("j"))
+    both = scratch.write(left.unionByName(right), "blocks")
+    tasks = max(1, -(-both.count() // (2 * p.block)))
+    both = both.withColumn("task", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(tasks))).join(texts.withColumnRenamed("id", "rep"), "rep")
+
+    def run(table):
+        found = []
+        t = table.combine_chunks()
+        cols = {c: t.column(c).to_numpy() for c in ("hub", "i", "j", "side", "rep", "comp")}
+        order = np.lexsort((cols["side"], cols["j"], cols["i"], cols["hub"]))
+        cols = {c: v[order] for c, v in cols.items()}
+        cut = np.flatnonzero((np.diff(cols["hub"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)) + 1
+        text = t.column("text").take(pa.array(order))
+        for lo, hi in zip([0, *cut], [*cut, len(order)], strict=True):
+            mid = lo + int((cols["side"][lo:hi] == 0).sum())
+            if mid in (lo, hi):
+                continue
+            sets = list(_sets(text.slice(lo, hi - lo), p.words))
+            for x, y in block_links(sets[: mid - lo], sets[mid - lo :], cols["comp"][lo:mid], cols["comp"][mid:hi], p):
+                found.append((int(cols["rep"][lo + x]), int(cols["rep"][mid + y])))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return both.groupBy("task").applyInArrow(run, "a long, b long")
+
+
 def components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row per row of ``docs`` (columns doc_id, text)."""
     scratch = Scratch(docs.sparkSession)
@@ -194,17 +254,14 @@ def components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     multi = scratch.write(banded.join(many, "key"), "buckets")
     weight = multi.groupBy("rep").agg(F.sum(F.log2("c")).alias("w"))
     hubs = multi.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("hub"))
-    stars = multi.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    stars = scratch.write(stars, "stars")
-    links = scratch.write(_verified(scratch.write(_plausible(stars, classes, p), "plausible"), docs, p, scratch), "links")
+    members = scratch.write(multi.join(hubs, "key").where("rep <> hub").select("hub", "rep").distinct(), "stars")
+    stars = members.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    need = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = scratch.write(texts, "texts")
+    links = scratch.write(_verified(_plausible(stars, classes, p), texts, p), "links")
     comp = scratch.write(connected_components(links, scratch), "components")
-    placed = multi.join(comp, multi.rep == comp.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = scratch.write(placed.join(open_keys, "key"), "open")
-    x, y = (rest.select("key", F.col("rep").alias(f"r{s}"), F.col("comp").alias(f"c{s}")) for s in "xy")
-    pairs = x.join(y, "key").where("cx < cy").select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b")).distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    more = _verified(scratch.write(_plausible(pairs, classes, p), "plausible"), docs, p, scratch)
+    more = _remaining(members, comp, texts, p, scratch)
     comp = scratch.write(connected_components(links.union(more), scratch), "components")
     rep_of = classes.join(comp, classes.rep == comp.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = sk.select("doc_id", "n_shingles", "f1", "f2").join(rep_of, ["f1", "f2"], "left")
