@@ -53,7 +53,7 @@ class Params:
     dropout: float = 0.1
     seed: int = 20240601
     variants: int = 4
-    cache: int = 150_000
+    cache: int = 400_000
 
 
 @dataclass

@@ -1,10 +1,15 @@
-"""Corpus preparation in stages; each stage is written as Parquet and reread as the next one's input."""
+"""Corpus preparation in five stages; each is written as Parquet and reread as the next one's documents.
+
+Every stage works on all rows that its predecessor kept, whatever their text; null and empty
+texts and null ids pass through the operators as their docstrings say. All stages but the last
+return the columns of their input; the last adds ``ids``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import quality
+from brindle.llm import decontaminate, near_dedup, pieces, quality, secrets
 from brindle.llm.tables import Scratch
 
 
@@ -13,8 +18,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality", quality_stage)]
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return near_dedup.keep_one(docs)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Confirmed secrets are replaced in the texts; every document stays."""
+    return secrets.redact(docs, secrets.train(secrets.labelled_findings(spark)))
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts are encoded with merge-dropout; they decode to themselves."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("secrets", secrets_stage),
+    ("pieces", pieces_stage),
+]
 
+# SQL can't express the classifier, the forest or the encoding; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
