@@ -245,6 +245,8 @@ def encode(docs: DataFrame, *, model: str = DEFAULT_MODEL, params: Params = Para
     rows = kept.withColumn(key, F.xxhash64(key_col))
     schema = T.StructType([*kept.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else []))
 
+    names = list(kept.columns)
+
     def run(batches):
         c = shared.value
         for b in batches:
@@ -262,10 +264,10 @@ def encode(docs: DataFrame, *, model: str = DEFAULT_MODEL, params: Params = Para
                 flat = np.fromiter(chain.from_iterable(x or () for x in ids), np.int32)
                 ends = np.cumsum([0, *[len(x) if x else 0 for x in ids]]).astype(np.int32)
                 arr = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([x is None for x in ids], pa.bool_()))
-                cols = [part.column(n) for n in kept.columns] + [arr]
+                cols = [part.column(n) for n in names] + [arr]
                 if decoded_col:
                     cols.append(pa.array([c.decode(x) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, [*kept.columns, *new])
+                yield pa.RecordBatch.from_arrays(cols, [*names, *new])
                 at = end
 
     return rows.mapInArrow(run, schema)
