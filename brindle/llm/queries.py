@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, near_dedup, pieces, quality, secrets, toxicity
+from brindle.llm import decontaminate, html_region, near_dedup, pieces, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_region.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), decoded_col="decoded")
     return out.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
@@ -39,6 +43,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_pieces": op2_pieces,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
