@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, html_region, near_dedup, pieces, quality, secrets, toxicity, vector_search
+from brindle.llm import decontaminate, html_region, near_dedup, ngram_lm, pieces, quality, secrets, toxicity, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_vectors": op5_vectors,
+    "op6_ngram_lm": op6_ngram_lm,
     "op7_quality": op7_quality,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
