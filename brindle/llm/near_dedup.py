@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import textscan
-from brindle.llm.tables import Scratch, connected_components
+from brindle.llm.tables import Scratch, connected_components, possibly_in
 
 _rng = np.random.default_rng(77)
 
@@ -257,7 +257,8 @@ def components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     members = scratch.write(multi.join(hubs, "key").where("rep <> hub").select("hub", "rep").distinct(), "stars")
     stars = members.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     need = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    rows = possibly_in(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), need, "id")
+    texts = rows.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     texts = scratch.write(texts, "texts")
     links = scratch.write(_verified(_plausible(stars, classes, p), texts, p), "links")
     comp = scratch.write(connected_components(links, scratch), "components")
