@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, html_region, near_dedup, ngram_lm, pieces, quality, secrets, toxicity, vector_search
+from brindle.llm import bwt_dedup, decontaminate, html_region, near_dedup, ngram_lm, pieces, quality, secrets, toxicity, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = secrets.train(secrets.labelled_findings(spark))
     return secrets.find_secrets(_table(spark, sf_dir, "documents"), forest)
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_vectors": op5_vectors,
     "op6_ngram_lm": op6_ngram_lm,
     "op7_quality": op7_quality,
+    "op8_bwt_dedup": op8_bwt_dedup,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
 }

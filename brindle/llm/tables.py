@@ -44,18 +44,19 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def possibly_in(df: DataFrame, keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
+def possibly_in(df: DataFrame, keys: DataFrame, key: str, bits: int = 1 << 24, *, inverse: bool = False) -> DataFrame:
     """``df`` without most of the rows whose key is not in ``keys``, so that a join to follow moves few rows.
 
     The keys' hashes mark a bitmap of ``bits`` bits (2 MB as set), which is what gets broadcast,
-    however many keys there are; a row stays if its bit is set, so no row with a key is lost.
+    however many keys there are; a row stays if its bit is set, so no row with a key is lost. ``inverse`` gives exactly the other rows.
     """
     place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
     number, bit = "_bitmap_number", "_bitmap_bit"
     marks = keys.select(F.bitmap_bucket_number(place).alias(number), F.bitmap_bit_position(place).alias(bit)).groupBy(number).agg(F.bitmap_construct_agg(bit).alias("_bitmap"))
     byte = F.conv(F.hex(F.expr(f"substring(_bitmap, cast({bit} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    tested = df.withColumns({number: F.bitmap_bucket_number(place), bit: F.bitmap_bit_position(place)}).join(F.broadcast(marks), number)
-    return tested.where(byte.bitwiseAND(F.expr(f"cast(shiftleft(1, cast({bit} % 8 as int)) as int)")) != 0).select(*df.columns)
+    tested = df.withColumns({number: F.bitmap_bucket_number(place), bit: F.bitmap_bit_position(place)}).join(F.broadcast(marks), number, "left")
+    marked = F.coalesce(byte.bitwiseAND(F.expr(f"cast(shiftleft(1, cast({bit} % 8 as int)) as int)")) != 0, F.lit(False))
+    return tested.where(~marked if inverse else marked).select(*df.columns)
 
 
 def _joined(batches):
