@@ -1,20 +1,31 @@
-"""The registered queries of the engine and their DuckDB equivalents."""
+"""The registered queries of the engine and their DuckDB equivalents.
+
+Each query runs over its whole tables. The tree of the ``tree_*`` and ``pair_*`` queries has a node
+for each customer: the parent of k is (k - 1) div 2, nation mod 4 mutations stand on each edge,
+and every node without a child is alive, except those of ``pruned`` queries that die by key.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from brindle.functions import keys, rand
+from brindle.operators import checks, flow
 from brindle.operators import frequency as fq
+from brindle.operators.lineage import Lineage, sample_leaves, with_poisson
+from brindle.operators.range_min import range_min
+from brindle.sources import store as st
+from brindle.sources.shared import shared_dir
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
 def _query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -25,6 +36,329 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+# Frequencies
+
+
 @_query("freq_hash_event_type", "SELECT event_type, count(*) AS freq FROM events GROUP BY event_type")
 def _(spark, d):
     return fq.count_by(_t(spark, d, "events"), "event_type")
+
+
+@_query("freq_hash_composite", "SELECT l_returnflag, l_linestatus, count(*) AS freq FROM lineitem GROUP BY 1, 2")
+def _(spark, d):
+    return fq.count_by(_t(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@_query("freq_hash_weighted", "SELECT l_returnflag, sum(l_quantity) AS freq FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return fq.weighted_by(_t(spark, d, "lineitem"), ["l_returnflag"], "l_quantity")
+
+
+def _dense_sql(key: str, table: str, agg: str, bound: int) -> str:
+    return f"""WITH c AS (SELECT {key} AS k, {agg} AS f FROM {table} GROUP BY 1),
+s AS (SELECT CAST(range AS BIGINT) AS k FROM range({bound + 1})), j AS (SELECT s.k, coalesce(c.f, 0) AS f FROM s LEFT JOIN c ON s.k = c.k)
+SELECT k AS {key}, CAST(f AS BIGINT) AS freq FROM j WHERE k <= (SELECT max(k) FROM j WHERE f <> 0)"""
+
+
+@_query("freq_bounded_dense", _dense_sql("p_size", "part", "count(*)", 60))
+def _(spark, d):
+    return fq.dense_by(_t(spark, d, "part"), "p_size", 60)
+
+
+@_query("freq_bounded_unchecked", _dense_sql("p_size", "(SELECT * FROM part WHERE p_size <= 40)", "count(*)", 40))
+def _(spark, d):
+    return fq.dense_by(_t(spark, d, "part"), "p_size", 40, checked=False)
+
+
+@_query("freq_bounded_weighted", _dense_sql("l_linenumber", "lineitem", "sum(CAST(l_quantity AS BIGINT))", 9))
+def _(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_linenumber", F.col("l_quantity").cast("bigint").alias("w"))
+    return fq.dense_by(rows, "l_linenumber", 9, weight="w")
+
+
+_BIN = "(o_totalprice - 20000.0) * (20 / 380000.0)"
+
+
+def _hist_sql(agg: str) -> str:
+    return f"""WITH b AS (SELECT CAST(CASE WHEN isnan(x) THEN 0 WHEN x <= 0 THEN 0 WHEN x >= 19 THEN 19 ELSE trunc(x) END AS INTEGER) AS bin, {agg} AS f
+FROM (SELECT *, {_BIN} AS x FROM orders) GROUP BY 1)
+SELECT CAST(range AS INTEGER) AS bin, CAST(coalesce(f, 0) AS BIGINT) AS freq FROM range(20) LEFT JOIN b ON bin = range"""
+
+
+@_query("hist_binned", _hist_sql("count(*)"))
+def _(spark, d):
+    return fq.histogram(_t(spark, d, "orders"), "o_totalprice", 20, 20000.0, 400000.0)
+
+
+@_query("hist_binned_weighted", _hist_sql("sum(o_custkey)"))
+def _(spark, d):
+    return fq.histogram(_t(spark, d, "orders"), "o_totalprice", 20, 20000.0, 400000.0, weight="o_custkey")
+
+
+@_query("freq_documents_source", "SELECT source, lang, count(*) AS freq, FROM documents GROUP BY 1, 2")
+def _(spark, d):
+    return fq.count_by(_t(spark, d, "documents"), "source", "lang")
+
+
+# Lineage
+
+
+def _tree(spark: SparkSession, d: str, *, pruned: bool = False) -> DataFrame:
+    t = _t(spark, d, "customer").select(
+        F.col("c_custkey").alias("node"),
+        F.when(F.col("c_custkey") > 0, F.expr("(c_custkey - 1) div 2")).alias("parent"),
+        F.when(F.col("c_custkey") > 0, F.col("c_nationkey") % 4).otherwise(0).cast("bigint").alias("mut"),
+    )
+    inner = t.where("parent is not null").select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    leaf = t.join(inner, "node", "left").withColumn("alive", F.col("inner").isNull()).drop("inner")
+    return leaf.withColumn("alive", F.col("alive") & (F.col("node") % 5 != 0)) if pruned else leaf
+
+
+def _tree_sql(last: str, *, pruned: bool = False) -> str:
+    dies = " AND c.c_custkey % 5 <> 0" if pruned else ""
+    return f"""WITH RECURSIVE t AS (
+  SELECT c.c_custkey AS node, CASE WHEN c.c_custkey > 0 THEN (c.c_custkey - 1) // 2 END AS parent,
+    CASE WHEN c.c_custkey > 0 THEN c.c_nationkey % 4 ELSE 0 END AS mut,
+    NOT EXISTS (SELECT 1 FROM customer k WHERE k.c_custkey > 0 AND (k.c_custkey - 1) // 2 = c.c_custkey){dies} AS alive FROM customer c),
+anc(leaf, node) AS (
+  SELECT node, node FROM t WHERE alive
+  UNION ALL SELECT a.leaf, t.parent FROM anc a JOIN t ON a.node = t.node WHERE t.parent IS NOT NULL),
+up(node, anc) AS (SELECT node, node FROM t UNION ALL SELECT u.node, t.parent FROM up u JOIN t ON u.anc = t.node WHERE t.parent IS NOT NULL),
+n AS (SELECT t.node, t.parent, t.mut, t.alive, l.nl, l.first, (SELECT NULL) AS x FROM t JOIN (SELECT node, count(*) AS nl, min(leaf) AS first FROM anc GROUP BY 1) l ON l.node = t.node),
+tt AS (SELECT u.node, sum(t.mut) AS tot, count(*) AS depth FROM up u JOIN t ON t.node = u.anc GROUP BY 1),
+m AS (SELECT n.*, tt.tot, tt.depth FROM n JOIN tt ON tt.node = n.node),
+{last}"""
+
+
+_DENSE = "SELECT CAST(range AS BIGINT) AS idx, CAST(coalesce(f, 0) AS BIGINT) AS freq FROM range((SELECT CAST(max(i) + 1 AS BIGINT) FROM r WHERE f <> 0)) LEFT JOIN r ON i = range"
+
+
+def _tree_query(name: str, last: str, *, pruned: bool = False):
+    return _query(name, _tree_sql(last, pruned=pruned))
+
+
+@_tree_query("tree_sfs", f"r AS (SELECT nl AS i, sum(mut) AS f FROM m GROUP BY 1) {_DENSE}")
+def _(spark, d):
+    return Lineage.build(_tree(spark, d)).site_spectrum()
+
+
+@_tree_query("tree_mbd", f"r AS (SELECT tot AS i, count(*) AS f FROM m WHERE alive GROUP BY 1) {_DENSE}")
+def _(spark, d):
+    return Lineage.build(_tree(spark, d)).burden()
+
+
+@_tree_query("tree_umbd", f"e AS (SELECT first, nl, sum(mut) AS i FROM m GROUP BY 1, 2), r AS (SELECT i, count(*) AS f FROM e GROUP BY 1) {_DENSE}")
+def _(spark, d):
+    return Lineage.build(_tree(spark, d)).edge_histogram()
+
+
+@_tree_query("tree_umbd_pruned", f"e AS (SELECT first, nl, sum(mut) AS i FROM m GROUP BY 1, 2), r AS (SELECT i, count(*) AS f FROM e GROUP BY 1) {_DENSE}", pruned=True)
+def _(spark, d):
+    return Lineage.build(_tree(spark, d, pruned=True)).edge_histogram()
+
+
+_BBM = """k AS (SELECT parent, max(nl) - min(nl) AS diff, max(nl) + min(nl) AS total FROM m WHERE parent IS NOT NULL GROUP BY 1 HAVING count(*) = 2),
+r AS (SELECT m.tot AS i, avg(diff) AS md, avg(diff / total) AS mr FROM k JOIN m ON m.node = k.parent GROUP BY 1)
+SELECT CAST(range AS BIGINT) AS idx, coalesce(round(md, 9), 0.0) AS mean_diff, coalesce(round(mr, 9), 0.0) AS mean_ratio FROM range((SELECT CAST(max(tot) + 1 AS BIGINT) FROM m)) LEFT JOIN r ON i = range"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("idx", F.round("mean_diff", 9).alias("mean_diff"), F.round("mean_ratio", 9).alias("mean_ratio"))
+
+
+@_tree_query("tree_bbm", _BBM)
+def _(spark, d):
+    return _rounded(Lineage.build(_tree(spark, d)).balance())
+
+
+@_tree_query("tree_bbm_pruned", _BBM, pruned=True)
+def _(spark, d):
+    return _rounded(Lineage.build(_tree(spark, d, pruned=True)).balance())
+
+
+@_tree_query("tree_n_leaves", "z AS (SELECT 1) SELECT node, nl AS n_leaves FROM m")
+def _(spark, d):
+    return Lineage.build(_tree(spark, d)).n_leaves()
+
+
+@_tree_query("tree_children", "z AS (SELECT 1) SELECT parent AS node, min(node) AS child1, max(node) AS child2 FROM m WHERE parent IS NOT NULL GROUP BY 1 HAVING count(*) = 2")
+def _(spark, d):
+    return Lineage.build(_tree(spark, d)).children()
+
+
+@_tree_query("tree_lca", """l AS (SELECT node FROM m WHERE alive), p AS (SELECT a.node AS a, b.node AS b FROM l a JOIN l b ON b.node = a.node + 7)
+SELECT a, b, arg_max(x.node, m.depth) AS lca FROM p JOIN anc x ON x.leaf = a JOIN anc y ON y.leaf = b AND y.node = x.node JOIN m ON m.node = x.node GROUP BY a, b""")
+def _(spark, d):
+    tree = Lineage.build(_tree(spark, d))
+    leaf = tree.nodes.where("alive").select("node")
+    pairs = leaf.select(F.col("node").alias("a"), (F.col("node") + 7).alias("b")).join(leaf.select(F.col("node").alias("b")), "b")
+    return tree.lca(pairs.select("a", "b"))
+
+
+_PAIRS = """c AS (SELECT a.leaf AS a, b.leaf AS b, max(m.tot) AS l FROM anc a JOIN anc b ON a.node = b.node AND a.leaf < b.leaf JOIN m ON m.node = a.node GROUP BY 1, 2),
+q AS (SELECT x.tot + y.tot - 2 * l AS s, l FROM c JOIN m x ON x.node = a JOIN m y ON y.node = b)"""
+
+
+@_tree_query("pair_distance_naive", f"{_PAIRS}, r AS (SELECT s AS i, count(*) AS f FROM q GROUP BY 1) {_DENSE}")
+def _(spark, d):
+    return Lineage.build(_tree(spark, d)).distance(pairwise=True)
+
+
+@_tree_query("pair_distance_conv", f"{_PAIRS}, r AS (SELECT s AS i, count(*) AS f FROM q GROUP BY 1) {_DENSE}")
+def _(spark, d):
+    return Lineage.build(_tree(spark, d)).distance()
+
+
+_JACCARD = f"{_PAIRS}, r AS (SELECT CASE WHEN s + l = 0 THEN 0 ELSE least(19, (20 * s) // (s + l)) END AS i, count(*) AS f FROM q GROUP BY 1) SELECT CAST(range AS INTEGER) AS bin, CAST(coalesce(f, 0) AS BIGINT) AS freq FROM range(20) LEFT JOIN r ON i = range"
+
+
+@_tree_query("pair_jaccard", _JACCARD)
+def _(spark, d):
+    return Lineage.build(_tree(spark, d)).jaccard(20)
+
+
+@_tree_query("pair_jaccard_naive", _JACCARD)
+def _(spark, d):
+    return Lineage.build(_tree(spark, d)).jaccard(20, pairwise=True)
+
+
+@_query("tree_poisson_sampled_sfs")
+def _(spark, d):
+    tree = sample_leaves(with_poisson(_tree(spark, d), 3.0, "tree-v1"), 100, "tree-v1")
+    return Lineage.build(tree).site_spectrum()
+
+
+@_query(
+    "range_minimum",
+    """SELECT a.c_custkey AS lo, a.c_custkey + 9 AS hi, min(b.c_nationkey) AS val, arg_min(b.c_custkey, CAST(b.c_nationkey AS BIGINT) * 100000000 + b.c_custkey) AS pos
+FROM customer a JOIN customer b ON b.c_custkey BETWEEN a.c_custkey AND a.c_custkey + 9 WHERE a.c_custkey + 9 <= (SELECT max(c_custkey) FROM customer) GROUP BY 1, 2""",
+)
+def _(spark, d):
+    rows = _t(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_nationkey").alias("val"))
+    last = F.broadcast(rows.agg(F.max("pos").alias("last")))
+    queries = rows.join(last, F.col("pos") + 9 <= F.col("last")).select(F.col("pos").alias("lo"), (F.col("pos") + 9).alias("hi"))
+    return range_min(rows, queries, 10)
+
+
+
+# Keys
+
+
+@_query("key_i64", "SELECT c_custkey, printf('%016x', xor(CAST(c_custkey AS BIGINT), CAST(-9223372036854775808 AS BIGINT))) AS key FROM customer")
+def _(spark, d):
+    return keys.with_key(_t(spark, d, "customer").select("c_custkey"), "c_custkey").select("c_custkey", F.lower(F.hex("key")).alias("key"))
+
+
+@_query("key_struct", "SELECT c_custkey, printf('%08x', CAST(c_nationkey AS BIGINT) + 2147483648) || printf('%016x', xor(CAST(c_custkey AS BIGINT), CAST(-9223372036854775808 AS BIGINT))) AS key FROM customer")
+def _(spark, d):
+    rows = _t(spark, d, "customer").select("c_custkey", F.struct("c_nationkey", "c_custkey").alias("s"))
+    return keys.with_key(rows, "s").select("c_custkey", F.lower(F.hex("key")).alias("key"))
+
+
+@_query("key_double_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS pos FROM orders")
+def _(spark, d):
+    rows = keys.with_key(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
+    pairs = rows.select("o_orderkey", "key")
+    ordered = pairs.orderBy("key").withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
+    size = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    before = F.broadcast(size.join(size.select(F.col("part").alias("p2"), F.col("n").alias("n2")), F.col("p2") < F.col("part"), "left").groupBy("part", "low").agg(F.coalesce(F.sum("n2"), F.lit(0)).alias("skip")))
+    return ordered.join(before, "part").select("o_orderkey", (F.col("id") - F.col("low") + F.col("skip") + 1).alias("pos"))
+
+
+# Random streams
+
+_U = "CAST(('0x' || substr(sha256('demo-v1|{v}|' || CAST({k} AS VARCHAR) || '|' || CAST({n} AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0"
+
+
+@_query("rand_uniform", f"SELECT c_custkey, {_U.format(v='a', k='c_custkey', n='0')} AS a, {_U.format(v='b', k='c_custkey', n='0')} AS b FROM customer")
+def _(spark, d):
+    u = rand.uniforms("demo-v1", ["a", "b"], F.col("c_custkey"))
+    return _t(spark, d, "customer").select("c_custkey", *[c.alias(n) for n, c in u.items()])
+
+
+@_query("sample_without_replacement", f"SELECT c_custkey FROM customer ORDER BY {_U.format(v='', k='c_custkey', n='0')}, c_custkey LIMIT 100")
+def _(spark, d):
+    return rand.sample_rows(_t(spark, d, "customer").select("c_custkey"), "c_custkey", 100, "demo-v1")
+
+
+@_query(
+    "poisson_knuth",
+    f"""WITH RECURSIVE r(c_custkey, k, p) AS (
+  SELECT c_custkey, 1, {_U.format(v="p", k="c_custkey", n="1")} FROM customer
+  UNION ALL SELECT c_custkey, k + 1, p * {_U.format(v="p", k="c_custkey", n="k + 1")} FROM r WHERE p > exp(-5.0))
+SELECT c_custkey, CAST(max(k) - 1 AS BIGINT) AS n FROM r GROUP BY 1""",
+)
+def _(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", rand.poisson(5.0, "demo-v1", "p", F.col("c_custkey")).alias("n"))
+
+
+# Stages and stores
+
+
+@_query("repeated_inputs", "SELECT CAST(r_regionkey AS INTEGER) AS r_regionkey, CAST(range AS BIGINT) AS repetition_index, CAST(r_regionkey * 4 + range AS BIGINT) AS ordinal FROM region, range(4)")
+def _(spark, d):
+    return flow.repeated(_t(spark, d, "region").select("r_regionkey"), 4, ordinal="r_regionkey")
+
+
+def _fresh_root(spark: SparkSession) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/stores-{uuid.uuid4().hex}"
+
+
+@_query("get_or_compute", "SELECT p_partkey, p_size * 3 + p_partkey AS value FROM part")
+def _(spark, d):
+    part = _t(spark, d, "part").select("p_partkey", "p_size")
+    compute = lambda rows: rows.select("p_partkey", (F.col("p_size") * 3 + F.col("p_partkey")).alias("value"))
+    store = st.ParquetStore(spark, _fresh_root(spark), rand.path_of("part-v1"))
+    store.append(compute(part.where("p_partkey % 2 = 0")), ["p_partkey"])
+    return flow.get_or_compute(part, ["p_partkey"], store, compute).select("p_partkey", "value")
+
+
+@_query("derived_param", "SELECT r_regionkey, p_partkey, 2 * (p_size + 1) + r_regionkey AS value FROM region, part")
+def _(spark, d):
+    root = _fresh_root(spark)
+    part = _t(spark, d, "part").select("p_partkey", "p_size")
+    source = flow.Stage("source-v1", lambda rows: rows.join(part, "p_partkey").withColumn("size1", F.col("p_size") + 1).drop("p_size"), ["p_partkey"], st.ParquetStore(spark, root, "source-v1"))
+    path = rand.path_of("source-v1", "twice-v1")
+    twice = source.derive("twice-v1", lambda rows: rows.withColumn("value", 2 * F.col("size1") + F.col("r_regionkey")), params=["r_regionkey"], store=st.ParquetStore(spark, root, path))
+    inputs = _t(spark, d, "region").select("r_regionkey").crossJoin(part.select("p_partkey"))
+    return twice.run(inputs).select("r_regionkey", "p_partkey", "value")
+
+
+@_query("bounded_cache_lru", "SELECT user_id, max(event_id) AS last FROM events GROUP BY 1 ORDER BY last DESC LIMIT 50")
+def _(spark, d):
+    return st.keep_recent(_t(spark, d, "events"), "user_id", "event_id", 50)
+
+
+@_query("checked_frames", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'checksum' WHEN event_id % 3 = 1 THEN 'truncated' ELSE 'ok' END AS status FROM events")
+def _(spark, d):
+    rows = _t(spark, d, "events").select("event_id", st.checked(F.encode("props", "utf-8")).alias("frame"))
+    flipped = F.concat(F.unhex(F.hex(F.hex("frame"))), F.unhex(F.lit("00")))
+    damaged = F.when(F.col("event_id") % 3 == 0, flipped).when(F.col("event_id") % 3 == 1, F.substring("frame", 1, 3)).otherwise(F.col("frame"))
+    return rows.select("event_id", st.unchecked(damaged)[1].alias("status"))
+
+
+@_query("store_migration", "SELECT count(*) AS migrated, CAST(0 AS BIGINT) AS skipped, CAST(sum(p_size) AS BIGINT) AS total FROM part")
+def _(spark, d):
+    root, part = _fresh_root(spark), _t(spark, d, "part").select("p_partkey", "p_size")
+    a, b = (st.ParquetStore(spark, root, "part-v1", f) for f in ("plain-v1", "plain-v2"))
+    a.append(part, ["p_partkey"])
+    a.append(part, ["p_partkey"])
+    s = st.copy_store(a, b, ["p_partkey"])
+    return b.read(["p_partkey"]).agg(F.sum("p_size").alias("total")).select(F.lit(s["migrated"]).cast("bigint").alias("migrated"), F.lit(s["skipped"]).cast("bigint").alias("skipped"), "total")
+
+
+# Checks
+
+
+@_query("violations_range", "SELECT l_orderkey, l_linenumber, l_partkey, 'invalid parameter `discount`: expected in [0.0, 0.05), got ' || CAST(l_discount AS VARCHAR) AS violation FROM lineitem WHERE NOT (l_discount >= 0.0 AND l_discount < 0.05)")
+def _(spark, d):
+    rule = checks.Rule("l_discount", ((">=", 0.0), ("<", 0.05)), name="discount")
+    return checks.violations(_t(spark, d, "lineitem"), rule).select("l_orderkey", "l_linenumber", "l_partkey", "violation")
+
+
+@_query("passing_rows", "SELECT count(*) AS n FROM orders WHERE o_totalprice > 1000.0 AND o_totalprice <= 100000.0 AND length(o_orderstatus) = 1")
+def _(spark, d):
+    rules = checks.Rule("o_totalprice", ((">", 1000.0), ("<=", 100000.0))), checks.Rule("o_orderstatus", predicate=F.length("o_orderstatus") == 1, expected="one letter")
+    return checks.passing(_t(spark, d, "orders"), *rules).agg(F.count("*").alias("n"))
