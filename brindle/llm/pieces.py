@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm import textscan
+
 META = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _MASK = (1 << 64) - 1
-_NONE = float("inf")
+_NONE = 1 << 60
 _STRETCH = re.compile(f"{META}*[^{META}]*")
 
 
@@ -53,7 +55,7 @@ class Params:
     dropout: float = 0.1
     seed: int = 20240601
     variants: int = 4
-    cache: int = 400_000
+    cache: int = 800_000
 
 
 @dataclass
@@ -67,12 +69,14 @@ class Codec:
     byte_id: list[int]
     unknown: int
     params: Params
-    _cache: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
-        self._rank = {x: -self.scores[k] for x, k in self.ids.items()}
+        places = {x: n for n, x in enumerate(sorted({-self.scores[k] for k in self.ids.values()}))}
+        self._rank = {x: places[-self.scores[k]] for x, k in self.ids.items()}
         self._limit = int(self.params.dropout * 2**64)
-        self._bases: dict[int, int] = {}
+        self._bases = [_hash(self.params.seed, v) for v in range(self.params.variants)]
+        self._skipped: list[dict[int, bool]] = [{} for _ in self._bases]
+        self._cache: list[dict[str, tuple[int, ...]]] = [{} for _ in self._bases]
         self._bytes = [bytes((self.byte_of[i],)) if i in self.byte_of else x.replace(META, " ").encode() for i, x in enumerate(self.pieces)]
 
     @staticmethod
@@ -100,15 +104,17 @@ class Codec:
         """Ids of one stretch."""
         return self._by_scan(s, variant) if len(s) <= 48 else self._by_agenda(s, variant)
 
-    def _skip(self, variant: int, k: int, i: int) -> bool:
-        x = ((self._base(variant) ^ (k * 0x9E3779B1 + i * 0x85EBCA77)) * 0xBF58476D1CE4E5B9) & _MASK
-        x = ((x ^ (x >> 32)) * 0x94D049BB133111EB) & _MASK
-        return x < self._limit
-
-    def _base(self, variant: int) -> int:
-        got = self._bases.get(variant)
+    def _skip(self, variant: int, rank: int, i: int) -> bool:
+        """The keyed hash of a merge, by its pair's rank and place; results of short places are kept."""
+        known = self._skipped[variant]
+        key = (rank << 40) | i
+        got = known.get(key)
         if got is None:
-            got = self._bases[variant] = _hash(self.params.seed, variant)
+            x = ((self._bases[variant] ^ (rank * 0x9E3779B1 + i * 0x85EBCA77)) * 0xBF58476D1CE4E5B9) & _MASK
+            x = ((x ^ (x >> 32)) * 0x94D049BB133111EB) & _MASK
+            got = x < self._limit
+            if len(known) < 500_000:
+                known[key] = got
         return got
 
     def _ids(self, symbols) -> tuple[int, ...]:
@@ -124,19 +130,22 @@ class Codec:
     def _by_scan(self, s: str, variant: int) -> tuple[int, ...]:
         """The agenda of a short stretch as a list: the best score is searched, the leftmost of equals taken."""
         rank, limit, none = self._rank.get, self._limit, _NONE
+        known = self._skipped[variant].get
         sym, at = list(s), list(range(len(s)))
         agenda = [rank(a + b, none) for a, b in zip(sym, sym[1:], strict=False)]
         while agenda:
             best = min(agenda)
-            if best is none:
+            if best == none:
                 break
             i = agenda.index(best)
-            both = sym[i] + sym[i + 1]
-            if limit and self._skip(variant, self.ids[both], at[i]):
-                agenda[i] = none
-                continue
-            sym[i] = both
-            del sym[i + 1], at[i + 1], agenda[i]
+            if limit:
+                skip = known((best << 40) | at[i])
+                if skip or skip is None and self._skip(variant, best, at[i]):
+                    agenda[i] = none
+                    continue
+                del at[i + 1]
+            sym[i] = both = sym[i] + sym[i + 1]
+            del sym[i + 1], agenda[i]
             if i:
                 agenda[i - 1] = rank(sym[i - 1] + both, none)
             if i < len(agenda):
@@ -145,24 +154,24 @@ class Codec:
 
     def _by_agenda(self, s: str, variant: int) -> tuple[int, ...]:
         """The same with a heap of (score, place), for long stretches."""
-        ids, scores = self.ids, self.scores
+        ranks = self._rank
         n = len(s)
         sym: list[str | None] = list(s)
         prev, nxt = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list[tuple[float, int, str, int]] = []
+        agenda: list[tuple[int, int, str]] = []
 
         def offer(i: int) -> None:
             j = nxt[i]
             if j < n:
                 both = sym[i] + sym[j]
-                k = ids.get(both)
+                k = ranks.get(both)
                 if k is not None:
-                    heapq.heappush(agenda, (-scores[k], i, both, k))
+                    heapq.heappush(agenda, (k, i, both))
 
         for i in range(n - 1):
             offer(i)
         while agenda:
-            _, i, both, k = heapq.heappop(agenda)
+            k, i, both = heapq.heappop(agenda)
             if sym[i] is None:
                 continue
             j = nxt[i]
@@ -194,21 +203,20 @@ class Codec:
 
     def _encode(self, s: str, x: int) -> list[int]:
         parts = _STRETCH.findall(s)
+        if parts and not parts[-1]:
+            parts.pop()
         v = self.params.variants if self.params.dropout > 0 else 1
+        draw = textscan.mix(np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(x & _MASK))
         out: list[int] = []
-        cache = self._cache
-        for part in parts:
-            if not part:
-                continue
-            x = (x * 6364136223846793005 + 1442695040888963407) & _MASK
-            variant = (x >> 33) % v
-            got = cache.get((part, variant))
+        caches, bound = self._cache, self.params.cache // v
+        for part, variant in zip(parts, (draw % np.uint64(v)).tolist(), strict=True):
+            got = caches[variant].get(part)
             if got is None:
                 got = self.merge(part, variant)
                 if len(part) <= 64:
-                    if len(cache) >= self.params.cache:
-                        cache.clear()
-                    cache[(part, variant)] = got
+                    if len(caches[variant]) >= bound:
+                        caches[variant].clear()
+                    caches[variant][part] = got
             out += got
         return out
 
