@@ -6,7 +6,8 @@
 * Blocks: lists are cut into blocks of about ``block`` vectors and the queries of a list into
   blocks too, by hash, so a list that holds a third of all rows is many tasks. A task
   returns at most k rows for each query.
-* Scan: vectors and queries are rotated by one random orthogonal matrix and read in column
+* Scan: a query's k-th best in a sample of ``floor_sample`` candidates is a score it must reach.
+  Vectors and queries are rotated by one random orthogonal matrix and read in column
   groups. After each group a candidate is abandoned if its squared distance so far,
   scaled to all dimensions, exceeds what the query's k-th best inner product allows by the
   factor (1 + ``epsilon`` / sqrt(dimensions read)); survivors get their exact inner product in
@@ -36,6 +37,7 @@ class Params:
     max_lists: int = 1024
     target_recall: float = 0.97
     block: int = 4096
+    floor_sample: int = 4096
     epsilon: float = 2.1
     groups: int = 4
     seed: int = 5
@@ -48,6 +50,8 @@ class Index:
     probes: int
     sizes: np.ndarray | None = None
     queries: np.ndarray | None = None
+    sample: np.ndarray | None = None
+    sample_ids: np.ndarray | None = None
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -80,40 +84,62 @@ def fit(sample: np.ndarray, n: int, p: Params) -> Index:
     return Index(c, rotation, min(lists, probes))
 
 
-def scan(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, rotation: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, vector position, score) of each query's k best in one block, best first."""
+def scan(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, floor: np.ndarray, rotation: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, vector position, score) of each query's k best in one block, best first.
+
+    ``floor`` is a score that each query's k-th best candidate is known to reach. Column groups are
+    read for all pairs while many are alive, and for the living alone once they are few.
+    """
     d = x.shape[1]
     xr, qr = x @ rotation, q @ rotation
     cuts = np.unique(np.linspace(0, d, p.groups + 1).astype(int))
     xn, qn = (x * x).sum(1), (q * q).sum(1)
     best_q, best_x, best_s = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
-    floor = np.full(len(q), -np.inf)
+    floor = floor - 1e-9
+    slack = [(1 + (p.epsilon / np.sqrt(b) if b < d else 0)) ** 2 * b / d for b in cuts[1:]]
     for lo in range(0, len(x), 512):
         hi = min(lo + 512, len(x))
-        a, b = cuts[0], cuts[1]
-        part = (xr[lo:hi, a:b] ** 2).sum(1)[:, None] + (qr[:, a:b] ** 2).sum(1)[None, :] - 2 * xr[lo:hi, a:b] @ qr[:, a:b].T
-        allowed = xn[lo:hi, None] + qn[None, :] - 2 * floor[None, :]
-        alive = (part * (d / b) <= np.maximum(allowed, 0) * (1 + p.epsilon / np.sqrt(b)) ** 2 + 1e-9) & (ids[lo:hi, None] != qids[None, :])
-        i, j = np.nonzero(alive)
-        far = part[i, j]
-        for a, b in zip(cuts[1:-1], cuts[2:], strict=True):
-            far = far + ((xr[lo + i, a:b] - qr[j, a:b]) ** 2).sum(1)
-            keep = far * (d / b) <= np.maximum(allowed[i, j], 0) * (1 + (p.epsilon / np.sqrt(b) if b < d else 1e-6)) ** 2 + 1e-9
-            i, j, far = i[keep], j[keep], far[keep]
+        allowed = np.maximum(xn[lo:hi, None] + qn[None, :] - 2 * floor[None, :], 0) + 1e-9
+        part = np.zeros_like(allowed)
+        i = None
+        for a, b, s in zip(cuts[:-1], cuts[1:], slack, strict=True):
+            if i is None:
+                xa, qa = xr[lo:hi, a:b], qr[:, a:b]
+                part += (xa * xa).sum(1)[:, None] + (qa * qa).sum(1)[None, :] - 2 * (xa @ qa.T)
+                alive = part <= allowed * s
+                if b == d or np.count_nonzero(alive) < 0.05 * alive.size:
+                    i, j = np.nonzero(alive)
+                    far, most = part[i, j], allowed[i, j]
+            else:
+                far = far + ((xr[lo + i, a:b] - qr[j, a:b]) ** 2).sum(1)
+                keep = far <= most * s
+                i, j, far, most = i[keep], j[keep], far[keep], most[keep]
+        other = ids[lo + i] != qids[j]
+        i, j = i[other], j[other]
         score = np.einsum("ij,ij->i", x[lo + i], q[j])
         all_q, all_x, all_s = np.concatenate([best_q, j]), np.concatenate([best_x, lo + i]), np.concatenate([best_s, score])
         order = np.lexsort((ids[all_x], -all_s, all_q))
         all_q, all_x, all_s = all_q[order], all_x[order], all_s[order]
         first = np.searchsorted(all_q, np.arange(len(q) + 1))
-        rank = np.arange(len(all_q)) - first[all_q]
-        keep = rank < p.k
+        keep = np.arange(len(all_q)) - first[all_q] < p.k
         best_q, best_x, best_s = all_q[keep], all_x[keep], all_s[keep]
         full = np.flatnonzero(np.diff(first) >= p.k)
         kept = np.searchsorted(best_q, np.arange(len(q) + 1))
-        floor[full] = best_s[kept[full + 1] - 1]
+        floor[full] = np.maximum(floor[full], best_s[kept[full + 1] - 1] - 1e-9)
     return best_q, best_x, best_s
 
 
+def floors(q: np.ndarray, qids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best inner product in a sample of the candidates; -inf if it has fewer."""
+    out = np.full(len(q), -np.inf)
+    if len(sample) > k:
+        for lo in range(0, len(q), 512):
+            s = q[lo : lo + 512] @ sample.T
+            s[qids[lo : lo + 512, None] == sample_ids[None, :]] = -np.inf
+            out[lo : lo + 512] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+    return out
+
+
 def _matrix(column, d: int) -> np.ndarray:
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
@@ -137,9 +163,12 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params(), *, id_col
     empty = "query_id long, rank int, vec_id long, score double"
     if d is None:
         return spark.createDataFrame([], empty)
-    got = rows.orderBy(F.xxhash64("vec_id", F.lit(p.seed)), "vec_id").limit(p.max_sample).select("v").toArrow()
-    sample = _matrix(got.column("v"), d)
+    got = rows.orderBy(F.xxhash64("vec_id", F.lit(p.seed)), "vec_id").limit(p.max_sample).toArrow()
+    sample_ids, once = np.unique(got.column("vec_id").to_numpy(), return_index=True)
+    sample = _matrix(got.column("v"), d)[once]
     index = fit(sample, rows.count(), p)
+    pick = np.random.default_rng(p.seed).permutation(len(sample))[: p.floor_sample]
+    index.sample, index.sample_ids = sample[pick], sample_ids[pick]
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches):
@@ -159,17 +188,19 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params(), *, id_col
         for b in batches:
             if not b.num_rows:
                 continue
-            near = np.argsort(-(_matrix(b.column("v"), d) @ ix.centroids.T), axis=1, kind="stable")
+            q = _matrix(b.column("v"), d)
+            floor = floors(q, b.column("vec_id").to_numpy(), ix.sample, ix.sample_ids, p.k)
+            near = np.argsort(-(q @ ix.centroids.T), axis=1, kind="stable")
             enough = np.cumsum(ix.sizes[near], axis=1) > 50 * p.k
             stop = np.where(enough.any(1), enough.argmax(1) + 1, lists)
             for lo in range(0, b.num_rows, 256):
                 rows_, cols = np.nonzero(np.arange(lists)[None, :] < np.maximum(stop[lo : lo + 256], ix.probes)[:, None])
                 rows_ += lo
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("vec_id").take(pa.array(rows_)), pa.array(near[rows_, cols].astype(np.int32)), b.column("v").take(pa.array(rows_))], ["vec_id", "list", "v"]
+                    [b.column("vec_id").take(pa.array(rows_)), pa.array(near[rows_, cols].astype(np.int32)), b.column("v").take(pa.array(rows_)), pa.array(floor[rows_])], ["vec_id", "list", "v", "floor"]
                 )
 
-    asked = listed.where(is_query).select("vec_id", "v").mapInArrow(route, "vec_id long, list int, v array<float>")
+    asked = listed.where(is_query).select("vec_id", "v").mapInArrow(route, "vec_id long, list int, v array<float>, floor double")
     counts = asked.groupBy("list").agg(F.count("*").alias("q"))
     index.queries = np.zeros(lists, np.int64)
     for r in counts.collect():
@@ -180,18 +211,18 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params(), *, id_col
     blocks = F.broadcast(blocks.where("nv > 0 and nq > 0"))
     h = F.xxhash64("vec_id", F.lit(1))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    base = listed.join(blocks, "list").select("list", F.pmod(h, "nv").cast("int").alias("i"), every("nq").alias("j"), F.lit(0).alias("side"), "vec_id", "v")
-    ask = asked.join(blocks, "list").select("list", every("nv").alias("i"), F.pmod(h, "nq").cast("int").alias("j"), F.lit(1).alias("side"), "vec_id", "v")
+    base = listed.join(blocks, "list").select("list", F.pmod(h, "nv").cast("int").alias("i"), every("nq").alias("j"), F.lit(0).alias("side"), "vec_id", "v", F.lit(0.0).alias("floor"))
+    ask = asked.join(blocks, "list").select("list", every("nv").alias("i"), F.pmod(h, "nq").cast("int").alias("j"), F.lit(1).alias("side"), "vec_id", "v", "floor")
 
     def run(table):
         t = table.combine_chunks()
-        side, ids, x = t.column("side").to_numpy(), t.column("vec_id").to_numpy(), _matrix(t.column("v"), d)
+        side, ids, x, floor = t.column("side").to_numpy(), t.column("vec_id").to_numpy(), _matrix(t.column("v"), d), t.column("floor").to_numpy()
         xb, qb = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found = [[], [], []]
         if len(xb):
             for lo in range(0, len(qb), 512):
                 q = qb[lo : lo + 512]
-                j, i, s = scan(x[xb], ids[xb], x[q], ids[q], shared.value.rotation, p)
+                j, i, s = scan(x[xb], ids[xb], x[q], ids[q], floor[q], shared.value.rotation, p)
                 for out, v in zip(found, (ids[q][j], ids[xb][i], s), strict=True):
                     out.append(v)
         cols = [np.concatenate(c) if c else np.zeros(0) for c in found]
