@@ -121,9 +121,16 @@ class Model:
     prior: float
     trained: bool = True
     history: list = field(default_factory=list)
+    curve: tuple[float, float] | None = None
+
+    def margin(self, f: np.ndarray) -> float:
+        x = float(self.weights[f].sum())
+        if self.curve:
+            return self.curve[0] * float(np.log1p(x)) + self.curve[1]
+        return self.bias + x
 
     def margins(self, column) -> np.ndarray:
-        return np.array([self.bias + float(self.weights[f].sum()) for f in features(column, self.spec)], np.float64)
+        return np.array([self.margin(f) for f in features(column, self.spec)], np.float64)
 
     def scores(self, column) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.margins(column), -30, 30)))
@@ -185,10 +192,15 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def calibrate(model: Model, positive: list[np.ndarray], negative: list[np.ndarray], prior: float | None = None) -> Model:
-    """Rescales margins by a logistic fit on labelled rows, weighted to ``prior`` (the model's unless given); the order of scores stays."""
+    """Rescales margins by a logistic fit on labelled rows, weighted to ``prior`` (the model's unless given); the order of scores stays.
+
+    Evidence that only adds up is taken by its logarithm, so that texts full of it don't set the scale.
+    """
     if not model.trained or not positive or not negative:
         return model
-    x = np.array([model.bias + model.weights[f].sum() for f in [*positive, *negative]])
+    logs = model.spec.evidence_only
+    x = np.array([model.weights[f].sum() for f in [*positive, *negative]])
+    x = np.log1p(x) if logs else model.bias + x
     y = np.repeat([1.0, 0.0], [len(positive), len(negative)])
     prior = model.prior if prior is None else prior
     c = np.where(y == 1, prior / len(positive), (1 - prior) / len(negative))
@@ -200,7 +212,9 @@ def calibrate(model: Model, positive: list[np.ndarray], negative: list[np.ndarra
         grad = z.T @ (c * (p - y)) + 1e-3 * np.array([ab[0] - 1, 0])
         hess = (z * (c * p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag([1e-3, 1e-6])
         ab = ab - np.clip(np.linalg.solve(hess, grad), -2, 2)
-    if ab[0] > 0:
+    if ab[0] > 0 and logs:
+        model.curve = (float(ab[0] / scale), float(ab[1] - centre * ab[0] / scale))
+    elif ab[0] > 0:
         model.weights = model.weights * (ab[0] / scale)
         model.bias = float((model.bias - centre) * ab[0] / scale + ab[1])
     return model

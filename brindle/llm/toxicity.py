@@ -16,7 +16,7 @@ SPEC = pu.FeatureSpec(bits=20, prefixes=(4, 5), shapes=False, min_support=3, min
 
 
 def train(docs: DataFrame, labels: DataFrame, *, spec: pu.FeatureSpec = SPEC, **options) -> pu.Model:
-    return pu.train(docs, labels, "toxic", spec, **{"steps": 300, "l2": 1e-3, "batch": 4096, "rate": 0.1, "calibration_prior": 0.5} | options)
+    return pu.train(docs, labels, "toxic", spec, **{"steps": 300, "l2": 1e-3, "batch": 4096, "rate": 0.1, "calibration_prior": 0.25} | options)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **options) -> DataFrame:
