@@ -201,7 +201,7 @@ def repeated_spans(docs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
     regions = scratch.write(found.groupBy("gram", "region").agg(F.count("*").alias("c"), F.min("row").alias("row")), "regions")
     grams = regions.groupBy("gram").agg(F.sum("c").alias("total"), F.count("*").alias("m")).where("total > 1")
     whole = regions.where("c > 1").select("gram", "region")
-    copies = possibly_in(found, whole, "region").join(whole, ["gram", "region"], "left_semi")
+    copies = possibly_in(found, whole, "region").join(whole, ["gram", "region"])
     copies = copies.select("uid", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
 
     # single regions of repeated grams, and one copy of each other region of these grams

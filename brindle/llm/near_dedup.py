@@ -258,7 +258,8 @@ def components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     stars = members.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     need = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     rows = possibly_in(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), need, "id")
-    texts = rows.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    # an inner join with distinct ids: a semi join would be pushed below the bitmap's
+    texts = rows.join(need, "id").groupBy("id").agg(F.min("text").alias("text"))
     texts = scratch.write(texts, "texts")
     links = scratch.write(_verified(_plausible(stars, classes, p), texts, p), "links")
     comp = scratch.write(connected_components(links, scratch), "components")
