@@ -48,7 +48,7 @@ class Params:
     length: int = 400
     gram: int = 64
     symbol: int = 100
-    regions: int = 3000
+    regions: int = 1000
     shard_rows: int = 400_000
     task_regions: int = 6000
     bits: int = 1 << 26
@@ -241,20 +241,30 @@ def repeated_spans(docs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
 
     def merge(table):
         t = table.combine_chunks()
-        raw, at = textscan.string_buffers(t.column("bytes"))
-        col = lambda n: t.column(n).to_numpy()
-        left = col("left").astype(np.int64)
-        reg, i = repeated_windows(raw, at, col("gram").view(_U), left, col("phase").astype(np.int64), col("phases").astype(np.int64), p)
-        uid, first = col("uid"), col("pos") - left
+        t = t.take(pa.array(np.argsort(t.column("gram").to_numpy(), kind="stable")))
+        gram = t.column("gram").to_numpy()
+        first = np.concatenate([[0], np.flatnonzero(np.diff(gram)) + 1, [len(gram)]])
         out = [[], [], []]
-        order = np.lexsort((i, reg))
-        reg, i = reg[order], i[order]
-        cut_at = np.flatnonzero(np.diff(reg)) + 1
-        for lo, hi in zip([0, *cut_at], [*cut_at, len(reg)], strict=True):
-            if hi > lo:
-                for a, b in _cover(i[lo:hi], p.length):
-                    for c, v in zip(out, (uid[reg[lo]], first[reg[lo]] + a, first[reg[lo]] + b), strict=True):
-                        c.append(int(v))
+        lo = 0
+        for k in range(1, len(first)):
+            # whole grams, about ``regions`` regions at a time
+            if k + 1 < len(first) and first[k + 1] - first[lo] <= p.regions:
+                continue
+            part = t.slice(int(first[lo]), int(first[k] - first[lo]))
+            lo = k
+            raw, at = textscan.string_buffers(part.column("bytes"))
+            col = lambda n, part=part: part.column(n).to_numpy()
+            left = col("left").astype(np.int64)
+            reg, i = repeated_windows(raw, at, col("gram").view(_U), left, col("phase").astype(np.int64), col("phases").astype(np.int64), p)
+            uid, begin = col("uid"), col("pos") - left
+            order = np.lexsort((i, reg))
+            reg, i = reg[order], i[order]
+            cut_at = np.flatnonzero(np.diff(reg)) + 1
+            for x, y in zip([0, *cut_at], [*cut_at, len(reg)], strict=True):
+                if y > x:
+                    for a, b in _cover(i[x:y], p.length):
+                        for c, v in zip(out, (uid[reg[x]], begin[reg[x]] + a, begin[reg[x]] + b), strict=True):
+                            c.append(int(v))
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["uid", "start", "end"])
 
     merged = dealt.groupBy("task", "own", F.when(F.col("phases") > 1, F.col("phase")).otherwise(F.lit(0)).alias("slice")).applyInArrow(merge, "uid long, start long, end long")
@@ -304,6 +314,7 @@ def remove_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("uid"))
     spans = repeated_spans(rows.select("uid", "text"), p, scratch)
     by_doc = scratch.write(spans.distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    scratch.drop_all_but(by_doc)
     keys = by_doc.select("uid")
     maybe = possibly_in(rows, keys, "uid").join(by_doc, "uid", "left")
     rest = possibly_in(rows, keys, "uid", inverse=True).withColumn("spans", F.lit(None).cast(by_doc.schema["spans"].dataType))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import textscan
+from brindle.llm.tables import Scratch, without
 
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -216,5 +217,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> D
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; rows with a null doc_id stay."""
-    bad = find_leaks(docs, benchmark, p).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    bad = find_leaks(docs, benchmark, p).select("doc_id").where("doc_id is not null").distinct()
+    return without(docs, Scratch(docs.sparkSession).write(bad, "leaks"), "doc_id")

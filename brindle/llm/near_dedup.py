@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import textscan
-from brindle.llm.tables import Scratch, connected_components, possibly_in
+from brindle.llm.tables import Scratch, connected_components, possibly_in, without
 
 _rng = np.random.default_rng(77)
 
@@ -265,6 +265,7 @@ def components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     comp = scratch.write(connected_components(links, scratch), "components")
     more = _remaining(members, comp, texts, p, scratch)
     comp = scratch.write(connected_components(links.union(more), scratch), "components")
+    scratch.drop_all_but(sk, classes, comp)
     rep_of = classes.join(comp, classes.rep == comp.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = sk.select("doc_id", "n_shingles", "f1", "f2").join(rep_of, ["f1", "f2"], "left")
     found = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
@@ -274,6 +275,8 @@ def components(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def keep_one(docs: DataFrame, p: Params = Params(words=5)) -> DataFrame:
     """``docs`` without all but the smallest doc_id of each component; exactly repeated rows of that id become one."""
     gone = components(docs.select("doc_id", "text"), p).where("not kept").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    nullid = rest.where("doc_id is null")
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(nullid)
+    gone = Scratch(docs.sparkSession).write(gone, "gone")
+    rest = without(docs, gone, "doc_id")
+    twice = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id")
+    again = possibly_in(rest, twice, "doc_id").dropDuplicates(["doc_id", "text"])
+    return possibly_in(rest, twice, "doc_id", inverse=True).unionByName(again)

@@ -29,6 +29,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
         self.n = 0
+        self.tables: list[DataFrame] = []
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -36,10 +37,17 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._brindle_path = path
+        self.tables.append(out)
         return out
 
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        """Deletes the tables of this run that no later DataFrame reads."""
+        for t in [t for t in self.tables if not any(t is k for k in kept)]:
+            self.drop(t)
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that no later DataFrame reads."""
+        self.tables = [t for t in self.tables if t is not df]
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._brindle_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -59,6 +67,16 @@ def possibly_in(df: DataFrame, keys: DataFrame, key: str, bits: int = 1 << 24, *
     return tested.where(~marked if inverse else marked).select(*df.columns)
 
 
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is not in ``keys`` (distinct, only that column); rows with a null key stay.
+
+    Only rows that the bitmap marks are shuffled. The join is an outer one: an anti join would be
+    pushed below the bitmap's.
+    """
+    maybe = possibly_in(df, keys, key).join(keys.withColumn("_found", F.lit(True)), key, "left").where("_found is null")
+    return possibly_in(df, keys, key, inverse=True).unionByName(maybe.select(*df.columns))
+
+
 def _joined(batches):
     """Components of the edges (u, v) of one task."""
     parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
