@@ -47,9 +47,9 @@ _U = np.uint64
 class Params:
     length: int = 400
     gram: int = 64
-    symbol: int = 100
-    regions: int = 1000
-    shard_rows: int = 400_000
+    symbol: int = 200
+    regions: int = 400
+    shard_rows: int = 300_000
     task_regions: int = 6000
     bits: int = 1 << 26
 
@@ -139,11 +139,11 @@ def repeated_windows(raw: np.ndarray, at: np.ndarray, gram: np.ndarray, left: np
     # a chain whose last symbol ends with its region gets one more row, so that every chain ends in a row without a symbol
     n = len(place)
     exact = np.flatnonzero(place + p.symbol == at[reg + 1])
-    ends = np.concatenate([np.setdiff1d(np.arange(n), full), np.arange(n, n + len(exact))])
+    open_ = np.ones(n, bool)
+    open_[full] = False
+    ends = np.concatenate([np.flatnonzero(open_), np.arange(n, n + len(exact))])
     symbol = np.concatenate([symbol, np.zeros(len(exact), _U)])
     before = np.concatenate([before, exact])
-    _, rank = np.unique(symbol, return_inverse=True)
-    rank = rank.astype(np.int32)
     rounds = p.length // p.symbol
     owner = np.concatenate([reg, reg[exact]])
     # the shards' own transforms: suffixes sorted to the depth needed, with the symbol before each
@@ -155,10 +155,10 @@ def repeated_windows(raw: np.ndarray, at: np.ndarray, gram: np.ndarray, left: np
     for k in np.unique(shard):
         rows = np.flatnonzero(shard == k)
         own_before = np.where(shard == k, before, -1)
-        sorted_rows, lcp = refine(rows, own_before, rank, rows[is_end[rows]], rounds)
+        sorted_rows, lcp = refine(rows, own_before, symbol, rows[is_end[rows]], rounds)
         order.append(sorted_rows)
     if len(order) > 1:
-        sorted_rows, lcp = refine(np.concatenate(order), before, rank, ends, rounds)
+        sorted_rows, lcp = refine(np.concatenate(order), before, symbol, ends, rounds)
     elif not order:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     same = lcp >= rounds
@@ -190,7 +190,7 @@ def repeated_spans(docs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
     def find(batches):
         for b in batches:
             uid = b.column("uid").to_numpy()
-            for i, _, raw, at in textscan.blocks(b.column("text"), 1_000_000):
+            for i, _, raw, at in textscan.blocks(b.column("text"), 300_000):
                 doc, pos, gram, region, left, right = anchors(raw, at, p)
                 own = uid[i + doc]
                 row = textscan.mix(gram ^ textscan.mix(region ^ textscan.mix(own.view(_U) + pos.astype(_U))))
@@ -218,7 +218,7 @@ def repeated_spans(docs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
         marked = shared.value
         for b in batches:
             uid = b.column("uid").to_numpy()
-            for i, _, raw, at in textscan.blocks(b.column("text"), 1_000_000):
+            for i, _, raw, at in textscan.blocks(b.column("text"), 300_000):
                 doc, pos, gram, region, left, right = anchors(raw, at, p)
                 own = uid[i + doc]
                 row = textscan.mix(gram ^ textscan.mix(region ^ textscan.mix(own.view(_U) + pos.astype(_U))))
