@@ -6,7 +6,9 @@
 * Blocks: lists are cut into blocks of about ``block`` vectors and the queries of a list into
   blocks too, by hash, so a list that holds a third of all rows is many tasks. A task
   returns at most k rows for each query.
-* Scan: a query's k-th best in a sample of ``floor_sample`` candidates is a score it must reach.
+* Scan: the vectors in a query's lists among a sample of ``floor_sample`` vectors are candidates; the
+  k-th best of them is a score the others must reach (none with fewer than k), and those k are
+  results whatever the scan finds, so a query has k rows if its lists hold k other vectors.
   Vectors and queries are rotated by one random orthogonal matrix and read in column
   groups. After each group a candidate is abandoned if its squared distance so far,
   scaled to all dimensions, exceeds what the query's k-th best inner product allows by the
@@ -52,6 +54,7 @@ class Index:
     queries: np.ndarray | None = None
     sample: np.ndarray | None = None
     sample_ids: np.ndarray | None = None
+    sample_lists: np.ndarray | None = None
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -129,15 +132,25 @@ def scan(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, floor:
     return best_q, best_x, best_s
 
 
-def floors(q: np.ndarray, qids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
-    """Each query's k-th best inner product in a sample of the candidates; -inf if it has fewer."""
+def floors(q: np.ndarray, qids: np.ndarray, probed: np.ndarray, ix: Index, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k-th best inner product among the sampled vectors of its lists, -inf if they are fewer; and these k best.
+
+    ``probed`` marks the lists of each query. The k best are query positions, ids and scores.
+    """
     out = np.full(len(q), -np.inf)
-    if len(sample) > k:
+    found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    if len(ix.sample) >= k:
         for lo in range(0, len(q), 512):
-            s = q[lo : lo + 512] @ sample.T
-            s[qids[lo : lo + 512, None] == sample_ids[None, :]] = -np.inf
-            out[lo : lo + 512] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-    return out
+            s = q[lo : lo + 512] @ ix.sample.T
+            s[~probed[lo : lo + 512][:, ix.sample_lists]] = -np.inf
+            s[qids[lo : lo + 512, None] == ix.sample_ids[None, :]] = -np.inf
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            best = np.take_along_axis(s, top, 1)
+            out[lo : lo + 512] = best.min(1)
+            row = np.flatnonzero(np.isfinite(best.min(1)))
+            for got, v in zip(found, (np.repeat(lo + row, k), ix.sample_ids[top[row]].ravel(), best[row].ravel()), strict=True):
+                got.append(v)
+    return out, *map(np.concatenate, found)
 
 
 def _matrix(column, d: int) -> np.ndarray:
@@ -168,7 +181,7 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params(), *, id_col
     sample = _matrix(got.column("v"), d)[once]
     index = fit(sample, rows.count(), p)
     pick = np.random.default_rng(p.seed).permutation(len(sample))[: p.floor_sample]
-    index.sample, index.sample_ids = sample[pick], sample_ids[pick]
+    index.sample, index.sample_ids, index.sample_lists = sample[pick], sample_ids[pick], _nearest(sample[pick], index.centroids)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches):
@@ -183,24 +196,41 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params(), *, id_col
         index.sizes[r.list] = r["count"]
     routing = spark.sparkContext.broadcast(index)
 
-    def route(batches):
+    def probe(q):
+        """Each query's lists, nearest first, and how many of them it probes."""
         ix = routing.value
+        near = np.argsort(-(q @ ix.centroids.T), axis=1, kind="stable")
+        enough = np.cumsum(ix.sizes[near], axis=1) > 50 * p.k
+        stop = np.where(enough.any(1), enough.argmax(1) + 1, lists)
+        return near, np.maximum(stop, ix.probes)
+
+    def start(b):
+        q = _matrix(b.column("v"), d)
+        near, stop = probe(q)
+        probed = np.zeros(near.shape, bool)
+        np.put_along_axis(probed, near, np.arange(lists)[None, :] < stop[:, None], 1)
+        return near, stop, *floors(q, b.column("vec_id").to_numpy(), probed, routing.value, p.k)
+
+    def route(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            q = _matrix(b.column("v"), d)
-            floor = floors(q, b.column("vec_id").to_numpy(), ix.sample, ix.sample_ids, p.k)
-            near = np.argsort(-(q @ ix.centroids.T), axis=1, kind="stable")
-            enough = np.cumsum(ix.sizes[near], axis=1) > 50 * p.k
-            stop = np.where(enough.any(1), enough.argmax(1) + 1, lists)
+            near, stop, floor, *_ = start(b)
             for lo in range(0, b.num_rows, 256):
-                rows_, cols = np.nonzero(np.arange(lists)[None, :] < np.maximum(stop[lo : lo + 256], ix.probes)[:, None])
+                rows_, cols = np.nonzero(np.arange(lists)[None, :] < stop[lo : lo + 256, None])
                 rows_ += lo
                 yield pa.RecordBatch.from_arrays(
                     [b.column("vec_id").take(pa.array(rows_)), pa.array(near[rows_, cols].astype(np.int32)), b.column("v").take(pa.array(rows_)), pa.array(floor[rows_])], ["vec_id", "list", "v", "floor"]
                 )
 
-    asked = listed.where(is_query).select("vec_id", "v").mapInArrow(route, "vec_id long, list int, v array<float>, floor double")
+    def sampled(batches):
+        for b in batches:
+            if b.num_rows:
+                *_, j, i, score = start(b)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(j)), pa.array(i), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    queries = listed.where(is_query).select("vec_id", "v")
+    asked = queries.mapInArrow(route, "vec_id long, list int, v array<float>, floor double")
     counts = asked.groupBy("list").agg(F.count("*").alias("q"))
     index.queries = np.zeros(lists, np.int64)
     for r in counts.collect():
@@ -229,6 +259,7 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params(), *, id_col
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
 
     best = base.unionByName(ask).groupBy("list", "i", "j").applyInArrow(run, "query_id long, vec_id long, score double")
+    best = best.unionByName(queries.mapInArrow(sampled, "query_id long, vec_id long, score double"))
     once = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")

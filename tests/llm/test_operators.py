@@ -410,6 +410,22 @@ def test_search_recall_and_odd_rows(spark):
     assert vector_search.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_fills_every_query_when_lists_are_left_out(spark):
+    x = np.random.default_rng(3).standard_normal((2000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in vector_search.search(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hit = 0
+    assert sorted(got) == list(range(0, 2000, 20))
+    for q, mine in got.items():
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        assert sorted(m[0] for m in mine) == list(range(1, 21)) and all(abs(m[2] - s[m[1]]) < 1e-9 for m in mine)
+        hit += len({m[1] for m in mine} & set(np.argsort(-s)[:20].tolist()))
+    assert hit / 2000 >= 0.9
+
+
 # Pages
 
 
