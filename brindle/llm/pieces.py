@@ -4,14 +4,17 @@ A text is encoded as the model does it: spaces become the meta symbol, one is pu
 the symbols of each stretch are merged by agenda. The agenda holds adjacent pairs that form a
 piece, best score first, then leftmost; a popped pair whose parts have changed since is stale and
 ignored. With dropout p, a popped pair is skipped if its keyed hash is below p: a hash of the
-seed, the variant, the pair's piece id and its place in the stretch. The skipped pair stays
-split unless another merge makes it a new pair. With p = 0 the result is the model's own encoding.
-
-Merges never cross from other text into a meta symbol, so stretches are independent, and a
-stretch's result depends only on (seed, variant, stretch): tasks keep a bounded table of results,
-and any recomputed task gives the same ids. The variant of a stretch is a hash of the seed, the
-text's key and the stretch's number modulo ``variants``, so equal words get different
-segmentations within and across texts, and the same run gives the same ids.
+seed, the text's key, the stretch's number in the text, the pair's piece and its place in the
+stretch. The skipped pair stays split unless another merge makes it a new pair. With p = 0 the
+result is the model's own encoding.
+
+Merges never cross from other text into a meta symbol, so stretches are independent. Every
+occurrence of a stretch draws its own skips, within and across texts, so the number of its
+segmentations has no bound but dropout's own; any recomputed task gives the same ids. A task keeps a bounded table of
+states: a stretch and the skips so far, with the pairs that are popped from there on if nothing
+more is skipped, and the ids that this gives. An occurrence starts at its stretch's state, hashes its
+pairs, and at the first skip goes on to the next state, so no result is ever taken from
+another occurrence's draws; the table only saves doing the same merges again.
 
 Characters without a piece become the byte pieces of their UTF-8 form; so does a literal meta
 symbol in the text, which makes decoding exact for every text. Null texts give null ids and
@@ -22,8 +25,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ META = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _MASK = (1 << 64) - 1
 _NONE = 1 << 60
+_SHORT = 48
 _STRETCH = re.compile(f"{META}*[^{META}]*")
 
 
@@ -54,7 +58,6 @@ def _hash(*values: int) -> int:
 class Params:
     dropout: float = 0.1
     seed: int = 20240601
-    variants: int = 4
     cache: int = 800_000
 
 
@@ -73,10 +76,8 @@ class Codec:
     def __post_init__(self):
         places = {x: n for n, x in enumerate(sorted({-self.scores[k] for k in self.ids.values()}))}
         self._rank = {x: places[-self.scores[k]] for x, k in self.ids.items()}
-        self._limit = int(self.params.dropout * 2**64)
-        self._bases = [_hash(self.params.seed, v) for v in range(self.params.variants)]
-        self._skipped: list[dict[int, bool]] = [{} for _ in self._bases]
-        self._cache: list[dict[str, tuple[int, ...]]] = [{} for _ in self._bases]
+        self._limit = min(int(self.params.dropout * 2**64), _MASK)
+        self._clear()
         self._bytes = [bytes((self.byte_of[i],)) if i in self.byte_of else x.replace(META, " ").encode() for i, x in enumerate(self.pieces)]
 
     @staticmethod
@@ -100,22 +101,36 @@ class Codec:
             raise ValueError("the model has no byte pieces")
         return Codec(ids, [p.score for p in m.pieces], [p.piece for p in m.pieces], byte_of, byte_id, m.trainer_spec.unk_id, params)
 
-    def merge(self, s: str, variant: int) -> tuple[int, ...]:
-        """Ids of one stretch."""
-        return self._by_scan(s, variant) if len(s) <= 48 else self._by_agenda(s, variant)
-
-    def _skip(self, variant: int, rank: int, i: int) -> bool:
-        """The keyed hash of a merge, by its pair's rank and place; results of short places are kept."""
-        known = self._skipped[variant]
-        key = (rank << 40) | i
-        got = known.get(key)
-        if got is None:
-            x = ((self._bases[variant] ^ (rank * 0x9E3779B1 + i * 0x85EBCA77)) * 0xBF58476D1CE4E5B9) & _MASK
-            x = ((x ^ (x >> 32)) * 0x94D049BB133111EB) & _MASK
-            got = x < self._limit
-            if len(known) < 500_000:
-                known[key] = got
-        return got
+    def _clear(self) -> None:
+        """Forgets all states."""
+        self._known: dict[str | None, int] = {}
+        self._next: dict[int, int] = {}
+        self._source: list[tuple[str | None, tuple[int, ...]]] = []
+        self._events, self._out = array("Q"), array("i")
+        self._event_at, self._out_at = array("q", [0]), array("q", [0])
+
+    def _state(self, part: str | None, skips: tuple[int, ...], events=(), ids: tuple[int, ...] = ()) -> int:
+        self._source.append((part, skips))
+        self._events.extend(events)
+        self._out.extend(ids)
+        self._event_at.append(len(self._events))
+        self._out_at.append(len(self._out))
+        return len(self._source) - 1
+
+    def merge(self, s: str, key: int) -> tuple[int, ...]:
+        """Ids of one occurrence of a stretch."""
+        return self._by_scan(s, key) if len(s) <= _SHORT else self._by_agenda(s, key)
+
+    def _skip(self, key: int, event: int) -> bool:
+        """The keyed hash of a merge: of the occurrence's key, the pair's rank and its place."""
+        x = ((key ^ (event * 0x9E3779B97F4A7C15)) * 0xBF58476D1CE4E5B9) & _MASK
+        x = ((x ^ (x >> 32)) * 0x94D049BB133111EB) & _MASK
+        return (x ^ (x >> 29)) < self._limit
+
+    def _skips(self, keys: np.ndarray, events: np.ndarray) -> np.ndarray:
+        x = (keys ^ (events * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(29))) < np.uint64(self._limit)
 
     def _ids(self, symbols) -> tuple[int, ...]:
         out: list[int] = []
@@ -127,32 +142,44 @@ class Codec:
                 out.extend(self.byte_id[b] for b in x.encode())
         return tuple(out)
 
-    def _by_scan(self, s: str, variant: int) -> tuple[int, ...]:
-        """The agenda of a short stretch as a list: the best score is searched, the leftmost of equals taken."""
-        rank, limit, none = self._rank.get, self._limit, _NONE
-        known = self._skipped[variant].get
-        sym, at = list(s), list(range(len(s)))
+    def _trace(self, s: str, skips: tuple[int, ...]) -> tuple[list[int], tuple[int, ...]]:
+        """The popped pairs of a short stretch (rank and place) if those numbered ``skips`` are skipped, and the ids.
+
+        The agenda is a list: the best score is searched, the leftmost of equals taken.
+        """
+        rank, none = self._rank.get, _NONE
+        sym, at, events = list(s), list(range(len(s))), []
         agenda = [rank(a + b, none) for a, b in zip(sym, sym[1:], strict=False)]
         while agenda:
             best = min(agenda)
             if best == none:
                 break
             i = agenda.index(best)
-            if limit:
-                skip = known((best << 40) | at[i])
-                if skip or skip is None and self._skip(variant, best, at[i]):
-                    agenda[i] = none
-                    continue
-                del at[i + 1]
+            events.append((best << 32) | at[i])
+            if len(events) - 1 in skips:
+                agenda[i] = none
+                continue
+            del at[i + 1]
             sym[i] = both = sym[i] + sym[i + 1]
             del sym[i + 1], agenda[i]
             if i:
                 agenda[i - 1] = rank(sym[i - 1] + both, none)
             if i < len(agenda):
                 agenda[i] = rank(both + sym[i + 1], none)
-        return self._ids(sym)
-
-    def _by_agenda(self, s: str, variant: int) -> tuple[int, ...]:
+        return events, self._ids(sym)
+
+    def _by_scan(self, s: str, key: int) -> tuple[int, ...]:
+        """One occurrence of a short stretch, without the table of states."""
+        skips: tuple[int, ...] = ()
+        while True:
+            events, ids = self._trace(s, skips)
+            after = skips[-1] + 1 if skips else 0
+            skip = next((n for n in range(after, len(events)) if self._skip(key, events[n])), None) if self._limit else None
+            if skip is None:
+                return ids
+            skips += (skip,)
+
+    def _by_agenda(self, s: str, key: int) -> tuple[int, ...]:
         """The same with a heap of (score, place), for long stretches."""
         ranks = self._rank
         n = len(s)
@@ -177,7 +204,7 @@ class Codec:
             j = nxt[i]
             if j >= n or len(sym[i]) + len(sym[j]) != len(both) or sym[i] + sym[j] != both:
                 continue
-            if self._limit and self._skip(variant, k, i):
+            if self._limit and self._skip(key, (k << 32) | i):
                 continue
             sym[i], sym[j] = both, None
             nxt[i] = nxt[j]
@@ -191,34 +218,78 @@ class Codec:
     def encode(self, text: str | None, key: int = 0) -> list[int] | None:
         if text is None:
             return None
-        if not text:
-            return []
-        x = _hash(self.params.seed, key)
-        parts = text.split(META)
-        out = self._encode(META + parts[0].replace(" ", META), x)
-        for n, part in enumerate(parts[1:], 1):
-            out.extend(self.byte_id[b] for b in META.encode())
-            out.extend(self._encode(part.replace(" ", META), x + n))
+        return self.encode_all([text], [key])[0].tolist()
+
+    def _stretches(self, text: str) -> list[str | None]:
+        """The stretches of a text, None for a literal meta symbol."""
+        out: list[str | None] = []
+        for n, part in enumerate(text.split(META)):
+            if n:
+                out.append(None)
+            out += _STRETCH.findall((part if n else META + part).replace(" ", META))
+            if not out[-1] and out[-1] is not None:
+                out.pop()
         return out
 
-    def _encode(self, s: str, x: int) -> list[int]:
-        parts = _STRETCH.findall(s)
-        if parts and not parts[-1]:
-            parts.pop()
-        v = self.params.variants if self.params.dropout > 0 else 1
-        draw = textscan.mix(np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(x & _MASK))
-        out: list[int] = []
-        caches, bound = self._cache, self.params.cache // v
-        for part, variant in zip(parts, (draw % np.uint64(v)).tolist(), strict=True):
-            got = caches[variant].get(part)
-            if got is None:
-                got = self.merge(part, variant)
-                if len(part) <= 64:
-                    if len(caches[variant]) >= bound:
-                        caches[variant].clear()
-                    caches[variant][part] = got
-            out += got
-        return out
+    def encode_all(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the number of ids of each (0 for null and empty texts)."""
+        if len(self._source) > self.params.cache or len(self._events) + len(self._out) > 16 * self.params.cache:
+            self._clear()
+        parts: list[str | None] = []
+        ends, seeds = [0], []
+        for text, key in zip(texts, keys, strict=True):
+            if text:
+                parts += self._stretches(text)
+            ends.append(len(parts))
+            seeds.append(_hash(self.params.seed, key))
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        ends = np.array(ends)
+        size = np.diff(ends)
+        number = np.arange(len(parts)) - np.repeat(ends[:-1], size)
+        draw = textscan.mix(np.repeat(np.array(seeds, np.uint64), size) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        known = self._known
+        state = np.empty(len(parts), np.int64)
+        for n, part in enumerate(parts):
+            k = known.get(part)
+            if k is None:
+                if part is None:
+                    k = known[part] = self._state(part, (), (), tuple(self.byte_id[b] for b in META.encode()))
+                elif len(part) <= _SHORT:
+                    k = known[part] = self._state(part, (), *self._trace(part, ()))
+                else:
+                    k = self._state(part, (), (), self._by_agenda(part, int(draw[n])))
+            state[n] = k
+        live, after = np.arange(len(parts) if self._limit else 0), np.zeros(len(parts) if self._limit else 0, np.int64)
+        while len(live):
+            at = np.frombuffer(self._event_at, np.int64)
+            first = at[state[live]] + after
+            n = at[state[live] + 1] - first
+            del at
+            row = np.repeat(np.arange(len(live)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            if not len(row):
+                break
+            hit = np.flatnonzero(self._skips(draw[live][row], np.frombuffer(self._events, np.uint64)[first[row] + place]))
+            rows, least = np.unique(row[hit], return_index=True)
+            skip = place[hit[least]] + after[rows]
+            live, after = live[rows], skip + 1
+            moves, which = np.unique(state[live] * 256 + skip, return_inverse=True)
+            state[live] = np.array([self._follow(m) for m in moves.tolist()], np.int64)[which]
+        at = np.frombuffer(self._out_at, np.int64)
+        n = at[state + 1] - at[state]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(self._out, np.int32)[np.repeat(at[state] - upto[:-1], n) + np.arange(upto[-1])] if upto[-1] else np.zeros(0, np.int32)
+        return ids, np.diff(upto[ends])
+
+    def _follow(self, move: int) -> int:
+        """The state after a skip: ``move`` is 256 times the state plus the number of the skipped pair."""
+        got = self._next.get(move)
+        if got is None:
+            part, skips = self._source[move >> 8]
+            skips += (move & 255,)
+            got = self._next[move] = self._state(part, skips, *self._trace(part, skips))
+        return got
 
     def decode(self, ids: list[int] | None) -> str | None:
         """The exact text that was encoded, whatever the dropout was."""
@@ -264,17 +335,17 @@ def encode(docs: DataFrame, *, model: str = DEFAULT_MODEL, params: Params = Para
             while at < b.num_rows:
                 # a slice of rows at a time, so that ids of long texts don't pile up
                 end, size = at, 0
-                while end < b.num_rows and size < 2_000_000:
+                while end < b.num_rows and size < 1_000_000:
                     size += len(col[end].as_buffer() or b"") if col[end].is_valid else 0
                     end += 1
                 part = b.slice(at, end - at)
-                ids = [c.encode(t.as_py(), k) for t, k in zip(part.column(text_col), keys[at:end], strict=True)]
-                flat = np.fromiter(chain.from_iterable(x or () for x in ids), np.int32)
-                ends = np.cumsum([0, *[len(x) if x else 0 for x in ids]]).astype(np.int32)
-                arr = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([x is None for x in ids], pa.bool_()))
+                texts = part.column(text_col).to_pylist()
+                flat, sizes = c.encode_all(texts, keys[at:end])
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                arr = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pa.array([t is None for t in texts], pa.bool_()))
                 cols = [part.column(n) for n in names] + [arr]
                 if decoded_col:
-                    cols.append(pa.array([c.decode(x) for x in ids], pa.string()))
+                    cols.append(pa.array([None if t is None else c.decode(flat[i:j].tolist()) for t, i, j in zip(texts, ends, ends[1:], strict=False)], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, [*names, *new])
                 at = end
 

@@ -260,6 +260,24 @@ def test_dropout_varies_and_decodes(model):
         assert all(c._by_scan(s, v) == c._by_agenda(s, v) for v in range(4))
 
 
+def test_every_occurrence_draws_its_own_segmentation(model):
+    c = pieces.Codec.load(model)
+    text = " ".join(["tokenization"] * 3000)
+    parts = pieces._STRETCH.findall("▁" + text.replace(" ", "▁"))[:-1]
+    x = pieces._hash(c.params.seed, 9)
+    keys = pieces.textscan.mix(np.uint64(x) + np.arange(3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
+    want = [c.merge(s, k) for s, k in zip(parts, keys, strict=True)]
+    assert len(set(want)) > 50
+    assert c.encode(text, 9) == [i for w in want for i in w]
+    events, _ = c._trace(parts[0], ())
+    drawn = c._skips(np.repeat(np.array(keys, np.uint64), len(events)), np.tile(np.array(events, np.uint64), len(keys))).reshape(-1, len(events))
+    assert drawn.mean(0) == pytest.approx(0.1, abs=0.03) and (~drawn).all(1).mean() == pytest.approx(0.9 ** len(events), abs=0.04)
+    assert drawn.tolist()[:50] == [[c._skip(k, e) for e in events] for k in keys[:50]]
+    assert c.encode(text, 9) != c.encode(text, 10)
+    small = pieces.Codec.load(model, pieces.Params(cache=5))
+    assert all(small.encode(text, k) == c.encode(text, k) for k in (9, 10, 9))
+
+
 def test_pieces_frame(spark):
     out = pieces.encode(docs(spark, ODD), decoded_col="back").collect()
     assert [r.back for r in sorted(out, key=lambda r: r.doc_id)] == ODD
