@@ -1,7 +1,8 @@
 """Secret scans: candidate strings, and a random forest that removes the false positives.
 
 Candidates are (1) the value assigned to a name such as ``token`` or ``password``, (2) runs of at
-least 15 key characters that hold a digit, (3) private-key blocks. The forest judges each by its
+least 15 key characters that hold a digit, (3) private-key blocks of any length, from BEGIN to the
+next END if no other BEGIN stands between, header lines and all. The forest judges each by its
 length, character classes and transitions, dictionary coverage, path-likeness and neighbouring
 words. It is fitted with numpy on the driver from at most ``max_labelled`` labelled findings; its trees are
 then constant arrays walked by Column expressions, so scanning, scoring and redaction are built-in expressions only, row by
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 
 _NAME = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|auth[_-]?key|access[_-]?key|credential)"
 _ASSIGN = rf"{_NAME}[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?"
+# Possessive, so that a body of any length is read once and without recursion.
+_BODY = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+"
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,9000}-----END [A-Z ]{0,40}PRIVATE KEY-----"
-    rf"|{_ASSIGN}[^\s\"'<>,;:=][^\s\"'<>,;]{{7,}}"
+    rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----{_BODY}-----END [A-Z ]{{0,40}}PRIVATE KEY-----"
+    rf"|{_ASSIGN}(?!-----BEGIN )[^\s\"'<>,;:=][^\s\"'<>,;]{{7,}}"
     r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=.-]{0,400}[0-9])[A-Za-z0-9][A-Za-z0-9+/_=.-]{14,}"
 )
 # Every candidate has a digit, BEGIN or a name; texts without these are not searched.
@@ -80,6 +83,8 @@ def labelled_findings(spark: SparkSession, n: int = 3500) -> DataFrame:
     b62 = F.regexp_replace(b64, "[+/]", "x")
     digits = F.regexp_replace(h64, "[a-f]", "")
     word = F.translate(F.substring(h64, 1, 20), "0123456789", "etaoinshrl")
+    line = F.substring(F.concat(b64, b62), 1, 64)
+    pem = lambda kind, body: F.concat(F.lit(f"-----BEGIN {kind}-----\n"), body, F.lit(f"-----END {kind}-----"))
     quote = lambda s: F.concat(F.lit(s), F.when(i % 2 == 0, F.lit('"')).otherwise(F.lit("")))
     named = F.element_at(F.array(*[F.lit(x) for x in ("token = ", "secret: ", "api_key=", "password = ", "auth_key = ", "access_key: ", "TOKEN = ")]), (i % 7 + 1).cast("int"))
     named = F.concat(F.lit("the of en "), named, F.when(i % 3 != 0, F.lit('"')).otherwise(F.lit("")))
@@ -92,6 +97,8 @@ def labelled_findings(spark: SparkSession, n: int = 3500) -> DataFrame:
         (plain, F.concat(F.lit("sk-"), F.substring(b62, 1, 48)), 1), (plain, F.concat(F.lit("xoxb-"), F.substring(digits, 1, 12), F.lit("-"), F.substring(b62, 1, 24)), 1),
         (plain, F.concat(F.lit("AIza"), F.substring(b62, 1, 35)), 1), (plain, F.concat(F.lit("eyJ"), b62, F.lit("."), F.substring(b62, 4, 40)), 1),
         (plain, F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), b64, b64, F.lit("\n-----END RSA PRIVATE KEY-----")), 1),
+        (plain, pem("RSA PRIVATE KEY", F.repeat(F.concat(line, F.lit("\n")), 190)), 1), (plain, pem("PRIVATE KEY", F.repeat(F.concat(line, F.lit("\n")), 26)), 1),
+        (plain, pem("RSA PRIVATE KEY", F.concat(F.lit("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,"), F.upper(F.substring(h64, 1, 32)), F.lit("\n\n"), F.repeat(F.concat(line, F.lit("\n")), 25))), 1),
         (F.lit("see commit "), h(4), 0), (quote("sha1: "), h(4), 0), (quote("sha256="), h64, 0), (quote("md5 "), F.substring(h64, 1, 32), 0), (quote("etag: "), F.substring(h64, 1, 32), 0),
         (quote("uuid = "), F.concat_ws("-", *[F.substring(h64, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), 0),
         (plain, F.concat_ws("-", *[F.substring(h64, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), 0),
