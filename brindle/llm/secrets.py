@@ -53,6 +53,9 @@ def features(before: Column, cand: Column, after: Column) -> list[Column]:
     def has(col, pattern):
         return F.coalesce(col.rlike(pattern), F.lit(False)).cast("double")
 
+    # Long candidates by pieces, so that no array holds all their characters.
+    by_piece = F.aggregate(F.regexp_extract_all(cand, F.lit("(?s).{1,200}"), F.lit(0)), F.array().cast("array<string>"), lambda s, x: F.array_union(s, F.split(x, "")))
+    distinct = F.when(F.length(cand) <= 200, F.array_distinct(F.split(cand, ""))).otherwise(by_piece)
     words = "|".join(sorted(DICTIONARY, key=len, reverse=True))
     return [
         n,
@@ -70,7 +73,7 @@ def features(before: Column, cand: Column, after: Column) -> list[Column]:
         has(cand, ISSUER),
         has(low, r"(.)\1{5,}|your|changeme|example|placeholder|xxxx|1234567|abcdef"),
         has(cand, r"^[0-9.+/_=-]+$"),
-        F.size(F.array_distinct(F.split(F.substring(cand, 1, 200), ""))).cast("double"),
+        F.size(distinct).cast("double"),
     ]
 
 

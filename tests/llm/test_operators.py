@@ -387,6 +387,13 @@ def test_long_and_encrypted_keys_are_found_whole(spark):
     assert [out[i] for i in range(6)] == ["here it is: [SECRET] and no more"] * 6 and out[7] == 'secret: "[SECRET]"'
 
 
+def test_distinct_characters_of_whole_candidates(spark):
+    texts = ["a" * 200 + "bcd", "ab" * 100, "a\nb" * 50 + "é" * 300 + "日x" * 200, "Xk29fjQ0zLmw"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    x = secrets.features(F.lit(""), F.col("t"), F.lit(""))[secrets.FEATURES.index("distinct")]
+    assert {r.t: r.x for r in d.select("t", x.alias("x")).collect()} == {t: len(set(t)) for t in texts}
+
+
 # Classifiers
 
 
