@@ -33,8 +33,10 @@ class FeatureSpec:
     """bits: log2 of the hashed word space; prefixes: lengths in bytes of word starts; shapes: use statistics.
 
     A hashed feature gets a weight only if ``min_support`` and a ``min_share`` of the sampled positives have it and its
-    share among them is ``min_ratio`` times its share among the unlabelled sample (never more than
-    1 / prior for a feature of positives alone); otherwise a linear scorer would learn single texts.
+    share among them is ``min_ratio`` times its share among negatives; otherwise a linear scorer would
+    learn single texts. As the unlabelled are positives by the prior and negatives else, that is
+    ``min_ratio`` / (1 + prior * (``min_ratio`` - 1)) times its share among the unlabelled sample, below
+    the 1 / prior that a feature of positives alone has, whatever the prior.
     ``evidence_only`` keeps weights from going below zero: features argue for label 1 or not at all.
     """
 
@@ -145,7 +147,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return model
     if spec.min_support:
         in_p, in_u = (np.bincount(np.concatenate(rows), minlength=spec.width) for rows in (positive, unlabelled))
-        keep = (in_p >= max(spec.min_support, spec.min_share * len(positive))) & (in_p * len(unlabelled) >= spec.min_ratio * (in_u + 1) * len(positive))
+        ratio = spec.min_ratio / (1 + prior * (spec.min_ratio - 1)) if spec.min_ratio > 1 else spec.min_ratio
+        keep = (in_p >= max(spec.min_support, spec.min_share * len(positive))) & (in_p * len(unlabelled) >= ratio * (in_u + 1) * len(positive))
         keep[1 << spec.bits :] = spec.shapes
         used = np.flatnonzero(keep)
         new = np.cumsum(keep) - 1

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import positive_unlabelled as pu
 
-SPEC = pu.FeatureSpec(bits=20, prefixes=(4, 5), shapes=False, min_support=3, min_share=0.02, min_ratio=4.0, evidence_only=True)
+SPEC = pu.FeatureSpec(bits=20, prefixes=(4, 5), shapes=False, min_support=3, min_ratio=4.0, evidence_only=True)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, spec: pu.FeatureSpec = SPEC, **options) -> pu.Model:

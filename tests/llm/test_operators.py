@@ -432,6 +432,21 @@ def test_nonnegative_risk_separates():
     assert positive_unlabelled.fit([], unl, 0.2, spec).trained is False
 
 
+@pytest.mark.parametrize("positives, kinds", [(600, 1), (600, 55)])
+def test_toxicity_of_many_copies_and_of_rare_terms(spark, positives, kinds):
+    rng = random.Random(9)
+    texts = [rand_text(rng, 20, 3000) for _ in range(1800)]
+    toxic = set(rng.sample(range(1800), positives))
+    copy = rand_text(rng, 12, 3000) + " vile0 words"
+    for n, i in enumerate(sorted(toxic)):
+        texts[i] = copy if kinds == 1 else texts[i] + f" vile{n % kinds}x"
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(1800) if i % 10 or kinds > 1], "doc_id bigint, toxic int")
+    out = toxicity.score_toxicity(docs(spark, texts), labels).where("held_out").collect()
+    hit = [r.predicted for r in out if r.doc_id in toxic]
+    false = [r.predicted for r in out if r.doc_id not in toxic]
+    assert sum(hit) / len(hit) >= 0.9 and sum(false) / len(false) <= 0.05
+
+
 # Vectors
 
 
