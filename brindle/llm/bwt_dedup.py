@@ -3,28 +3,29 @@
 Every byte is removed that a ``length``-byte string covers which also starts elsewhere in the
 corpus. Texts are UTF-8 bytes; strings never cross texts.
 
-1. Anchors. Each window of ``length`` bytes selects the ``gram``-byte substring with the smallest
-   hash (leftmost of equals), so equal windows select equal grams at equal offsets. A window is
-   repeated exactly if it occurs at the same offset around two places of its gram. The region of
-   an anchor is all that its windows can cover. Only hashes of anchors and regions are shuffled.
-2. A region that occurs twice as a whole is repeated as a whole. What is left are regions that
-   are unique while their gram is not; of each distinct region of such a gram one copy is sent on.
-3. The regions of a gram meet in one task (for many regions: one for each of some phases, see
-   below). A region is a sequence of symbols of ``symbol`` bytes in every phase; symbols are
-   hashes that hold gram and offset too. Each shard of regions gets its Burrows-Wheeler transform
-   (the symbol before each sorted suffix). Transforms are merged by interleave refinement: each
-   round passes over the current interleave and deals the suffixes out, in order, to the
-   buckets of the preceding symbol; after t rounds suffixes are in order of their first t
-   symbols, and where a bucket or an older boundary begins, the common prefix ends. Rounds stop
-   at length / symbol; intervals of two or more suffixes without a boundary are repeats.
-
-Phases (offset modulo ``symbol``) are independent, so a gram with m distinct regions is dealt out
-to m / ``regions`` tasks, ``symbol`` at most; grams with more regions than fit so are counted by
-window hash instead, which needs no meeting in one task.
+1. Regions. Each window of ``length`` bytes selects the ``gram``-byte substring with the smallest
+   hash (leftmost of equals), so equal windows select equal grams at equal offsets. The windows of
+   one gram's place are consecutive; their bytes are a region, aligned at the gram. Grams that occur
+   once are dropped: their hashes are counted in one aggregation and the repeated ones marked
+   in a bitmap of fixed size.
+2. Shards. A task orders the suffixes of its regions (those of texts of about ``shard_bytes`` at a time), aligned
+   column by aligned column: from the last column to the first, each round passes over the order and deals
+   the rows out to the buckets of their byte in that column (the Burrows-Wheeler step, by one
+   counting pass). Rows in the same bucket keep their order, and the common prefix of neighbours
+   grows; where a bucket begins, it is cut. No suffix is ever compared or sorted.
+   Regions equal from end to end stand next to each other at their first column; one of them goes on, and all of
+   them are repeats.
+3. Merge. The shards' regions of a gram meet in one task, as an interleave in shard order, which is refined
+   by the same rounds. At a column where windows begin, an interval of two or more rows with a common prefix
+   of ``length`` bytes is a repeat.
+
+A task holds about ``task_rows`` regions of whole grams. A gram with more than ``most_rows`` different
+regions (or a millionth of all, if that is more) has its windows counted by 64-bit hash instead, which needs no meeting
+in one task; this is the exact way for grams that no task could hold.
 
 Nulls count as empty texts. Null ids and repeated rows are texts like others, each with a result
-row; a repeated row of at least ``length`` bytes is therefore removed whole. Strings are compared
-by 64-bit hash.
+row; a repeated row of at least ``length`` bytes is therefore removed whole. Empty tables give an
+empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -47,10 +48,9 @@ _U = np.uint64
 class Params:
     length: int = 400
     gram: int = 64
-    symbol: int = 200
-    regions: int = 400
-    shard_rows: int = 300_000
-    task_regions: int = 6000
+    shard_bytes: int = 40_000_000
+    task_rows: int = 30_000
+    most_rows: int = 250_000
     bits: int = 1 << 26
 
 
@@ -66,224 +66,215 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchors(raw: np.ndarray, at: np.ndarray, p: Params):
-    """Document number, place, gram hash, region hash, and region reach left and right, of a block's anchors."""
-    w = p.length - p.gram + 1
-    n = len(raw)
+def regions(raw: np.ndarray, at: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
+    """Document number, place, gram hash, and first and last column (exclusive) of the regions of a block of texts.
+
+    Columns count from the gram's place; a region holds the windows that selected it and nothing else.
+    """
     empty = np.zeros(0, np.int64)
-    if n < p.length:
-        return empty, empty, empty.view(_U), empty.view(_U), empty, empty
+    if len(raw) < p.length:
+        return empty, empty, empty.view(_U), empty, empty
     s = textscan.prefix_sums(raw)
-    i = np.arange(n - p.gram + 1)
+    i = np.arange(len(raw) - p.gram + 1)
     h = textscan.span_hashes(s, i, i + p.gram)
-    value = (h & ~_U(0xFFFFFFFF)) | i.astype(_U)
-    low = window_minima(value, w)
-    doc = np.searchsorted(at, np.arange(len(low)), "right") - 1
-    inside = np.arange(len(low)) + p.length <= at[doc + 1]
-    pos = np.unique((low[inside] & _U(0xFFFFFFFF)).astype(np.int64))
-    doc = np.searchsorted(at, pos, "right") - 1
-    left = np.minimum(pos - at[doc], p.length - p.gram)
-    right = np.minimum(at[doc + 1] - pos, p.length)
-    region = textscan.span_hashes(s, pos - left, pos + right)
-    region = textscan.mix(region ^ (left.astype(_U) * _U(0x9E3779B97F4A7C15)))
-    return doc, pos - at[doc], h[pos], region, left, right
-
-
-def refine(perm: np.ndarray, before: np.ndarray, symbol: np.ndarray, ends: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of suffix rows by their first ``rounds`` symbols, from any interleave, and each place's common prefix with the one before.
-
-    ``before[r]`` is the row whose symbol precedes suffix r (-1: none), ``symbol`` each row's first
-    symbol, ``ends`` the rows without one, each its own bucket. Common prefixes are in symbols.
+    low = window_minima((h & ~_U(0xFFFFFFFF)) | i.astype(_U), p.length - p.gram + 1)
+    starts = np.arange(len(low))
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(low)]
+    inside = np.flatnonzero(starts + p.length <= at[doc + 1])
+    if not len(inside):
+        return empty, empty, empty.view(_U), empty, empty
+    place, doc = (low[inside] & _U(0xFFFFFFFF)).astype(np.int64), doc[inside]
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
+    last = np.concatenate([new[1:], [len(inside)]]) - 1
+    pos, doc = place[new], doc[new]
+    return doc, pos - at[doc], h[pos], inside[new] - pos, inside[last] + p.length - pos
+
+
+@dataclass
+class Repeats:
+    """Of each row: its first and last repeated window (columns; none: first > last), and whether an equal row stands before or after it."""
+
+    first: np.ndarray
+    last: np.ndarray
+    copy: np.ndarray
+    twin: np.ndarray
+    rounds: int = 0
+
+
+def refine(raw: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> Repeats:
+    """Repeated windows of the rows ``raw[at + lo : at + hi]``, aligned at ``at``, by dealing the rows out column by column.
+
+    The order of the rows at column c is that of their suffixes from c on. ``end[k]`` is the column at which the
+    suffixes of the k-th row and of the one before it part. A row enters in front of all at its last column,
+    and leaves after its first, or once no other row shares enough with it.
     """
-    follow = np.full(len(before), -1, np.int64)
-    has = np.flatnonzero(before >= 0)
-    follow[before[has]] = has
-    group = np.zeros(len(before), np.int64)
-    lcp = np.full(len(perm), rounds)
-    for t in range(rounds):
-        rows = before[perm]
-        rows = rows[rows >= 0]
-        rows = rows[np.argsort(symbol[rows], kind="stable")]
-        after = group[follow[rows]]
-        perm = np.concatenate([ends, rows])
-        edge = np.ones(len(perm), bool)
-        k = len(ends)
-        edge[k + 1 :] = (symbol[rows[1:]] != symbol[rows[:-1]]) | (after[1:] != after[:-1])
-        group[perm] = np.cumsum(edge)
-        # places of older edges stay, and so do their depths
-        old, lcp = lcp, np.full(len(perm), rounds)
-        lcp[edge] = np.minimum(old[edge], t)
-    return perm, lcp
-
-
-def repeated_windows(raw: np.ndarray, at: np.ndarray, gram: np.ndarray, left: np.ndarray, phase: np.ndarray, phases: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """(region number, start in the region) of the windows that two regions share at the same offset.
-
-    A region is read in the phases that are ``phase`` modulo ``phases``.
-    """
-    reg = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    i = np.arange(len(raw)) - at[reg]
-    offset = left[reg] - i
-    mine = (offset % p.symbol) % phases[reg] == phase[reg]
-    place = np.flatnonzero(mine)
-    reg, i, offset = reg[place], i[place], offset[place]
-    row_of = np.full(len(raw) + 1, -1, np.int64)
-    row_of[place] = np.arange(len(place))
-    back = place - p.symbol
-    before = np.where(i >= p.symbol, row_of[np.maximum(back, 0)], -1)
-    s = textscan.prefix_sums(raw)
-    full = np.flatnonzero(place + p.symbol <= at[reg + 1])
-    tag = textscan.mix(gram[reg[full]] + offset[full].view(_U) * _U(0xD1342543DE82EF95))
-    symbol = np.zeros(len(place), _U)
-    symbol[full] = textscan.mix(textscan.span_hashes(s, place[full], place[full] + p.symbol) ^ tag)
-    # a chain whose last symbol ends with its region gets one more row, so that every chain ends in a row without a symbol
-    n = len(place)
-    exact = np.flatnonzero(place + p.symbol == at[reg + 1])
-    open_ = np.ones(n, bool)
-    open_[full] = False
-    ends = np.concatenate([np.flatnonzero(open_), np.arange(n, n + len(exact))])
-    symbol = np.concatenate([symbol, np.zeros(len(exact), _U)])
-    before = np.concatenate([before, exact])
-    rounds = p.length // p.symbol
-    owner = np.concatenate([reg, reg[exact]])
-    # the shards' own transforms: suffixes sorted to the depth needed, with the symbol before each
-    order = []
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(at) - 1))])
-    shard = np.minimum(cuts[owner] // p.shard_rows, 1 << 30)
-    is_end = np.zeros(len(symbol), bool)
-    is_end[ends] = True
-    for k in np.unique(shard):
-        rows = np.flatnonzero(shard == k)
-        own_before = np.where(shard == k, before, -1)
-        sorted_rows, lcp = refine(rows, own_before, symbol, rows[is_end[rows]], rounds)
-        order.append(sorted_rows)
-    if len(order) > 1:
-        sorted_rows, lcp = refine(np.concatenate(order), before, symbol, ends, rounds)
-    elif not order:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    same = lcp >= rounds
-    same[0] = False
-    hit = same.copy()
-    hit[:-1] |= same[1:]
-    rows = sorted_rows[hit]
-    rows = rows[rows < n]
-    ok = i[rows] <= left[reg[rows]]
-    return reg[rows[ok]], i[rows[ok]]
-
-
-def _cover(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by windows at sorted distinct starts."""
-    cut = np.flatnonzero(np.diff(starts) > length) + 1
-    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(starts)]]) - 1
-    return [(int(a), int(b) + length) for a, b in zip(starts[first], starts[last], strict=True)]
+    n = len(at)
+    out = Repeats(np.ones(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool), np.zeros(n, bool))
+    if not n:
+        return out
+    out.first[:] = 1 << 30
+    out.last[:] = -(1 << 30)
+    entry = np.argsort(-hi, kind="stable").astype(np.int32)
+    upto = np.searchsorted(-hi[entry], -np.arange(int(hi.max()) + 1), "right")  # rows that end at a column or after it
+    order, end, came = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+    for c in range(int(hi.max()) - 1, int(lo.min()) - 1, -1):
+        more = int(upto[c + 1]) if c >= 0 else n
+        if more > came:
+            order = np.concatenate([entry[came:more], order])
+            end = np.concatenate([np.full(more - came, c + 1, np.int32), end])
+            if came < len(order) and len(order) > more - came:
+                end[more - came] = c + 1
+            came = more
+        if not len(order):
+            continue
+        out.rounds += 1
+        byte = raw[at[order] + c]
+        turn = np.argsort(byte, kind="stable")  # a counting pass over one byte a row
+        byte = byte[turn]
+        cut = byte[1:] != byte[:-1]
+        jump = np.flatnonzero((turn[1:] != turn[:-1] + 1) & ~cut)
+        dealt = end[turn]
+        if len(jump):
+            span = np.empty(2 * len(jump), np.int64)
+            span[::2], span[1::2] = turn[jump] + 1, turn[jump + 1] + 1
+            dealt[jump + 1] = np.minimum.reduceat(np.append(end, np.int32(0)), span)[::2]
+        dealt[1:][cut] = c
+        dealt[0] = c
+        order, end = order[turn], dealt
+        if c > 0:
+            continue
+        best = np.maximum(end, np.append(end[1:], np.int32(c)))
+        found = order[best >= c + length]
+        out.first[found] = c
+        out.last[found] = np.maximum(out.last[found], c)
+        first = lo[order]
+        leaves = first == c
+        if leaves.any():
+            k = np.flatnonzero(leaves[1:] & leaves[:-1] & (end[1:] == hi[order[1:]]) & (hi[order[1:]] == hi[order[:-1]])) + 1
+            out.copy[order[k]] = True
+            out.twin[order[k]] = out.twin[order[k - 1]] = True
+        stay = np.flatnonzero(~leaves & (best >= first + length))
+        if len(stay) < len(order):
+            if len(stay):
+                end = np.minimum.reduceat(end[: stay[-1] + 1], np.concatenate([[0], stay[:-1] + 1]))
+            else:
+                end = end[:0]
+            order = order[stay]
+    return out
 
 
 def _batch(names, types, cols):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
-def repeated_spans(docs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
-    """uid, start, end of stretches to remove; stretches of one uid may overlap. ``docs`` has uid and text."""
-    if p.length % p.symbol or p.gram >= p.length:
-        raise ValueError("length must be a multiple of symbol and longer than gram")
+def _shards(docs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """One row for each different region of a repeated gram in a shard, and the spans (bytes null, lo their length) of regions that a shard holds twice."""
 
-    def find(batches):
+    def grams(batches):
         for b in batches:
-            uid = b.column("uid").to_numpy()
-            for i, _, raw, at in textscan.blocks(b.column("text"), 300_000):
-                doc, pos, gram, region, left, right = anchors(raw, at, p)
-                own = uid[i + doc]
-                row = textscan.mix(gram ^ textscan.mix(region ^ textscan.mix(own.view(_U) + pos.astype(_U))))
-                yield _batch(["gram", "region", "row", "uid", "pos", "left", "right"], types, [gram.view(np.int64), region.view(np.int64), row.view(np.int64), own, pos, left.astype(np.int32), right.astype(np.int32)])
-
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    found = scratch.write(docs.mapInArrow(find, "gram long, region long, row long, uid long, pos long, left int, right int"), "anchors")
-    regions = scratch.write(found.groupBy("gram", "region").agg(F.count("*").alias("c"), F.min("row").alias("row")), "regions")
-    grams = regions.groupBy("gram").agg(F.sum("c").alias("total"), F.count("*").alias("m")).where("total > 1")
-    whole = regions.where("c > 1").select("gram", "region")
-    copies = possibly_in(found, whole, "region").join(whole, ["gram", "region"])
-    copies = copies.select("uid", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
-
-    # single regions of repeated grams, and one copy of each other region of these grams
-    mixed = grams.where("m > 1").select("gram", "m")
-    wanted = scratch.write(regions.join(mixed, "gram").select("row", "m"), "wanted")
-    place = F.pmod("row", F.lit(p.bits)) + 1
-    marks = wanted.select(F.bitmap_bucket_number(place).alias("n"), F.bitmap_bit_position(place).alias("b")).groupBy("n").agg(F.bitmap_construct_agg("b").alias("bits"))
-    bitmap = np.zeros(p.bits // 8, np.uint8)
-    for r in marks.toLocalIterator():  # at most bits / 32768 rows of 4 KB, however many regions there are
-        bitmap[(r.n - 1) * 4096 : r.n * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+            for _, _, raw, at in textscan.blocks(b.column("text"), 300_000):
+                gram, n = np.unique(regions(raw, at, p)[2], return_counts=True)
+                yield _batch(["gram", "n"], [pa.int64(), pa.int64()], [gram.view(np.int64), n])
+
+    seen = docs.mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    place = F.pmod("gram", F.lit(p.bits)) + 1
+    marks = seen.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("b")).groupBy("k").agg(F.bitmap_construct_agg("b").alias("bits"))
+    bitmap = np.zeros(-(-p.bits // 32768) * 4096, np.uint8)
+    for r in marks.toLocalIterator():  # at most bits / 32768 rows of 4 KB, however many grams there are
+        bitmap[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def cut(batches):
+    def transform(batches):
         marked = shared.value
+        blocks: list[np.ndarray] = []  # the texts of blocks with marked grams; regions are places in them
+        held: list[tuple[np.ndarray, ...]] = []
+        size = rows = 0
+
+        def flush():
+            text = np.concatenate(blocks)
+            uid, begin, gram, lo, hi, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            blocks.clear()
+            held.clear()
+            _, which, count = np.unique(gram, return_inverse=True, return_counts=True)
+            some = np.flatnonzero(count[which] > 1)
+            got = refine(text, at[some], lo[some], hi[some], p.length)
+            sent = np.ones(len(gram), bool)
+            sent[some[got.copy]] = False
+            twin = some[got.twin]
+            yield _batch(names, types, [np.zeros(len(twin), np.int64), uid[twin], begin[twin], (hi - lo)[twin], [None] * len(twin)])
+            sent = np.flatnonzero(sent)
+            for k in range(0, len(sent), 8000):
+                part = sent[k : k + 8000]
+                data = [text[a:z].tobytes() for a, z in zip((at + lo)[part].tolist(), (at + hi)[part].tolist(), strict=True)]
+                yield _batch(names, types, [gram[part].view(np.int64), uid[part], begin[part], lo[part], data])
+
         for b in batches:
-            uid = b.column("uid").to_numpy()
+            own = b.column("uid").to_numpy()
             for i, _, raw, at in textscan.blocks(b.column("text"), 300_000):
-                doc, pos, gram, region, left, right = anchors(raw, at, p)
-                own = uid[i + doc]
-                row = textscan.mix(gram ^ textscan.mix(region ^ textscan.mix(own.view(_U) + pos.astype(_U))))
-                k = (row % _U(p.bits)).astype(np.int64) if p.bits & (p.bits - 1) == 0 else np.mod(row.view(np.int64), p.bits)
+                doc, pos, gram, lo, hi = regions(raw, at, p)
+                k = np.mod(gram.view(np.int64), p.bits)
                 hit = np.flatnonzero((marked[k >> 3] >> (k & 7).astype(np.uint8)) & 1)
-                begin = at[doc] + pos
-                text = [raw[begin[x] - left[x] : begin[x] + right[x]].tobytes() for x in hit]
-                yield _batch(["row", "gram", "uid", "pos", "left", "bytes"], cut_types, [row[hit].view(np.int64), gram[hit].view(np.int64), own[hit], pos[hit], left[hit].astype(np.int32), text])
-
-    cut_types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    sent = docs.mapInArrow(cut, "row long, gram long, uid long, pos long, left int, bytes binary")
-    sent = scratch.write(sent.join(wanted.dropDuplicates(["row"]), "row"), "sent")
-    count = sent.count()
-    few = sent.where(F.col("m") <= p.regions * p.symbol)
-    phases = F.least(F.lit(p.symbol), F.ceil(F.col("m") / p.regions)).cast("int")
-    dealt = few.withColumn("phases", phases).withColumn("phase", F.explode(F.sequence(F.lit(0), F.col("phases") - 1)))
-    tasks = max(1, -(-count // p.task_regions))
-    dealt = dealt.withColumn("task", F.when(F.col("phases") == 1, F.pmod(F.xxhash64("gram"), F.lit(tasks))).otherwise(F.lit(-1)))
-    dealt = dealt.withColumn("own", F.when(F.col("phases") > 1, F.col("gram")).otherwise(F.lit(0)))
+                if not len(hit):
+                    continue
+                doc, pos, gram, lo, hi = (x[hit] for x in (doc, pos, gram, lo, hi))
+                held.append((own[i + doc], pos + lo, gram, lo, hi, size + at[doc] + pos))
+                blocks.append(raw)
+                size += len(raw)
+                rows += len(hit)
+                if size + 256 * rows >= p.shard_bytes:
+                    yield from flush()
+                    size = rows = 0
+        if held:
+            yield from flush()
+
+    names, types = ["gram", "uid", "begin", "lo", "bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    return scratch.write(docs.mapInArrow(transform, "gram long, uid long, begin long, lo int, bytes binary"), "shards")
+
+
+def repeated_spans(docs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """uid, start, end of stretches to remove; stretches of one uid may overlap. ``docs`` has uid and text."""
+    if not 0 < p.gram < p.length:
+        raise ValueError("length must exceed gram")
+    shards = _shards(docs, p, scratch)
+    twins = shards.where("bytes is null").select("uid", F.col("begin").alias("start"), (F.col("begin") + F.col("lo")).alias("end"))
+    rows = shards.where("bytes is not null")
+    count = rows.select("gram").count()
+    most = max(p.most_rows, count // 1_000_000)
+    hot = [r.gram for r in rows.groupBy("gram").count().where(F.col("count") > most).collect()]  # at most a million longs, by ``most``
+    is_hot = F.col("gram").isin(hot) if len(hot) < 1000 else None
+    if is_hot is None:
+        marked = docs.sparkSession.createDataFrame([(g,) for g in hot], "gram long")
+        few, many = rows.join(F.broadcast(marked), "gram", "left_anti"), rows.join(F.broadcast(marked), "gram", "left_semi")
+    else:
+        few, many = rows.where(~is_hot), rows.where(is_hot)
+    tasks = max(1, -(-count // p.task_rows))
 
     def merge(table):
         t = table.combine_chunks()
-        t = t.take(pa.array(np.argsort(t.column("gram").to_numpy(), kind="stable")))
-        gram = t.column("gram").to_numpy()
-        first = np.concatenate([[0], np.flatnonzero(np.diff(gram)) + 1, [len(gram)]])
-        out = [[], [], []]
-        lo = 0
-        for k in range(1, len(first)):
-            # whole grams, about ``regions`` regions at a time
-            if k + 1 < len(first) and first[k + 1] - first[lo] <= p.regions:
-                continue
-            part = t.slice(int(first[lo]), int(first[k] - first[lo]))
-            lo = k
-            raw, at = textscan.string_buffers(part.column("bytes"))
-            col = lambda n, part=part: part.column(n).to_numpy()
-            left = col("left").astype(np.int64)
-            reg, i = repeated_windows(raw, at, col("gram").view(_U), left, col("phase").astype(np.int64), col("phases").astype(np.int64), p)
-            uid, begin = col("uid"), col("pos") - left
-            order = np.lexsort((i, reg))
-            reg, i = reg[order], i[order]
-            cut_at = np.flatnonzero(np.diff(reg)) + 1
-            for x, y in zip([0, *cut_at], [*cut_at, len(reg)], strict=True):
-                if y > x:
-                    for a, b in _cover(i[x:y], p.length):
-                        for c, v in zip(out, (uid[reg[x]], begin[reg[x]] + a, begin[reg[x]] + b), strict=True):
-                            c.append(int(v))
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["uid", "start", "end"])
-
-    merged = dealt.groupBy("task", "own", F.when(F.col("phases") > 1, F.col("phase")).otherwise(F.lit(0)).alias("slice")).applyInArrow(merge, "uid long, start long, end long")
+        raw, at = textscan.string_buffers(t.column("bytes"))
+        lo = t.column("lo").to_numpy().astype(np.int64)
+        got = refine(raw, at[:-1] - lo, lo, np.diff(at) + lo, p.length)
+        k = np.flatnonzero(got.first <= got.last)
+        uid, zero = t.column("uid").to_numpy()[k], (t.column("begin").to_numpy() - lo)[k]
+        return pa.table({"uid": uid, "start": zero + got.first[k], "end": zero + got.last[k] + p.length})
+
+    merged = few.withColumn("task", F.pmod(F.xxhash64("gram"), F.lit(tasks))).groupBy("task").applyInArrow(merge, "uid long, start long, end long")
+    if not hot:
+        return twins.unionByName(merged)
 
     def windows(batches):
         for b in batches:
             raw, at = textscan.string_buffers(b.column("bytes"))
             s = textscan.prefix_sums(raw)
             for r in range(b.num_rows):
-                left = b.column("left")[r].as_py()
-                i = np.arange(min(left, int(at[r + 1] - at[r]) - p.length) + 1)
-                h = textscan.mix(textscan.span_hashes(s, at[r] + i, at[r] + i + p.length) ^ (left - i).astype(_U)).view(np.int64)
-                start = b.column("pos")[r].as_py() - left + i
-                yield _batch(["gram", "window", "uid", "start"], [pa.int64()] * 4, [np.full(len(i), b.column("gram")[r].as_py()), h, np.full(len(i), b.column("uid")[r].as_py()), start])
-
-    many = sent.where(F.col("m") > p.regions * p.symbol).mapInArrow(windows, "gram long, window long, uid long, start long")
-    again = many.groupBy("gram", "window").agg(F.count("*").alias("c")).where("c > 1")
-    counted = many.join(again, ["gram", "window"], "left_semi").select("uid", "start", (F.col("start") + p.length).alias("end"))
-    return copies.unionByName(merged).unionByName(counted)
+                i = np.arange(int(at[r + 1] - at[r]) - p.length + 1)
+                h = textscan.span_hashes(s, at[r] + i, at[r] + i + p.length).view(np.int64)
+                yield _batch(["window", "uid", "start"], [pa.int64()] * 3, [h, np.full(len(i), b.column("uid")[r].as_py()), b.column("begin")[r].as_py() + i])
+
+    cut = many.mapInArrow(windows, "window long, uid long, start long")
+    again = cut.groupBy("window").agg(F.count("*").alias("c")).where("c > 1")
+    counted = cut.join(again, "window", "left_semi").select("uid", "start", (F.col("start") + p.length).alias("end"))
+    return twins.unionByName(merged).unionByName(counted)
 
 
 def _kept(batches):

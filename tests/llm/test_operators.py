@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import bwt_dedup, decontaminate, html_region, near_dedup, ngram_lm, pieces, positive_unlabelled, quality, secrets, toxicity, vector_search
+from brindle.llm.tables import Scratch
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, score string, lang string"
@@ -116,44 +117,60 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("params", [bwt_dedup.Params(length=40, gram=8, symbol=10), bwt_dedup.Params(length=40, gram=8, symbol=10, regions=3, shard_rows=50), bwt_dedup.Params(length=40, gram=8, symbol=10, regions=0 + 1, shard_rows=20, task_regions=2)])
+@pytest.mark.parametrize("params", [{}, {"shard_bytes": 3000, "task_rows": 5}, {"shard_bytes": 1, "task_rows": 1}, {"most_rows": 1, "shard_bytes": 2000}])
 def test_repeats_equal_brute_force(spark, params):
+    """With one shard and with many, and where windows are counted by hash."""
     rng = random.Random(2)
     passage = rand_text(rng, 15)
     texts = [*ODD, "a" * 300, "ab" * 60, passage + " " + rand_text(rng, 30), rand_text(rng, 9) + passage, passage[3:60], rand_text(rng, 40)]
     texts += [rand_text(rng, 3) + passage[: 35 + k] + rand_text(rng, 5) for k in range(12)] + [texts[-1]]
-    got = {r.doc_id: tuple(r)[1:] for r in bwt_dedup.remove_repeats(docs(spark, texts), params).collect()}
+    frame = docs(spark, texts).repartition(3)
+    got = {r.doc_id: tuple(r)[1:] for r in bwt_dedup.remove_repeats(frame, bwt_dedup.Params(length=40, gram=8, **params)).collect()}
     assert got == dict(enumerate(brute_removed(texts, 40)))
 
 
-def test_repeats_counted_by_window_hash(spark):
-    rng = random.Random(8)
-    passage = rand_text(rng, 15)
-    texts = [rand_text(rng, 6) + passage[: 38 + k % 9] + rand_text(rng, 6) for k in range(30)]
-    p = bwt_dedup.Params(length=40, gram=8, symbol=40, regions=1)
-    got = {r.doc_id: tuple(r)[1:] for r in bwt_dedup.remove_repeats(docs(spark, texts), p).collect()}
-    assert got == dict(enumerate(brute_removed(texts, 40)))
+def test_repeats_with_the_shipped_parameters_merge_shards(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(6)
+    p, scratch = bwt_dedup.Params(), Scratch(spark)
+    shards = bwt_dedup._shards(table.select(F.xxhash64("doc_id", "text").alias("uid"), "text"), p, scratch)
+    sent = shards.where("bytes is not null").withColumn("shard", F.input_file_name()).groupBy("gram").agg(F.count_distinct("shard").alias("shards"), F.count("*").alias("n"))
+    assert sent.where("shards > 1").count() > 100 and sent.where(F.col("n") > p.most_rows).count() == 0
+    rows = table.collect()
+    got = {r.doc_id: tuple(r)[1:] for r in bwt_dedup.remove_repeats(table, p).collect()}
+    assert got == dict(zip([r.doc_id for r in rows], brute_removed([r.text for r in rows], p.length), strict=True))
+
+
+def test_repeats_of_odd_rows(spark):
+    twice = "x y z " * 9
+    frame = spark.createDataFrame([(None, twice, "s", "e"), (None, twice, "s", "e"), (1, None, "s", "e"), (1, "", None, None)], DOCS)
+    got = sorted(tuple(r)[1:4] for r in bwt_dedup.remove_repeats(frame, bwt_dedup.Params(length=40, gram=8)).collect())
+    assert got == [(0, 0, 0), (0, 0, 0), (54, 54, 1), (54, 54, 1)]
     assert bwt_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
-def test_interleave_refinement_orders_suffixes():
+def test_refinement_finds_every_repeated_window_without_sorting_suffixes():
     rng = np.random.default_rng(1)
-    for _ in range(20):
-        rows, before, ends = [], [], []
-        for _ in range(8):
-            s = rng.integers(1, 4, rng.integers(1, 9)).tolist()
-            prev = -1
-            for k in range(len(s) + 1):
-                rows.append(tuple(s[k:]))
-                before.append(prev)
-                prev = len(rows) - 1
-            ends.append(prev)
-        symbol = np.array([r[0] if r else 0 for r in rows])
-        perm, lcp = bwt_dedup.refine(rng.permutation(len(rows)), np.array(before), symbol, np.array(ends), 4)
-        order = [rows[k][:4] for k in perm][len(ends) :]
-        assert order == sorted(order)
-        for a, b, n in zip(order, order[1:], lcp[len(ends) + 1 :], strict=False):
-            assert (n == 4) == (a == b and len(a) == 4)
+    for _ in range(60):
+        n, length = int(rng.integers(1, 40)), 12
+        lo = -rng.integers(0, 9, n)
+        hi = length + lo + rng.integers(0, -lo + 1)
+        rows = [rng.integers(97, 99, z - a).astype(np.uint8) for a, z in zip(lo, hi, strict=True)]
+        for k in range(1, n):
+            if rng.random() < 0.6:  # a copy of an earlier row, with a change or none
+                j = int(rng.integers(0, k))
+                lo[k], hi[k], rows[k] = lo[j], hi[j], rows[j].copy()
+                if rng.random() < 0.5:
+                    rows[k][rng.integers(0, len(rows[k]))] ^= 1
+        size = np.array([len(r) for r in rows])
+        at = np.cumsum(size) - size - lo
+        got = bwt_dedup.refine(np.concatenate(rows), at, lo, hi, length)
+        seen = Counter((c, r[c - a : c - a + length].tobytes()) for r, a, z in zip(rows, lo, hi, strict=True) for c in range(a, z - length + 1))
+        whole = Counter((a, r.tobytes()) for r, a in zip(rows, lo, strict=True))
+        for k, (r, a, z) in enumerate(zip(rows, lo, hi, strict=True)):
+            hit = [c for c in range(a, z - length + 1) if seen[c, r[c - a : c - a + length].tobytes()] > 1]
+            assert ([got.first[k], got.last[k]] == [hit[0], hit[-1]]) if hit else got.first[k] > got.last[k]
+            assert got.twin[k] == (whole[a, r.tobytes()] > 1)
+        assert (~got.copy).sum() == len(whole)
 
 
 # Language model
