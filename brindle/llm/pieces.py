@@ -10,11 +10,11 @@ result is the model's own encoding.
 
 Merges never cross from other text into a meta symbol, so stretches are independent. Every
 occurrence of a stretch draws its own skips, within and across texts, so the number of its
-segmentations has no bound but dropout's own; any recomputed task gives the same ids. A task keeps a bounded table of
-states: a stretch and the skips so far, with the pairs that are popped from there on if nothing
-more is skipped, and the ids that this gives. An occurrence starts at its stretch's state, hashes its
-pairs, and at the first skip goes on to the next state, so no result is ever taken from
-another occurrence's draws; the table only saves doing the same merges again.
+segmentations has no bound but dropout's own; any recomputed task gives the same ids. A task keeps a bounded
+table of stretches with the pairs that are popped if nothing is skipped, and the ids that this gives.
+An occurrence hashes those pairs; if none is skipped, the ids stand. All other occurrences of a slice
+of texts run their own agendas side by side, one pop of each in a round of numpy operations, so no
+result is ever taken from another occurrence's draws.
 
 Characters without a piece become the byte pieces of their UTF-8 form; so does a literal meta
 symbol in the text, which makes decoding exact for every text. Null texts give null ids and
@@ -41,6 +41,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _MASK = (1 << 64) - 1
 _NONE = 1 << 60
 _SHORT = 48
+_NO_PAIR = (1 << 24) - 1
 _STRETCH = re.compile(f"{META}*[^{META}]*")
 
 
@@ -77,6 +78,7 @@ class Codec:
         places = {x: n for n, x in enumerate(sorted({-self.scores[k] for k in self.ids.values()}))}
         self._rank = {x: places[-self.scores[k]] for x, k in self.ids.items()}
         self._limit = min(int(self.params.dropout * 2**64), _MASK)
+        self._tables()
         self._clear()
         self._bytes = [bytes((self.byte_of[i],)) if i in self.byte_of else x.replace(META, " ").encode() for i, x in enumerate(self.pieces)]
 
@@ -101,21 +103,68 @@ class Codec:
             raise ValueError("the model has no byte pieces")
         return Codec(ids, [p.score for p in m.pieces], [p.piece for p in m.pieces], byte_of, byte_id, m.trainer_spec.unk_id, params)
 
+    def _tables(self) -> None:
+        """An open-addressed table of all pairs of pieces that form a piece, and the piece of each character."""
+        pairs = [(self.ids[x[:k]], self.ids[x[k:]], self._rank[x], i) for x, i in self.ids.items() for k in range(1, len(x)) if x[:k] in self.ids and x[k:] in self.ids]
+        left, right, rank, into = (np.array(v, np.int64) for v in zip(*pairs, strict=True)) if pairs else [np.zeros(0, np.int64)] * 4
+        keys = (left << 32) | right
+        self._bits = max(4, (4 * len(keys)).bit_length())
+        self._pair_key = np.full(1 << self._bits, -1, np.int64)
+        self._pair_rank, self._pair_into = np.full(1 << self._bits, _NO_PAIR, np.int32), np.zeros(1 << self._bits, np.int32)
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self._pair_key[slot[todo]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self._pair_key[slot[put]], self._pair_rank[slot[put]], self._pair_into[slot[put]] = keys[put], rank[put], into[put]
+            todo = np.setdiff1d(todo, put)
+            slot[todo] = (slot[todo] + 1) & ((1 << self._bits) - 1)
+        self._char = np.full(0x110000, -1, np.int32)
+        for x, i in self.ids.items():
+            if len(x) == 1:
+                self._char[ord(x)] = i
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (_NO_PAIR: none) and piece of the pairs of pieces; negative pieces pair with nothing."""
+        keys = (left.astype(np.int64) << 32) | right
+        keys[(left < 0) | (right < 0)] = -2
+        slot = self._slot(keys)
+        while True:
+            got = self._pair_key[slot]
+            on = np.flatnonzero((got != keys) & (got != -1))
+            if not len(on):
+                return np.where(got == keys, self._pair_rank[slot], _NO_PAIR), self._pair_into[slot]
+            slot[on] = (slot[on] + 1) & ((1 << self._bits) - 1)
+
     def _clear(self) -> None:
-        """Forgets all states."""
+        """Forgets all stretches."""
         self._known: dict[str | None, int] = {}
-        self._next: dict[int, int] = {}
-        self._source: list[tuple[str | None, tuple[int, ...]]] = []
         self._events, self._out = array("Q"), array("i")
         self._event_at, self._out_at = array("q", [0]), array("q", [0])
 
-    def _state(self, part: str | None, skips: tuple[int, ...], events=(), ids: tuple[int, ...] = ()) -> int:
-        self._source.append((part, skips))
-        self._events.extend(events)
+    def _state(self, ids: tuple[int, ...]) -> int:
+        """A new entry of the table with these ids and nothing to skip."""
         self._out.extend(ids)
         self._event_at.append(len(self._events))
         self._out_at.append(len(self._out))
-        return len(self._source) - 1
+        return len(self._out_at) - 2
+
+    def _learn(self, parts: list[str | None]) -> None:
+        """Puts short stretches into the table: their pairs in the order in which they are popped, and their ids."""
+        if None in parts:
+            self._known[None] = self._state(tuple(self.byte_id[b] for b in META.encode()))
+        short = [x for x in parts if x is not None and len(x) <= _SHORT]
+        if not short:
+            return
+        ids, size, events, many = self._side_by_side(short, None)
+        first = len(self._out_at) - 1
+        self._known.update(zip(short, range(first, first + len(short)), strict=True))
+        for flat, of, upto, n in ((self._out, ids.astype(np.int32), self._out_at, size), (self._events, events, self._event_at, many)):
+            upto.extend(array("q", (len(flat) + np.cumsum(n)).astype(np.int64).tobytes()))
+            flat.extend(array(flat.typecode, of.tobytes()))
 
     def merge(self, s: str, key: int) -> tuple[int, ...]:
         """Ids of one occurrence of a stretch."""
@@ -233,7 +282,7 @@ class Codec:
 
     def encode_all(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and the number of ids of each (0 for null and empty texts)."""
-        if len(self._source) > self.params.cache or len(self._events) + len(self._out) > 16 * self.params.cache:
+        if len(self._out_at) > self.params.cache or len(self._events) + len(self._out) > 16 * self.params.cache:
             self._clear()
         parts: list[str | None] = []
         ends, seeds = [0], []
@@ -248,48 +297,122 @@ class Codec:
         size = np.diff(ends)
         number = np.arange(len(parts)) - np.repeat(ends[:-1], size)
         draw = textscan.mix(np.repeat(np.array(seeds, np.uint64), size) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self._learn([x for x in dict.fromkeys(parts) if x not in self._known])
         known = self._known
-        state = np.empty(len(parts), np.int64)
-        for n, part in enumerate(parts):
-            k = known.get(part)
-            if k is None:
-                if part is None:
-                    k = known[part] = self._state(part, (), (), tuple(self.byte_id[b] for b in META.encode()))
-                elif len(part) <= _SHORT:
-                    k = known[part] = self._state(part, (), *self._trace(part, ()))
-                else:
-                    k = self._state(part, (), (), self._by_agenda(part, int(draw[n])))
-            state[n] = k
-        live, after = np.arange(len(parts) if self._limit else 0), np.zeros(len(parts) if self._limit else 0, np.int64)
-        while len(live):
-            at = np.frombuffer(self._event_at, np.int64)
-            first = at[state[live]] + after
-            n = at[state[live] + 1] - first
-            del at
-            row = np.repeat(np.arange(len(live)), n)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            if not len(row):
-                break
-            hit = np.flatnonzero(self._skips(draw[live][row], np.frombuffer(self._events, np.uint64)[first[row] + place]))
-            rows, least = np.unique(row[hit], return_index=True)
-            skip = place[hit[least]] + after[rows]
-            live, after = live[rows], skip + 1
-            moves, which = np.unique(state[live] * 256 + skip, return_inverse=True)
-            state[live] = np.array([self._follow(m) for m in moves.tolist()], np.int64)[which]
+        state = np.array([known.get(x, -1) for x in parts], np.int64)
+        for n in np.flatnonzero(state < 0).tolist():  # long ones, by an agenda of their own
+            state[n] = self._state(self._by_agenda(parts[n], int(draw[n])))
         at = np.frombuffer(self._out_at, np.int64)
-        n = at[state + 1] - at[state]
+        begin, n = at[state], at[state + 1] - at[state]
+        ids = np.frombuffer(self._out, np.int32)
+        if self._limit:
+            at = np.frombuffer(self._event_at, np.int64)
+            first, many = at[state], at[state + 1] - at[state]
+            row = np.repeat(np.arange(len(parts)), many)
+            event = np.frombuffer(self._events, np.uint64)[np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(row))]
+            skipped = np.zeros(len(parts), bool)
+            skipped[row[self._skips(draw[row], event)]] = True
+            drawn = np.flatnonzero(skipped)
+            own, size, _, _ = self._side_by_side([parts[k] for k in drawn], draw[drawn])
+            begin[drawn] = len(ids) + np.cumsum(size) - size
+            n[drawn] = size
+            ids = np.concatenate([ids, own])
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(self._out, np.int32)[np.repeat(at[state] - upto[:-1], n) + np.arange(upto[-1])] if upto[-1] else np.zeros(0, np.int32)
-        return ids, np.diff(upto[ends])
-
-    def _follow(self, move: int) -> int:
-        """The state after a skip: ``move`` is 256 times the state plus the number of the skipped pair."""
-        got = self._next.get(move)
-        if got is None:
-            part, skips = self._source[move >> 8]
-            skips += (move & 255,)
-            got = self._next[move] = self._state(part, skips, *self._trace(part, skips))
-        return got
+        return ids[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])], np.diff(upto[ends])
+
+    def _side_by_side(self, parts: list[str], draw: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of short stretches, each by its own agenda, and how many; without draws also the popped pairs (rank and place), and how many."""
+        size = np.array([len(x) for x in parts], np.int64)
+        point = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        char = self._char[point]
+        char = np.where(char < 0, len(self.pieces) + point.astype(np.int32), char)
+        at = np.cumsum(size) - size
+        got: list[tuple[np.ndarray, ...]] = []
+        for lo, hi in ((0, 6), (6, 9), (9, 12), (12, 16), (16, 24), (24, _SHORT)):
+            rows = np.flatnonzero((size > lo) & (size <= hi))
+            for k in range(0, len(rows), 20_000):
+                pick = rows[k : k + 20_000]
+                got.append((pick, *self._agendas(char, at[pick], size[pick], None if draw is None else draw[pick], hi)))
+
+        def placed(flat, n):
+            order = np.concatenate([g[0] for g in got])
+            count, begin = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+            n, flat = np.concatenate(n), np.concatenate(flat)
+            count[order], begin[order] = n, np.cumsum(n) - n
+            return flat[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(len(flat))], count
+
+        if not got:
+            return np.zeros(0, np.int32), np.zeros(len(parts), np.int64), np.zeros(0, np.uint64), np.zeros(len(parts), np.int64)
+        ids, count = placed([g[1] for g in got], [g[2] for g in got])
+        other = np.flatnonzero(ids >= len(self.pieces))
+        if len(other):  # characters without a piece become their bytes
+            point, which = np.unique(ids[other] - len(self.pieces), return_inverse=True)
+            coded = [[self.byte_id[b] for b in chr(x).encode()] for x in point.tolist()]
+            long = np.array([len(x) for x in coded])[which]
+            many = np.ones(len(ids), np.int64)
+            many[other] = long
+            begin = np.cumsum(many) - many
+            wide = np.repeat(ids, many)
+            wide[np.repeat(begin[other] - np.cumsum(long) + long, long) + np.arange(long.sum())] = np.concatenate([coded[k] for k in which.tolist()])
+            count = np.diff(np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(count)])])
+            ids = wide
+        return ids, count, *(placed([g[3] for g in got], [g[4] for g in got]) if draw is None else (None, None))
+
+    def _agendas(self, char: np.ndarray, at: np.ndarray, size: np.ndarray, draw: np.ndarray | None, width: int) -> tuple[np.ndarray, ...]:
+        """One agenda for each column of ``width`` places; in a round each pops its best pair, the leftmost of equals, and skips or merges it."""
+        n = len(at)
+        place = np.arange(width)[:, None]
+        inside = place < size
+        sym = np.where(inside, char[np.where(inside, at + place, 0)], -1)
+        rank, into = self._pairs(sym[:-1].ravel(), sym[1:].ravel())
+        none = np.int32(_NO_PAIR * 64)
+        pair = np.full((width, n), none, np.int32)
+        pair[:-1] = np.where(rank == _NO_PAIR, none, rank * 64).reshape(width - 1, n) + np.where(rank == _NO_PAIR, 0, 1).reshape(width - 1, n) * place[:-1]
+        made = np.zeros((width, n), np.int32)
+        made[:-1] = into.reshape(width - 1, n)
+        nxt = np.repeat(np.arange(1, width + 1)[:, None], n, 1)
+        prev = nxt - 2
+        done = sym.copy()
+        live = np.arange(n)
+        popped: list[tuple[np.ndarray, np.ndarray]] = [(live[:0], np.zeros(0, np.uint64))]
+        while len(live):
+            best = pair.min(0)
+            go = best < none
+            if not go.all():
+                done[:, live[~go]] = sym[:, ~go]
+                live, best = live[go], best[go]
+                sym, pair, made, nxt, prev = (x[:, go] for x in (sym, pair, made, nxt, prev))
+                if not len(live):
+                    break
+            i, col = best & 63, np.arange(len(live))
+            event = ((best >> 6).astype(np.uint64) << np.uint64(32)) | i.astype(np.uint64)
+            if draw is None:
+                popped.append((live, event))
+            else:
+                skip = self._skips(draw[live], event)
+                pair[i[skip], col[skip]] = none
+                i, col = i[~skip], col[~skip]
+            both, j = made[i, col], nxt[i, col]
+            sym[i, col], sym[j, col] = both, -1
+            pair[j, col] = none
+            after = nxt[j, col]
+            nxt[i, col] = after
+            on = after < size[live[col]]
+            prev[after[on], col[on]] = i[on]
+            right = np.where(on, sym[np.minimum(after, width - 1), col], -1)
+            before = prev[i, col]
+            left = np.where(before >= 0, sym[np.maximum(before, 0), col], -1)
+            rank, into = self._pairs(both, right)
+            pair[i, col] = np.where(rank == _NO_PAIR, none, rank * 64 + i)
+            made[i, col] = into
+            rank, into = self._pairs(left, both)
+            k = np.flatnonzero(before >= 0)
+            pair[before[k], col[k]] = np.where(rank[k] == _NO_PAIR, none, rank[k] * 64 + before[k])
+            made[before[k], col[k]] = into[k]
+        done = done.T
+        kept = done >= 0
+        row, event = (np.concatenate(x) for x in zip(*popped, strict=True))
+        return done[kept].astype(np.int32), kept.sum(1), event[np.argsort(row, kind="stable")], np.bincount(row, minlength=n)
 
     def decode(self, ids: list[int] | None) -> str | None:
         """The exact text that was encoded, whatever the dropout was."""

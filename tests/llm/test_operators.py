@@ -295,6 +295,32 @@ def test_every_occurrence_draws_its_own_segmentation(model):
     assert all(small.encode(text, k) == c.encode(text, k) for k in (9, 10, 9))
 
 
+def brute_dropout(codec, s, key):
+    """Rescans all adjacent symbols for the best pair that was not skipped, by the rule alone."""
+    sym, skipped = [(x, k) for k, x in enumerate(s)], set()
+    while True:
+        pairs = [(codec._rank[a + b], i, (a + b, i, j)) for (a, i), (b, j) in zip(sym, sym[1:], strict=False) if a + b in codec._rank and (a + b, i, j, a) not in skipped]
+        if not pairs:
+            return codec._ids(x for x, _ in sym)
+        rank, i, (both, _, j) = min(pairs)
+        n = next(n for n, (_, k) in enumerate(sym) if k == i)
+        if codec._skip(key, (rank << 32) | i):
+            skipped.add((both, i, j, sym[n][0]))
+        else:
+            sym[n : n + 2] = [(both, i)]
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5, 0.9])
+def test_dropout_equals_brute_force(spark, model, dropout):
+    c = pieces.Codec.load(model, pieces.Params(dropout=dropout))
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()] + ["aaaa" * 9 + " é日本x " * 3, "  a   b ", "x" * 60]
+    for key, text in enumerate(texts):
+        parts = c._stretches(text[:3000])
+        x = pieces._hash(c.params.seed, key)
+        keys = pieces.textscan.mix(np.uint64(x) + np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
+        assert c.encode(text[:3000], key) == [i for s, k in zip(parts, keys, strict=True) for i in brute_dropout(c, s, k)]
+
+
 def test_pieces_frame(spark):
     out = pieces.encode(docs(spark, ODD), decoded_col="back").collect()
     assert [r.back for r in sorted(out, key=lambda r: r.doc_id)] == ODD
