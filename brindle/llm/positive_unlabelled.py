@@ -6,9 +6,18 @@ term turns negative (the scorer has begun to memorise U), its own gradient is as
 The scorer is linear over binary features and is fitted with numpy on the driver from bounded
 samples; scoring runs in Arrow batches, one block of documents at a time.
 
-Features of a text: its distinct words (ASCII lower case), their leading bytes, and shape
-statistics (case, digits, symbols, repetition, word length) cut into bins. No other column of a
-row is ever a feature.
+No row labelled 0 is ever used. The class prior is estimated from positives and unlabelled rows
+alone (best-bin estimation: a scorer of one half of the sample is applied to the other; the
+share of unlabelled rows above a score, over the share of positives above it, bounds the prior
+from above, and the tightest bound that the sample sizes support is taken). The scale and place of the
+scores are set by the unbiased risk of the same two samples, which is convex in these two numbers.
+
+Features of a text: its distinct words (ASCII lower case), their leading bytes, how large a share of the words
+has such a form, and shape statistics (case, digits, symbols, repetition, word length) cut into
+bins. No other column of a row is ever a feature.
+
+A repeated id takes part once, with the least of its texts; an id with labels that contradict
+each other is a positive.
 """
 
 from __future__ import annotations
@@ -33,11 +42,13 @@ class FeatureSpec:
     """bits: log2 of the hashed word space; prefixes: lengths in bytes of word starts; shapes: use statistics.
 
     A hashed feature gets a weight only if ``min_support`` and a ``min_share`` of the sampled positives have it and its
-    share among them is ``min_ratio`` times its share among negatives; otherwise a linear scorer would
-    learn single texts. As the unlabelled are positives by the prior and negatives else, that is
-    ``min_ratio`` / (1 + prior * (``min_ratio`` - 1)) times its share among the unlabelled sample, below
-    the 1 / prior that a feature of positives alone has, whatever the prior.
+    share among them is ``min_ratio`` times its share among negatives (or theirs ``min_ratio`` times its, unless
+    ``evidence_only``); otherwise a linear scorer would learn single texts. The share among negatives is what the shares
+    among unlabelled and positive rows leave by the prior.
     ``evidence_only`` keeps weights from going below zero: features argue for label 1 or not at all.
+    ``rates``: a word or start that is at least one in so many words of its text is a further feature for each.
+    ``min_z``: by so many standard deviations a feature's count among positives must exceed what its share among negatives lets expect
+    (or fall below it, unless ``evidence_only``). Words are split at white space, or with ``letters`` at all but letters and digits.
     """
 
     bits: int = 18
@@ -48,6 +59,9 @@ class FeatureSpec:
     min_share: float = 0.0
     min_ratio: float = 0.0
     evidence_only: bool = False
+    rates: tuple[int, ...] = ()
+    min_z: float = 0.0
+    letters: bool = False
 
     @property
     def width(self) -> int:
@@ -103,15 +117,20 @@ def features(column, spec: FeatureSpec) -> Iterator[np.ndarray]:
     for _, _, raw, at in textscan.blocks(column):
         low = textscan.lower_ascii(raw)
         w = textscan.words(low, at)
+        shape = _shape_bins(raw, at, w, w.hashes) + (1 << spec.bits) if spec.shapes else None
         parts = []
+        if spec.letters:
+            w = textscan.words(low, at, textscan.NOT_LETTER)
         if spec.word_features:
             parts.append(w.hashes & mask)
         for k in spec.prefixes:
             parts.append(textscan.mix(textscan.span_hashes(w.sums, w.starts, np.minimum(w.ends, w.starts + k)) + np.uint64(k)) & mask)
-        shape = _shape_bins(raw, at, w, w.hashes) + (1 << spec.bits) if spec.shapes else None
         table = np.stack(parts, 1).astype(np.int64) if parts else np.zeros((len(w.starts), 0), np.int64)
         for d in range(len(at) - 1):
-            f = np.unique(table[w.first[d] : w.first[d + 1]])
+            f, n = np.unique(table[w.first[d] : w.first[d + 1]], return_counts=True)
+            some = int(w.first[d + 1] - w.first[d])
+            levels = [(textscan.mix(f[n * k >= some].astype(np.uint64) + np.uint64(k << 32)) & mask).astype(np.int64) for k in spec.rates]
+            f = np.unique(np.concatenate([f, *levels])) if spec.rates else f
             yield np.concatenate([f, shape[d]]) if spec.shapes else f
 
 
@@ -147,8 +166,13 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return model
     if spec.min_support:
         in_p, in_u = (np.bincount(np.concatenate(rows), minlength=spec.width) for rows in (positive, unlabelled))
-        ratio = spec.min_ratio / (1 + prior * (spec.min_ratio - 1)) if spec.min_ratio > 1 else spec.min_ratio
-        keep = (in_p >= max(spec.min_support, spec.min_share * len(positive))) & (in_p * len(unlabelled) >= ratio * (in_u + 1) * len(positive))
+        share_p, share_u = in_p / len(positive), (in_u + 1) / len(unlabelled)
+        share_n = np.maximum(share_u - prior * share_p, 1 / len(unlabelled)) / (1 - prior)
+        expected = share_n * len(positive)
+        z = (in_p - expected) / np.sqrt(expected + 1)
+        keep = (in_p >= max(spec.min_support, spec.min_share * len(positive))) & (share_p >= spec.min_ratio * share_n) & (z >= spec.min_z)
+        if not spec.evidence_only:
+            keep |= (in_u >= spec.min_support) & (share_n >= spec.min_ratio * (in_p + 1) / len(positive)) & (z <= -spec.min_z)
         keep[1 << spec.bits :] = spec.shapes
         used = np.flatnonzero(keep)
         new = np.cumsum(keep) - 1
@@ -194,27 +218,33 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return model
 
 
-def calibrate(model: Model, positive: list[np.ndarray], negative: list[np.ndarray], prior: float | None = None) -> Model:
-    """Rescales margins by a logistic fit on labelled rows, weighted to ``prior`` (the model's unless given); the order of scores stays.
+def calibrate(model: Model, positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> Model:
+    """Sets the scale and place of margins by the unbiased risk ``E_U[log(1 + exp f)] - prior * E_P[f]``; the order of scores stays.
 
     Evidence that only adds up is taken by its logarithm, so that texts full of it don't set the scale.
     """
-    if not model.trained or not positive or not negative:
+    if not model.trained:
         return model
     logs = model.spec.evidence_only
-    x = np.array([model.weights[f].sum() for f in [*positive, *negative]])
+    x = np.array([model.weights[f].sum() for f in [*positive, *unlabelled]])
     x = np.log1p(x) if logs else model.bias + x
-    y = np.repeat([1.0, 0.0], [len(positive), len(negative)])
-    prior = model.prior if prior is None else prior
-    c = np.where(y == 1, prior / len(positive), (1 - prior) / len(negative))
     scale, centre = max(float(x.std()), 1e-6), float(x.mean())
     z = np.stack([(x - centre) / scale, np.ones_like(x)], 1)
+    p, u = z[: len(positive)], z[len(positive) :]
+    pull = model.prior * p.mean(0)
+
+    def risk(ab):
+        return np.logaddexp(0, u @ ab).mean() - pull @ ab + 5e-4 * ab[0] ** 2
+
     ab = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ ab, -30, 30)))
-        grad = z.T @ (c * (p - y)) + 1e-3 * np.array([ab[0] - 1, 0])
-        hess = (z * (c * p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag([1e-3, 1e-6])
-        ab = ab - np.clip(np.linalg.solve(hess, grad), -2, 2)
+    for _ in range(60):
+        s = 1 / (1 + np.exp(-np.clip(u @ ab, -30, 30)))
+        grad = (u * s[:, None]).mean(0) - pull + np.array([1e-3 * ab[0], 0])
+        hess = (u * (s * (1 - s) + 1e-9)[:, None]).T @ u / len(u) + np.diag([1e-3, 1e-6])
+        step = np.linalg.solve(hess, grad)
+        while risk(ab - step) > risk(ab) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        ab = ab - step
     if ab[0] > 0 and logs:
         model.curve = (float(ab[0] / scale), float(ab[1] - centre * ab[0] / scale))
     elif ab[0] > 0:
@@ -223,46 +253,65 @@ def calibrate(model: Model, positive: list[np.ndarray], negative: list[np.ndarra
     return model
 
 
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, *, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Class prior from scores of positive and unlabelled rows that the scorer was not fitted on."""
+    at = np.unique(positive)
+    p = 1 - np.searchsorted(np.sort(positive), at) / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), at) / len(unlabelled)
+    slack = (1 + gamma) * (np.sqrt(np.log(4 / delta) / (2 * len(unlabelled))) + np.sqrt(np.log(4 / delta) / (2 * len(positive))))
+    k = int(np.argmin((u + slack) / p))
+    return float(min(u[k] / p[k], 1.0))
+
+
+def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], spec: FeatureSpec, **options) -> float:
+    """The class prior, as the mean of two estimates, each from the half that the other's scorer was fitted on."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        m = fit(positive[k::2], unlabelled[k::2], 0.5 if not spec.evidence_only else 0.1, spec, **options)
+        scores = [np.array([m.bias + m.weights[f].sum() for f in rows[1 - k :: 2]]) for rows in (positive, unlabelled)]
+        found.append(best_bin(*scores))
+    return float(np.mean(found))
+
+
 def fold(id_col: Column) -> Column:
     """crc32 of the id as text; null ids have a null fold, so they are never trained on."""
     return F.crc32(id_col.cast("string"))
 
 
-def _sample_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, spec: FeatureSpec) -> list[np.ndarray]:
-    """Features of the documents in ``ids``, a frame of at most a few thousand rows by its own limit."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi").dropDuplicates(["id"])
+def _sample_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, spec: FeatureSpec) -> list[tuple[int, np.ndarray]]:
+    """(kind, features) of the documents in ``ids`` (id, kind), a frame of a bounded number of rows by its own limits."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    rows = rows.groupBy("id", "kind").agg(F.min("text").alias("text"))
 
     def run(batches):
         for b in batches:
             found = list(features(b.column("text"), spec))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary())], ["id", "f"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("kind"), pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary())], ["id", "kind", "f"])
 
-    got = rows.mapInArrow(run, "id long, f binary").collect()
-    return [np.frombuffer(r.f, np.int32) for r in sorted(got, key=lambda r: r.id)]
+    got = rows.select("id", "kind", "text").mapInArrow(run, "id long, kind int, f binary").collect()
+    return [(r.kind, np.frombuffer(r.f, np.int32)) for r in sorted(got, key=lambda r: r.id)]
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str, spec: FeatureSpec, *, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 3, held_out_remainder: int = 1, max_positive: int = 4000, max_unlabelled: int = 12000, max_prior_rows: int = 200_000, calibration_prior: float | None = None, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str, spec: FeatureSpec, *, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 3, held_out_remainder: int = 1, max_positive: int = 4000, max_unlabelled: int = 12000, prior: float | None = None, **options) -> Model:
     """Fits on documented, bounded samples: the rows with the smallest seeded hash of their id.
 
     Positives are labelled 1; unlabelled rows are drawn from all documents outside the held-out
-    fold without looking at labels. The class prior is the share of positives among at most
-    ``max_prior_rows`` labelled rows outside that fold (the labels mark a random part of the corpus).
-    The fitted margins are calibrated on the positives and as many rows labelled 0.
+    fold without looking at labels. Both samples are read in one scan. The class prior is estimated
+    from them unless given.
     """
     learn = fold(F.col("id")) % held_out_mod != held_out_remainder
     hashed = F.xxhash64(F.col("id"), F.lit(11))
-    marked = (
-        labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").where(learn)
-    )
-    prior = marked.orderBy(F.xxhash64("id", F.lit(5))).limit(max_prior_rows).agg(F.avg("y").alias("p")).first().p
+    marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y = 1").where(learn)
+    pos = marked.select("id").distinct().orderBy(hashed, "id").limit(max_positive).withColumn("kind", F.lit(1))
+    unl = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").where(learn).distinct().orderBy(hashed, "id").limit(max_unlabelled).withColumn("kind", F.lit(2))
+    ids = pos.unionByName(unl).groupBy("id").agg(F.sum("kind").cast("int").alias("kind"))
+    got = _sample_features(docs, ids, id_col, text_col, spec)
+    p, u = [f for k, f in got if k & 1], [f for k, f in got if k & 2]
     if prior is None:
-        return fit([], [], 0.5, spec)
-    pos = marked.where("y = 1").select("id").orderBy(hashed, "id").limit(max_positive)
-    unl = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").where(learn).orderBy(hashed, "id").limit(max_unlabelled)
-    p = _sample_features(docs, pos, id_col, text_col, spec)
-    u = _sample_features(docs, unl, id_col, text_col, spec)
-    neg = marked.where("y = 0").select("id").orderBy(hashed, "id").limit(max_positive)
-    return calibrate(fit(p, u, prior, spec, **options), p, _sample_features(docs, neg, id_col, text_col, spec), calibration_prior)
+        prior = estimate_prior(p, u, spec, **options)
+    return calibrate(fit(p, u, prior, spec, **options), p, u)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from brindle.llm import positive_unlabelled as pu
 
 SPEC = pu.FeatureSpec(bits=4, word_features=False, shapes=True)
+OPTIONS = {"steps": 600, "l2": 1e-5, "batch": 1024}
 
 
 def train(docs: DataFrame, labels: DataFrame, *, spec: pu.FeatureSpec = SPEC, **options) -> pu.Model:
-    return pu.train(docs, labels, "quality", spec, **{"steps": 600, "l2": 1e-5, "batch": 1024} | options)
+    return pu.train(docs, labels, "quality", spec, **OPTIONS | options)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:

@@ -25,6 +25,9 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _STEP = np.uint64(0xD1342543DE82EF95)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# True for bytes that are no ASCII letter or digit and not above 0x7F
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

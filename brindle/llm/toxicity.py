@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from brindle.llm import positive_unlabelled as pu
 
-SPEC = pu.FeatureSpec(bits=20, prefixes=(4, 5), shapes=False, min_support=3, min_ratio=4.0, evidence_only=True)
+SPEC = pu.FeatureSpec(bits=20, prefixes=(5, 7), shapes=False, min_support=3, min_ratio=4.0, evidence_only=True, rates=(300, 100, 30), min_z=3.0, letters=True)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, spec: pu.FeatureSpec = SPEC, **options) -> pu.Model:
-    return pu.train(docs, labels, "toxic", spec, **{"steps": 300, "l2": 1e-3, "batch": 4096, "rate": 0.1, "calibration_prior": 0.25} | options)
+    return pu.train(docs, labels, "toxic", spec, **{"steps": 300, "l2": 1e-3, "batch": 4096, "rate": 0.1} | options)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **options) -> DataFrame:
