@@ -18,6 +18,7 @@ Jaccard similarity of their sets is at least ``threshold``; a component is what
 
 Nulls and odd rows: a null or blank text has an empty set and is linked with nothing; a null
 doc_id takes no part, its component is null and it is kept. Repeated rows each get a result row.
+Rows are told apart by id and text, so an id with several texts is in the component of each of them, by the row.
 Shingles are compared by 64-bit hash.
 """
 
@@ -106,7 +107,7 @@ def _sets(column, words: int):
 
 
 def sketch(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set (null: empty) and the registers, packed by band."""
+    """doc_id, n_shingles, a 128-bit fingerprint of the set (null: empty), the registers, packed by band, and the row's key."""
 
     def run(batches):
         for b in batches:
@@ -133,14 +134,18 @@ def sketch(docs: DataFrame, p: Params) -> DataFrame:
             flat = np.concatenate(bands).reshape(-1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, p.bands, dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate([x.data for x in f1]), mask=mask), pa.array(np.concatenate([x.data for x in f2]), mask=mask), lists],
-                ["doc_id", "n_shingles", "f1", "f2", "bands"],
+                [b.column("doc_id"), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate([x.data for x in f1]), mask=mask), pa.array(np.concatenate([x.data for x in f2]), mask=mask), lists, b.column("key")],
+                ["doc_id", "n_shingles", "f1", "f2", "bands", "key"],
             )
 
     if p.rows != 4:
         raise ValueError("a band is packed into one long of four 16-bit registers")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_key().alias("key"))
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, key long")
+
+
+def _row_key():
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
@@ -243,40 +248,55 @@ def _remaining(members: DataFrame, comp: DataFrame, texts: DataFrame, p: Params,
 
 def components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row per row of ``docs`` (columns doc_id, text)."""
+    return _components(docs, p).drop("key")
+
+
+def _components(docs: DataFrame, p: Params) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     sk = scratch.write(sketch(docs, p), "sketch")
     full = sk.where("f1 is not null and doc_id is not null")
-    classes = scratch.write(
-        full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes"
-    )
-    banded = classes.select("rep", F.posexplode("bands").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("key"))
-    many = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    multi = scratch.write(banded.join(many, "key"), "buckets")
+    # a class is a node of its own, by number: an id may stand for several texts. Its first row stands for it.
+    grouped = full.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "key")).alias("one"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = scratch.write(grouped.select("f1", "f2", F.col("one.doc_id").alias("first_id"), F.col("one.key").alias("key"), "n", "bands", F.monotonically_increasing_id().alias("rep")), "classes")
+    banded = classes.select("rep", F.posexplode("bands").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("bucket"))
+    many = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    multi = scratch.write(banded.join(many, "bucket"), "buckets")
     weight = multi.groupBy("rep").agg(F.sum(F.log2("c")).alias("w"))
-    hubs = multi.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("hub"))
-    members = scratch.write(multi.join(hubs, "key").where("rep <> hub").select("hub", "rep").distinct(), "stars")
+    hubs = multi.join(weight, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("hub"))
+    members = scratch.write(multi.join(hubs, "bucket").where("rep <> hub").select("hub", "rep").distinct(), "stars")
     stars = members.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    need = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = possibly_in(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), need, "id")
-    # an inner join with distinct ids: a semi join would be pushed below the bitmap's
-    texts = rows.join(need, "id").groupBy("id").agg(F.min("text").alias("text"))
+    need = classes.join(stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep").select("key", "rep")
+    need = scratch.write(need, "need")
+    rows = possibly_in(docs.select(_row_key().alias("key"), "text"), need, "key")
+    # an inner join with distinct keys: a semi join would be pushed below the bitmap's
+    texts = rows.join(need, "key").groupBy(F.col("rep").alias("id")).agg(F.min("text").alias("text"))
     texts = scratch.write(texts, "texts")
     links = scratch.write(_verified(_plausible(stars, classes, p), texts, p), "links")
     comp = scratch.write(connected_components(links, scratch), "components")
     more = _remaining(members, comp, texts, p, scratch)
     comp = scratch.write(connected_components(links.union(more), scratch), "components")
-    scratch.drop_all_but(sk, classes, comp)
-    rep_of = classes.join(comp, classes.rep == comp.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    out = sk.select("doc_id", "n_shingles", "f1", "f2").join(rep_of, ["f1", "f2"], "left")
+    placed = classes.select("f1", "f2", "first_id", "rep").join(comp, classes.rep == comp.node, "left").select("f1", "f2", "first_id", "component")
+    label = placed.where("component is not null").groupBy("component").agg(F.min("first_id").alias("label"))
+    rep_of = scratch.write(placed.join(label, "component", "left").select("f1", "f2", F.coalesce("label", "first_id").alias("component_id")), "labels")
+    scratch.drop_all_but(sk, rep_of)
+    out = sk.select("doc_id", "key", "n_shingles", "f1", "f2").join(rep_of, ["f1", "f2"], "left")
     found = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "key", "n_shingles", found.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, p: Params = Params(words=5)) -> DataFrame:
-    """``docs`` without all but the smallest doc_id of each component; exactly repeated rows of that id become one."""
-    gone = components(docs.select("doc_id", "text"), p).where("not kept").select("doc_id").distinct()
+    """``docs`` without all but the rows of the smallest doc_id of each component; exactly repeated rows of an id become one.
+
+    Shingles have five words, the measure of near-duplicate stages; the query op4 has its own, of four.
+    """
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    rows = docs.withColumn(key, _row_key())
+    gone = _components(docs.select("doc_id", "text"), p).where("not kept").select(F.col("key").alias(key)).distinct()
     gone = Scratch(docs.sparkSession).write(gone, "gone")
-    rest = without(docs, gone, "doc_id")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id")
-    again = possibly_in(rest, twice, "doc_id").dropDuplicates(["doc_id", "text"])
-    return possibly_in(rest, twice, "doc_id", inverse=True).unionByName(again)
+    rest = without(rows, gone, key)
+    twice = rows.where("doc_id is not null").groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    again = possibly_in(rest.where("doc_id is not null"), twice, key).dropDuplicates([key])
+    other = possibly_in(rest.where("doc_id is not null"), twice, key, inverse=True)
+    return other.unionByName(again).unionByName(rest.where("doc_id is null")).select(*docs.columns)

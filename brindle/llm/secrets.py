@@ -11,7 +11,10 @@ row, without a shuffle.
 No table marks secrets, so ``labelled_findings`` makes labelled findings from templates; pass
 your own frame (before, candidate, after, label) for other corpora.
 
-Null and empty texts have no findings and stay as they are; repeated rows repeat their findings.
+Null and empty texts have no findings and stay as they are; repeated rows repeat their findings; a null
+doc_id is carried as it is. A text may hold any number of candidates: the places of its matches come from
+sums over blocks of them, and each match carries only the characters next to it. Columns other
+than doc_id and text are ignored by ``find_secrets`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ _BODY = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+"
 CANDIDATE = (
     rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----{_BODY}-----END [A-Z ]{{0,40}}PRIVATE KEY-----"
     rf"|{_ASSIGN}(?!-----BEGIN )[^\s\"'<>,;:=][^\s\"'<>,;]{{7,}}"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=.-]{0,400}[0-9])[A-Za-z0-9][A-Za-z0-9+/_=.-]{14,}"
+    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9][A-Za-z0-9+/_=.-]{14,}"
 )
 # Every candidate has a digit, BEGIN or a name; texts without these are not searched.
 GATE = r"[0-9]|BEGIN|(?i:pass|pwd|secret|token|key|credential)"
@@ -210,15 +213,20 @@ def find_secrets(docs: DataFrame, forest: list, *, threshold: float = 0.5) -> Da
     """doc_id, start (in characters, from 0), n_chars, candidate, score of the findings that the forest confirms."""
     pieces, found = _parts(F.col("text"))
     base = docs.where(F.col("text").rlike(GATE)).select("doc_id", found.alias("found"), pieces.alias("pieces"))
-    lengths = lambda upto, arr: F.aggregate(F.slice(arr, 1, upto), F.lit(0).cast("long"), lambda s, x: s + F.length(x))
-    rows = base.select("doc_id", "pieces", "found", F.posexplode("found").alias("i", "match")).select(
-        "doc_id",
-        "match",
-        _candidate(F.col("match")).alias("candidate"),
-        F.element_at("pieces", F.col("i") + 1).alias("piece"),
-        F.left(F.element_at("pieces", F.col("i") + 2), F.lit(AFTER)).alias("after"),
-        (lengths(F.col("i") + 1, F.col("pieces")) + lengths(F.col("i") + 1, F.col("found"))).alias("end"),
-    )
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
+    cut = lambda values, first, n: F.slice(values, first.cast("int") + 1, n.cast("int"))
+    span = F.lit(256)
+    base = base.where(F.size("found") > 0).withColumn("lengths", F.transform("found", lambda m, i: (F.length(F.element_at("pieces", i + 1)) + F.length(m)).cast("long")))
+    blocks = F.sequence(F.lit(0), F.floor((F.size("lengths") - 1) / span).cast("int"))
+    base = base.withColumn("sums", F.transform(blocks, lambda k: total(cut(F.col("lengths"), k * span, span))))
+    base = base.withColumn("upto", F.transform("sums", lambda _, k: total(cut(F.col("sums"), F.lit(0), k))))
+
+    def one(match, i):
+        k = F.floor(i / span).cast("int")
+        end = F.element_at("upto", k + 1) + total(cut(F.col("lengths"), k * span, i - k * span + 1))
+        return F.struct(match.alias("match"), F.right(F.element_at("pieces", i + 1), F.lit(BEFORE)).alias("piece"), F.left(F.element_at("pieces", i + 2), F.lit(AFTER)).alias("after"), end.alias("end"))
+
+    rows = base.select("doc_id", F.inline(F.transform("found", one))).withColumn("candidate", _candidate(F.col("match")))
     near = rows.select("doc_id", "candidate", "after", _before(F.col("piece"), F.col("match"), F.col("candidate")).alias("before"), (F.col("end") - F.length("candidate")).alias("start"))
     judged = near.select("doc_id", "candidate", "start", F.array(*features(F.col("before"), F.col("candidate"), F.col("after"))).alias("x"))
     scored = judged.select("doc_id", "start", F.length("candidate").cast("long").alias("n_chars"), "candidate", forest_score(forest, F.col("x")).alias("score"))

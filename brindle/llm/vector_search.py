@@ -158,12 +158,17 @@ def _matrix(column, d: int) -> np.ndarray:
     return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
+def vector_type(vectors: DataFrame, vector_col: str) -> str:
+    """Floats stay floats, as they are exact in double precision; all else is held as doubles."""
+    return "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def clean(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int | None]:
     """(vec_id, v) of the rows that take part, and their dimension (None: there are none)."""
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where("vec_id is not null").where(ok)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(vector_type(vectors, vector_col)).alias("v")).where("vec_id is not null").where(ok)
     d = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return (rows.where(F.size("v") == d.d), d.d) if d else (rows, None)
 
@@ -173,6 +178,7 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params(), *, id_col
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     rows, d = clean(vectors, id_col, vector_col)
+    kind = vector_type(vectors, vector_col)
     empty = "query_id long, rank int, vec_id long, score double"
     if d is None:
         return spark.createDataFrame([], empty)
@@ -189,7 +195,7 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params(), *, id_col
             own = _nearest(_matrix(b.column("v"), d), shared.value.centroids)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(own.astype(np.int32)), b.column("v")], ["vec_id", "list", "v"])
 
-    listed = scratch.write(rows.mapInArrow(assign, "vec_id long, list int, v array<float>"), "lists")
+    listed = scratch.write(rows.mapInArrow(assign, f"vec_id long, list int, v {kind}"), "lists")
     lists = len(index.centroids)
     index.sizes = np.zeros(lists, np.int64)
     for r in listed.groupBy("list").count().collect():  # at most max_lists rows
@@ -230,7 +236,7 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params(), *, id_col
                 yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(j)), pa.array(i), pa.array(score)], ["query_id", "vec_id", "score"])
 
     queries = listed.where(is_query).select("vec_id", "v")
-    asked = queries.mapInArrow(route, "vec_id long, list int, v array<float>, floor double")
+    asked = queries.mapInArrow(route, f"vec_id long, list int, v {kind}, floor double")
     counts = asked.groupBy("list").agg(F.count("*").alias("q"))
     index.queries = np.zeros(lists, np.int64)
     for r in counts.collect():
