@@ -1,20 +1,23 @@
 """Lineage trees as tables, and their population statistics as set-based plans.
 
 A tree is a frame (node, parent, mut, alive): parent is null at the root, mut counts the mutations
-on the edge above the node, alive marks the leaves that count. ``Lineage`` holds two derived
-tables: the closure (leaf, node) of alive leaves with all their ancestors and themselves, which
-also drops lineages without alive leaves, and (node, parent, mut, tot, nl) of what is retained.
-
-Nodes with one retained child need no contraction except for ``edge_histogram``; there they are
-grouped by the leaves below them. Dense results have all indices from 0; where stated, trailing
-zeros are cut.
+on the edge above the node, alive marks the leaves that count. ``Lineage`` holds the contracted tree of
+the alive leaves: lineages without alive leaves are dropped, a node with one retained child is
+joined with that child (also at the root), and its mutations go to the child. L alive leaves leave
+2L - 1 nodes.
+
+Totals, depths and leaf counts come from pointer doubling: each of log2(depth) rounds is one
+aggregation and two joins over the nodes, written, so no round makes more rows than the tree has. Only
+the pairwise statistics make the closure of the contracted tree. Dense results have all indices from 0; where
+stated, trailing zeros are cut.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators.frequency import trim_trailing_zeros
@@ -45,41 +48,164 @@ def check_binary(tree: DataFrame) -> DataFrame:
     return tree.where("parent is not null").groupBy("parent").agg(F.count("*").alias("children")).where("children > 2")
 
 
+def ref_counts(tree: DataFrame) -> DataFrame:
+    """(node, parent, ref_count): the number of children of each node."""
+    kids = tree.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("ref_count"))
+    return tree.select("node", "parent").join(kids, "node", "left").select("node", "parent", F.coalesce("ref_count", F.lit(0).cast("bigint")).alias("ref_count"))
+
+
+def check_tree(tree: DataFrame) -> int:
+    """The number of nodes; raises ValueError unless nodes are distinct, have two children at most, one root and known parents, and two leaves or more are alive."""
+    kids = tree.where("parent is not null").groupBy("parent").agg(F.count("*").alias("children"))
+    seen = tree.groupBy("node").agg(F.count("*").alias("n"), F.count_if(F.col("parent").isNull()).alias("root"), F.max("alive").alias("alive"))
+    both = seen.join(kids, seen.node == kids.parent, "full")
+    r = both.agg(
+        F.count("node").alias("nodes"),
+        F.sum("n").alias("rows"),
+        F.sum("root").alias("roots"),
+        F.count_if("alive").alias("alive"),
+        F.max("children").alias("children"),
+        F.count_if(F.col("node").isNull()).alias("orphans"),
+        F.count_if(F.col("alive") & F.col("children").isNotNull()).alias("inner"),
+    ).first()
+    for bad, text in (
+        (r.rows != r.nodes, "a node stands in more than one row"),
+        (r.roots != 1, f"a tree has one root, this one {r.roots or 0}"),
+        (r.orphans, "a parent is no node of the tree"),
+        ((r.children or 0) > 2, "a node has more than two children"),
+        (r.inner, "an alive node has children"),
+        (r.alive < 2, "a tree needs two alive leaves"),
+    ):
+        if bad:
+            raise ValueError(text)
+    return r.nodes
+
+
+def sums(tree: DataFrame, nodes: int) -> DataFrame:
+    """(node, parent, mut, alive, tot, depth, nl): mutations from the root to the node, edges above it, alive leaves below it.
+
+    In round k every node knows the sums over its 2**k nearest ancestors and descendants. A tree of which some
+    rows never reach the root after log2(nodes) rounds has a cycle.
+    """
+    kept = tree.select("node", "parent", F.col("mut").cast("bigint").alias("mut"), "alive")
+    cur = kept.select("node", F.col("parent").alias("jump"), F.col("mut").alias("tot"), F.col("parent").isNotNull().cast("bigint").alias("depth"), F.col("alive").cast("bigint").alias("nl"))
+    for _ in range(max(1, math.ceil(math.log2(max(nodes, 2)))) + 2):
+        cur = written(cur, "sums")
+        moving = cur.where("jump is not null")
+        if moving.isEmpty():
+            return kept.join(cur.drop("jump"), "node")
+        up = cur.select(F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("tot").alias("tot2"), F.col("depth").alias("depth2"))
+        far = moving.join(up, "jump").select("node", F.col("jump2").alias("jump"), (F.col("tot") + F.col("tot2")).alias("tot"), (F.col("depth") + F.col("depth2")).alias("depth"), "nl")
+        more = moving.groupBy(F.col("jump").alias("node")).agg(F.sum("nl").alias("more"))
+        cur = far.unionByName(cur.where("jump is null")).join(more, "node", "left").select("node", "jump", "tot", "depth", (F.col("nl") + F.coalesce("more", F.lit(0).cast("bigint"))).alias("nl"))
+    raise ValueError("the tree has a cycle")
+
+
+def contract(rows: DataFrame) -> DataFrame:
+    """(node, parent, mut, alive, tot, depth, nl) of the contracted tree, from the result of ``sums``."""
+    rows = written(rows.where("nl > 0"), "retained")
+    kids = rows.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("kids"))
+    rows = rows.join(kids, "node", "left").withColumn("kept", F.col("alive") | (F.coalesce("kids", F.lit(0)) == 2)).drop("kids")
+    link = written(rows.where("not kept").select("node", F.col("parent").alias("up")), "chains")
+    while True:
+        onward = link.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.lit(True).alias("on"))
+        far = written(link.join(onward, "up", "left"), "chains")
+        if far.where("on").isEmpty():
+            break
+        link = far.select("node", F.when(F.col("on"), F.col("up2")).otherwise(F.col("up")).alias("up"))
+    nodes = rows.where("kept").drop("kept")
+    nodes = nodes.join(link.select(F.col("node").alias("parent"), "up", F.lit(True).alias("on")), "parent", "left").withColumn("parent", F.when(F.col("on"), F.col("up")).otherwise(F.col("parent")))
+    above = rows.select(F.col("node").alias("parent"), F.col("tot").alias("tot_above"))
+    nodes = nodes.join(above, "parent", "left")
+    return nodes.select("node", "parent", (F.col("tot") - F.coalesce("tot_above", F.lit(0).cast("bigint"))).alias("mut"), "alive", "tot", "depth", "nl")
+
+
 @dataclass
 class Lineage:
-    closure: DataFrame
+    """The contracted tree; ``nodes`` is (node, parent, mut, alive, tot, depth, nl)."""
+
     nodes: DataFrame
+    _made: dict = field(default_factory=dict, repr=False)
 
     @staticmethod
     def build(tree: DataFrame) -> Lineage:
-        up = ancestors(tree)
-        leaves = tree.where("alive").select(F.col("node").alias("leaf"))
-        closure = written(up.join(leaves, up.node == leaves.leaf).select("leaf", F.col("anc").alias("node")), "closure")
-        nl = closure.groupBy("node").agg(F.count("*").alias("nl"))
-        mut = tree.select(F.col("node").alias("anc"), "mut")
-        tot = up.join(nl.select("node"), "node").join(mut, "anc").groupBy("node").agg(F.sum("mut").alias("tot"))
-        nodes = tree.select("node", "parent", "mut", "alive").join(nl, "node").join(tot, "node")
-        return Lineage(closure, written(nodes, "nodes"))
+        """Raises ValueError if ``tree`` is no binary tree with two alive leaves."""
+        return Lineage(written(contract(sums(tree, check_tree(tree))), "nodes"))
+
+    def save(self, path: str) -> None:
+        self.nodes.write.parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Lineage:
+        return Lineage(spark.read.parquet(path))
+
+    @property
+    def closure(self) -> DataFrame:
+        """(leaf, node) of alive leaves with all their contracted ancestors and themselves; leaves x depth rows, made once."""
+        if "closure" not in self._made:
+            leaves = self.nodes.where("alive").select(F.col("node").alias("leaf"))
+            up = ancestors(self.nodes)
+            self._made["closure"] = written(up.join(leaves, up.node == leaves.leaf).select("leaf", F.col("anc").alias("node")), "closure")
+        return self._made["closure"]
+
+    def contracted(self) -> DataFrame:
+        """(node, parent, unique_mutations, total_mutations) of the 2L - 1 nodes."""
+        return self.nodes.select("node", "parent", F.col("mut").alias("unique_mutations"), F.col("tot").alias("total_mutations"))
 
     def n_leaves(self) -> DataFrame:
-        """(node, n_leaves) under each retained node."""
+        """(node, n_leaves) under each node."""
         return self.nodes.select("node", F.col("nl").alias("n_leaves"))
 
     def children(self) -> DataFrame:
-        """(node, child1, child2) of the branching nodes."""
-        kids = self.nodes.where("parent is not null").groupBy("parent").agg(F.min("node").alias("child1"), F.max("node").alias("child2"), F.count("*").alias("n"))
-        return kids.where("n = 2").select(F.col("parent").alias("node"), "child1", "child2")
+        """(node, child1, child2) of the branching nodes of the contracted tree, by number."""
+        kids = self.nodes.where("parent is not null").groupBy(F.col("parent").alias("node"))
+        return kids.agg(F.min("node").alias("child1"), F.max("node").alias("child2"))
 
-    def lca(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, lca) of pairs (a, b) of alive leaves: the deepest common ancestor."""
-        depth = written(self._depth(), "depth")
-        x = pairs.join(self.closure.withColumnRenamed("leaf", "a"), "a")
-        y = x.join(self.closure.select(F.col("leaf").alias("b"), "node"), ["b", "node"]).join(depth, "node")
-        return y.groupBy("a", "b").agg(F.max_by("node", "depth").alias("lca"))
+    def euler_tour(self) -> DataFrame:
+        """(pos, node): the 4L - 3 places of the tour that enters children by number, from 0.
+
+        A node's first place is the sum of what each ancestor puts before it: one step, and for second children
+        the first one's tour and a step back. So it is a sum along the path, by the same doubling.
+        """
+        both = self.children()
+        size = self.nodes.select(F.col("node").alias("child1"), (4 * F.col("nl") - 3).alias("tour"))
+        both = both.join(size, "child1")
+        before = both.select(F.explode(F.array(F.struct(F.col("child1").alias("node"), F.lit(1).cast("bigint").alias("mut")), F.struct(F.col("child2").alias("node"), (F.col("tour") + 2).alias("mut")))).alias("x")).select("x.*")
+        steps = self.nodes.select("node", "parent", "alive").join(before, "node", "left").withColumn("mut", F.coalesce("mut", F.lit(0).cast("bigint")))
+        first = sums(steps, self.nodes.count()).select("node", F.col("tot").alias("pos"))
+        inner = first.join(both, "node").select("node", F.explode(F.array(F.col("pos"), F.col("pos") + F.col("tour") + 1)).alias("pos"))
+        last = first.join(both, "node").join(self.nodes.select("node", (4 * F.col("nl") - 3).alias("whole")), "node").select("node", (F.col("pos") + F.col("whole") - 1).alias("pos"))
+        leaves = first.join(both, "node", "left_anti")
+        return leaves.select("pos", "node").unionByName(inner.select("pos", "node")).unionByName(last.select("pos", "node"))
+
+    def _lifts(self) -> tuple[list[DataFrame], DataFrame]:
+        """(node, up) by 2**k edges for each k, and (node, level) in the contracted tree."""
+        if "lifts" not in self._made:
+            jumps, cur = [], written(self.nodes.where("parent is not null").select("node", F.col("parent").alias("up")), "lift")
+            while not cur.isEmpty():
+                jumps.append(cur)
+                cur = written(cur.join(cur.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up")), "lift")
+            level = written(sums(self.nodes.select("node", "parent", F.lit(0).alias("mut"), "alive"), self.nodes.count()).select("node", F.col("depth").alias("level")), "levels")
+            self._made["lifts"] = jumps, level
+        return self._made["lifts"]
 
-    def _depth(self) -> DataFrame:
-        up = ancestors(self.nodes)
-        return up.groupBy("node").agg(F.max("dist").alias("depth"))
+    def lca(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, lca) of pairs (a, b) of nodes: the deepest common ancestor, by binary lifting (2 log2(depth) joins of the pairs)."""
+        jumps, level = self._lifts()
+        la, lb = (level.select(F.col("node").alias(x), F.col("level").alias(f"level_{x}")) for x in "ab")
+        q = pairs.select("a", "b").distinct().join(la, "a").join(lb, "b")
+        swap = F.col("level_a") < F.col("level_b")
+        q = q.select("a", "b", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("y"), F.abs(F.col("level_a") - F.col("level_b")).alias("gap"))
+        for k in reversed(range(len(jumps))):
+            up = jumps[k].select(F.col("node").alias("x"), F.col("up").alias("x2"))
+            q = q.join(up, "x", "left").select("a", "b", F.when(F.col("gap") >= 1 << k, F.col("x2")).otherwise(F.col("x")).alias("x"), "y", F.when(F.col("gap") >= 1 << k, F.col("gap") - (1 << k)).otherwise(F.col("gap")).alias("gap"))
+        q = written(q.drop("gap"), "lifted")
+        for k in reversed(range(len(jumps))):
+            ux, uy = (jumps[k].select(F.col("node").alias(v), F.col("up").alias(f"{v}2")) for v in "xy")
+            apart = F.coalesce(F.col("x2") != F.col("y2"), F.lit(False))
+            q = q.join(ux, "x", "left").join(uy, "y", "left").select("a", "b", F.when(apart, F.col("x2")).otherwise(F.col("x")).alias("x"), F.when(apart, F.col("y2")).otherwise(F.col("y")).alias("y"))
+        top = self.nodes.select(F.col("node").alias("x"), "parent")
+        return q.join(top, "x").select("a", "b", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("parent")).alias("lca"))
 
     def _dense(self, found: DataFrame, trim: bool = True) -> DataFrame:
         last = F.broadcast(found.agg(F.max("idx").alias("last")))
@@ -93,38 +219,48 @@ class Lineage:
 
     def burden(self) -> DataFrame:
         """(idx, freq): alive leaves by their total mutations; trimmed."""
-        return self._dense(self.nodes.where("alive").groupBy(F.col("tot").cast("bigint").alias("idx")).agg(F.count("*").alias("freq")))
+        return self._dense(self.nodes.where("alive").groupBy(F.col("tot").alias("idx")).agg(F.count("*").alias("freq")))
 
     def edge_histogram(self) -> DataFrame:
         """(idx, freq): contracted nodes by the mutations on the edge above; trimmed."""
-        first = self.closure.groupBy("node").agg(F.min("leaf").alias("first"))
-        edges = self.nodes.join(first, "node").groupBy("first", "nl").agg(F.sum("mut").cast("bigint").alias("idx"))
-        return self._dense(edges.groupBy("idx").agg(F.count("*").alias("freq")))
+        return self._dense(self.nodes.groupBy(F.col("mut").alias("idx")).agg(F.count("*").alias("freq")))
 
     def balance(self) -> DataFrame:
         """(idx, mean_diff, mean_ratio) by total mutations of branching nodes, zeros where there are none; not trimmed."""
-        kid = self.nodes.where("parent is not null").groupBy("parent").agg(F.max("nl").alias("hi"), F.min("nl").alias("lo"), F.count("*").alias("n")).where("n = 2")
+        kid = self.nodes.where("parent is not null").groupBy("parent").agg(F.max("nl").alias("hi"), F.min("nl").alias("lo"))
         at = kid.join(self.nodes.select(F.col("node").alias("parent"), "tot"), "parent")
         diff = F.col("hi") - F.col("lo")
-        found = at.groupBy(F.col("tot").cast("bigint").alias("idx")).agg(F.avg(diff).alias("mean_diff"), F.avg(diff / (F.col("hi") + F.col("lo"))).alias("mean_ratio"))
-        last = F.broadcast(self.nodes.agg(F.max("tot").cast("bigint").alias("last")))
+        found = at.groupBy(F.col("tot").alias("idx")).agg(F.avg(diff).alias("mean_diff"), F.avg(diff / (F.col("hi") + F.col("lo"))).alias("mean_ratio"))
+        last = F.broadcast(self.nodes.agg(F.max("tot").alias("last")))
         spine = last.select(F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("i"))
         return spine.join(found, spine.i == found.idx, "left").select(F.col("i").alias("idx"), F.coalesce("mean_diff", F.lit(0.0)).alias("mean_diff"), F.coalesce("mean_ratio", F.lit(0.0)).alias("mean_ratio"))
 
+    def pairwise_mutations(self, low: int | None = None, high: int | None = None) -> DataFrame:
+        """(a, b, tot_a, tot_b, tot_lca) of all pairs a < b of contracted nodes with low <= node < high; quadratic by definition.
+
+        Totals never fall along a path, so the largest total of the common ancestors is that of the lowest one.
+        """
+        some = self.nodes
+        some = some if low is None else some.where(F.col("node") >= low)
+        some = some if high is None else some.where(F.col("node") < high)
+        return self._pairs(some.select("node"), ancestors(self.nodes).select("node", "anc"))
+
     def leaf_pairs(self) -> DataFrame:
-        """(a, b, tot_a, tot_b, tot_lca) of all pairs a < b of alive leaves; quadratic by definition."""
-        c = self.closure.join(self.nodes.select("node", F.col("tot").alias("tot_node")), "node")
-        t = self.nodes.where("alive").select("node", "tot")
-        x = c.select("node", F.col("leaf").alias("a"), "tot_node")
-        y = self.closure.select("node", F.col("leaf").alias("b"))
-        common = x.join(y, "node").where("a < b").groupBy("a", "b").agg(F.max("tot_node").alias("tot_lca"))
-        return common.join(t.select(F.col("node").alias("a"), F.col("tot").alias("tot_a")), "a").join(t.select(F.col("node").alias("b"), F.col("tot").alias("tot_b")), "b")
+        """The same of all pairs of alive leaves."""
+        return self._pairs(self.nodes.where("alive").select("node"), self.closure.select(F.col("leaf").alias("node"), F.col("node").alias("anc")))
+
+    def _pairs(self, some: DataFrame, up: DataFrame) -> DataFrame:
+        t = self.nodes.select("node", "tot")
+        c = up.join(some, "node").join(t.select(F.col("node").alias("anc"), F.col("tot").alias("tot_node")), "anc")
+        x, y = c.select("anc", F.col("node").alias("a"), "tot_node"), c.select("anc", F.col("node").alias("b"))
+        common = x.join(y, "anc").where("a < b").groupBy("a", "b").agg(F.max("tot_node").alias("tot_lca"))
+        return common.join(t.select(F.col("node").alias("a"), F.col("tot").alias("tot_a")), "a").join(t.select(F.col("node").alias("b"), F.col("tot").alias("tot_b")), "b").select("a", "b", "tot_a", "tot_b", "tot_lca")
 
     def _profile(self) -> DataFrame:
         """(s, tot_lca, n): leaf pairs by their distance and their common ancestor's total.
 
         Counts of leaves by (node, child side, total) are made before the self join, so a node costs the
-        product of its sides' distinct totals, not of their leaves. Sides with one child drop out.
+        product of its sides' distinct totals, not of their leaves.
         """
         side = self.nodes.where("parent is not null").select(F.col("node"), F.col("parent").alias("v"))
         leaf = self.nodes.where("alive").select(F.col("node").alias("leaf"), F.col("tot").alias("t"))
@@ -138,9 +274,9 @@ class Lineage:
     def distance(self, *, pairwise: bool = False) -> DataFrame:
         """(idx, freq): leaf pairs by tot_a + tot_b - 2 tot_lca; trimmed."""
         if pairwise:
-            s = (F.col("tot_a") + F.col("tot_b") - 2 * F.col("tot_lca")).cast("bigint")
+            s = F.col("tot_a") + F.col("tot_b") - 2 * F.col("tot_lca")
             return self._dense(self.leaf_pairs().groupBy(s.alias("idx")).agg(F.count("*").alias("freq")))
-        return self._dense(self._profile().groupBy(F.col("s").cast("bigint").alias("idx")).agg(F.sum("n").cast("bigint").alias("freq")))
+        return self._dense(self._profile().groupBy(F.col("s").alias("idx")).agg(F.sum("n").cast("bigint").alias("freq")))
 
     def jaccard(self, n_bins: int, *, pairwise: bool = False) -> DataFrame:
         """(bin, freq): leaf pairs by s / (s + tot_lca) in ``n_bins`` equal bins (0 without mutations), by integers; not trimmed."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brindle.functions import keys, rand
 from brindle.operators import checks, flow
 from brindle.operators import frequency as fq
-from brindle.operators.lineage import Lineage, sample_leaves, with_poisson
+from brindle.operators.lineage import Lineage, ref_counts, sample_leaves, with_poisson
 from brindle.operators.range_min import range_min
 from brindle.sources import store as st
 from brindle.sources.shared import shared_dir
@@ -124,9 +124,13 @@ anc(leaf, node) AS (
   SELECT node, node FROM t WHERE alive
   UNION ALL SELECT a.leaf, t.parent FROM anc a JOIN t ON a.node = t.node WHERE t.parent IS NOT NULL),
 up(node, anc) AS (SELECT node, node FROM t UNION ALL SELECT u.node, t.parent FROM up u JOIN t ON u.anc = t.node WHERE t.parent IS NOT NULL),
-n AS (SELECT t.node, t.parent, t.mut, t.alive, l.nl, l.first, (SELECT NULL) AS x FROM t JOIN (SELECT node, count(*) AS nl, min(leaf) AS first FROM anc GROUP BY 1) l ON l.node = t.node),
+n AS (SELECT t.node, t.parent, t.mut, t.alive, l.nl FROM t JOIN (SELECT node, count(*) AS nl FROM anc GROUP BY 1) l ON l.node = t.node),
 tt AS (SELECT u.node, sum(t.mut) AS tot, count(*) AS depth FROM up u JOIN t ON t.node = u.anc GROUP BY 1),
-m AS (SELECT n.*, tt.tot, tt.depth FROM n JOIN tt ON tt.node = n.node),
+r0 AS (SELECT n.*, tt.tot, tt.depth FROM n JOIN tt ON tt.node = n.node),
+kc AS (SELECT parent, count(*) AS kids FROM r0 WHERE parent IS NOT NULL GROUP BY 1),
+q0 AS (SELECT r0.* FROM r0 LEFT JOIN kc ON kc.parent = r0.node WHERE r0.alive OR kc.kids = 2),
+cp AS (SELECT u.node, arg_max(u.anc, a.depth) AS cparent FROM up u JOIN q0 ON q0.node = u.node JOIN q0 a ON a.node = u.anc WHERE u.anc <> u.node GROUP BY 1),
+m AS (SELECT q0.node, cp.cparent AS parent, CAST(q0.tot - coalesce(a.tot, 0) AS BIGINT) AS mut, q0.alive, q0.nl, CAST(q0.tot AS BIGINT) AS tot, q0.depth FROM q0 LEFT JOIN cp ON cp.node = q0.node LEFT JOIN q0 a ON a.node = cp.cparent),
 {last}"""
 
 
@@ -147,12 +151,12 @@ def _(spark, d):
     return Lineage.build(_tree(spark, d)).burden()
 
 
-@_tree_query("tree_umbd", f"e AS (SELECT first, nl, sum(mut) AS i FROM m GROUP BY 1, 2), r AS (SELECT i, count(*) AS f FROM e GROUP BY 1) {_DENSE}")
+@_tree_query("tree_umbd", f"r AS (SELECT mut AS i, count(*) AS f FROM m GROUP BY 1) {_DENSE}")
 def _(spark, d):
     return Lineage.build(_tree(spark, d)).edge_histogram()
 
 
-@_tree_query("tree_umbd_pruned", f"e AS (SELECT first, nl, sum(mut) AS i FROM m GROUP BY 1, 2), r AS (SELECT i, count(*) AS f FROM e GROUP BY 1) {_DENSE}", pruned=True)
+@_tree_query("tree_umbd_pruned", f"r AS (SELECT mut AS i, count(*) AS f FROM m GROUP BY 1) {_DENSE}", pruned=True)
 def _(spark, d):
     return Lineage.build(_tree(spark, d, pruned=True)).edge_histogram()
 
@@ -181,11 +185,53 @@ def _(spark, d):
     return Lineage.build(_tree(spark, d)).n_leaves()
 
 
-@_tree_query("tree_children", "z AS (SELECT 1) SELECT parent AS node, min(node) AS child1, max(node) AS child2 FROM m WHERE parent IS NOT NULL GROUP BY 1 HAVING count(*) = 2")
+_CHILDREN = "z AS (SELECT 1) SELECT parent AS node, min(node) AS child1, max(node) AS child2 FROM m WHERE parent IS NOT NULL GROUP BY 1"
+
+
+@_tree_query("tree_children", _CHILDREN)
 def _(spark, d):
     return Lineage.build(_tree(spark, d)).children()
 
 
+@_tree_query("tree_children_pruned", _CHILDREN, pruned=True)
+def _(spark, d):
+    return Lineage.build(_tree(spark, d, pruned=True)).children()
+
+
+@_tree_query("tree_contracted", "z AS (SELECT 1) SELECT node, parent, mut AS unique_mutations, tot AS total_mutations FROM m", pruned=True)
+def _(spark, d):
+    return Lineage.build(_tree(spark, d, pruned=True)).contracted()
+
+
+@_tree_query("tree_saved", "z AS (SELECT 1) SELECT node, nl AS n_leaves FROM m", pruned=True)
+def _(spark, d):
+    path = f"{_fresh_root(spark)}/tree"
+    Lineage.build(_tree(spark, d, pruned=True)).save(path)
+    return Lineage.load(spark, path).n_leaves()
+
+
+@_tree_query("tree_euler_tour", """k AS (SELECT parent AS node, min(node) AS c1, max(node) AS c2 FROM m WHERE parent IS NOT NULL GROUP BY 1),
+f(node, pos) AS (
+  SELECT node, CAST(0 AS BIGINT) FROM m WHERE parent IS NULL
+  UNION ALL SELECT x.node, f.pos + CASE WHEN x.node = k.c1 THEN 1 ELSE 4 * y.nl - 1 END FROM f JOIN k ON k.node = f.node JOIN m x ON x.parent = f.node JOIN m y ON y.node = k.c1)
+SELECT pos, node FROM f
+UNION ALL SELECT f.pos + 4 * y.nl - 2, f.node FROM f JOIN k ON k.node = f.node JOIN m y ON y.node = k.c1
+UNION ALL SELECT f.pos + 4 * m.nl - 4, f.node FROM f JOIN k ON k.node = f.node JOIN m ON m.node = f.node""", pruned=True)
+def _(spark, d):
+    return Lineage.build(_tree(spark, d, pruned=True)).euler_tour()
+
+
+@_query("node_ref_counts", "SELECT c.c_custkey AS node, CASE WHEN c.c_custkey > 0 THEN (c.c_custkey - 1) // 2 END AS parent, (SELECT count(*) FROM customer k WHERE k.c_custkey > 0 AND (k.c_custkey - 1) // 2 = c.c_custkey) AS ref_count FROM customer c")
+def _(spark, d):
+    return ref_counts(_tree(spark, d))
+
+
+@_tree_query("pairwise_mutations_range", """c AS (SELECT x.node AS a, y.node AS b, max(m.tot) AS l FROM up x JOIN up y ON x.anc = y.anc AND x.node < y.node JOIN m ON m.node = x.anc WHERE x.node BETWEEN 20 AND 79 AND y.node BETWEEN 20 AND 79 GROUP BY 1, 2)
+SELECT c.a, c.b, p.tot AS tot_a, q.tot AS tot_b, l AS tot_lca FROM c JOIN m p ON p.node = c.a JOIN m q ON q.node = c.b""")
+def _(spark, d):
+    return Lineage.build(_tree(spark, d)).pairwise_mutations(20, 80)
+
+
 @_tree_query("tree_lca", """l AS (SELECT node FROM m WHERE alive), p AS (SELECT a.node AS a, b.node AS b FROM l a JOIN l b ON b.node = a.node + 7)
 SELECT a, b, arg_max(x.node, m.depth) AS lca FROM p JOIN anc x ON x.leaf = a JOIN anc y ON y.leaf = b AND y.node = x.node JOIN m ON m.node = x.node GROUP BY a, b""")
 def _(spark, d):

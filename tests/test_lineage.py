@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -25,6 +27,7 @@ def values(df, col="freq"):
     return [r[col] for r in df.orderBy(df.columns[0]).collect()]
 
 
+# Statistics that these four trees must have.
 GOLDEN = {
     "d0 d0 d1 d0 d1": ([0, 6, 2, 2], [0, 0, 2, 4], [1, 10], [0, 1, 0, 0], [0, 1 / 3, 0, 0], [0, 0, 2, 4, 1, 4, 4]),
     "d0 d0 d1 d0 d1 r0": ([0, 6, 2, 1], [0, 0, 2, 3], [1, 7, 1], [1, 0.5, 0, 0], [1 / 5, 1 / 6, 0, 0], [0, 0, 1, 3, 1, 3, 2]),
@@ -64,16 +67,75 @@ def test_pairwise_equals_convolution(spark):
     assert values(tree.jaccard(50)) == values(tree.jaccard(50, pairwise=True))
 
 
-def test_lca_children_and_depth(spark):
+def test_lca_and_contracted_children(spark):
+    """A chain of 41 nodes with a second leaf at its 20th: all the chain is joined to the nodes below."""
     n = 40
     rows = [(k, k - 1 if k else None, 1 if k else 0, k == n) for k in range(n + 1)] + [(n + 1, 20, 1, True)]
     tree = Lineage.build(spark.createDataFrame(rows, SCHEMA))
-    pairs = spark.createDataFrame([(n, n + 1)], "a bigint, b bigint")
-    assert tree.lca(pairs).collect()[0].lca == 20
-    assert [tuple(r) for r in tree.children().collect()] == [(20, 21, n + 1)]
+    pairs = spark.createDataFrame([(n, n + 1), (n, n), (20, n)], "a bigint, b bigint")
+    assert sorted(tuple(r) for r in tree.lca(pairs).collect()) == [(20, n, 20), (n, n, n), (n, n + 1, 20)]
+    assert [tuple(r) for r in tree.children().collect()] == [(20, n, n + 1)]
+    assert sorted(tuple(r) for r in tree.contracted().collect()) == [(20, None, 20, 20), (n, 20, 20, 40), (n + 1, 20, 1, 21)]
     assert check_binary(spark.createDataFrame([(1, 0, 1, True), (2, 0, 1, True), (3, 0, 1, True)], SCHEMA)).count() == 1
 
 
+def test_random_trees_equal_a_walk(spark):
+    """Contraction, tour, lowest common ancestors and pair totals of simulated trees, against plain Python."""
+    pdf = birth_death("walk", 3, 1.0, 0.4, 25, 8)
+    rows = [(n, None if p != p or p is None else int(p), (n * 7) % 4 if n else 0, bool(a)) for n, p, a in zip(pdf.node, pdf.parent.astype(object).where(pdf.parent.notna(), None), pdf.alive, strict=True)]
+    tree = Lineage.build(spark.createDataFrame(rows, SCHEMA))
+    parent, mut = {n: p for n, p, _, _ in rows}, {n: m for n, _, m, _ in rows}
+
+    def path(n):
+        return [] if n is None else [n, *path(parent[n])]
+
+    leaves = [n for n, _, _, a in rows if a]
+    below = Counter(x for n in leaves for x in path(n))
+    kids = Counter(parent[n] for n in below if parent[n] is not None)
+    kept = {n for n in below if n in leaves or kids[n] == 2}
+    up = {n: next((x for x in path(n)[1:] if x in kept), None) for n in kept}
+    total = {n: sum(mut[x] for x in path(n)) for n in below}
+    assert {tuple(r) for r in tree.contracted().collect()} == {(n, up[n], total[n] - total.get(up[n], 0), total[n]) for n in kept}
+    assert len(kept) == 2 * len(leaves) - 1
+
+    def walk(n):
+        two = sorted(x for x in kept if up[x] == n)
+        return [n] if not two else [n, *walk(two[0]), n, *walk(two[1]), n]
+
+    tour = walk(next(n for n in kept if up[n] is None))
+    assert [r.node for r in tree.euler_tour().orderBy("pos").collect()] == tour and len(tour) == 4 * len(leaves) - 3
+    for r in tree.n_leaves().collect():
+        first, last = tour.index(r.node), len(tour) - 1 - tour[::-1].index(r.node)
+        assert r.n_leaves == (last - first + 4) // 4
+
+    def low(a, b):
+        other = set(path(b))
+        return next(x for x in path(a) if x in other and x in kept)
+
+    pairs = [(a, b) for a in kept for b in kept if a < b]
+    got = {(r.a, r.b): r.lca for r in tree.lca(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == {(a, b): low(a, b) for a, b in pairs}
+    some = {(r.a, r.b): (r.tot_a, r.tot_b, r.tot_lca) for r in tree.pairwise_mutations(5, 30).collect()}
+    assert some == {(a, b): (total[a], total[b], total[low(a, b)]) for a, b in pairs if 5 <= a and b < 30}
+
+
+@pytest.mark.parametrize(
+    "rows, text",
+    [
+        ([(0, None, 0, False), (1, 0, 1, True)], "two alive leaves"),
+        ([(0, None, 0, False), (1, 0, 1, True), (2, 0, 1, True), (3, 0, 1, True)], "more than two children"),
+        ([(0, None, 0, False), (1, 0, 1, True), (2, None, 1, True)], "one root"),
+        ([(0, None, 0, False), (1, 0, 1, True), (2, 0, 1, True), (3, 9, 1, True)], "no node of the tree"),
+        ([(0, None, 0, False), (1, 0, 1, True), (2, 0, 1, True), (2, 0, 1, True)], "more than one row"),
+        ([(0, None, 0, False), (1, 0, 1, True), (2, 0, 1, True), (3, 4, 1, False), (4, 3, 1, False)], "cycle"),
+        ([(0, None, 0, False), (1, 0, 1, True), (2, 1, 1, True)], "alive node has children"),
+    ],
+)
+def test_trees_that_are_none(spark, rows, text):
+    with pytest.raises(ValueError, match=text):
+        Lineage.build(spark.createDataFrame(rows, SCHEMA))
+
+
 def test_sampling_and_poisson(spark):
     tree = spark.createDataFrame(grow("d0 d0 d1 d0 d1"), SCHEMA)
     assert sample_leaves(tree, 3, "p").where("alive").count() == 3
