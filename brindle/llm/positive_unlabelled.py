@@ -42,8 +42,8 @@ class FeatureSpec:
     """bits: log2 of the hashed word space; prefixes: lengths in bytes of word starts; shapes: use statistics.
 
     A hashed feature gets a weight only if ``min_support`` and a ``min_share`` of the sampled positives have it and its
-    share among them is ``min_ratio`` times its share among negatives (or theirs ``min_ratio`` times its, unless
-    ``evidence_only``); otherwise a linear scorer would learn single texts. The share among negatives is what the shares
+    share among them is ``min_ratio`` times its share among negatives (with ``min_z``, also if theirs is ``min_ratio`` times
+    its, unless ``evidence_only``); otherwise a linear scorer would learn single texts. The share among negatives is what the shares
     among unlabelled and positive rows leave by the prior.
     ``evidence_only`` keeps weights from going below zero: features argue for label 1 or not at all.
     ``rates``: a word or start that is at least one in so many words of its text is a further feature for each.
@@ -171,7 +171,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         expected = share_n * len(positive)
         z = (in_p - expected) / np.sqrt(expected + 1)
         keep = (in_p >= max(spec.min_support, spec.min_share * len(positive))) & (share_p >= spec.min_ratio * share_n) & (z >= spec.min_z)
-        if not spec.evidence_only:
+        if spec.min_z and not spec.evidence_only:
             keep |= (in_u >= spec.min_support) & (share_n >= spec.min_ratio * (in_p + 1) / len(positive)) & (z <= -spec.min_z)
         keep[1 << spec.bits :] = spec.shapes
         used = np.flatnonzero(keep)

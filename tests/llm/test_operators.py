@@ -3,6 +3,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -613,22 +614,57 @@ def test_search_fills_every_query_when_lists_are_left_out(spark):
 # Pages
 
 
-def test_pages_equal_their_articles(spark):
-    w = html_region.fit(html_region.labelled_pages())
+def article(page):
+    body = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    parts = [" ".join(html.unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?p>|<br>|</?h1>", body)]
+    return " ".join(p for p in parts if p)
+
+
+@pytest.fixture(scope="module")
+def weights():
+    return html_region.fit(html_region.labelled_pages())
+
+
+def test_pages_equal_their_articles(spark, weights):
+    """Also where the article and main tags are plain divs, so that nothing but the scan tells the text."""
     for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
-        body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
-        parts = [" ".join(html.unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?p>|<br>|</?h1>", body)]
-        assert html_region.extract(r.html, w) == " ".join(p for p in parts if p)
+        want = article(r.html)
+        assert html_region.extract(r.html, weights) == want
+        for name in ("div", "section", "main", "center"):
+            assert html_region.extract(re.sub(r"(</?)article", rf"\1{name}", r.html), weights) == want
+
+
+def test_weights_decide(spark, weights):
+    """Other weights, other regions: dear paragraphs leave one, cheap containers leave the notice in, words at a loss nothing."""
+    page = "<body><div>a notice of six words here</div><div><p>" + "</p><p>".join(["one two three four five six seven eight"] * 3) + "</p></div></body>"
+    w = html_region.Weights
+    one = " ".join(["one two three four five six seven eight"] * 3)
+    assert html_region.extract(page, weights) == one
+    assert html_region.extract(page, w(tag={"p": -9.0, "div": -9.0})) == "one two three four five six seven eight"
+    assert html_region.extract(page, w(tag={"p": -0.1, "div": -0.1})) == "a notice of six words here " + one
+    assert html_region.extract(page, w(word=dict.fromkeys(("home", "plain", "away", "link"), -1.0))) == ""
+    assert len(set(weights.tag.values())) > 3 and max(weights.tag.values()) < 0 < min(weights.word.values())
 
 
-def test_pages_odd(spark):
-    w = html_region.fit(html_region.labelled_pages())
+def test_deeply_nested_pages_take_linear_time(weights):
+    began = time.time()
+    for page in ("<b>" * 60_000 + "word " * 9 + "</i>" * 60_000, "<div><b>x " * 40_000 + "</p>" * 40_000, "<ul><li>x" * 30_000):
+        html_region.extract(page, weights)
+    assert time.time() - began < 20
+
+
+def test_pages_odd(spark, weights):
+    w = weights
     assert html_region.extract("<article>a b c <form>sign up</form><aside>q</aside> d &amp; e<script>if(a<b)'</p>'</script></article><div>t u v w x y z a b c d</div>", w) == "a b c d & e"
     assert html_region.extract("<body><nav>x</nav>hello &lt;b&gt; world</body>", w) == "hello <b> world"
     p = "<p>some words of the story go here and on and on</p>"
     assert "nice" not in html_region.extract(f"<div>{p}{p}</div><div class='comments'><p>nice post</p></div>", w)
     out = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, "u", "<p>x")], "page_id bigint, url string, html string")
     assert [(r.text, r.n_chars) for r in html_region.extract_pages(out).orderBy("page_id").collect()] == [("", 0), ("", 0), ("x", 1)]
+    clash = out.select("page_id", "html", F.lit(7).alias("text"), F.lit("n").alias("n_chars")).union(out.limit(1).selectExpr("page_id", "html", "7", "'n'"))
+    got = html_region.extract_pages(clash, weights, keep=("page_id", "text", "n_chars"))
+    assert got.columns == ["page_id", "text", "n_chars"] and got.count() == 4
+    assert html_region.extract_pages(out.limit(0), weights).count() == 0
 
 
 def test_best_region_is_the_best():
@@ -653,8 +689,26 @@ def test_pipeline_stages(spark):
     kept = out.cache()
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert 0.5 * d.count() < len(ids) <= d.count()
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    assert decontaminate.find_leaks(kept, bench).count() == 0
     assert kept.where(F.lower("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
     back = pieces.decode(kept.select("doc_id", "ids")).join(kept.select("doc_id", F.col("text").alias("t")), "doc_id")
     assert back.where("not (text <=> t)").count() == 0
+
+
+def test_pipeline_stages_equal_brute_force(spark, model):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    d = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").cache()
+    rows = d.collect()
+    place = brute_components([r.text for r in rows], 5)
+    assert sorted(r.doc_id for r in stages["near_dedup"](spark, d, SF).collect()) == [r.doc_id for k, r in enumerate(rows) if place[k][1] == k]
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    leaks = {rows[i].doc_id for i, _ in brute_leaks([r.text for r in rows], [r.text for r in bench])}
+    assert {r.doc_id for r in stages["decontaminate"](spark, d, SF).collect()} == {r.doc_id for r in rows} - leaks
+    codec = pieces.Codec.load(model)
+    some = stages["pieces"](spark, d.limit(12).withColumn("text", F.substring("text", 1, 1500)), SF).withColumn("k", F.xxhash64("doc_id")).collect()
+    for r in some:
+        parts = codec._stretches(r.text)
+        x = pieces._hash(codec.params.seed, r.k)
+        keys = pieces.textscan.mix(np.uint64(x) + np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
+        assert r.ids == [i for s, k in zip(parts, keys, strict=True) for i in brute_dropout(codec, s, k)]
