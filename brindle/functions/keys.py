@@ -26,8 +26,35 @@ def key_bool(c: Column) -> Column:
 
 
 def key_unsigned(c: Column, width: int) -> Column:
-    """Unsigned integers held in a long (or DECIMAL(20,0) for 8 bytes)."""
-    return _bytes(c.cast("bigint"), width)
+    """Unsigned integers held in a long, or for 8 bytes in any integral type up to DECIMAL(20,0); what doesn't fit fails the job."""
+    if width < 8:
+        return _bytes(c.cast("bigint"), width)
+    wide, word = c.cast("decimal(20,0)"), F.lit(1 << 32)
+    high = F.floor(wide / word).cast("decimal(20,0)")
+    bad = F.raise_error(F.concat(F.lit("not an unsigned 64-bit number: "), wide.cast("string"))).cast("binary")
+    key = F.concat(_bytes(high.cast("bigint"), 4), _bytes((wide - high * word).cast("bigint"), 4))
+    return F.when((wide < 0) | (high >= word), bad).otherwise(key)
+
+
+def key_wide(high: Column, low: Column, *, signed: bool) -> Column:
+    """16-byte integers held as two longs, the upper and the lower 64 bits."""
+    return F.concat(key_signed(high, 8) if signed else _bytes(high.cast("bigint"), 8), _bytes(low.cast("bigint"), 8))
+
+
+def key_of(df: DataFrame, *cols: str) -> Column:
+    """The joined key of some columns."""
+    return F.concat(*[encode(F.col(c), df.schema[c].dataType) for c in cols]) if cols else F.unhex(F.lit(""))
+
+
+def key_stochastic(df: DataFrame, params: list[str], repetition: str) -> Column:
+    """param, then the repetition as 8 unsigned bytes."""
+    return F.concat(key_of(df, *params), key_unsigned(F.col(repetition), 8))
+
+
+def key_dependent(df: DataFrame, params: list[str], source: Column, repetition: str | None = None) -> Column:
+    """param, the upstream result's key, and for a stochastic stage its repetition; keys of one parameter stand together."""
+    parts = [key_of(df, *params), source]
+    return F.concat(*parts, *([key_unsigned(F.col(repetition), 8)] if repetition else []))
 
 
 def key_signed(c: Column, width: int) -> Column:
@@ -55,6 +82,8 @@ def encode(c: Column, kind: T.DataType) -> Column:
         return key_float(c, WIDTHS[name])
     if name in WIDTHS:
         return key_signed(c, WIDTHS[name])
+    if name == "decimal(20,0)":
+        return key_unsigned(c, 8)
     if isinstance(kind, T.StructType):
         parts = [encode(c[f.name], f.dataType) for f in kind.fields]
         return F.concat(*parts) if parts else F.unhex(F.lit(""))
@@ -71,14 +100,17 @@ def width_of(kind: T.DataType, array_length: int | None = None) -> int:
         if array_length is None:
             raise TypeError("an array key needs a fixed length")
         return array_length * width_of(kind.elementType)
-    return WIDTHS[kind.simpleString()]
+    return 8 if kind.simpleString() == "decimal(20,0)" else WIDTHS[kind.simpleString()]
+
 
+def with_key(df: DataFrame, *cols: str, out: str = "key", check: bool = True, array_length: int | None = None) -> DataFrame:
+    """``df`` with the joined key of some columns; a key of another width than declared fails the job.
 
-def with_key(df: DataFrame, *cols: str, out: str = "key", check: bool = True) -> DataFrame:
-    """``df`` with the joined key of some columns; a key of another width than declared fails the job."""
-    key = F.concat(*[encode(F.col(c), df.schema[c].dataType) for c in cols])
-    if check and not any(isinstance(df.schema[c].dataType, T.ArrayType) for c in cols):
-        width = sum(width_of(df.schema[c].dataType) for c in cols)
+    Array columns need their one ``array_length`` to be checked.
+    """
+    key = key_of(df, *cols)
+    if check and (array_length is not None or not any(isinstance(df.schema[c].dataType, T.ArrayType) for c in cols)):
+        width = sum(width_of(df.schema[c].dataType, array_length) for c in cols)
         key = F.when(key.isNull() | (F.length(key) == width), key).otherwise(F.raise_error(F.lit(f"key is not {width} bytes wide")).cast("binary"))
     return df.withColumn(out, key)
 

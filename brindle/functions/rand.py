@@ -39,13 +39,24 @@ def uniforms(path: str, variables: list[str], key: Column, counter: Column | int
     return {v: uniform(path, v, key, counter) for v in variables}
 
 
-def sample_rows(df: DataFrame, key: str, amount: int, path: str, variable: str = "", partitions_hint: int | None = None) -> DataFrame:
-    """Exactly ``amount`` rows (all, if fewer) without replacement: those with the smallest draws.
+def sample_rows(df: DataFrame, key: str, amount: int, path: str, variable: str = "", *, few: int = 100_000, buckets: int = 1 << 16) -> DataFrame:
+    """Exactly ``amount`` rows (all, if fewer) without replacement: those with the smallest draws, ties by key.
 
-    A top-k over the draws, so only ``amount`` rows of each partition meet.
+    Up to ``few`` rows are a top-k. More are found by a histogram of the draws: whole buckets below the one in which the
+    amount is reached, and a top-k of that bucket, so no task holds the sample.
     """
     u = uniform(path, variable, F.col(key), 0)
-    return df.withColumn("_u", u).orderBy("_u", key).limit(amount).drop("_u")
+    rows = df.withColumn("_u", u)
+    if amount <= few:
+        return rows.orderBy("_u", key).limit(amount).drop("_u")
+    rows = rows.withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
+    left = amount
+    for r in rows.groupBy("_b").count().orderBy("_b").collect():  # at most ``buckets`` rows
+        if r["count"] > left:
+            some = rows.where(F.col("_b") == r["_b"]).orderBy("_u", key).limit(left)
+            return rows.where(F.col("_b") < r["_b"]).unionByName(some).drop("_u", "_b")
+        left -= r["count"]
+    return rows.drop("_u", "_b")
 
 
 def poisson(lam: float, path: str, variable: str, key: Column, max_draws: int = 128) -> Column:

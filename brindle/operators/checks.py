@@ -57,8 +57,8 @@ class Rule:
         ok = F.lit(True)
         for op, b in self.bounds:
             ok = ok & _OPS[op](c, F.lit(b))
-        if kind is None or isinstance(kind, (T.FloatType, T.DoubleType)):
-            ok = ok & ~F.isnan(c.cast("double"))
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            ok = ok & ~F.isnan(c)
         return F.coalesce(ok, F.lit(False))
 
     def check(self, value) -> None:
@@ -68,17 +68,21 @@ class Rule:
             raise InvalidParameter(self.label, value, self.expects)
 
 
+def _kind(df: DataFrame, rule: Rule) -> T.DataType | None:
+    return None if rule.predicate is not None else df.select(F.col(rule.column)).schema[0].dataType
+
+
 def passing(df: DataFrame, *rules: Rule) -> DataFrame:
     """The rows that meet all rules."""
     for r in rules:
-        df = df.where(r.holds())
+        df = df.where(r.holds(_kind(df, r)))
     return df
 
 
 def violations(df: DataFrame, *rules: Rule) -> DataFrame:
     """The rows that break a rule, once for each rule broken, with a ``violation`` text."""
     broken = [
-        F.when(~r.holds(), F.concat(F.lit(f"invalid parameter `{r.label}`: expected {r.expects}, got "), F.coalesce(F.col(r.column).cast("string"), F.lit("null"))))
+        F.when(~r.holds(_kind(df, r)), F.concat(F.lit(f"invalid parameter `{r.label}`: expected {r.expects}, got "), F.coalesce(F.col(r.column).cast("string"), F.lit("null"))))
         for r in rules
     ]
     return df.withColumn("violation", F.explode(F.filter(F.array(*broken), lambda x: x.isNotNull())))
@@ -88,5 +92,5 @@ def enforce(df: DataFrame, *rules: Rule) -> DataFrame:
     """``df``, failing the job at the first row that breaks a rule."""
     for r in rules:
         text = F.concat(F.lit(f"invalid parameter `{r.label}`: expected {r.expects}, got "), F.coalesce(F.col(r.column).cast("string"), F.lit("null")))
-        df = df.where(F.when(r.holds(), F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
+        df = df.where(F.when(r.holds(_kind(df, r)), F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
     return df

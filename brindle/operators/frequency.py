@@ -7,7 +7,7 @@ the dense forms; sparse counts keep null as a key, as ``groupBy`` does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,38 @@ def count_by(df: DataFrame, *keys: str | Column, out: str = "freq", count_type:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).cast(count_type).alias(out))
 
 
-def weighted_by(df: DataFrame, keys: list[str | Column], weight: str | Column, out: str = "freq") -> DataFrame:
-    """Sum of weights per distinct key."""
-    return df.groupBy(*keys).agg(F.sum(weight).alias(out))
+def weighted_by(df: DataFrame, keys: list[str | Column], weight: str | Column, out: str = "freq", count_type: str | None = None) -> DataFrame:
+    """Sum of weights per distinct key; a sum that doesn't fit ``count_type`` fails the job."""
+    total = F.sum(weight)
+    return df.groupBy(*keys).agg((total.cast(count_type) if count_type else total).alias(out))
+
+
+def sized(df: DataFrame, rows_per_partition: int | None = None) -> DataFrame:
+    """``df`` in partitions of about so many rows (default: one for each core), merged without a shuffle where there are more.
+
+    Counting needs no such call; it bounds the number of tasks where rows are few and partitions many.
+    """
+    if rows_per_partition is None:
+        return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+    if rows_per_partition < 1:
+        raise ValueError("rows_per_partition must be positive")
+    return df.coalesce(max(1, -(-df.count() // rows_per_partition)))
+
+
+def running_sums(df: DataFrame, key: str, freq: str, *, out: str = "before", block: int = 1 << 16) -> DataFrame:
+    """``df`` with the sum of ``freq`` over all smaller keys (distinct, not negative), 0 for the first.
+
+    Sums run within blocks of keys, in one task each; what the blocks before hold comes from a sum over blocks, of which there
+    are key range / ``block``.
+    """
+    b = F.floor(F.col(key) / block)
+    rows = df.withColumn("_block", b)
+    totals = rows.groupBy("_block").agg(F.sum(freq).alias("_sum"))
+    ahead = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_block", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.join(totals, "_block").withColumn(out, (F.col("_ahead") + F.coalesce(F.sum(freq).over(inside), F.lit(0))).cast("bigint"))
+    return found.drop("_block", "_ahead")
 
 
 def trim_trailing_zeros(df: DataFrame, key: str, freq: str) -> DataFrame:
@@ -28,11 +57,11 @@ def trim_trailing_zeros(df: DataFrame, key: str, freq: str) -> DataFrame:
     return df.join(F.broadcast(last), F.col(key) <= F.col("_last")).drop("_last")
 
 
-def dense_by(df: DataFrame, key: str, upper_bound: int, *, weight: str | None = None, checked: bool = True, out: str = "freq") -> DataFrame:
+def dense_by(df: DataFrame, key: str, upper_bound: int, *, weight: str | None = None, checked: bool = True, out: str = "freq", count_type: str | None = None) -> DataFrame:
     """Count (or sum of ``weight``) for every key in 0..upper_bound, trailing zeros cut.
 
     ``checked`` fails the job on a key outside the range; otherwise such rows are left out. The
-    spine has upper_bound + 1 rows and is generated in parallel.
+    spine has upper_bound + 1 rows and is generated in parallel. A sum that doesn't fit ``count_type`` fails the job.
     """
     if upper_bound < 0:
         raise ValueError("upper_bound must not be negative")
@@ -42,6 +71,7 @@ def dense_by(df: DataFrame, key: str, upper_bound: int, *, weight: str | None =
         k = F.when((k < 0) | (k > upper_bound), F.raise_error(message).cast("bigint")).otherwise(k)
     rows = df.where(F.col(key).isNotNull())
     agg = F.sum(weight) if weight else F.count(F.lit(1))
+    agg = agg.cast(count_type) if count_type else agg
     found = rows.select(k.alias("_k"), *([weight] if weight else [])).groupBy("_k").agg(agg.alias(out))
     kind = found.schema[out].dataType
     zero = F.lit(0).cast(kind)

@@ -28,3 +28,20 @@ def range_min(rows: DataFrame, queries: DataFrame, max_span: int) -> DataFrame:
     y = x.withColumn("r", (F.col("hi") - F.expr("shiftleft(1L, k)") + 1)).join(table.select("k", F.col("pos").alias("r"), F.col("best").alias("b2")), ["k", "r"])
     best = F.least("b1", "b2")
     return y.select("lo", "hi", best["val"].alias("val"), best["pos"].alias("pos"))
+
+
+def block_range_min(rows: DataFrame, queries: DataFrame, max_span: int, block: int = 16) -> DataFrame:
+    """(lo, hi, val, pos) of the inclusive ranges over places 0, 1, ..., by blocks: the ends within their blocks, whole blocks by a sparse table of their minima.
+
+    The table has a row for each block and level, so n / ``block`` x log2(``max_span`` / ``block``) rows. Ties go to the first place.
+    """
+    packed = rows.groupBy(F.expr(f"pos div {block}").alias("b")).agg(F.array_sort(F.collect_list(F.struct("pos", "val"))).alias("cells"))
+    least = lambda cells, lo, hi: F.array_min(F.transform(F.filter(cells, lambda x: (x["pos"] >= lo) & (x["pos"] <= hi)), lambda x: F.struct(x["val"].alias("val"), x["pos"].alias("pos"))))
+    q = queries.select("lo", "hi", F.expr(f"lo div {block}").alias("b1"), F.expr(f"hi div {block}").alias("b2"))
+    q = q.join(packed.select(F.col("b").alias("b1"), F.col("cells").alias("c1")), "b1").join(packed.select(F.col("b").alias("b2"), F.col("cells").alias("c2")), "b2")
+    q = q.select("lo", "hi", (F.col("b1") + 1).alias("first"), (F.col("b2") - 1).alias("last"), F.least(least(F.col("c1"), F.col("lo"), F.col("hi")), least(F.col("c2"), F.col("lo"), F.col("hi"))).alias("ends"))
+    minima = packed.select(F.col("b").alias("pos"), F.array_min(F.transform("cells", lambda x: F.struct(x["val"].alias("val"), x["pos"].alias("at")))).alias("val"))
+    inner = range_min(minima, q.where("first <= last").select(F.col("first").alias("lo"), F.col("last").alias("hi")).distinct(), max(1, max_span // block + 1))
+    found = inner.select(F.col("lo").alias("first"), F.col("hi").alias("last"), F.struct(F.col("val.val").alias("val"), F.col("val.at").alias("pos")).alias("whole"))
+    best = F.least("ends", "whole")
+    return q.join(found, ["first", "last"], "left").select("lo", "hi", best["val"].alias("val"), best["pos"].alias("pos"))

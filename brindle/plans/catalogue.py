@@ -7,16 +7,16 @@ and every node without a child is alive, except those of ``pruned`` queries that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.functions import keys, rand
+from brindle.functions import bits, keys, rand
 from brindle.operators import checks, flow
 from brindle.operators import frequency as fq
 from brindle.operators.lineage import Lineage, ref_counts, sample_leaves, with_poisson
-from brindle.operators.range_min import range_min
+from brindle.operators.range_min import block_range_min, range_min
 from brindle.sources import store as st
-from brindle.sources.shared import shared_dir
+from brindle.sources.shared import shared_dir, written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -100,6 +100,29 @@ def _(spark, d):
     return fq.count_by(_t(spark, d, "documents"), "source", "lang")
 
 
+@_query("freq_bounded_unchecked_weighted", _dense_sql("l_linenumber", "(SELECT * FROM lineitem WHERE l_linenumber <= 5)", "sum(CAST(l_quantity AS BIGINT))", 5))
+def _(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_linenumber", F.col("l_quantity").cast("bigint").alias("w"))
+    return fq.dense_by(rows, "l_linenumber", 5, weight="w", checked=False)
+
+
+@_query("hist_binned_single", """WITH b AS (SELECT CAST(CASE WHEN x <= 0 THEN 0 WHEN x >= 6 THEN 6 ELSE trunc(x) END AS INTEGER) AS bin, count(*) AS f
+FROM (SELECT CAST((CAST(l_discount AS FLOAT) - CAST(0.0 AS FLOAT)) * (CAST(7 AS FLOAT) / (CAST(0.1 AS FLOAT) - CAST(0.0 AS FLOAT))) AS FLOAT) AS x FROM lineitem) GROUP BY 1)
+SELECT CAST(range AS INTEGER) AS bin, CAST(coalesce(f, 0) AS BIGINT) AS freq FROM range(7) LEFT JOIN b ON bin = range""")
+def _(spark, d):
+    return fq.histogram(_t(spark, d, "lineitem").select(F.col("l_discount").cast("float").alias("x")), "x", 7, 0.0, 0.1)
+
+
+@_query("freq_typed", "SELECT l_returnflag, CAST(sum(l_quantity) AS INTEGER) AS freq FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return fq.weighted_by(fq.sized(_t(spark, d, "lineitem"), 20_000), ["l_returnflag"], "l_quantity", count_type="int")
+
+
+@_query("freq_running_sums", "SELECT p_size, CAST(coalesce(sum(n) OVER (ORDER BY p_size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT p_size, count(*) AS n FROM part GROUP BY 1)")
+def _(spark, d):
+    return fq.running_sums(fq.count_by(_t(spark, d, "part"), "p_size"), "p_size", "freq", block=7).select("p_size", "before")
+
+
 # Lineage
 
 
@@ -268,7 +291,20 @@ def _(spark, d):
     return Lineage.build(_tree(spark, d)).jaccard(20, pairwise=True)
 
 
-@_query("tree_poisson_sampled_sfs")
+def _sampled_sql() -> str:
+    u = "CAST(('0x' || substr(sha256('tree-v1|{v}|' || CAST({k} AS VARCHAR) || '|' || CAST({n} AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0"
+    draws = f"""pois(node, k, p) AS (
+  SELECT c_custkey, 1, {u.format(v="mutations", k="c_custkey", n="1")} FROM customer WHERE c_custkey > 0
+  UNION ALL SELECT node, k + 1, p * {u.format(v="mutations", k="node", n="k + 1")} FROM pois WHERE p > exp(-3.0)),
+drawn AS (SELECT node, max(k) - 1 AS mut FROM pois GROUP BY 1),
+inner_ AS (SELECT DISTINCT (c_custkey - 1) // 2 AS node FROM customer WHERE c_custkey > 0),
+sampled AS (SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT node FROM inner_) ORDER BY {u.format(v="", k="c_custkey", n="0")}, c_custkey LIMIT 100),
+t AS (SELECT c_custkey AS node, CASE WHEN c_custkey > 0 THEN (c_custkey - 1) // 2 END AS parent, coalesce(drawn.mut, 0) AS mut, c_custkey IN (SELECT node FROM sampled) AS alive FROM customer LEFT JOIN drawn ON drawn.node = c_custkey),"""
+    whole = _tree_sql(f"r AS (SELECT nl AS i, sum(mut) AS f FROM m GROUP BY 1) {_DENSE}")
+    return "WITH RECURSIVE " + draws + whole[whole.index("\nanc(leaf") :]
+
+
+@_query("tree_poisson_sampled_sfs", _sampled_sql())
 def _(spark, d):
     tree = sample_leaves(with_poisson(_tree(spark, d), 3.0, "tree-v1"), 100, "tree-v1")
     return Lineage.build(tree).site_spectrum()
@@ -286,6 +322,25 @@ def _(spark, d):
     return range_min(rows, queries, 10)
 
 
+@_query(
+    "range_minimum_blocks",
+    """WITH r AS (SELECT c_custkey - (SELECT min(c_custkey) FROM customer) AS pos, c_nationkey AS val FROM customer)
+SELECT a.pos AS lo, a.pos + 69 AS hi, min(b.val) AS val, arg_min(b.pos, CAST(b.val AS BIGINT) * 100000000 + b.pos) AS pos
+FROM r a JOIN r b ON b.pos BETWEEN a.pos AND a.pos + 69 WHERE a.pos % 5 = 0 AND a.pos + 69 <= (SELECT max(pos) FROM r) GROUP BY 1, 2""",
+)
+def _(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("val"))
+    ends = F.broadcast(c.agg(F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high")))
+    rows = c.join(ends).select((F.col("c_custkey") - F.col("low")).alias("pos"), "val", (F.col("high") - F.col("low")).alias("last"))
+    queries = rows.where("pos % 5 = 0 and pos + 69 <= last").select(F.col("pos").alias("lo"), (F.col("pos") + 69).alias("hi"))
+    return block_range_min(rows.select("pos", "val"), queries, 70)
+
+
+@_query("bit_fields", "SELECT o_orderkey, (o_orderkey >> 3) & 31 AS field, CAST(bit_count(o_orderkey & 248) AS INTEGER) AS ones, o_orderkey | 248 AS filled, o_orderkey & ~248 AS cleared, xor(o_orderkey, 248) AS flipped, (o_orderkey & ~248) | (o_custkey % 32) * 8 AS written FROM orders")
+def _(spark, d):
+    f, word = bits.BitField(3, 5), F.col("o_orderkey")
+    return _t(spark, d, "orders").select("o_orderkey", f.read(word).alias("field"), f.ones(word).alias("ones"), f.fill(word).alias("filled"), f.clear(word).alias("cleared"), f.flip(word).alias("flipped"), f.write(word, F.col("o_custkey")).alias("written"))
+
 
 # Keys
 
@@ -304,13 +359,50 @@ def _(spark, d):
 @_query("key_double_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS pos FROM orders")
 def _(spark, d):
     rows = keys.with_key(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
-    pairs = rows.select("o_orderkey", "key")
-    ordered = pairs.orderBy("key").withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
+    ordered = rows.select("o_orderkey", "key").orderBy("key").withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
+    ordered = written(ordered, "ordered")  # sorted once: both uses below read the same partitions
     size = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("low"))
-    before = F.broadcast(size.join(size.select(F.col("part").alias("p2"), F.col("n").alias("n2")), F.col("p2") < F.col("part"), "left").groupBy("part", "low").agg(F.coalesce(F.sum("n2"), F.lit(0)).alias("skip")))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = F.broadcast(size.select("part", "low", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("skip")))
     return ordered.join(before, "part").select("o_orderkey", (F.col("id") - F.col("low") + F.col("skip") + 1).alias("pos"))
 
 
+@_query("key_bool", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '01' ELSE '00' END AS key FROM orders")
+def _(spark, d):
+    rows = _t(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 3 == 0).alias("b"))
+    return keys.with_key(rows, "b").select("o_orderkey", F.hex("key").alias("key"))
+
+
+@_query("key_unsigned_64", "SELECT o_orderkey, printf('%016x', CAST(18446744073709551615 - o_orderkey AS UBIGINT)) AS key FROM orders")
+def _(spark, d):
+    rows = _t(spark, d, "orders").select("o_orderkey", (F.lit("18446744073709551615").cast("decimal(20,0)") - F.col("o_orderkey")).cast("decimal(20,0)").alias("u"))
+    return keys.with_key(rows, "u").select("o_orderkey", F.lower(F.hex("key")).alias("key"))
+
+
+@_query("key_wide", "SELECT c_custkey, printf('%016x', xor(CAST(-c_custkey AS BIGINT), CAST(-9223372036854775808 AS BIGINT))) || printf('%016x', CAST(c_custkey * 977 AS BIGINT)) AS key FROM customer")
+def _(spark, d):
+    c = F.col("c_custkey").cast("bigint")
+    return _t(spark, d, "customer").select("c_custkey", F.lower(F.hex(keys.key_wide(-c, c * 977, signed=True))).alias("key"))
+
+
+@_query("key_array", "SELECT c_custkey, printf('%08x', CAST(c_nationkey AS BIGINT) + 2147483648) || printf('%08x', CAST(-c_nationkey AS BIGINT) + 2147483648) AS key FROM customer")
+def _(spark, d):
+    n = F.col("c_nationkey").cast("int")
+    rows = _t(spark, d, "customer").select("c_custkey", F.array(n, -n).alias("a"))
+    return keys.with_key(rows, "a", array_length=2).select("c_custkey", F.lower(F.hex("key")).alias("key"))
+
+
+_K8 = "printf('%016x', xor(CAST({} AS BIGINT), CAST(-9223372036854775808 AS BIGINT)))"
+
+
+@_query("key_dependent", f"""SELECT l_orderkey, l_linenumber, {_K8.format('l_partkey')} || {_K8.format('l_orderkey')} || printf('%016x', CAST(l_linenumber AS BIGINT)) AS key,
+{_K8.format('l_orderkey')} || printf('%016x', CAST(l_linenumber AS BIGINT)) AS source FROM lineitem""")
+def _(spark, d):
+    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").cast("bigint"), "l_linenumber", F.col("l_partkey").cast("bigint"))
+    key = keys.key_dependent(rows, ["l_partkey"], keys.key_stochastic(rows, ["l_orderkey"], "l_linenumber"))
+    return rows.select("l_orderkey", "l_linenumber", F.lower(F.hex(key)).alias("key"), F.lower(F.hex(keys.source_part(key, 8, 16))).alias("source"))
+
+
 # Random streams
 
 _U = "CAST(('0x' || substr(sha256('demo-v1|{v}|' || CAST({k} AS VARCHAR) || '|' || CAST({n} AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0"
@@ -372,6 +464,86 @@ def _(spark, d):
     return twice.run(inputs).select("r_regionkey", "p_partkey", "value")
 
 
+@_query("stage_errors", "SELECT p_partkey, p_size % 7 <> 0 AS ok, CASE WHEN p_size % 7 <> 0 THEN 1000 // (p_size % 7) END AS value, CASE WHEN p_size % 7 = 0 THEN 'division by zero' END AS error FROM part UNION ALL SELECT NULL, true, 0, NULL")
+def _(spark, d):
+    part = _t(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("p_partkey"), F.col("p_size").cast("bigint").alias("p_size"))
+    inputs = part.unionByName(spark.createDataFrame([(None, 1001)], "p_partkey bigint, p_size bigint"))
+    left = F.col("p_size") % 7
+    value = F.when(F.col("p_partkey").isNull(), F.lit(0).cast("bigint")).when(left != 0, F.floor(1000 / left))
+    bad = F.when(F.col("p_partkey").isNotNull() & (left == 0), F.lit("division by zero"))
+    stage = flow.Stage("divide-v1", lambda rows: rows.select("p_partkey", value.alias("value"), bad.alias("error")), ["p_partkey"], st.ParquetStore(spark, _fresh_root(spark), "divide-v1"))
+    stage.results(inputs).count()  # the second pass takes the good ones from the store and fails the others again
+    return stage.results(inputs).select("p_partkey", "ok", "value", "error")
+
+
+_STREAM = "CAST(('0x' || substr(sha256('{p}|{v}|' || {k} || '|' || CAST({n} AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0"
+_REP = "CAST(p_partkey AS VARCHAR) || '/' || CAST(r AS VARCHAR)"
+
+
+@_query("stochastic_stage", f"""WITH i AS (SELECT p_partkey, CAST(range AS BIGINT) AS r FROM part, range(3) WHERE p_partkey % 4 = 0),
+w AS (SELECT *, {_STREAM.format(p='walk-v1', v='step', k=_REP, n=0)} + {_STREAM.format(p='walk-v1', v='step', k=_REP, n=1)} AS walk, {_STREAM.format(p='walk-v1', v='noise', k=_REP, n=0)} AS noise FROM i)
+SELECT p_partkey, r AS repetition_index, scale, round(walk, 9) AS walk, round(noise, 9) AS noise, round(walk * scale + {_STREAM.format(p='jitter-v1_walk-v1', v='jump', k="CAST(scale AS VARCHAR) || '/' || " + _REP, n=0)}, 9) AS moved
+FROM w, (SELECT CAST(unnest([2, 5]) AS INTEGER) AS scale)""")
+def _(spark, d):
+    provider = st.Provider(spark, "parquet", root=_fresh_root(spark))
+    walk = flow.stochastic("walk-v1", lambda rows, draw: rows.withColumns({"walk": draw("step") + draw("step", 1), "noise": draw("noise")}), ["p_partkey", "repetition_index"], ("step", "noise"), provider.bind("walk-v1"))
+    moved = walk.derive("jitter-v1", lambda rows, draw: rows.withColumn("moved", F.col("walk") * F.col("scale") + draw("jump")), params=["scale"], store=provider.bind("jitter-v1_walk-v1"), streams=("jump",))
+    params = flow.repeated(_t(spark, d, "part").where("p_partkey % 4 = 0").select("p_partkey"), 3)
+    inputs = params.withColumn("scale", F.explode(F.array(F.lit(2), F.lit(5))))
+    out = walk.run(moved.run(inputs))
+    return out.select("p_partkey", "repetition_index", "scale", *[F.round(c, 9).alias(c) for c in ("walk", "noise", "moved")])
+
+
+@_query("lru_store", "WITH k AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS n FROM part) SELECT p_partkey, n <= 10 OR n BETWEEN 31 AND 70 AS held FROM k WHERE n <= 80")
+def _(spark, d):
+    store = st.LruStore(50)
+    part = _t(spark, d, "part").orderBy("p_partkey").limit(80).select("p_partkey")
+    first = written(part.withColumn("n", F.row_number().over(Window.orderBy("p_partkey"))), "first")
+    twice = lambda rows: rows.select("p_partkey", (F.col("p_partkey") * 2).alias("v"))
+    for low, high in ((1, 40), (31, 70)):  # 40 keys, then 10 of these again and 30 more: 20 of the first must go
+        flow.get_or_compute(first.where(F.col("n").between(low, high)).select("p_partkey"), ["p_partkey"], store, twice).count()
+    held = store.read(["p_partkey"]).select("p_partkey", F.lit(True).alias("held"))
+    return first.join(held, "p_partkey", "left").select("p_partkey", F.coalesce("held", F.lit(False)).alias("held"))
+
+
+@_query("corrupt_is_miss", "SELECT p_partkey, p_size * 3 AS value, p_partkey % 5 = 0 AS computed FROM part")
+def _(spark, d):
+    part = _t(spark, d, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("p_size"))
+    plain = st.MemoryStore()
+    store = st.EncodedStore(plain, st.Codec(st.CompressPolicy("zstd", min_len=64)))
+    compute = lambda mark: lambda rows: rows.select("p_partkey", (F.col("p_size") * 3).alias("value"), F.lit(mark).alias("computed"))
+    store.append(compute(False)(part), ["p_partkey"])
+    hurt = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.substring("frame", 1, 7), F.unhex(F.lit("00")))).otherwise(F.col("frame"))
+    plain.append(plain.read(["p_partkey"]).withColumn("frame", hurt), ["p_partkey"])
+    return flow.get_or_compute(part, ["p_partkey"], store, compute(True)).select("p_partkey", "value", "computed")
+
+
+@_query("store_scan", "SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_partkey) AS pos FROM part")
+def _(spark, d):
+    store = st.ParquetStore(spark, _fresh_root(spark), "part-v1")
+    part = _t(spark, d, "part").select("p_partkey", "p_size")
+    store.append(part.withColumn("p_size", F.lit(0).cast(part.schema["p_size"].dataType)), ["p_partkey"])
+    store.append(part, ["p_partkey"])
+    store.compact(["p_partkey"])
+    rows = flow.serial(store.scan(["p_partkey"]), "p_partkey").withColumn("pos", F.monotonically_increasing_id() + 1)
+    return rows.select("p_partkey", "p_size", "pos")
+
+
+@_query("store_transcode", "SELECT count(*) FILTER (p_size > 10) AS migrated, count(*) FILTER (p_size <= 10) AS skipped, CAST(sum(p_size * 2) FILTER (p_size > 10) AS BIGINT) AS total FROM part")
+def _(spark, d):
+    root, part = _fresh_root(spark), _t(spark, d, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("p_size"))
+    a, b = (st.ParquetStore(spark, root, "part-v1", f) for f in ("plain-v1", "twice-v1"))
+    a.append(part, ["p_partkey"])
+    s = st.transcode_store(a, b, ["p_partkey"], lambda rows: rows.withColumn("refused", F.col("p_size") <= 10).withColumn("p_size", F.col("p_size") * 2))
+    return b.read(["p_partkey"]).agg(F.sum("p_size").alias("total")).select(F.lit(s["migrated"]).cast("bigint").alias("migrated"), F.lit(s["skipped"]).cast("bigint").alias("skipped"), "total")
+
+
+@_query("compressed_frames", "SELECT doc_id, 'ok' AS status, text FROM documents")
+def _(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", st.framed(F.encode("text", "utf-8"), st.CompressPolicy("lz4", min_len=200)).alias("frame"))
+    return rows.select("doc_id", st.unframed(F.col("frame")).alias("r")).select("doc_id", "r.status", F.decode("r.value", "utf-8").alias("text"))
+
+
 @_query("bounded_cache_lru", "SELECT user_id, max(event_id) AS last FROM events GROUP BY 1 ORDER BY last DESC LIMIT 50")
 def _(spark, d):
     return st.keep_recent(_t(spark, d, "events"), "user_id", "event_id", 50)
@@ -404,6 +576,13 @@ def _(spark, d):
     return checks.violations(_t(spark, d, "lineitem"), rule).select("l_orderkey", "l_linenumber", "l_partkey", "violation")
 
 
+@_query("violations_nested", "SELECT o_orderkey, 'invalid parameter `order.price`: expected < 50000.0, got ' || CAST(o_totalprice AS VARCHAR) AS violation FROM orders WHERE NOT o_totalprice < 50000.0")
+def _(spark, d):
+    rows = _t(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status")).alias("order"))
+    rules = checks.Rule("order.price", (("<", 50000.0),)), checks.Rule("order.status", ((">=", "A"),))
+    return checks.violations(rows, *rules).select("o_orderkey", "violation")
+
+
 @_query("passing_rows", "SELECT count(*) AS n FROM orders WHERE o_totalprice > 1000.0 AND o_totalprice <= 100000.0 AND length(o_orderstatus) = 1")
 def _(spark, d):
     rules = checks.Rule("o_totalprice", ((">", 1000.0), ("<=", 100000.0))), checks.Rule("o_orderstatus", predicate=F.length("o_orderstatus") == 1, expected="one letter")

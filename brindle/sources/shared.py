@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set."""
+    """spark.checkpoint.dir of the session; a temporary folder only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it names the folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.operators import frequency as fq
 
@@ -10,42 +11,53 @@ def dense(df, key, freq="freq"):
 
 
 def test_dense_counts(spark):
-    df = spark.createDataFrame([(k,) for k in (0, 1, 2, 1, 0, 3, 4, 2, 1)], "k bigint")
-    assert dense(fq.dense_by(df, "k", 4), "k") == [2, 3, 2, 1, 1]
-    assert dense(fq.dense_by(df, "k", 9), "k") == [2, 3, 2, 1, 1]
-    assert dense(fq.dense_by(df, "k", 2, checked=False), "k") == [2, 3, 2]
+    keys = [5, 2, 2, 7, 5, 5, 0, 3]
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    counted = [keys.count(k) for k in range(8)]
+    for bound in (7, 8, 30):  # what lies above the greatest key is cut
+        assert dense(fq.dense_by(df, "k", bound), "k") == counted
+    assert dense(fq.dense_by(df, "k", 4, checked=False), "k") == [1, 0, 2, 1]
     with pytest.raises(Exception, match="out of bounds"):
-        fq.dense_by(df, "k", 3).collect()
+        fq.dense_by(df, "k", 6).collect()
 
 
 def test_dense_weighted(spark):
-    df = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 1)], "k bigint, w bigint")
-    assert dense(fq.dense_by(df, "k", 3, weight="w"), "k") == [0, 3, 3, 1]
-    df = spark.createDataFrame([(0, 0.5), (1, 1.5), (1, 2.0)], "k bigint, w double")
-    assert dense(fq.dense_by(df, "k", 1, weight="w"), "k") == [0.5, 3.5]
-    assert dense(fq.dense_by(df.where("k > 5"), "k", 3), "k") == []
-    zeros = spark.createDataFrame([(0, 0), (2, 0)], "k bigint, w bigint")
-    assert dense(fq.dense_by(zeros, "k", 3, weight="w"), "k") == []
+    rows = [(4, 10), (2, 7), (4, 5), (6, 1)]
+    df = spark.createDataFrame(rows, "k bigint, w bigint")
+    assert dense(fq.dense_by(df, "k", 9, weight="w"), "k") == [sum(w for k, w in rows if k == x) for x in range(7)]
+    half = spark.createDataFrame([(2, 0.25), (1, 4.0), (2, 0.5)], "k bigint, w double")
+    assert dense(fq.dense_by(half, "k", 2, weight="w"), "k") == [0.0, 4.0, 0.75]
+    for none in (half.where("k > 5"), half.withColumn("w", F.lit(0.0))):
+        assert dense(fq.dense_by(none, "k", 3, weight="w"), "k") == []
 
 
 def test_sparse(spark):
-    df = spark.createDataFrame([("a", 2), ("b", 3), ("a", 1), ("c", 5)], "k string, w bigint")
-    assert {r.k: r.freq for r in fq.weighted_by(df, ["k"], "w").collect()} == {"a": 3, "b": 3, "c": 5}
-    s = spark.createDataFrame([((1, "a"),), ((2, "b"),), ((1, "a"),)], "k struct<x: int, y: string>")
-    assert sorted(r.freq for r in fq.count_by(s, "k").collect()) == [1, 2]
+    rows = [("red", 4), ("blue", 1), ("red", 6), ("green", 9), ("blue", 2)]
+    df = spark.createDataFrame(rows, "k string, w bigint")
+    assert {r.k: r.freq for r in fq.weighted_by(df, ["k"], "w").collect()} == {"red": 10, "blue": 3, "green": 9}
+    pairs = spark.createDataFrame([((8, "u"),), ((8, "u"),), ((8, "v"),), ((9, "u"),)], "k struct<x: int, y: string>")
+    assert sorted(r.freq for r in fq.count_by(pairs, "k").collect()) == [1, 1, 2]
 
 
 def test_histogram(spark):
-    df = spark.createDataFrame([(x,) for x in (0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0)], "v double")
-    assert dense(fq.histogram(df, "v", 4, 0.0, 1.0), "bin") == [2, 1, 2, 2]
-    odd = spark.createDataFrame([(x,) for x in (-0.5, 0.5, 1.5, math.nan, math.inf, -math.inf, None)], "v double")
-    assert dense(fq.histogram(odd, "v", 2, 0.0, 1.0), "bin") == [3, 3]
-    f32 = spark.createDataFrame([(x,) for x in (0.0, 0.3, 0.7, 1.0)], "v float")
-    assert dense(fq.histogram(f32, "v", 2, 0.0, 1.0), "bin") == [2, 2]
-    assert dense(fq.histogram(df.where("v > 5"), "v", 3, 0.0, 1.0), "bin") == [0, 0, 0]
-    w = spark.createDataFrame([(0.1, 2.0), (0.6, 3.0), (0.9, 1.5)], "v double, w double")
-    assert dense(fq.histogram(w, "v", 2, 0.0, 1.0, weight="w"), "bin") == [2.0, 4.5]
-    with pytest.raises(ValueError, match="at least one bin"):
-        fq.histogram(df, "v", 0, 0.0, 1.0)
-    with pytest.raises(ValueError, match="max > min"):
-        fq.histogram(df, "v", 2, 1.0, 1.0)
+    def plain(values, n, low, high):
+        out = [0] * n
+        for v in values:
+            x = (v - low) * (n / (high - low))
+            out[0 if math.isnan(x) or x <= 0 else min(n - 1, int(min(x, n)))] += 1
+        return out
+
+    values = [2.0, 2.5, 3.75, 4.0, 5.5, 9.9, 10.0, 6.125]
+    df = spark.createDataFrame([(x,) for x in values], "v double")
+    assert dense(fq.histogram(df, "v", 5, 2.0, 10.0), "bin") == plain(values, 5, 2.0, 10.0)
+    odd = [-7.0, 2.75, 88.0, math.nan, math.inf, -math.inf]
+    frame = spark.createDataFrame([(x,) for x in [*odd, None]], "v double")
+    assert dense(fq.histogram(frame, "v", 3, 2.0, 3.0), "bin") == plain(odd, 3, 2.0, 3.0) == [3, 0, 3]
+    single = spark.createDataFrame([(x,) for x in values], "v float")
+    assert dense(fq.histogram(single, "v", 5, 2.0, 10.0), "bin") == plain(values, 5, 2.0, 10.0)
+    assert dense(fq.histogram(df.where("v > 50"), "v", 4, 0.0, 1.0), "bin") == [0] * 4
+    w = spark.createDataFrame([(2.2, 8.0), (7.5, 0.5), (9.5, 0.25)], "v double, w double")
+    assert dense(fq.histogram(w, "v", 2, 2.0, 10.0, weight="w"), "bin") == [8.0, 0.75]
+    for bad, text in (((0, 0.0, 1.0), "at least one bin"), ((2, 1.0, 1.0), "max > min")):
+        with pytest.raises(ValueError, match=text):
+            fq.histogram(df, "v", *bad)

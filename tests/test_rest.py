@@ -1,4 +1,8 @@
+import decimal
+import functools
 import math
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +10,8 @@ from pyspark.sql import types as T
 
 from brindle.functions import bits, keys, rand
 from brindle.operators import checks, flow
-from brindle.operators.simulate import simulate_trees
+from brindle.operators import frequency as fq
+from brindle.operators.simulate import birth_death, population_sizes, simulate_trees
 from brindle.sources import store as st
 from brindle.streaming import frequency as sf
 
@@ -35,8 +40,8 @@ def test_key_order(spark):
 
 
 def test_bits(spark):
-    r = spark.createDataFrame([(0b1011_0110,)], "x int").select(bits.region(F.col("x"), 2, 3).alias("a"), bits.region_moved(F.col("x"), 4, 4).alias("b"), bits.ones_in(F.col("x"), 0, 4).alias("c"), bits.nibble(F.col("x"), 0).alias("d")).first()
-    assert tuple(r) == (0b10100, 0b1011, 2, 0b0110)
+    r = spark.createDataFrame([(0b1011_0110,)], "x int").select(bits.BitField(2, 3).of(F.col("x")).alias("a"), bits.BitField(4, 4).read(F.col("x")).alias("b"), bits.BitField(0, 4).ones(F.col("x")).alias("c"), bits.nibble(F.col("x"), 0).alias("d"), bits.BitField(1, 2).fill(F.col("x")).alias("e"), bits.BitField(1, 2).clear(F.col("x")).alias("f"), bits.BitField(1, 2).flip(F.col("x")).alias("g"), bits.BitField(4, 2).write(F.col("x"), F.lit(2)).alias("h")).first()
+    assert tuple(r) == (0b10100, 0b1011, 2, 0b0110, 0b1011_0110, 0b1011_0000, 0b1011_0000, 0b1010_0110)
 
 
 def test_poisson_moments(spark):
@@ -119,13 +124,16 @@ def test_store_last_write_wins_and_migration(spark, tmp_path):
 
 def test_frames(spark):
     assert st.crc32c(b"123456789") == 0xE3069283
+    slow = lambda data: functools.reduce(lambda c, b: (c >> 8) ^ st._CRC32C[(c ^ b) & 255], data, 0xFFFFFFFF) ^ 0xFFFFFFFF
+    for n in (0, 1, 63, 64, 65, 2047, 2048, 2049, 5000):
+        assert st.crc32c(bytes(k * k % 251 for k in range(n))) == slow(bytes(k * k % 251 for k in range(n)))
     big = b"abc" * 50_000
-    for v in (b"", b"x", big):
-        frame = st.compress_frame(v)
+    for v, algorithm in [(v, a) for v in (b"", b"x", big) for a in st.ALGORITHMS]:
+        frame = st.compress_frame(v, st.CompressPolicy(algorithm))
         assert st.read_frame(frame) == (v, "ok")
         assert st.read_frame(frame[:-1] + bytes([frame[-1] ^ 1]))[1] == "checksum"
     assert len(st.compress_frame(big)) < len(big) / 2
-    assert st.compress_frame(big, max_len=10) is None and st.read_frame(b"")[1] == "empty"
+    assert st.compress_frame(big, st.CompressPolicy(max_len=10)) is None and st.read_frame(b"")[1] == "empty"
     with pytest.raises(st.CodecError):
         bad = bytes([0x20]) + b"abc"
         st.read_frame(bad + st.crc32c(bad).to_bytes(4, "little"))
@@ -157,7 +165,152 @@ def test_streaming_counts(spark, tmp_path):
 
 
 def test_track_and_interrupt(spark):
-    df, started = flow.track(spark.range(10), spark)
-    assert df.count() == 10 and started() == 10
+    df, progress = flow.track(spark.range(10), lambda rows: rows.where("id % 2 = 0"))
+    assert df.count() == 5 and progress.snapshot() == {"total": 10, "started": 10, "in_flight": 5}
     with flow.interruptible(spark) as stop:
-        assert stop() == []
+        stop()
+
+    def slow(batches):
+        time.sleep(60)
+        yield from batches
+
+    began = time.time()
+    with pytest.raises(flow.Interrupted), flow.interruptible(spark) as stop:
+        timer = threading.Timer(3, stop)
+        timer.start()
+        spark.range(8).mapInArrow(slow, "id bigint").count()
+    assert time.time() - began < 40
+    with flow.in_pool(spark, "side"):
+        assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") == "side"
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
+def counting(spark, function):
+    """``function`` of a frame, and how many rows went into it."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def run(rows):
+        def count(batches):
+            for b in batches:
+                calls.add(b.num_rows)
+                yield b
+
+        return function(rows.mapInArrow(count, rows.schema))
+
+    return run, calls
+
+
+def test_null_keys_and_errors_are_computed_once(spark, tmp_path):
+    run, calls = counting(spark, lambda rows: rows.select("i", (F.col("i") + 1).alias("v"), F.when(F.col("i") == 2, "bad").alias("error")))
+    store = st.ParquetStore(spark, str(tmp_path), "once")
+    inputs = spark.createDataFrame([(1,), (2,), (None,), (1,)], "i bigint")
+    for n in (3, 4):  # the failed one again, and nothing else
+        got = sorted(((r.i, r.v, r.error) for r in flow.get_or_compute(inputs, ["i"], store, run).collect()), key=str)
+        assert got == sorted([(1, 2, None), (1, 2, None), (2, 3, "bad"), (None, None, None)], key=str) and calls.value == n
+
+
+def test_a_hit_skips_the_upstream_and_its_errors_pass_through(spark):
+    up, asked = counting(spark, lambda rows: rows.withColumn("u", F.col("k") * 10).withColumn("error", F.when(F.col("k") == 3, "no three")))
+    first = flow.Stage("up-v1", up, ["k"], st.MemoryStore())
+    second = first.derive("down-v1", lambda rows: rows.withColumn("v", F.col("u") + F.col("p")), params=["p"], store=st.MemoryStore())
+    inputs = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "p bigint, k bigint")
+    got = sorted((r.k, r.v, r.error) for r in second.results(inputs.where("k < 3")).collect())
+    assert got == [(1, 11, None), (2, 21, None)] and asked.value == 2
+    second.run(inputs.where("k < 3")).collect()
+    assert asked.value == 2
+    failed = second.results(inputs.where("k = 3")).first()
+    assert (failed.ok, failed.error, failed.v) == (False, "no three", None)
+    assert second.one(spark, p=1, k=2) == {"p": 1, "k": 2, "v": 21}
+    with pytest.raises(flow.BatchError):
+        second.one(spark, p=2, k=3)
+    with pytest.raises(flow.BatchError, match="no three"):
+        flow.collect_ordered(second.results(inputs), "p")
+    assert [r.k for r in flow.collect_ordered(second.run(inputs.where("k < 3")), "k")] == [1, 2]
+
+
+def test_streams_of_stages(spark):
+    stage = flow.stochastic("draw-v1", lambda rows, draw: rows.withColumns({"a": draw("a"), "b": draw("b"), "a2": draw("a", 1)}), ["k"], ("a", "b"))
+    got = {r.k: (r.a, r.b, r.a2) for r in stage.run(spark.range(50).withColumnRenamed("id", "k").repartition(5)).collect()}
+    assert got == {r.k: (r.a, r.b, r.a2) for r in stage.run(spark.range(50).withColumnRenamed("id", "k").coalesce(1)).collect()}
+    assert len({x for v in got.values() for x in v}) == 150
+    with pytest.raises(ValueError, match="no stream c"):
+        flow.stochastic("s", lambda rows, draw: rows.withColumn("c", draw("c")), ["k"], ("a",)).run(spark.range(1).withColumnRenamed("id", "k"))
+
+
+def test_lru_store_refreshes_on_reads(spark):
+    store = st.LruStore(2)
+    frame = lambda *ks: spark.createDataFrame([(k, k * 2) for k in ks], "k int, v int")
+    store.append(frame(1, 2), ["k"])
+    assert {r.v for r in store.read(["k"], among=frame(1).select("k")).collect()} == {2}
+    store.append(frame(3), ["k"])
+    assert {r.k for r in store.read(["k"]).collect()} == {1, 3}
+    with pytest.raises(ValueError):
+        st.LruStore(0)
+
+
+def test_encoded_store(spark, tmp_path):
+    provider = st.Provider(spark, "parquet", root=str(tmp_path)).with_codec(st.Codec(st.CompressPolicy("zlib", min_len=10, max_len=120)))
+    store = provider.bind("p-v1")
+    assert store is provider.bind("p-v1")
+    rows = spark.createDataFrame([(1, "x" * 40, 1.5), (2, None, None), (3, "y" * 400, 0.1)], "k int, s string, d double")
+    with pytest.warns(UserWarning, match="refused"):
+        store.append(rows, ["k"])
+    again = st.Provider(spark, "parquet", root=str(tmp_path), codec=provider.codec).bind("p-v1")
+    assert sorted(tuple(r) for r in again.read(["k"]).collect()) == [(1, "x" * 40, 1.5), (2, None, None)]
+    raw = again.store
+    raw.append(raw.read(["k"]).where("k = 1").withColumn("frame", F.expr("substring(frame, 2)")), ["k"])
+    with pytest.warns(UserWarning, match="corrupt"):
+        assert [r.k for r in again.read(["k"]).collect()] == [2]
+    raw.append(raw.read(["k"]).where("k = 2").withColumn("frame", F.lit(bytearray(bytes([0x20, 0]) + st.crc32c(bytes([0x20, 0])).to_bytes(4, "little")))), ["k"])
+    with pytest.raises(Exception, match="unknown frame version"):
+        again.read(["k"])
+    with pytest.raises(st.StoreError):
+        st.Provider(spark, "tape")
+
+
+def test_compaction_keeps_the_last_rows(spark, tmp_path):
+    store = st.ParquetStore(spark, str(tmp_path), "c-v1")
+    for v in ("a", "b", "c"):
+        store.append(spark.createDataFrame([(1, v), (None, v)], "k int, v string"), ["k"])
+    store.compact(["k"])
+    assert store.raw().count() == 2 and {(r.k, r.v) for r in store.read(["k"]).collect()} == {(1, "c"), (None, "c")}
+
+
+def test_wide_and_unsigned_keys(spark):
+    top = decimal.Decimal(2**64 - 1)
+    df = spark.createDataFrame([(top,), (decimal.Decimal(2**63),), (decimal.Decimal(0),), (None,)], "u decimal(20,0)")
+    got = {r.u: r.k for r in df.select("u", F.hex(keys.key_unsigned(F.col("u"), 8)).alias("k")).collect()}
+    assert got == {top: "F" * 16, decimal.Decimal(2**63): "8" + "0" * 15, decimal.Decimal(0): "0" * 16, None: None}
+    with pytest.raises(Exception, match="not an unsigned"):
+        spark.range(1).select(keys.key_unsigned(F.lit(decimal.Decimal(2**64)), 8)).collect()
+    with pytest.raises(Exception, match="wide"):
+        keys.with_key(spark.createDataFrame([([1, 2, 3],)], "a array<int>"), "a", array_length=2).collect()
+
+
+def test_large_samples_come_from_buckets(spark):
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    for n in (0, 1, 17, 2999, 3000, 5000):
+        a, b = ({r.k for r in rand.sample_rows(df, "k", n, "p", few=few, buckets=16).collect()} for few in (-1, 10**6))
+        assert a == b and len(a) == min(n, 3000)
+
+
+def test_population_sizes_equal_trees(spark):
+    p = spark.createDataFrame([(1, 1.0, 0.5, 20, 5), (2, 1.0, 0.1, 10, 1)], "tree_id bigint, birth double, death double, max_cells int, min_survivors int")
+    alive = {r.tree_id: r["count"] for r in simulate_trees(p, "s").where("alive").groupBy("tree_id").count().collect()}
+    assert {r.tree_id: r.cells for r in population_sizes(p, "s").collect()} == alive
+    with pytest.raises(Exception, match="no run of 5"):
+        birth_death("s", 1, 1e-9, 1.0, 50, 50, max_attempts=5)
+
+
+def test_sums_that_do_not_fit_fail(spark):
+    df = spark.createDataFrame([(1, 200), (1, 100)], "k int, w int")
+    assert fq.weighted_by(df, ["k"], "w", count_type="smallint").first().freq == 300
+    with pytest.raises(Exception, match="OVERFLOW|overflow"):
+        fq.weighted_by(df, ["k"], "w", count_type="tinyint").collect()
+    assert fq.sized(spark.range(100).repartition(8), 50).rdd.getNumPartitions() == 2
+
+
+def test_rules_on_text_columns(spark):
+    df = spark.createDataFrame([("b", (1.5,)), ("A", (math.nan,)), (None, None)], "s string, n struct<x: double>")
+    assert checks.passing(df, checks.Rule("s", ((">=", "a"),))).count() == 1
+    assert checks.passing(df, checks.Rule("n.x", ((">", 0.0),))).count() == 1
