@@ -1,31 +1,34 @@
-"""A bigram language model in Elias-Fano tries, built and queried shard by shard.
-
-Tokens of a text are its words (ASCII lower case, split at ASCII white space) and one end; the
-first token's context is a begin mark. The model interpolates by absolute discounting:
-``p(w | v) = max(c(vw) - D2, 0) / c(v) + D2 T(v) / c(v) * p1(w)`` and ``p1(w) = (c(w) - D1) / N``, with
-``D1 V / N`` for the unknown word; T(v) counts the different successors of v, and each D is
-n1 / (n1 + 2 n2) of the counts it discounts. Probabilities are stored in 16-bit codes, rounded
-down, so a context's probabilities never sum to more than one.
-
-A shard is a trie of two levels: contexts (sorted 64-bit hashes) with pointers into their
-successors (40 bits of the word's hash), kept as one monotone sequence by adding the context's
-rank. Keys and pointers are Elias-Fano sequences; a lookup takes the context's range from two
-pointers and searches the successor in it. ``Trie.to_bytes`` is one flat buffer that can be memory-mapped.
+"""A trigram language model in Elias-Fano tries, built and queried shard by shard.
+
+Tokens of a text are its words (ASCII lower case, split at ASCII white space) and one end; two
+begin marks stand before the first token. The model interpolates by absolute discounting:
+``p(w | u v) = max(c(uvw) - D, 0) / c(uv) + D T(uv) / c(uv) * p(w | v)``, the same one word shorter, and
+``p1(w) = (c(w) - D1) / N``, with ``D1 V / N`` for the unknown word; c of a context counts its occurrences, T its
+different successors, D is a parameter and D1 is n1 / (n1 + 2 n2) of the word counts. Where a context was never
+seen, the shorter one has all the weight. Probabilities and weights are stored in 16-bit codes, rounded down.
+
+A shard is a trie that reads contexts backwards. Level one has contexts v (sorted 64-bit hashes) and their
+successors (40 bits of the word's hash); level two has contexts u v under v, and their successors as places among the
+successors of v, so these are small numbers. Each level's contexts, its successors and the pointers into them are
+monotone (a node's range begins where the one before it ends) and kept as Elias-Fano sequences; a query finds v, then u under
+it, w among the successors of v, and that place among those of u v. ``Trie.to_bytes`` is one flat buffer; shards query
+theirs in a memory map.
 
 Work is dealt without a vocabulary in any one place. Texts become chunks of about
-``chunk_tokens`` tokens, a written table. Each chunk sends every shard the distinct words and
-bigrams that belong there, with their counts in training documents, as packed arrays; the shard
-adds them up, builds its trie and answers with codes in the order asked; the chunk's scores
-follow. A word's bigrams are in the word's shard, except for contexts with more than N /
-``hot_share`` occurrences (at most ``hot_share`` of them), which are spread by successor.
+``chunk_tokens`` tokens, a written table. A chunk sends a shard the trigrams whose middle word belongs there, as a small trie
+of its own with training counts, and the words; the shard adds them up, builds its trie and answers with codes in the order
+asked; the chunk's scores follow. A middle word with more than N / ``hot_share`` occurrences (at most ``hot_share``
+of them) is spread by the word before it, and its bigrams by their second word. Results don't depend on how work is dealt.
 
 Null texts count as empty (one token, the end). A document with a null id is scored, has a null
-held_out and is not learnt from. Repeated rows count and are scored each. Equal 64-bit hashes
-count as equal words, equal 40-bit successors within a context as equal successors.
+held_out and is not learnt from. Repeated rows count and are scored each. An empty table gives an empty result;
+columns other than doc_id and text are ignored. Equal 64-bit hashes
+count as equal words, equal 40-bit hashes in one place of the trie as equal there.
 """
 
 from __future__ import annotations
 
+import mmap
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,16 +41,19 @@ from brindle.llm.tables import Scratch
 
 END = np.uint64(0xE4D0000000000001)
 BEGIN = np.uint64(0xBE61000000000003)
-SUCCESSOR_BITS = 40
-_SUCC = np.uint64((1 << SUCCESSOR_BITS) - 1)
+BITS = 40
+_LOW = np.uint64((1 << BITS) - 1)
 CODE_STEPS = 4000
+# [b, k]: the place of the k-th bit that is not set in byte b
+_SELECT0 = np.array([[*[i for i in range(8) if not b >> i & 1], *[0] * 8][:8] for b in range(256)], np.int64)
 
 
 @dataclass(frozen=True)
 class Params:
     chunk_tokens: int = 2_000_000
-    shard_tokens: int = 3_000_000
+    shard_tokens: int = 2_000_000
     hot_share: int = 1000
+    discount: float = 0.75
 
 
 def to_codes(p: np.ndarray) -> np.ndarray:
@@ -62,14 +68,10 @@ def from_codes(c: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A non-decreasing sequence of 64-bit values: low bits packed, high bits in unary."""
+    """A non-decreasing sequence of 64-bit values: low bits packed, high bits in unary, and the zeros before each word of these."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little")) - np.arange(n)
-        top = int(ones[-1]) + 1 if n else 0
-        self.first = np.searchsorted(ones, np.arange(top + 1)).astype(np.int64)
-        self._ones = ones.astype(np.uint64)
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.zeros = n, low_bits, low, high, zeros
 
     @staticmethod
     def build(values: np.ndarray) -> EliasFano:
@@ -85,9 +87,10 @@ class EliasFano:
             over = np.flatnonzero(shift + np.uint64(bits) > 64)
             np.add.at(low, word[over] + 1, v[over] >> (np.uint64(64) - shift[over]))
         up = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        marks = np.zeros((int(up[-1]) if n else 0) + 1, np.uint8)
+        marks = np.zeros(-(-((int(up[-1]) if n else 0) + 2) // 64) * 64, np.uint8)
         marks[up] = 1
-        return EliasFano(n, bits, low, np.packbits(marks, bitorder="little"))
+        high = np.packbits(marks, bitorder="little").view(np.uint64)
+        return EliasFano(n, bits, low, high, np.cumsum(64 - np.bitwise_count(high).astype(np.int64)).astype(np.uint32))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -99,65 +102,123 @@ class EliasFano:
         v = np.where(over, v | (self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63))), v)
         return v & np.uint64((1 << self.low_bits) - 1)
 
+    def _ones_before_zero(self, h: np.ndarray) -> np.ndarray:
+        """How many values have a high part of at most h; h below the number of zeros."""
+        word = np.searchsorted(self.zeros, h, "right")
+        left = h - np.where(word > 0, self.zeros[np.maximum(word, 1) - 1].astype(np.int64), 0)
+        octets = self.high[word].view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(8 - np.bitwise_count(octets).astype(np.int64), axis=1)
+        k = (upto <= left[:, None]).sum(1)
+        row = np.arange(len(h))
+        left = left - np.where(k > 0, upto[row, np.maximum(k, 1) - 1], 0)
+        return word * 64 + k * 8 + _SELECT0[octets[row, k], left] - h
+
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return (self._ones[i] << np.uint64(self.low_bits)) | self._low(np.asarray(i))
+        i = np.asarray(i, np.int64)
+        ones = np.arange(1, len(self.high) + 1) * 64 - self.zeros.astype(np.int64)
+        word = np.searchsorted(ones, i, "right")
+        left = i - np.where(word > 0, ones[np.maximum(word, 1) - 1], 0)
+        octets = ~self.high[word].view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(8 - np.bitwise_count(octets).astype(np.int64), axis=1)
+        k = (upto <= left[:, None]).sum(1)
+        row = np.arange(len(i))
+        left = left - np.where(k > 0, upto[row, np.maximum(k, 1) - 1], 0)
+        top = word * 64 + k * 8 + _SELECT0[octets[row, k], left] - i
+        return (top.astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first value >= x (n if none), and whether it equals x."""
-        if not self.n:
+        if not self.n or not len(x):
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        top = int(self.zeros[-1])
         h = x >> np.uint64(self.low_bits)
-        top = len(self.first) - 1
         inside = h < np.uint64(top)
         h = np.where(inside, h, np.uint64(0)).astype(np.int64)
-        lo, end = self.first[h], self.first[h + 1]
+        end = self._ones_before_zero(h)
+        lo = np.where(h > 0, self._ones_before_zero(np.maximum(h, 1) - 1), 0)
         hi = end.copy()
         want = x & np.uint64((1 << self.low_bits) - 1)
-        while True:
-            live = lo < hi
-            if not live.any():
-                break
-            mid = (lo + hi) // 2
-            less = live & (self._low(np.minimum(mid, self.n - 1)) < want)
-            lo = np.where(less, mid + 1, lo)
-            hi = np.where(live & ~less, mid, hi)
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            mid = (lo[live] + hi[live]) // 2
+            less = self._low(mid) < want[live]
+            lo[live] = np.where(less, mid + 1, lo[live])
+            hi[live] = np.where(less, hi[live], mid)
+            live = live[lo[live] < hi[live]]
         equal = inside & (lo < end)
         equal &= self._low(np.minimum(lo, self.n - 1)) == want
         return np.where(inside, lo, self.n), equal
 
     def parts(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.low_bits], np.uint64), self.low, self.high]
+        return [np.array([self.n, self.low_bits], np.uint64), self.low, self.high, self.zeros]
+
+
+def _runs(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
 
 class Trie:
-    """Two levels: contexts with pointers, and their successors with 16-bit probabilities."""
+    """Contexts, successors and pointers of two levels as Elias-Fano sequences, with 16-bit probabilities and weights.
+
+    ``seqs``: contexts v; successors of v; where each v's begin; contexts u v; successors of u v as places; where each context's
+    places begin. ``codes``: probabilities and, a context each, weights of the shorter context, for both levels.
+    """
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
-        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
+    KINDS = (np.uint64, np.uint64, np.uint64, np.uint32)
+
+    def __init__(self, seqs: list[EliasFano], codes: list[np.ndarray]):
+        self.seqs, self.codes = seqs, codes
 
     @staticmethod
-    def build(context: np.ndarray, successor: np.ndarray, p: np.ndarray) -> Trie:
-        """From bigrams sorted by (context, successor), successors below 2**SUCCESSOR_BITS."""
-        keys, first = np.unique(context, return_index=True)
-        rank = np.repeat(np.arange(len(keys), dtype=np.uint64), np.diff(np.append(first, len(context))))
-        level = (rank << np.uint64(SUCCESSOR_BITS)) | successor
-        pointers = EliasFano.build(np.append(first, len(context)).astype(np.uint64))
-        return Trie(EliasFano.build(keys), pointers, EliasFano.build(level), to_codes(p))
-
-    def lookup(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Codes of bigrams, 0 where the trie has none."""
-        rank, known = self.contexts.successor(context)
-        rank = np.where(known, rank, 0)
-        at, found = self.successors.successor((rank.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor)
-        found &= known
-        if not found.any():
-            return np.zeros(len(context), np.uint16)
-        begin, end = self.pointers[rank].astype(np.int64), self.pointers[rank + 1].astype(np.int64)
-        found &= (at >= begin) & (at < end)
-        return np.where(found, self.codes[np.minimum(at, len(self.codes) - 1)], 0).astype(np.uint16)
+    def build(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, discount: float) -> Trie:
+        """From trigrams with counts above zero, in any order and repeated or not; u and w have ``BITS`` bits."""
+        c = count.astype(np.float64)
+        one, at1 = np.unique(v, return_inverse=True)
+        high = at1.astype(np.uint64) << np.uint64(BITS)
+        two, at2 = np.unique(high | u, return_inverse=True)
+        succ, at_s = np.unique(high | w, return_inverse=True)
+        above, of = (two >> np.uint64(BITS)).astype(np.int64), (succ >> np.uint64(BITS)).astype(np.int64)
+        kinds1 = np.bincount(of, minlength=len(one))
+        begin1 = _runs(kinds1)
+        begin2 = _runs(kinds1[above])
+        places, at_p = np.unique(begin2[at2] + at_s - begin1[at1], return_inverse=True)
+        of2 = np.searchsorted(begin2, places, "right") - 1
+        n1, n2 = np.bincount(at_s, c, len(succ)), np.bincount(at_p, c, len(places))
+        total1, total2 = np.bincount(of, n1, len(one)), np.bincount(of2, n2, len(two))
+        kinds2 = np.bincount(of2, minlength=len(two))
+        seqs = [EliasFano.build(np.asarray(x).astype(np.uint64)) for x in (one, succ, begin1, two, places, begin2)]
+        shares = [np.maximum(n1 - discount, 0) / total1[of], discount * kinds1 / total1, np.maximum(n2 - discount, 0) / total2[of2], discount * kinds2 / total2] if len(one) else [np.zeros(0)] * 4
+        return Trie(seqs, [to_codes(x) for x in shares])
+
+    def lookup(self, v: np.ndarray, node_v: np.ndarray, u: np.ndarray, pair_v: np.ndarray, w: np.ndarray, gram_node: np.ndarray, gram_pair: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Codes of a query trie: contexts v; contexts u under the ``node_v``-th v; successors w of the ``pair_v``-th v; trigrams as pairs of these.
+
+        Returns weights of v, probabilities of w after v, weights of u v, probabilities of the trigrams; 0 for unknown
+        successors, the code of 1 for unknown contexts.
+        """
+        one, succ, begin1, two, places, begin2 = self.seqs
+        p1, b1, p2, b2 = self.codes
+        whole = to_codes(np.ones(1))[0]
+
+        def pick(codes, at, ok, other):
+            return np.where(ok, codes[np.minimum(at, max(len(codes) - 1, 0))], other).astype(np.uint16) if len(codes) else np.full(len(at), other, np.uint16)
+
+        r1, ok1 = one.successor(v)
+        r1 = np.where(ok1, r1, 0).astype(np.uint64)
+        r2, ok2 = two.successor((r1[node_v] << np.uint64(BITS)) | u)
+        s, ok_s = succ.successor((r1[pair_v] << np.uint64(BITS)) | w)
+        ok2, ok_s = ok2 & ok1[node_v], ok_s & ok1[pair_v]
+        found = np.flatnonzero(ok2[gram_node] & ok_s[gram_pair])
+        code = np.zeros(len(gram_node), np.uint16)
+        if len(found):
+            node, pair = gram_node[found], gram_pair[found]
+            place = begin2[r2[node]] + s[pair].astype(np.uint64) - begin1[r1[pair_v[pair]].astype(np.int64)]
+            at, ok = places.successor(place)
+            code[found] = pick(p2, at, ok, 0)
+        return pick(b1, r1.astype(np.int64), ok1, whole), pick(p1, s, ok_s, 0), pick(b2, r2, ok2, whole), code
 
     def to_bytes(self) -> bytes:
-        parts = [x for ef in (self.contexts, self.pointers, self.successors) for x in ef.parts()] + [self.codes]
+        parts = [x for ef in self.seqs for x in ef.parts()] + self.codes
         head = np.array([len(parts), *[x.nbytes for x in parts]], np.uint64).tobytes()
         return head + b"".join(x.tobytes() + b"\0" * (-x.nbytes % 8) for x in parts)
 
@@ -169,29 +230,39 @@ class Trie:
         sizes = raw[8 : 8 + 8 * n].view(np.uint64).astype(np.int64)
         at, parts = 8 + 8 * n, []
         for k, size in enumerate(sizes):
-            kind = np.uint16 if k == n - 1 else np.uint8 if k % 3 == 2 else np.uint64
+            kind = Trie.KINDS[k % 4] if k < n - 4 else np.uint16
             parts.append(raw[at : at + size].view(kind))
             at += int(size + (-size % 8))
-        seq = [EliasFano(int(parts[k][0]), int(parts[k][1]), parts[k + 1], parts[k + 2]) for k in (0, 3, 6)]
-        return Trie(*seq, parts[-1])
-
+        seqs = [EliasFano(int(parts[k][0]), int(parts[k][1]), *parts[k + 1 : k + 4]) for k in range(0, n - 4, 4)]
+        return Trie(seqs, parts[n - 4 :])
 
-def _discount(counts: np.ndarray) -> float:
-    n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
-    return n1 / (n1 + 2 * n2) if n1 else 0.5
+    def mapped(self) -> Trie:
+        """The same in a memory map."""
+        data = self.to_bytes()
+        memory = mmap.mmap(-1, len(data))
+        memory.write(data)
+        return Trie.open(memory)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return pa.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), codec="zstd", asbytes=True)
-
-
-def _unpack(blob: bytes, *layout: tuple[type, int]) -> list[np.ndarray]:
-    size = sum(np.dtype(t).itemsize * n for t, n in layout)
-    raw = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True)
+    """Arrays, byte plane by byte plane, compressed; those of 64 bits called for in ``_unpack`` with 5 bytes lose their upper three."""
+    planes = []
+    for a in arrays:
+        a, width = a if isinstance(a, tuple) else (a, a.itemsize)
+        planes.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1)[:, :width].T.tobytes() if len(a) else b"")
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, *layout: tuple[type, int] | tuple[type, int, int]) -> list[np.ndarray]:
+    width = [x[2] if len(x) > 2 else np.dtype(x[0]).itemsize for x in layout]
+    size = sum(b * x[1] for b, x in zip(width, layout, strict=True))
+    raw = np.frombuffer(pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
     out, at = [], 0
-    for t, n in layout:
-        out.append(np.frombuffer(raw, t, n, at))
-        at += np.dtype(t).itemsize * n
+    for b, x in zip(width, layout, strict=True):
+        wide = np.zeros((x[1], np.dtype(x[0]).itemsize), np.uint8)
+        wide[:, :b] = raw[at : at + b * x[1]].reshape(b, x[1]).T
+        out.append(wide.view(x[0]).ravel())
+        at += b * x[1]
     return out
 
 
@@ -255,23 +326,83 @@ class _Chunk:
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.token[self.train], minlength=len(self.words))
 
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (context word number, -1 for the begin; word number), training counts, and each token's bigram."""
-        before = np.empty_like(self.token)
-        before[1:] = self.token[:-1]
-        before[self.first[:-1]] = -1
-        w = len(self.words)
-        key, at = np.unique((before + 1) * w + self.token, return_inverse=True)
-        return key // w - 1, key % w, np.bincount(at[self.train], minlength=len(key)), at
-
-    def dealt(self, hot: np.ndarray, shards: int):
-        """Shard of each word, and contexts, successors, counts and shard of each distinct bigram, with each token's bigram."""
-        a, b, count, at = self.bigrams()
-        context = np.where(a < 0, BEGIN, self.words[np.maximum(a, 0)])
-        word = self.words[b]
-        spread = np.isin(context, hot)
-        shard = np.where(spread, textscan.mix(context ^ (word & np.uint64(1023))), context) % np.uint64(shards)
-        return (self.words % np.uint64(shards)).astype(np.int64), context, word & _SUCC, count, shard.astype(np.int64), at
+    def deal(self, hot: np.ndarray, shards: int) -> _Dealt:
+        return _Dealt(self, hot, shards)
+
+
+class _Dealt:
+    """A chunk's words, bigrams and trigrams in the order of the shards they belong to.
+
+    Per shard: contexts v (``vs``), contexts u v (``nodes``), pairs v w (``pairs``), trigrams (``grams``) as a node and a pair, and
+    the bigrams (``bigs``) of hot words. ``cuts`` has where each shard's begin.
+    """
+
+    def __init__(self, c: _Chunk, hot: np.ndarray, shards: int):
+        w = len(c.words)
+        hashes = np.append(c.words, BEGIN)
+        v, u = np.full(len(c.token), w), np.full(len(c.token), w)
+        v[1:] = c.token[:-1]
+        v[c.first[:-1]] = w
+        u[2:] = c.token[:-2]
+        u[c.first[:-1]] = w
+        second = c.first[:-1][c.size > 1] + 1
+        u[second] = w
+        base = w + 1
+        node, at_node = np.unique(v * base + u, return_inverse=True)
+        big, at_big = np.unique(v * base + c.token, return_inverse=True)
+        gram, first, at_gram = np.unique(at_node * base + c.token, return_index=True, return_inverse=True)
+        is_hot = np.isin(hashes, hot)
+        hv, hu = hashes[node // base], hashes[node % base]
+        spread = is_hot[node // base]
+        shard = (np.where(spread, textscan.mix(hv ^ (hu & np.uint64(1023))), hv) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.node, self.node_shard = node[order], shard[order]
+        gram_node, gram_big = place[at_node[first]], at_big[first]
+        self.pair, gram_pair = np.unique(self.node_shard[gram_node] * len(big) + gram_big, return_inverse=True)
+        order = np.lexsort((gram_pair, gram_node))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.gram_node, self.gram_pair, self.gram_word = gram_node[order], gram_pair[order], (gram % base)[order]
+        self.at_gram = place[at_gram]
+        self.count = np.bincount(self.at_gram[c.train], minlength=len(order))
+        self.pair_shard, self.pair_big = self.pair // len(big), self.pair % len(big)
+        self.pair_v, self.pair_w = big[self.pair_big] // base, big[self.pair_big] % base
+        # contexts v of each shard: those of its nodes, which are those of its pairs
+        self.v, self.node_v = np.unique(self.node_shard * base + self.node // base, return_inverse=True)
+        self.pair_in_v = np.searchsorted(self.v, self.pair_shard * base + self.pair_v)
+        self.v_shard, self.v_hash = self.v // base, hashes[self.v % base]
+        self.v_hot = is_hot[self.v % base]
+        self.u_hash, self.w_hash = hashes[self.node % base], hashes[self.pair_w]
+        own = np.flatnonzero(is_hot[big // base])
+        hb = hashes[big[own] // base]
+        shard = (textscan.mix(hb ^ (hashes[big[own] % base] & np.uint64(1023)) ^ np.uint64(0x5B)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        self.big, self.big_shard, self.big_v, self.big_w = own[order], shard[order], hb[order], hashes[big[own] % base][order]
+        self.big_count = np.bincount(at_big[c.train], minlength=len(big))[self.big]
+        self.n_big = len(big)
+        self.word_shard = (c.words % np.uint64(shards)).astype(np.int64)
+        self.word_order = np.argsort(self.word_shard, kind="stable")
+        ends = np.arange(shards + 1)
+        self.cuts = {
+            "words": np.searchsorted(self.word_shard[self.word_order], ends),
+            "v": np.searchsorted(self.v_shard, ends),
+            "node": np.searchsorted(self.node_shard, ends),
+            "pair": np.searchsorted(self.pair_shard, ends),
+            "gram": np.searchsorted(self.node_shard[self.gram_node], ends),
+            "big": np.searchsorted(self.big_shard, ends),
+        }
+
+    def part(self, name: str, s: int) -> slice:
+        return slice(int(self.cuts[name][s]), int(self.cuts[name][s + 1]))
+
+
+SIZES = ("w", "v", "n", "p", "g", "b")
+
+
+def _sizes(d: _Dealt, s: int) -> list[int]:
+    return [d.part(x, s).stop - d.part(x, s).start for x in ("words", "v", "node", "pair", "gram", "big")]
 
 
 def _rows(batches):
@@ -295,11 +426,13 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
         for row in _rows(batches):
             c = _Chunk(row)
             count = c.word_counts()
-            own = (c.words % np.uint64(shards)).astype(np.int64)
-            used = count > 0
-            for s in np.unique(own[used]).tolist():
-                m = used & (own == s)
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([int(m.sum())], pa.int64()), pa.array([_pack(c.words[m], count[m].astype(np.uint32))], pa.binary())], ["shard", "n", "body"])
+            used = np.flatnonzero(count > 0)
+            own = (c.words[used] % np.uint64(shards)).astype(np.int64)
+            used = used[np.argsort(own, kind="stable")]
+            cut = np.searchsorted(np.sort(own), np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(cut)).tolist():
+                m = used[cut[s] : cut[s + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([len(m)], pa.int64()), pa.array([_pack(c.words[m], count[m].astype(np.uint32))], pa.binary())], ["shard", "n", "body"])
 
     def sum_words(table):
         w, c = zip(*[_unpack(r["body"], (np.uint64, r["n"]), (np.uint32, r["n"])) for r in _rows(table.to_batches())], strict=True)
@@ -317,119 +450,108 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
         hot[int(BEGIN)] = n_docs
     hot.pop(int(END), None)
     hot_words = np.array(sorted(hot), np.uint64)
-    hot_count = np.array([hot[int(h)] for h in hot_words], np.int64)
+    hot_count = np.array([hot[int(h)] for h in hot_words], np.float64)
     unknown = d1 * v / n if n else 1.0
 
+    def layout(r):
+        return ((np.uint64, r["w"]), (np.uint32, r["w"]), (np.uint64, r["v"]), (np.uint32, r["v"]), (np.uint32, r["v"]), (np.uint64, r["n"], 5), (np.uint32, r["n"]), (np.uint64, r["p"], 5), (np.uint32, r["g"]), (np.uint32, r["g"]), (np.uint64, r["b"]), (np.uint64, r["b"], 5), (np.uint32, r["b"]))
+
     def ask(batches):
         for row in _rows(batches):
             c = _Chunk(row)
-            own, context, word, count, shard, _ = c.dealt(hot_words, shards)
+            d = c.deal(hot_words, shards)
             local = c.word_counts()
-            starts = int((c.fold == 0).sum())
-            by = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[by], np.arange(shards + 1))
+            nodes_of_v, pairs_of_v = np.bincount(d.node_v, minlength=len(d.v)), np.bincount(d.pair_in_v, minlength=len(d.v))
+            grams_of_node = np.bincount(d.gram_node, minlength=len(d.node))
+            begin = _runs(pairs_of_v)
+            rel = d.gram_pair - begin[d.node_v[d.gram_node]]
             for s in range(shards):
-                m, g = own == s, by[cut[s] : cut[s + 1]]
-                ctx, first = np.unique(context[g], return_index=True)
-                order = np.argsort(context[g], kind="stable")
-                g = g[order]
-                ctx, run = np.unique(context[g], return_counts=True)
-                body = _pack(c.words[m], local[m].astype(np.uint32), ctx, run.astype(np.uint32), count[g].astype(np.uint32), np.ascontiguousarray(word[g]).view(np.uint8).reshape(-1, 8)[:, :5])
-                cols = [s, c.name, int(m.sum()), len(ctx), len(g), starts if s == int(BEGIN % np.uint64(shards)) else 0, body]
-                if cols[2] or cols[4]:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, ask_types, strict=True)], ask_names)
-
-    ask_names = ["shard", "chunk", "w", "k", "b", "starts", "body"]
-    ask_types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                size = _sizes(d, s)
+                if not any(size):
+                    continue
+                m, pv, pn, pp, pg, pb = d.word_order[d.part("words", s)], *(d.part(x, s) for x in ("v", "node", "pair", "gram", "big"))
+                u32 = lambda x: x.astype(np.uint32)
+                body = _pack(c.words[m], u32(local[m]), d.v_hash[pv], u32(nodes_of_v[pv]), u32(pairs_of_v[pv]), (d.u_hash[pn], 5), u32(grams_of_node[pn]), (d.w_hash[pp], 5), u32(rel[pg]), u32(d.count[pg]), d.big_v[pb], (d.big_w[pb], 5), u32(d.big_count[pb]))
+                cols = [s, c.name, *size, body]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, ask_types, strict=True)], ask_names)
+
+    ask_names = ["shard", "chunk", *SIZES, "body"]
+    ask_types = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]
+    ask_schema = "shard long, chunk string, w long, v long, n long, p long, g long, b long, body binary"
 
     def answer(table):
-        asked = []
-        for r in _rows(table.to_batches()):
-            words, local, ctx, run, count, succ = _unpack(r["body"], (np.uint64, r["w"]), (np.uint32, r["w"]), (np.uint64, r["k"]), (np.uint32, r["k"]), (np.uint32, r["b"]), (np.uint8, 5 * r["b"]))
-            wide = np.zeros((r["b"], 8), np.uint8)
-            wide[:, :5] = succ.reshape(-1, 5)
-            asked.append((r, words, local, np.repeat(ctx, run), wide.view(np.uint64).ravel(), count, ctx))
+        asked = [(r, _unpack(r["body"], *layout(r))) for r in ({k: x for k, x in row.items()} for row in _rows(table.to_batches()))]
+        for r, _ in asked:
+            r.pop("body")
         shard = asked[0][0]["shard"]
-        words, at = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([a[2] for a in asked]).astype(np.float64), len(words)).astype(np.int64)
-        n_starts = sum(a[0]["starts"] for a in asked)
-        context, succ = np.concatenate([a[3] for a in asked]), np.concatenate([a[4] for a in asked])
-        count = np.concatenate([a[5] for a in asked]).astype(np.int64)
-        used = count > 0
-        context, succ, count = context[used], succ[used], count[used]
-        order = np.lexsort((succ, context))
-        context, succ, count = context[order], succ[order], count[order]
-        new = np.ones(len(context), bool)
-        new[1:] = (context[1:] != context[:-1]) | (succ[1:] != succ[:-1])
-        at = np.flatnonzero(new)
-        count = np.add.reduceat(count, at) if len(at) else count
-        context, succ = context[at], succ[at]
-        d2 = _discount(count)
-
-        def context_counts(c):
-            out = np.zeros(len(c), np.int64)
-            i = np.minimum(np.searchsorted(words, c), max(len(words) - 1, 0))
-            if len(words):
-                out = np.where(words[i] == c, total[i], 0)
-            out = np.where(c == BEGIN, n_starts, out)
-            if len(hot_words):
-                i = np.minimum(np.searchsorted(hot_words, c), len(hot_words) - 1)
-                out = np.where(hot_words[i] == c, hot_count[i], out)
-            return out
-
-        seen = context_counts(context)
-        trie = Trie.open(Trie.build(context, succ, (count - d2) / np.maximum(seen, 1)).to_bytes())
-        keys, kinds = np.unique(context, return_counts=True)
-        is_hot = np.isin(keys, hot_words)
-        mass = d2 * kinds / np.maximum(context_counts(keys), 1)
-        p1 = to_codes(np.where(total > 0, (total - d1) / max(n, 1), unknown))
-        out = []
-        for r, own, _, c, b, _, ctx in asked:
-            i = np.searchsorted(words, own)
-            j = np.minimum(np.searchsorted(keys, ctx), max(len(keys) - 1, 0))
-            back = np.where(keys[j] == ctx, mass[j], 1.0) if len(keys) else np.ones(len(ctx))
-            out.append((r["chunk"], shard, r["w"], r["k"], r["b"], _pack(total[i].astype(np.uint64), p1[i], to_codes(back), trie.lookup(c, b))))
-        out.append((None, shard, 0, int(is_hot.sum()), 0, _pack(keys[is_hot], mass[is_hot])))
-        names = ["chunk", "shard", "w", "k", "b", "body"]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-    asked = chunks.mapInArrow(ask, "shard long, chunk string, w long, k long, b long, starts long, body binary")
-    answers = scratch.write(asked.groupBy("shard").applyInArrow(answer, "chunk string, shard long, w long, k long, b long, body binary"), "answers")
-
-    def spread_mass(batches):
+        words, at = np.unique(np.concatenate([a[0] for _, a in asked]), return_inverse=True)
+        count = np.bincount(at, np.concatenate([a[1] for _, a in asked]).astype(np.float64), len(words))
+        p1 = to_codes(np.where(count > 0, (count - d1) / max(n, 1), unknown))
+        shape, learnt = [], []
+        for r, (_, _, vs, nu, nw, u, ng, w, rel, c, *_) in asked:
+            node_v, pair_v = np.repeat(np.arange(r["v"]), nu), np.repeat(np.arange(r["v"]), nw)
+            gram_node = np.repeat(np.arange(r["n"]), ng)
+            gram_pair = _runs(nw.astype(np.int64))[node_v[gram_node]] + rel
+            shape.append((vs, node_v, u, pair_v, w, gram_node, gram_pair))
+            k = np.flatnonzero(c)
+            learnt.append((vs[node_v[gram_node[k]]], u[gram_node[k]], w[gram_pair[k]], c[k]))
+        trie = Trie.build(*(np.concatenate(x) for x in zip(*learnt, strict=True)), p.discount).mapped()
+        del learnt
+        # bigrams of hot words: their context's count is known, its weight is summed over shards
+        hv, hw = (np.concatenate([a[k] for _, a in asked]) for k in (10, 11))
+        rank = np.searchsorted(hot_words, hv).astype(np.uint64) if len(hv) else np.zeros(0, np.uint64)
+        bigs, at_b = np.unique((rank << np.uint64(BITS)) | hw, return_inverse=True)
+        big_count = np.bincount(at_b, np.concatenate([a[12] for _, a in asked]).astype(np.float64), len(bigs)) if len(hv) else np.zeros(0)
+        of = (bigs >> np.uint64(BITS)).astype(np.int64)
+        big_code = to_codes(np.maximum(big_count - p.discount, 0) / np.maximum(hot_count[of], 1)) if len(bigs) else np.zeros(0, np.uint16)
+        kinds = np.bincount(of[big_count > 0], minlength=len(hot_words))
+        out, lo = [], 0
+        for (r, a), x in zip(asked, shape, strict=True):
+            i = np.searchsorted(words, a[0])
+            codes = trie.lookup(*x)
+            out.append((r["chunk"], shard, *[r[k] for k in SIZES], _pack(count[i].astype(np.uint64), p1[i], *codes, big_code[at_b[lo : lo + r["b"]]])))
+            lo += r["b"]
+        k = np.flatnonzero(kinds)
+        out.append((None, shard, len(k), 0, 0, 0, 0, 0, _pack(hot_words[k], kinds[k].astype(np.int64))))
+        types = [pa.string(), *[pa.int64()] * 7, pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["chunk", "shard", *SIZES, "body"])
+
+    asked = chunks.mapInArrow(ask, ask_schema)
+    answers = scratch.write(asked.groupBy("shard").applyInArrow(answer, "chunk string, shard long, w long, v long, n long, p long, g long, b long, body binary"), "answers")
+    del asked
+    scratch.release()
+
+    def spread_kinds(batches):
         for r in _rows(batches):
-            keys, mass = _unpack(r["body"], (np.uint64, r["k"]), (np.float64, r["k"]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(mass)], ["v", "mass"])
+            keys, kinds = _unpack(r["body"], (np.uint64, r["w"]), (np.int64, r["w"]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kinds)], ["v", "kinds"])
 
-    shared_mass = answers.where("chunk is null").mapInArrow(spread_mass, "v long, mass double").groupBy("v").agg(F.sum("mass").alias("mass")).collect()
-    hot_mass = {r.v & (2**64 - 1): r.mass for r in shared_mass}  # one for each hot context
-    hot_back = np.array([hot_mass.get(int(h), 1.0) for h in hot_words])
+    shared = answers.where("chunk is null").mapInArrow(spread_kinds, "v long, kinds long").groupBy("v").agg(F.sum("kinds").alias("kinds")).collect()
+    kinds = {r.v & (2**64 - 1): r.kinds for r in shared}  # one for each hot word
+    hot_back = from_codes(to_codes(np.array([p.discount * kinds.get(int(h), 0) for h in hot_words]) / np.maximum(hot_count, 1))) if len(hot_words) else np.zeros(0)
 
     def finish(left, right):
         out = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
         got = {r["shard"]: r for r in _rows(right.to_batches())}
         for row in _rows(left.to_batches()):
             c = _Chunk(row)
-            own, context, word, _, shard, at = c.dealt(hot_words, shards)
-            count, p1 = np.zeros(len(c.words), np.int64), np.zeros(len(c.words))
-            alpha, back = np.zeros(len(context)), np.ones(len(context))
-            by = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[by], np.arange(shards + 1))
+            d = c.deal(hot_words, shards)
+            count, p1 = np.zeros(len(c.words)), np.zeros(len(c.words))
+            back1, back2 = np.ones(len(d.v)), np.ones(len(d.node))
+            prob2, prob3, big = np.zeros(len(d.pair)), np.zeros(len(d.gram_node)), np.zeros(d.n_big)
             for s, r in got.items():
-                total, code, mass, codes = _unpack(r["body"], (np.uint64, r["w"]), (np.uint16, r["w"]), (np.uint16, r["k"]), (np.uint16, r["b"]))
-                m, g = own == s, by[cut[s] : cut[s + 1]]
-                count[m], p1[m] = total.astype(np.int64), from_codes(code)
-                g = g[np.argsort(context[g], kind="stable")]
-                _, where = np.unique(context[g], return_inverse=True)
-                alpha[g], back[g] = from_codes(codes), from_codes(mass)[where]
+                total, code, b1, p2, b2, p3, pb = _unpack(r["body"], (np.uint64, r["w"]), (np.uint16, r["w"]), (np.uint16, r["v"]), (np.uint16, r["p"]), (np.uint16, r["n"]), (np.uint16, r["g"]), (np.uint16, r["b"]))
+                m = d.word_order[d.part("words", s)]
+                count[m], p1[m] = total, from_codes(code)
+                back1[d.part("v", s)], prob2[d.part("pair", s)] = from_codes(b1), from_codes(p2)
+                back2[d.part("node", s)], prob3[d.part("gram", s)] = from_codes(b2), from_codes(p3)
+                big[d.big[d.part("big", s)]] = from_codes(pb)
             if len(hot_words):
-                i = np.minimum(np.searchsorted(hot_words, context), len(hot_words) - 1)
-                back = np.where(hot_words[i] == context, np.minimum(hot_back[i], 1.0), back)
-            b = np.bincount(at, minlength=len(context)) > 0
-            word_of = np.zeros(len(context), np.int64)
-            word_of[at] = c.token
-            prob = np.log10(np.maximum(np.where(b, alpha + back * p1[word_of], 1.0), 1e-300))
+                back1[d.v_hot] = hot_back[np.searchsorted(hot_words, d.v_hash[d.v_hot])]
+                spread = d.v_hot[d.pair_in_v]
+                prob2[spread] = big[d.pair_big[spread]]
+            shorter = prob2[d.gram_pair] + back1[d.node_v[d.gram_node]] * p1[d.gram_word]
+            prob = np.log10(np.maximum(prob3 + back2[d.gram_node] * shorter, 1e-300))
             base = np.log10((count + 1) / (n + v + 1))
             at0 = c.first[:-1]
             out["doc_id"] += c.ids
@@ -438,7 +560,7 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
             out["n_known"] += np.add.reduceat((count > 0)[c.token].astype(np.int64), at0).tolist()
             out["train_tokens"] += [n] * len(c.size)
             out["base_score"] += np.add.reduceat(base[c.token], at0).tolist()
-            out["score"] += np.add.reduceat(prob[at], at0).tolist()
+            out["score"] += np.add.reduceat(prob[d.at_gram], at0).tolist()
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(x, t) for x, t in zip(out.values(), kinds, strict=True)], names=list(out))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 import numpy as np
@@ -10,16 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it is unset (tests)."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="brindle-")
-        sc.setCheckpointDir(path)
-        path = sc.getCheckpointDir() or path
-    return path.rstrip("/")
+from brindle.sources.shared import shared_dir
 
 
 class Scratch:
@@ -45,6 +36,11 @@ class Scratch:
         for t in [t for t in self.tables if not any(t is k for k in kept)]:
             self.drop(t)
 
+    def release(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of steps whose results are written and whose frames are gone."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that no later DataFrame reads."""
         self.tables = [t for t in self.tables if t is not df]

@@ -193,58 +193,75 @@ def test_refinement_finds_every_repeated_window_without_sorting_suffixes():
 def test_lm_counts_and_held_out(spark):
     rng = random.Random(1)
     texts = [*ODD, *[rand_text(rng, rng.randrange(1, 60), 50) for _ in range(60)]]
-    p = ngram_lm.Params(chunk_tokens=300, shard_tokens=400, hot_share=20)
-    got = {r.doc_id: r for r in ngram_lm.score(docs(spark, texts), p).collect()}
+    texts += texts[10:14]
+    params = [ngram_lm.Params(), ngram_lm.Params(chunk_tokens=300, shard_tokens=400, hot_share=20), ngram_lm.Params(chunk_tokens=200, shard_tokens=150, hot_share=100_000)]
+    runs = [{r.doc_id: r for r in ngram_lm.score(docs(spark, texts).repartition(2), p).collect()} for p in params]
     toks = [[*(t or "").encode().lower().split(), 0] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     c = Counter(w for t, h in zip(toks, held, strict=True) if not h for w in t)
     n, v = sum(c.values()), len(c)
     for i, t in enumerate(toks):
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
-        assert r.score <= 0
-    # the model itself, by plain counting, with everything in one shard
-    big = Counter()
+        for got in runs:
+            r = got[i]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
+            assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
+        # one shard, many shards, hot words or none: the same scores
+        assert runs[1][i].score == pytest.approx(runs[0][i].score, abs=1e-9) and runs[2][i].score == pytest.approx(runs[0][i].score, abs=1e-9)
+    # the model itself, by plain counting
+    grams = [Counter(), Counter()]
     for t, h in zip(toks, held, strict=True):
         if not h:
-            big.update(zip([1, *t], t, strict=False))
-    seen, kinds = {**c, 1: held.count(False)}, Counter(a for a, _ in big)
+            grams[0].update(zip([1, *t], t, strict=False))
+            grams[1].update(zip([1, 1, *t], [1, *t], t, strict=False))
+    seen = [Counter(), Counter()]
+    kinds = [Counter(), Counter()]
+    for k in (0, 1):
+        for g, x in grams[k].items():
+            seen[k][g[:-1]] += x
+            kinds[k][g[:-1]] += 1
+    ones = Counter(c.values())
+    d1, d = ones[1] / (ones[1] + 2 * ones[2]), ngram_lm.Params().discount
+
+    def prob(context, w, k):
+        if k < 0:
+            return (c[w] - d1) / n if c[w] else d1 * v / n
+        low = prob(context[1:], w, k - 1)
+        if not seen[k][context]:
+            return low
+        return max(grams[k][*context, w] - d, 0) / seen[k][context] + d * kinds[k][context] / seen[k][context] * low
 
-    def discount(counts):
-        k = Counter(counts)
-        return k[1] / (k[1] + 2 * k[2])
-
-    d1, d2 = discount(c.values()), discount(big.values())
-
-    def prob(a, b):
-        p1 = (c[b] - d1) / n if c[b] else d1 * v / n
-        if not seen.get(a):
-            return p1
-        return max(big[a, b] - d2, 0) / seen[a] + d2 * kinds[a] / seen[a] * p1
-
-    for p in (ngram_lm.Params(), ngram_lm.Params(chunk_tokens=200, hot_share=20)):
-        again = {r.doc_id: r.score for r in ngram_lm.score(docs(spark, texts), p).collect()}
-        for i, t in enumerate(toks):
-            want = sum(math.log10(prob(a, b)) for a, b in zip([1, *t], t, strict=False))
-            assert again[i] == pytest.approx(want, abs=0.001 * len(t) + 0.001)
+    for i, t in enumerate(toks):
+        want = sum(math.log10(prob((a, b), w, 1)) for a, b, w in zip([1, 1, *t], [1, *t], t, strict=False))
+        assert runs[0][i].score == pytest.approx(want, abs=0.002 * len(t))
+    for context in list(seen[1])[:40]:  # probabilities of known words and of the unknown one add up
+        assert sum(prob(context, w, 1) for w in c) + prob(context, "never", 1) == pytest.approx(1)
 
 
 def test_trie_round_trip_from_a_memory_map(tmp_path):
     rng = np.random.default_rng(2)
-    ctx = np.sort(rng.integers(0, 2**64, 300, dtype=np.uint64))
-    context = np.repeat(ctx, rng.integers(1, 9, 300))
-    succ = rng.integers(0, 2**40, len(context), dtype=np.uint64)
-    order = np.lexsort((succ, context))
-    context, succ = context[order], succ[order]
-    prob = rng.random(len(context))
+    n = 4000
+    v, u, w = rng.integers(0, 2**64, 60, dtype=np.uint64)[rng.integers(0, 60, n)], rng.integers(0, 2**40, 30, dtype=np.uint64)[rng.integers(0, 30, n)], rng.integers(0, 2**40, 40, dtype=np.uint64)[rng.integers(0, 40, n)]
+    count = rng.integers(1, 5, n)
+    built = ngram_lm.Trie.build(v, u, w, count, 0.75)
     path = tmp_path / "trie"
-    path.write_bytes(ngram_lm.Trie.build(context, succ, prob).to_bytes())
-    trie = ngram_lm.Trie.open(np.memmap(path, np.uint8, "r"))
-    got = ngram_lm.from_codes(trie.lookup(context, succ))
-    assert (got <= prob + 1e-12).all() and np.allclose(got, prob, rtol=1e-3)
-    assert not trie.lookup(context, (succ + np.uint64(1)) % np.uint64(2**40)).any()
-    assert not trie.lookup(context ^ np.uint64(1), succ).any()
+    path.write_bytes(built.to_bytes())
+    tri, duo, of_tri, of_duo = Counter(), Counter(), Counter(), Counter()
+    for a, b, c, x in zip(v.tolist(), u.tolist(), w.tolist(), count.tolist(), strict=True):
+        tri[a, b, c] += x
+        duo[a, c] += x
+        of_tri[a, b] += x
+        of_duo[a] += x
+    asked = [(int(v[i]), int(u[i]), int(w[j])) for i in range(0, n, 7) for j in range(0, n, 401)] + [(1, 2, 3), (int(v[0]), 5, int(w[0])), (int(v[0]), int(u[0]), 6)]
+    a, b, c = (np.array(x, np.uint64) for x in zip(*asked, strict=True))
+    i = np.arange(len(asked))
+    for trie in (built, built.mapped(), ngram_lm.Trie.open(np.memmap(path, np.uint8, "r"))):
+        back1, p1, back2, p2 = (ngram_lm.from_codes(x) for x in trie.lookup(a, i, b, i, c, i, i))
+        for k, (x, y, z) in enumerate(asked):
+            assert p2[k] == pytest.approx(max(tri[x, y, z] - 0.75, 0) / of_tri[x, y] if of_tri[x, y] else 0, rel=1e-3)
+            assert p1[k] == pytest.approx(max(duo[x, z] - 0.75, 0) / of_duo[x] if of_duo[x] else 0, rel=1e-3)
+            assert back2[k] == pytest.approx(0.75 * sum(g[:2] == (x, y) for g in tri) / of_tri[x, y] if of_tri[x, y] else 1, rel=1e-3)
+            assert back1[k] == pytest.approx(0.75 * sum(g[0] == x for g in duo) / of_duo[x] if of_duo[x] else 1, rel=1e-3)
+    assert len(built.to_bytes()) < 12 * len(tri) + 2000
 
 
 def test_elias_fano_successor():
