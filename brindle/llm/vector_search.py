@@ -87,6 +87,11 @@ def fit(sample: np.ndarray, n: int, p: Params) -> Index:
     return Index(c, rotation, min(lists, probes))
 
 
+def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component to the last, whatever the machine."""
+    return np.cumsum(x * q, axis=1)[:, -1] if len(x) else np.zeros(0)
+
+
 def scan(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, floor: np.ndarray, rotation: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, vector position, score) of each query's k best in one block, best first.
 
@@ -119,7 +124,7 @@ def scan(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, floor:
                 i, j, far, most = i[keep], j[keep], far[keep], most[keep]
         other = ids[lo + i] != qids[j]
         i, j = i[other], j[other]
-        score = np.einsum("ij,ij->i", x[lo + i], q[j])
+        score = inner(x[lo + i], q[j])
         all_q, all_x, all_s = np.concatenate([best_q, j]), np.concatenate([best_x, lo + i]), np.concatenate([best_s, score])
         order = np.lexsort((ids[all_x], -all_s, all_q))
         all_q, all_x, all_s = all_q[order], all_x[order], all_s[order]
@@ -148,7 +153,8 @@ def floors(q: np.ndarray, qids: np.ndarray, probed: np.ndarray, ix: Index, k: in
             best = np.take_along_axis(s, top, 1)
             out[lo : lo + 512] = best.min(1)
             row = np.flatnonzero(np.isfinite(best.min(1)))
-            for got, v in zip(found, (np.repeat(lo + row, k), ix.sample_ids[top[row]].ravel(), best[row].ravel()), strict=True):
+            of, at = np.repeat(lo + row, k), top[row].ravel()
+            for got, v in zip(found, (of, ix.sample_ids[at], inner(ix.sample[at], q[of])), strict=True):
                 got.append(v)
     return out, *map(np.concatenate, found)
 

@@ -7,12 +7,13 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import bwt_dedup, decontaminate, html_region, near_dedup, ngram_lm, pieces, positive_unlabelled, quality, secrets, toxicity, vector_search
+from brindle.llm import bwt_dedup, decontaminate, html_region, near_dedup, ngram_lm, pieces, positive_unlabelled, quality, queries, secrets, toxicity, vector_search
 from brindle.llm.tables import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -692,6 +693,19 @@ def test_best_region_is_the_best():
         assert sum(s[a:b]) == pytest.approx(max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))]))
 
 
+# SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, SF).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 # Pipeline
 
 
