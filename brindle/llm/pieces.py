@@ -59,7 +59,7 @@ def _hash(*values: int) -> int:
 class Params:
     dropout: float = 0.1
     seed: int = 20240601
-    cache: int = 800_000
+    cache: int = 250_000
 
 
 @dataclass
@@ -330,8 +330,8 @@ class Codec:
         got: list[tuple[np.ndarray, ...]] = []
         for lo, hi in ((0, 6), (6, 9), (9, 12), (12, 16), (16, 24), (24, _SHORT)):
             rows = np.flatnonzero((size > lo) & (size <= hi))
-            for k in range(0, len(rows), 20_000):
-                pick = rows[k : k + 20_000]
+            for k in range(0, len(rows), 8_000):
+                pick = rows[k : k + 8_000]
                 got.append((pick, *self._agendas(char, at[pick], size[pick], None if draw is None else draw[pick], hi)))
 
         def placed(flat, n):
@@ -370,7 +370,7 @@ class Codec:
         pair[:-1] = np.where(rank == _NO_PAIR, none, rank * 64).reshape(width - 1, n) + np.where(rank == _NO_PAIR, 0, 1).reshape(width - 1, n) * place[:-1]
         made = np.zeros((width, n), np.int32)
         made[:-1] = into.reshape(width - 1, n)
-        nxt = np.repeat(np.arange(1, width + 1)[:, None], n, 1)
+        nxt = np.repeat(np.arange(1, width + 1, dtype=np.int16)[:, None], n, 1)
         prev = nxt - 2
         done = sym.copy()
         live = np.arange(n)
@@ -384,7 +384,7 @@ class Codec:
                 sym, pair, made, nxt, prev = (x[:, go] for x in (sym, pair, made, nxt, prev))
                 if not len(live):
                     break
-            i, col = best & 63, np.arange(len(live))
+            i, col = (best & 63).astype(np.int16), np.arange(len(live))
             event = ((best >> 6).astype(np.uint64) << np.uint64(32)) | i.astype(np.uint64)
             if draw is None:
                 popped.append((live, event))
@@ -403,7 +403,7 @@ class Codec:
             before = prev[i, col]
             left = np.where(before >= 0, sym[np.maximum(before, 0), col], -1)
             rank, into = self._pairs(both, right)
-            pair[i, col] = np.where(rank == _NO_PAIR, none, rank * 64 + i)
+            pair[i, col] = np.where(rank == _NO_PAIR, none, rank * np.int32(64) + i)
             made[i, col] = into
             rank, into = self._pairs(left, both)
             k = np.flatnonzero(before >= 0)
@@ -458,7 +458,7 @@ def encode(docs: DataFrame, *, model: str = DEFAULT_MODEL, params: Params = Para
             while at < b.num_rows:
                 # a slice of rows at a time, so that ids of long texts don't pile up
                 end, size = at, 0
-                while end < b.num_rows and size < 1_000_000:
+                while end < b.num_rows and size < 400_000:
                     size += len(col[end].as_buffer() or b"") if col[end].is_valid else 0
                     end += 1
                 part = b.slice(at, end - at)
