@@ -12,7 +12,9 @@ Jaccard similarity of their sets is at least ``threshold``; a component is what
   every class is compared with one hub, the class found in the fullest buckets, so a group of
   near copies costs a star. The members of a hub that no link has joined to its largest
   component are then compared with all its members, exactly and in blocks that emit links only;
-  no candidate of a bucket is left out.
+  no candidate of a bucket is left out. A hub with more than ``block`` members, such as a template whose
+  texts are alike but not linked, is first cut by longer bands of a larger sketch (``fine_bands`` of ``fine_rows``
+  registers; a pair at the threshold shares none with probability 7e-7), so unlike members don't meet.
 * A star candidate goes to the exact check unless the joint likelihood of both sketches puts its
   similarity more than ``margin`` below the threshold (about 6 standard errors).
 
@@ -24,7 +26,7 @@ Shingles are compared by 64-bit hash.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ class Params:
     limit: int = 65534
     margin: float = 0.24
     block: int = 1024
+    fine_rows: int = 12
+    fine_bands: int = 200
 
     @property
     def registers(self) -> int:
@@ -206,12 +210,38 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray], left_comp: np.n
     return found
 
 
+def _finer(members: DataFrame, texts: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """(hub, rep): the members of large hubs by the longer bands in which two or more of a hub agree, each such band a hub of its own."""
+    fine = replace(p, rows=p.fine_rows, bands=p.fine_bands)
+    if fine.rows % 4:
+        raise ValueError("a longer band is packed into longs of four registers")
+
+    def run(batches):
+        for b in batches:
+            hub, rep = b.column("hub").to_numpy().view(np.uint64), b.column("rep")
+            for i, j, raw, at in textscan.blocks(b.column("text"), 200_000):
+                w = textscan.words(textscan.lower_ascii(raw), at)
+                h, begin = textscan.shingles(w.hashes, w.first, p.words)
+                packed = registers(h, begin, fine).view(np.uint64).reshape(j - i, fine.bands, -1)
+                key = textscan.mix(hub[i:j, None] ^ (np.arange(fine.bands, dtype=np.uint64) << np.uint64(32))[None, :])
+                for k in range(packed.shape[2]):
+                    key = textscan.mix(key ^ packed[:, :, k])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), rep.slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), fine.bands)))], ["hub", "rep"])
+
+    cut = members.join(texts.withColumnRenamed("id", "rep"), "rep").select("hub", "rep", "text").mapInArrow(run, "hub long, rep long")
+    cut = scratch.write(cut, "finer")
+    return cut.join(cut.groupBy("hub").agg(F.count("*").alias("_n")).where("_n > 1").select("hub"), "hub")
+
+
 def _remaining(members: DataFrame, comp: DataFrame, texts: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
     """Exact links (a, b) between the members of each hub (hub, rep) that stand in different components.
 
     In each group the members outside the largest component meet all members, in blocks of at most
     about ``p.block`` sets on either side; blocks are dealt out singly and small groups share tasks.
     """
+    small = members.join(members.groupBy("hub").agg((F.count("*") > p.block).alias("_large")), "hub")
+    cut = _finer(small.where("_large").drop("_large"), texts, p, scratch)
+    members = small.where("not _large").drop("_large").unionByName(cut)
     placed = members.join(comp, members.rep == comp.node, "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = scratch.write(placed, "members")
     sizes = placed.groupBy("hub", "comp").agg(F.count("*").alias("n"))

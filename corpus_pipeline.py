@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
     return near_dedup.keep_one(docs)
 
 
@@ -46,7 +46,8 @@ STAGES = [
     ("pieces", pieces_stage),
 ]
 
-# SQL can't express the classifier, the forest or the encoding; tests compare the stages with brute force.
+# SQL can't express the classifier, the forest or the encoding; tests compare the near-duplicate, decontamination and
+# pieces stages with brute force, the classifier with held-out labels, and the scan with planted keys.
 ORACLE_SQL = None
 
 

@@ -74,6 +74,25 @@ def test_near_dedup_equals_brute_force(spark):
     assert got == {i: (n, c, i == c) for i, (n, c) in enumerate(brute_components(texts, 4))}
 
 
+def test_near_dedup_of_a_template_family(spark):
+    """Texts of one template that are alike but not linked, with linked pairs among them; hubs above ``block`` are cut by longer bands."""
+    rng = random.Random(12)
+    base = rand_text(rng, 100).split()
+    texts = []
+    for k in range(260):
+        t = list(base)
+        for i in rng.sample(range(100), 5):
+            t[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+        if k % 20 == 0:
+            texts.append(" ".join([*t, "tail"]))
+    want = [c for _, c in brute_components(texts, 4)]
+    assert len(set(want)) < len(texts) - 5
+    for p in (near_dedup.Params(block=16), near_dedup.Params()):
+        got = {r.doc_id: r.component_id for r in near_dedup.components(docs(spark, texts), p).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_dedup_blocks_alone_find_all_links(spark):
     texts = near_copies(9)
     p = near_dedup.Params(block=4)
