@@ -50,8 +50,8 @@ _SELECT0 = np.array([[*[i for i in range(8) if not b >> i & 1], *[0] * 8][:8] fo
 
 @dataclass(frozen=True)
 class Params:
-    chunk_tokens: int = 2_000_000
-    shard_tokens: int = 2_000_000
+    chunk_tokens: int = 1_000_000
+    shard_tokens: int = 1_500_000
     hot_share: int = 1000
     discount: float = 0.75
 
