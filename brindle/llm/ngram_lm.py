@@ -8,7 +8,7 @@ different successors, D is a parameter and D1 is n1 / (n1 + 2 n2) of the word co
 seen, the shorter one has all the weight. Probabilities and weights are stored in 16-bit codes, rounded down.
 
 A shard is a trie that reads contexts backwards. Level one has contexts v (sorted 64-bit hashes) and their
-successors (40 bits of the word's hash); level two has contexts u v under v, and their successors as places among the
+successors (the first 36 bits of the word's hash); level two has contexts u v under v, and their successors as places among the
 successors of v, so these are small numbers. Each level's contexts, its successors and the pointers into them are
 monotone (a node's range begins where the one before it ends) and kept as Elias-Fano sequences; a query finds v, then u under
 it, w among the successors of v, and that place among those of u v. ``Trie.to_bytes`` is one flat buffer; shards query
@@ -18,12 +18,13 @@ Work is dealt without a vocabulary in any one place. Texts become chunks of abou
 ``chunk_tokens`` tokens, a written table. A chunk sends a shard the trigrams whose middle word belongs there, as a small trie
 of its own with training counts, and the words; the shard adds them up, builds its trie and answers with codes in the order
 asked; the chunk's scores follow. A middle word with more than N / ``hot_share`` occurrences (at most ``hot_share``
-of them) is spread by the word before it, and its bigrams by their second word. Results don't depend on how work is dealt.
+of them) is spread by the word before it, and its bigrams by their second word. Results don't depend on
+the sizes of chunks and shards.
 
 Null texts count as empty (one token, the end). A document with a null id is scored, has a null
 held_out and is not learnt from. Repeated rows count and are scored each. An empty table gives an empty result;
 columns other than doc_id and text are ignored. Equal 64-bit hashes
-count as equal words, equal 40-bit hashes in one place of the trie as equal there.
+count as equal words, equal 36-bit hashes under one context as equal there.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ from brindle.llm.tables import Scratch
 
 END = np.uint64(0xE4D0000000000001)
 BEGIN = np.uint64(0xBE61000000000003)
-BITS = 40
-_LOW = np.uint64((1 << BITS) - 1)
+BITS = 36
+_MASK = np.uint64((1 << BITS) - 1)
 CODE_STEPS = 4000
 # [b, k]: the place of the k-th bit that is not set in byte b
 _SELECT0 = np.array([[*[i for i in range(8) if not b >> i & 1], *[0] * 8][:8] for b in range(256)], np.int64)
@@ -50,7 +51,7 @@ _SELECT0 = np.array([[*[i for i in range(8) if not b >> i & 1], *[0] * 8][:8] fo
 
 @dataclass(frozen=True)
 class Params:
-    chunk_tokens: int = 1_000_000
+    chunk_tokens: int = 2_500_000
     shard_tokens: int = 1_500_000
     hot_share: int = 1000
     discount: float = 0.75
@@ -281,7 +282,7 @@ def _chunks(docs: DataFrame, p: Params) -> DataFrame:
             words, at = np.unique(h, return_inverse=True)
             size, fold = np.concatenate(sizes), np.concatenate(folds)
             train = int(size[fold == 0].sum())
-            cols = [f"{part}-{n}", len(size), len(words), len(h), train, int((fold == 0).sum()), pa.concat_arrays(ids).to_pylist(), _pack(fold, size.astype(np.uint32), words, at.astype(np.uint32))]
+            cols = [f"{part}-{n}", len(size), len(words), len(h), train, int((fold == 0).sum()), pa.concat_arrays(ids).to_pylist(), _pack(fold, size.astype(np.uint32), np.diff(words, prepend=np.uint64(0)), at.astype(np.uint32))]
             n += 1
             for x in (ids, folds, sizes, tokens):
                 x.clear()
@@ -318,6 +319,7 @@ class _Chunk:
         self.name, self.ids = row["chunk"], row["ids"]
         n, w, t = row["docs"], row["words"], row["tokens"]
         self.fold, size, self.words, at = _unpack(row["body"], (np.uint8, n), (np.uint32, n), (np.uint64, w), (np.uint32, t))
+        self.words = np.cumsum(self.words, dtype=np.uint64)
         self.size = size.astype(np.int64)
         self.token = at.astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.size)])
@@ -374,6 +376,9 @@ class _Dealt:
         self.pair_in_v = np.searchsorted(self.v, self.pair_shard * base + self.pair_v)
         self.v_shard, self.v_hash = self.v // base, hashes[self.v % base]
         self.v_hot = is_hot[self.v % base]
+        self.v_own = ~self.v_hot & (self.v % base < w)
+        self.word_is_v = np.zeros(w, np.uint8)
+        self.word_is_v[(self.v % base)[self.v_own]] = 1
         self.u_hash, self.w_hash = hashes[self.node % base], hashes[self.pair_w]
         own = np.flatnonzero(is_hot[big // base])
         hb = hashes[big[own] // base]
@@ -398,11 +403,34 @@ class _Dealt:
         return slice(int(self.cuts[name][s]), int(self.cuts[name][s + 1]))
 
 
-SIZES = ("w", "v", "n", "p", "g", "b")
+SIZES = ("w", "v", "n", "p", "g", "b", "x")
 
 
 def _sizes(d: _Dealt, s: int) -> list[int]:
-    return [d.part(x, s).stop - d.part(x, s).start for x in ("words", "v", "node", "pair", "gram", "big")]
+    """As in ``SIZES``; the last one counts the contexts that are no words of the shard."""
+    sizes = [d.part(x, s).stop - d.part(x, s).start for x in ("words", "v", "node", "pair", "gram", "big")]
+    return [*sizes, int((~d.v_own[d.part("v", s)]).sum())]
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """The first ``BITS`` bits of word hashes, in the order of these."""
+    return h >> np.uint64(64 - BITS)
+
+
+def _steps(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Differences within runs of the given sizes, the first of each run as it is; small where runs are sorted and long."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    first = _runs(sizes.astype(np.int64))[sizes > 0]
+    out[first] = x[first]
+    return out
+
+
+def _from_steps(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The inverse of ``_steps``, up to bits that were not kept."""
+    sizes = sizes.astype(np.int64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+    return total[1:] - np.repeat(total[_runs(sizes)], sizes)
 
 
 def _rows(batches):
@@ -443,6 +471,7 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
 
     stats = chunks.mapInArrow(count_words, "shard long, n long, body binary").groupBy("shard").applyInArrow(sum_words, "v long, n1 long, n2 long, hot array<long>, hot_n array<long>")
     stats = scratch.write(stats, "words")
+    scratch.release()
     s = stats.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n1", "n2")]).first()
     v, d1 = int(s.v), (s.n1 / (s.n1 + 2 * s.n2) if s.n1 else 0.5)
     hot = {r.h & (2**64 - 1): r.c for r in stats.select(F.explode(F.arrays_zip(F.col("hot").alias("h"), F.col("hot_n").alias("c"))).alias("r")).select("r.h", "r.c").collect()}
@@ -454,7 +483,18 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
     unknown = d1 * v / n if n else 1.0
 
     def layout(r):
-        return ((np.uint64, r["w"]), (np.uint32, r["w"]), (np.uint64, r["v"]), (np.uint32, r["v"]), (np.uint32, r["v"]), (np.uint64, r["n"], 5), (np.uint32, r["n"]), (np.uint64, r["p"], 5), (np.uint32, r["g"]), (np.uint32, r["g"]), (np.uint64, r["b"]), (np.uint64, r["b"], 5), (np.uint32, r["b"]))
+        return ((np.uint64, r["w"]), (np.uint32, r["w"]), (np.uint64, r["x"]), (np.uint32, r["v"]), (np.uint32, r["v"]), (np.uint64, r["n"], 5), (np.uint32, r["n"]), (np.uint64, r["p"], 5), (np.uint32, r["g"]), (np.uint32, r["g"]), (np.uint64, r["b"]), (np.uint64, r["b"], 5), (np.uint32, r["b"]), (np.uint8, r["w"]), (np.uint8, r["v"]))
+
+    def opened(r):
+        """A message's arrays, with words, contexts and short hashes as they were."""
+        a = _unpack(r["body"], *layout(r))
+        a[0] = np.cumsum(a[0], dtype=np.uint64)
+        vs = np.empty(r["v"], np.uint64)
+        own = a[14].astype(bool)
+        vs[own], vs[~own] = a[0][a[13].astype(bool)], a[2]
+        a[2] = vs
+        a[5], a[7] = _from_steps(a[5], a[3]) & _MASK, _from_steps(a[7], a[4]) & _MASK
+        return a
 
     def ask(batches):
         for row in _rows(batches):
@@ -471,16 +511,18 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
                     continue
                 m, pv, pn, pp, pg, pb = d.word_order[d.part("words", s)], *(d.part(x, s) for x in ("v", "node", "pair", "gram", "big"))
                 u32 = lambda x: x.astype(np.uint32)
-                body = _pack(c.words[m], u32(local[m]), d.v_hash[pv], u32(nodes_of_v[pv]), u32(pairs_of_v[pv]), (d.u_hash[pn], 5), u32(grams_of_node[pn]), (d.w_hash[pp], 5), u32(rel[pg]), u32(d.count[pg]), d.big_v[pb], (d.big_w[pb], 5), u32(d.big_count[pb]))
+                u, w = _steps(_short(d.u_hash[pn]), nodes_of_v[pv]), _steps(_short(d.w_hash[pp]), pairs_of_v[pv])
+                words = np.diff(c.words[m], prepend=np.uint64(0))
+                body = _pack(words, u32(local[m]), d.v_hash[pv][~d.v_own[pv]], u32(nodes_of_v[pv]), u32(pairs_of_v[pv]), (u, 5), u32(grams_of_node[pn]), (w, 5), u32(rel[pg]), u32(d.count[pg]), d.big_v[pb], (_short(d.big_w[pb]), 5), u32(d.big_count[pb]), d.word_is_v[m], d.v_own[pv].astype(np.uint8))
                 cols = [s, c.name, *size, body]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, ask_types, strict=True)], ask_names)
 
     ask_names = ["shard", "chunk", *SIZES, "body"]
-    ask_types = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]
-    ask_schema = "shard long, chunk string, w long, v long, n long, p long, g long, b long, body binary"
+    ask_types = [pa.int64(), pa.string(), *[pa.int64()] * 7, pa.binary()]
+    ask_schema = "shard long, chunk string, w long, v long, n long, p long, g long, b long, x long, body binary"
 
     def answer(table):
-        asked = [(r, _unpack(r["body"], *layout(r))) for r in ({k: x for k, x in row.items()} for row in _rows(table.to_batches()))]
+        asked = [(r, opened(r)) for r in ({k: x for k, x in row.items()} for row in _rows(table.to_batches()))]
         for r, _ in asked:
             r.pop("body")
         shard = asked[0][0]["shard"]
@@ -508,16 +550,23 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
         out, lo = [], 0
         for (r, a), x in zip(asked, shape, strict=True):
             i = np.searchsorted(words, a[0])
-            codes = trie.lookup(*x)
-            out.append((r["chunk"], shard, *[r[k] for k in SIZES], _pack(count[i].astype(np.uint64), p1[i], *codes, big_code[at_b[lo : lo + r["b"]]])))
+            back1, prob2, back2, prob3 = trie.lookup(*x)
+            # where the whole context is here, both levels come as one: a trigram's own probability and the weight of p1
+            vs, node_v, _, _, _, gram_node, gram_pair = x
+            whole = ~np.isin(vs, hot_words)[node_v]
+            deep = from_codes(back2)
+            both = to_codes(from_codes(prob3) + deep[gram_node] * from_codes(prob2)[gram_pair])
+            prob3 = np.where(whole[gram_node], both, prob3)
+            back2 = np.where(whole, to_codes(deep * from_codes(back1)[node_v]), back2)
+            out.append((r["chunk"], shard, *[r[k] for k in SIZES], _pack(count[i].astype(np.uint64), p1[i], back2, prob3, big_code[at_b[lo : lo + r["b"]]])))
             lo += r["b"]
         k = np.flatnonzero(kinds)
-        out.append((None, shard, len(k), 0, 0, 0, 0, 0, _pack(hot_words[k], kinds[k].astype(np.int64))))
-        types = [pa.string(), *[pa.int64()] * 7, pa.binary()]
+        out.append((None, shard, len(k), 0, 0, 0, 0, 0, 0, _pack(hot_words[k], kinds[k].astype(np.int64))))
+        types = [pa.string(), *[pa.int64()] * 8, pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["chunk", "shard", *SIZES, "body"])
 
     asked = chunks.mapInArrow(ask, ask_schema)
-    answers = scratch.write(asked.groupBy("shard").applyInArrow(answer, "chunk string, shard long, w long, v long, n long, p long, g long, b long, body binary"), "answers")
+    answers = scratch.write(asked.groupBy("shard").applyInArrow(answer, "chunk string, shard long, w long, v long, n long, p long, g long, b long, x long, body binary"), "answers")
     del asked
     scratch.release()
 
@@ -537,21 +586,19 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
             c = _Chunk(row)
             d = c.deal(hot_words, shards)
             count, p1 = np.zeros(len(c.words)), np.zeros(len(c.words))
-            back1, back2 = np.ones(len(d.v)), np.ones(len(d.node))
-            prob2, prob3, big = np.zeros(len(d.pair)), np.zeros(len(d.gram_node)), np.zeros(d.n_big)
+            back, prob, big = np.ones(len(d.node)), np.zeros(len(d.gram_node)), np.zeros(d.n_big)
             for s, r in got.items():
-                total, code, b1, p2, b2, p3, pb = _unpack(r["body"], (np.uint64, r["w"]), (np.uint16, r["w"]), (np.uint16, r["v"]), (np.uint16, r["p"]), (np.uint16, r["n"]), (np.uint16, r["g"]), (np.uint16, r["b"]))
+                total, code, weight, own, pb = _unpack(r["body"], (np.uint64, r["w"]), (np.uint16, r["w"]), (np.uint16, r["n"]), (np.uint16, r["g"]), (np.uint16, r["b"]))
                 m = d.word_order[d.part("words", s)]
                 count[m], p1[m] = total, from_codes(code)
-                back1[d.part("v", s)], prob2[d.part("pair", s)] = from_codes(b1), from_codes(p2)
-                back2[d.part("node", s)], prob3[d.part("gram", s)] = from_codes(b2), from_codes(p3)
+                back[d.part("node", s)], prob[d.part("gram", s)] = from_codes(weight), from_codes(own)
                 big[d.big[d.part("big", s)]] = from_codes(pb)
-            if len(hot_words):
-                back1[d.v_hot] = hot_back[np.searchsorted(hot_words, d.v_hash[d.v_hot])]
-                spread = d.v_hot[d.pair_in_v]
-                prob2[spread] = big[d.pair_big[spread]]
-            shorter = prob2[d.gram_pair] + back1[d.node_v[d.gram_node]] * p1[d.gram_word]
-            prob = np.log10(np.maximum(prob3 + back2[d.gram_node] * shorter, 1e-300))
+            shorter = p1[d.gram_word]
+            spread = np.flatnonzero(d.v_hot[d.node_v[d.gram_node]])
+            if len(spread):
+                rank = np.searchsorted(hot_words, d.v_hash[d.node_v[d.gram_node[spread]]])
+                shorter[spread] = big[d.pair_big[d.gram_pair[spread]]] + hot_back[rank] * shorter[spread]
+            prob = np.log10(np.maximum(prob + back[d.gram_node] * shorter, 1e-300))
             base = np.log10((count + 1) / (n + v + 1))
             at0 = c.first[:-1]
             out["doc_id"] += c.ids

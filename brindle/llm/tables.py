@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -38,8 +39,10 @@ class Scratch:
 
     def release(self) -> None:
         """Lets Spark's cleaner delete the shuffle files of steps whose results are written and whose frames are gone."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # frames that Python drops are dropped in the JVM by its own collector, a moment later
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that no later DataFrame reads."""
