@@ -75,7 +75,7 @@ def test_near_dedup_equals_brute_force(spark):
 
 
 def test_near_dedup_of_a_template_family(spark):
-    """Texts of one template that are alike but not linked, with linked pairs among them; hubs above ``block`` are cut by longer bands."""
+    """Texts of one template that are alike but not linked, with linked pairs among them, in one block and in many."""
     rng = random.Random(12)
     base = rand_text(rng, 100).split()
     texts = []
