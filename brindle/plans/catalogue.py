@@ -464,7 +464,7 @@ def _(spark, d):
     return twice.run(inputs).select("r_regionkey", "p_partkey", "value")
 
 
-@_query("stage_errors", "SELECT p_partkey, p_size % 7 <> 0 AS ok, CASE WHEN p_size % 7 <> 0 THEN 1000 // (p_size % 7) END AS value, CASE WHEN p_size % 7 = 0 THEN 'division by zero' END AS error FROM part UNION ALL SELECT NULL, true, 0, NULL")
+@_query("stage_errors", "SELECT p_partkey, p_size % 7 <> 0 AS ok, CASE WHEN p_size % 7 <> 0 THEN CAST(1000 // (p_size % 7) AS BIGINT) END AS value, CASE WHEN p_size % 7 = 0 THEN 'division by zero' END AS error FROM part UNION ALL SELECT NULL, true, CAST(0 AS BIGINT), NULL")
 def _(spark, d):
     part = _t(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("p_partkey"), F.col("p_size").cast("bigint").alias("p_size"))
     inputs = part.unionByName(spark.createDataFrame([(None, 1001)], "p_partkey bigint, p_size bigint"))
@@ -506,7 +506,7 @@ def _(spark, d):
     return first.join(held, "p_partkey", "left").select("p_partkey", F.coalesce("held", F.lit(False)).alias("held"))
 
 
-@_query("corrupt_is_miss", "SELECT p_partkey, p_size * 3 AS value, p_partkey % 5 = 0 AS computed FROM part")
+@_query("corrupt_is_miss", "SELECT p_partkey, CAST(p_size * 3 AS BIGINT) AS value, p_partkey % 5 = 0 AS computed FROM part")
 def _(spark, d):
     part = _t(spark, d, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("p_size"))
     plain = st.MemoryStore()
