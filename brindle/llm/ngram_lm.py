@@ -51,7 +51,7 @@ _SELECT0 = np.array([[*[i for i in range(8) if not b >> i & 1], *[0] * 8][:8] fo
 
 @dataclass(frozen=True)
 class Params:
-    chunk_tokens: int = 2_500_000
+    chunk_tokens: int = 2_000_000
     shard_tokens: int = 1_500_000
     hot_share: int = 1000
     discount: float = 0.75
@@ -321,7 +321,7 @@ class _Chunk:
         self.fold, size, self.words, at = _unpack(row["body"], (np.uint8, n), (np.uint32, n), (np.uint64, w), (np.uint32, t))
         self.words = np.cumsum(self.words, dtype=np.uint64)
         self.size = size.astype(np.int64)
-        self.token = at.astype(np.int64)
+        self.token = at.astype(np.int32)
         self.first = np.concatenate([[0], np.cumsum(self.size)])
         self.train = np.repeat(self.fold == 0, self.size)
 
@@ -340,53 +340,75 @@ class _Dealt:
     """
 
     def __init__(self, c: _Chunk, hot: np.ndarray, shards: int):
+        i32 = np.int32  # numbers within a chunk; keys of two or three of them are made as longs and dropped at once
         w = len(c.words)
+        base = w + 1
         hashes = np.append(c.words, BEGIN)
+        is_hot = np.isin(hashes, hot)
         v, u = np.full(len(c.token), w), np.full(len(c.token), w)
         v[1:] = c.token[:-1]
         v[c.first[:-1]] = w
         u[2:] = c.token[:-2]
         u[c.first[:-1]] = w
-        second = c.first[:-1][c.size > 1] + 1
-        u[second] = w
-        base = w + 1
-        node, at_node = np.unique(v * base + u, return_inverse=True)
-        big, at_big = np.unique(v * base + c.token, return_inverse=True)
-        gram, first, at_gram = np.unique(at_node * base + c.token, return_index=True, return_inverse=True)
-        is_hot = np.isin(hashes, hot)
-        hv, hu = hashes[node // base], hashes[node % base]
-        spread = is_hot[node // base]
-        shard = (np.where(spread, textscan.mix(hv ^ (hu & np.uint64(1023))), hv) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.node, self.node_shard = node[order], shard[order]
-        gram_node, gram_big = place[at_node[first]], at_big[first]
-        self.pair, gram_pair = np.unique(self.node_shard[gram_node] * len(big) + gram_big, return_inverse=True)
-        order = np.lexsort((gram_pair, gram_node))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.gram_node, self.gram_pair, self.gram_word = gram_node[order], gram_pair[order], (gram % base)[order]
+        u[c.first[:-1][c.size > 1] + 1] = w
+        v *= base
+        u += v
+        node, at_node = np.unique(u, return_inverse=True)
+        del u
+        at_node = at_node.astype(i32)
+        v += c.token
+        big, at_big = np.unique(v, return_inverse=True)
+        del v
+        at_big = at_big.astype(i32)
+        key = at_node * np.int64(base) + c.token
+        gram, at_gram = np.unique(key, return_inverse=True)
+        del key
+        at_gram = at_gram.astype(i32)
+        first = np.empty(len(gram), i32)
+        first[at_gram[::-1]] = np.arange(len(at_gram) - 1, -1, -1, dtype=i32)
+        first_node, gram_big, gram_word = at_node[first], at_big[first], (gram % base).astype(i32)
+        self.big_all = np.bincount(at_big[c.train], minlength=len(big)).astype(i32)
+        del at_node, at_big, gram, first
+        node_v, node_u = (node // base).astype(i32), (node % base).astype(i32)
+        del node
+        hv, hu = hashes[node_v], hashes[node_u]
+        shard = (np.where(is_hot[node_v], textscan.mix(hv ^ (hu & np.uint64(1023))), hv) % np.uint64(shards)).astype(i32)
+        del hv, hu
+        order = np.argsort(shard, kind="stable").astype(i32)
+        place = np.empty(len(order), i32)
+        place[order] = np.arange(len(order), dtype=i32)
+        self.node_shard, node_v, node_u = shard[order], node_v[order], node_u[order]
+        gram_node = place[first_node]
+        pair, gram_pair = np.unique(self.node_shard[gram_node] * np.int64(len(big)) + gram_big, return_inverse=True)
+        gram_pair = gram_pair.astype(i32)
+        order = np.lexsort((gram_pair, gram_node)).astype(i32)
+        place = np.empty(len(order), i32)
+        place[order] = np.arange(len(order), dtype=i32)
+        self.gram_node, self.gram_pair, self.gram_word = gram_node[order], gram_pair[order], gram_word[order]
         self.at_gram = place[at_gram]
-        self.count = np.bincount(self.at_gram[c.train], minlength=len(order))
-        self.pair_shard, self.pair_big = self.pair // len(big), self.pair % len(big)
-        self.pair_v, self.pair_w = big[self.pair_big] // base, big[self.pair_big] % base
+        del at_gram, gram_node, gram_pair, gram_word, gram_big, first_node, order, place
+        self.count = np.bincount(self.at_gram[c.train], minlength=len(self.gram_node)).astype(i32)
+        self.pair_shard, self.pair_big = (pair // len(big)).astype(i32), (pair % len(big)).astype(i32)
+        del pair
+        big_v, big_w = (big // base).astype(i32), (big % base).astype(i32)
+        del big
         # contexts v of each shard: those of its nodes, which are those of its pairs
-        self.v, self.node_v = np.unique(self.node_shard * base + self.node // base, return_inverse=True)
-        self.pair_in_v = np.searchsorted(self.v, self.pair_shard * base + self.pair_v)
+        self.v, at_v = np.unique(self.node_shard * np.int64(base) + node_v, return_inverse=True)
+        self.node_v = at_v.astype(i32)
+        self.pair_in_v = np.searchsorted(self.v, self.pair_shard * np.int64(base) + big_v[self.pair_big]).astype(i32)
         self.v_shard, self.v_hash = self.v // base, hashes[self.v % base]
         self.v_hot = is_hot[self.v % base]
         self.v_own = ~self.v_hot & (self.v % base < w)
         self.word_is_v = np.zeros(w, np.uint8)
         self.word_is_v[(self.v % base)[self.v_own]] = 1
-        self.u_hash, self.w_hash = hashes[self.node % base], hashes[self.pair_w]
-        own = np.flatnonzero(is_hot[big // base])
-        hb = hashes[big[own] // base]
-        shard = (textscan.mix(hb ^ (hashes[big[own] % base] & np.uint64(1023)) ^ np.uint64(0x5B)) % np.uint64(shards)).astype(np.int64)
+        self.u_hash, self.w_hash = hashes[node_u], hashes[big_w[self.pair_big]]
+        self.n_node, self.n_pair, self.n_big = len(node_u), len(self.pair_big), len(big_v)
+        own = np.flatnonzero(is_hot[big_v])
+        hb, hw = hashes[big_v[own]], hashes[big_w[own]]
+        shard = (textscan.mix(hb ^ (hw & np.uint64(1023)) ^ np.uint64(0x5B)) % np.uint64(shards)).astype(i32)
         order = np.argsort(shard, kind="stable")
-        self.big, self.big_shard, self.big_v, self.big_w = own[order], shard[order], hb[order], hashes[big[own] % base][order]
-        self.big_count = np.bincount(at_big[c.train], minlength=len(big))[self.big]
-        self.n_big = len(big)
+        self.big, self.big_shard, self.big_v, self.big_w = own[order].astype(i32), shard[order], hb[order], hw[order]
+        self.big_count = self.big_all[self.big]
         self.word_shard = (c.words % np.uint64(shards)).astype(np.int64)
         self.word_order = np.argsort(self.word_shard, kind="stable")
         ends = np.arange(shards + 1)
@@ -502,7 +524,7 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
             d = c.deal(hot_words, shards)
             local = c.word_counts()
             nodes_of_v, pairs_of_v = np.bincount(d.node_v, minlength=len(d.v)), np.bincount(d.pair_in_v, minlength=len(d.v))
-            grams_of_node = np.bincount(d.gram_node, minlength=len(d.node))
+            grams_of_node = np.bincount(d.gram_node, minlength=d.n_node)
             begin = _runs(pairs_of_v)
             rel = d.gram_pair - begin[d.node_v[d.gram_node]]
             for s in range(shards):
@@ -586,7 +608,7 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
             c = _Chunk(row)
             d = c.deal(hot_words, shards)
             count, p1 = np.zeros(len(c.words)), np.zeros(len(c.words))
-            back, prob, big = np.ones(len(d.node)), np.zeros(len(d.gram_node)), np.zeros(d.n_big)
+            back, prob, big = np.ones(d.n_node), np.zeros(len(d.gram_node)), np.zeros(d.n_big)
             for s, r in got.items():
                 total, code, weight, own, pb = _unpack(r["body"], (np.uint64, r["w"]), (np.uint16, r["w"]), (np.uint16, r["n"]), (np.uint16, r["g"]), (np.uint16, r["b"]))
                 m = d.word_order[d.part("words", s)]
