@@ -264,15 +264,26 @@ def best_bin(positive: np.ndarray, unlabelled: np.ndarray, *, delta: float = 0.1
 
 
 def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], spec: FeatureSpec, **options) -> float:
-    """The class prior, as the mean of two estimates, each from the half that the other's scorer was fitted on."""
+    """The class prior, as the mean of two estimates, each from the half that the other's scorer was fitted on.
+
+    With ``evidence_only`` the prior that a scorer is fitted with decides which features it may use: one far below the true prior
+    leaves out those of label 1, and the bound is loose. So higher ones are tried until the least bound
+    is below them and no longer falls.
+    """
     if len(positive) < 4 or len(unlabelled) < 4:
         return 0.5
-    found = []
-    for k in (0, 1):
-        m = fit(positive[k::2], unlabelled[k::2], 0.5 if not spec.evidence_only else 0.1, spec, **options)
-        scores = [np.array([m.bias + m.weights[f].sum() for f in rows[1 - k :: 2]]) for rows in (positive, unlabelled)]
-        found.append(best_bin(*scores))
-    return float(np.mean(found))
+    least = 1.0
+    for guess in (0.1, 0.3, 0.5, 0.7, 0.9) if spec.evidence_only else (0.5,):
+        found = []
+        for k in (0, 1):
+            m = fit(positive[k::2], unlabelled[k::2], guess, spec, **options)
+            scores = [np.array([m.bias + m.weights[f].sum() for f in rows[1 - k :: 2]]) for rows in (positive, unlabelled)]
+            found.append(best_bin(*scores))
+        bound = float(np.mean(found))
+        if bound >= least and least < guess:
+            break
+        least = min(least, bound)
+    return least
 
 
 def fold(id_col: Column) -> Column:

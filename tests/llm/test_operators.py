@@ -593,6 +593,20 @@ def test_toxicity_of_many_copies_and_of_rare_terms(spark, positives, kinds):
     assert sum(hit) / len(hit) >= 0.9 and sum(false) / len(false) <= 0.05
 
 
+@pytest.mark.parametrize("share, kinds", [(0.1, 1), (0.33, 8), (0.5, 1), (0.5, 55), (0.67, 8)])
+def test_prior_of_many_toxic_texts(share, kinds):
+    """Where a third of the texts or more are toxic, the scorers that the prior is read from keep their evidence."""
+    rng = random.Random(4)
+    texts = [rand_text(rng, 20, 3000) for _ in range(1500)]
+    toxic = sorted(rng.sample(range(1500), int(1500 * share)))
+    copy = rand_text(rng, 12, 3000) + " vile0 words"
+    for i in toxic:
+        texts[i] = copy if kinds == 1 else texts[i] + f" vile{rng.randrange(kinds)}x"
+    f = list(positive_unlabelled.features(pa.array(texts), toxicity.SPEC))
+    found = positive_unlabelled.estimate_prior([f[i] for i in toxic], f, toxicity.SPEC, steps=300, l2=1e-3, batch=4096, rate=0.1)
+    assert found == pytest.approx(share, abs=0.06)
+
+
 # Vectors
 
 
