@@ -16,7 +16,7 @@ theirs in a memory map.
 
 Work is dealt without a vocabulary in any one place. Texts become chunks of about
 ``chunk_tokens`` tokens, a written table. A chunk sends a shard the trigrams whose middle word belongs there, as a small trie
-of its own with training counts, and the words; the shard adds them up, builds its trie and answers with codes in the order
+of its own with training counts in which each word is named once, and the words; the shard adds them up, builds its trie and answers with codes in the order
 asked; the chunk's scores follow. A middle word with more than N / ``hot_share`` occurrences (at most ``hot_share``
 of them) is spread by the word before it, and its bigrams by their second word. Results don't depend on
 the sizes of chunks and shards.
@@ -158,6 +158,17 @@ def _runs(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values and, in 32 bits, the place of each value among them."""
+    order = np.argsort(x).astype(np.int32)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    place = np.empty(len(x), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], place
+
+
 class Trie:
     """Contexts, successors and pointers of two levels as Elias-Fano sequences, with 16-bit probabilities and weights.
 
@@ -174,15 +185,15 @@ class Trie:
     def build(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, discount: float) -> Trie:
         """From trigrams with counts above zero, in any order and repeated or not; u and w have ``BITS`` bits."""
         c = count.astype(np.float64)
-        one, at1 = np.unique(v, return_inverse=True)
+        one, at1 = _distinct(v)
         high = at1.astype(np.uint64) << np.uint64(BITS)
-        two, at2 = np.unique(high | u, return_inverse=True)
-        succ, at_s = np.unique(high | w, return_inverse=True)
+        two, at2 = _distinct(high | u)
+        succ, at_s = _distinct(high | w)
         above, of = (two >> np.uint64(BITS)).astype(np.int64), (succ >> np.uint64(BITS)).astype(np.int64)
         kinds1 = np.bincount(of, minlength=len(one))
         begin1 = _runs(kinds1)
         begin2 = _runs(kinds1[above])
-        places, at_p = np.unique(begin2[at2] + at_s - begin1[at1], return_inverse=True)
+        places, at_p = _distinct(begin2[at2] + at_s - begin1[at1])
         of2 = np.searchsorted(begin2, places, "right") - 1
         n1, n2 = np.bincount(at_s, c, len(succ)), np.bincount(at_p, c, len(places))
         total1, total2 = np.bincount(of, n1, len(one)), np.bincount(of2, n2, len(two))
@@ -282,7 +293,12 @@ def _chunks(docs: DataFrame, p: Params) -> DataFrame:
             words, at = np.unique(h, return_inverse=True)
             size, fold = np.concatenate(sizes), np.concatenate(folds)
             train = int(size[fold == 0].sum())
-            cols = [f"{part}-{n}", len(size), len(words), len(h), train, int((fold == 0).sum()), pa.concat_arrays(ids).to_pylist(), _pack(fold, size.astype(np.uint32), np.diff(words, prepend=np.uint64(0)), at.astype(np.uint32))]
+            # words are numbered by how often they occur, in powers of two, then by hash: the numbers of tokens take fewer bytes
+            kind = (63 - np.log2(np.bincount(at)).astype(np.int64)).astype(np.uint8)
+            order = np.argsort(kind, kind="stable")
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order), dtype=np.uint32)
+            cols = [f"{part}-{n}", len(size), len(words), len(h), train, int((fold == 0).sum()), pa.concat_arrays(ids).to_pylist(), _pack(fold, size.astype(np.uint32), kind[order], _steps(words[order], np.bincount(kind)), number[at])]
             n += 1
             for x in (ids, folds, sizes, tokens):
                 x.clear()
@@ -318,10 +334,14 @@ class _Chunk:
     def __init__(self, row: dict):
         self.name, self.ids = row["chunk"], row["ids"]
         n, w, t = row["docs"], row["words"], row["tokens"]
-        self.fold, size, self.words, at = _unpack(row["body"], (np.uint8, n), (np.uint32, n), (np.uint64, w), (np.uint32, t))
-        self.words = np.cumsum(self.words, dtype=np.uint64)
+        self.fold, size, kind, words, at = _unpack(row["body"], (np.uint8, n), (np.uint32, n), (np.uint8, w), (np.uint64, w), (np.uint32, t))
+        words = _from_steps(words, np.bincount(kind))
+        order = np.argsort(words, kind="stable")  # merges the few sorted runs
+        self.words = words[order]
+        place = np.empty(w, np.int32)
+        place[order] = np.arange(w, dtype=np.int32)
         self.size = size.astype(np.int64)
-        self.token = at.astype(np.int32)
+        self.token = place[at]
         self.first = np.concatenate([[0], np.cumsum(self.size)])
         self.train = np.repeat(self.fold == 0, self.size)
 
@@ -353,17 +373,14 @@ class _Dealt:
         u[c.first[:-1][c.size > 1] + 1] = w
         v *= base
         u += v
-        node, at_node = np.unique(u, return_inverse=True)
+        node, at_node = _distinct(u)
         del u
-        at_node = at_node.astype(i32)
         v += c.token
-        big, at_big = np.unique(v, return_inverse=True)
+        big, at_big = _distinct(v)
         del v
-        at_big = at_big.astype(i32)
         key = at_node * np.int64(base) + c.token
-        gram, at_gram = np.unique(key, return_inverse=True)
+        gram, at_gram = _distinct(key)
         del key
-        at_gram = at_gram.astype(i32)
         first = np.empty(len(gram), i32)
         first[at_gram[::-1]] = np.arange(len(at_gram) - 1, -1, -1, dtype=i32)
         first_node, gram_big, gram_word = at_node[first], at_big[first], (gram % base).astype(i32)
@@ -379,8 +396,7 @@ class _Dealt:
         place[order] = np.arange(len(order), dtype=i32)
         self.node_shard, node_v, node_u = shard[order], node_v[order], node_u[order]
         gram_node = place[first_node]
-        pair, gram_pair = np.unique(self.node_shard[gram_node] * np.int64(len(big)) + gram_big, return_inverse=True)
-        gram_pair = gram_pair.astype(i32)
+        pair, gram_pair = _distinct(self.node_shard[gram_node] * np.int64(len(big)) + gram_big)
         order = np.lexsort((gram_pair, gram_node)).astype(i32)
         place = np.empty(len(order), i32)
         place[order] = np.arange(len(order), dtype=i32)
@@ -393,15 +409,14 @@ class _Dealt:
         big_v, big_w = (big // base).astype(i32), (big % base).astype(i32)
         del big
         # contexts v of each shard: those of its nodes, which are those of its pairs
-        self.v, at_v = np.unique(self.node_shard * np.int64(base) + node_v, return_inverse=True)
-        self.node_v = at_v.astype(i32)
+        self.v, self.node_v = _distinct(self.node_shard * np.int64(base) + node_v)
         self.pair_in_v = np.searchsorted(self.v, self.pair_shard * np.int64(base) + big_v[self.pair_big]).astype(i32)
         self.v_shard, self.v_hash = self.v // base, hashes[self.v % base]
         self.v_hot = is_hot[self.v % base]
         self.v_own = ~self.v_hot & (self.v % base < w)
         self.word_is_v = np.zeros(w, np.uint8)
         self.word_is_v[(self.v % base)[self.v_own]] = 1
-        self.u_hash, self.w_hash = hashes[node_u], hashes[big_w[self.pair_big]]
+        self.node_u, self.pair_w, self.hashes = node_u, big_w[self.pair_big], hashes
         self.n_node, self.n_pair, self.n_big = len(node_u), len(self.pair_big), len(big_v)
         own = np.flatnonzero(is_hot[big_v])
         hb, hw = hashes[big_v[own]], hashes[big_w[own]]
@@ -425,11 +440,11 @@ class _Dealt:
         return slice(int(self.cuts[name][s]), int(self.cuts[name][s + 1]))
 
 
-SIZES = ("w", "v", "n", "p", "g", "b", "x")
+SIZES = ("w", "v", "n", "p", "g", "b", "x", "d")
 
 
 def _sizes(d: _Dealt, s: int) -> list[int]:
-    """As in ``SIZES``; the last one counts the contexts that are no words of the shard."""
+    """As in ``SIZES`` up to the contexts that are no words of the shard."""
     sizes = [d.part(x, s).stop - d.part(x, s).start for x in ("words", "v", "node", "pair", "gram", "big")]
     return [*sizes, int((~d.v_own[d.part("v", s)]).sum())]
 
@@ -505,17 +520,18 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
     unknown = d1 * v / n if n else 1.0
 
     def layout(r):
-        return ((np.uint64, r["w"]), (np.uint32, r["w"]), (np.uint64, r["x"]), (np.uint32, r["v"]), (np.uint32, r["v"]), (np.uint64, r["n"], 5), (np.uint32, r["n"]), (np.uint64, r["p"], 5), (np.uint32, r["g"]), (np.uint32, r["g"]), (np.uint64, r["b"]), (np.uint64, r["b"], 5), (np.uint32, r["b"]), (np.uint8, r["w"]), (np.uint8, r["v"]))
+        return ((np.uint64, r["w"]), (np.uint32, r["w"]), (np.uint64, r["x"]), (np.uint32, r["v"]), (np.uint32, r["v"]), (np.uint32, r["n"]), (np.uint32, r["n"]), (np.uint32, r["p"]), (np.uint32, r["g"]), (np.uint32, r["g"]), (np.uint64, r["b"]), (np.uint64, r["b"], 5), (np.uint32, r["b"]), (np.uint8, r["w"]), (np.uint8, r["v"]), (np.uint64, r["d"], 5))
 
     def opened(r):
         """A message's arrays, with words, contexts and short hashes as they were."""
         a = _unpack(r["body"], *layout(r))
-        a[0] = np.cumsum(a[0], dtype=np.uint64)
+        a[0] = np.cumsum(a[0], dtype=np.uint64) * np.uint64(shards) + np.uint64(r["shard"])
         vs = np.empty(r["v"], np.uint64)
         own = a[14].astype(bool)
         vs[own], vs[~own] = a[0][a[13].astype(bool)], a[2]
         a[2] = vs
-        a[5], a[7] = _from_steps(a[5], a[3]) & _MASK, _from_steps(a[7], a[4]) & _MASK
+        short = np.cumsum(a.pop(), dtype=np.uint64) & _MASK
+        a[5], a[7] = short[_from_steps(a[5], a[3])], short[_from_steps(a[7], a[4])]
         return a
 
     def ask(batches):
@@ -527,30 +543,36 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
             grams_of_node = np.bincount(d.gram_node, minlength=d.n_node)
             begin = _runs(pairs_of_v)
             rel = d.gram_pair - begin[d.node_v[d.gram_node]]
+            seen, place = np.zeros(len(d.hashes), bool), np.empty(len(d.hashes), np.uint32)
             for s in range(shards):
                 size = _sizes(d, s)
                 if not any(size):
                     continue
                 m, pv, pn, pp, pg, pb = d.word_order[d.part("words", s)], *(d.part(x, s) for x in ("v", "node", "pair", "gram", "big"))
                 u32 = lambda x: x.astype(np.uint32)
-                u, w = _steps(_short(d.u_hash[pn]), nodes_of_v[pv]), _steps(_short(d.w_hash[pp]), pairs_of_v[pv])
-                words = np.diff(c.words[m], prepend=np.uint64(0))
-                body = _pack(words, u32(local[m]), d.v_hash[pv][~d.v_own[pv]], u32(nodes_of_v[pv]), u32(pairs_of_v[pv]), (u, 5), u32(grams_of_node[pn]), (w, 5), u32(rel[pg]), u32(d.count[pg]), d.big_v[pb], (_short(d.big_w[pb]), 5), u32(d.big_count[pb]), d.word_is_v[m], d.v_own[pv].astype(np.uint8))
-                cols = [s, c.name, *size, body]
+                # a word's short hash is sent once; contexts and successors are places among these
+                seen[d.node_u[pn]] = seen[d.pair_w[pp]] = True
+                named = np.flatnonzero(seen)
+                seen[named] = False
+                place[named] = np.arange(len(named), dtype=np.uint32)
+                u, w = _steps(place[d.node_u[pn]], nodes_of_v[pv]), _steps(place[d.pair_w[pp]], pairs_of_v[pv])
+                short = np.diff(_short(d.hashes[named]), prepend=np.uint64(0))
+                words = np.diff(c.words[m] // np.uint64(shards), prepend=np.uint64(0))  # the remainder is the shard
+                body = _pack(words, u32(local[m]), d.v_hash[pv][~d.v_own[pv]], u32(nodes_of_v[pv]), u32(pairs_of_v[pv]), u, u32(grams_of_node[pn]), w, u32(rel[pg]), u32(d.count[pg]), d.big_v[pb], (_short(d.big_w[pb]), 5), u32(d.big_count[pb]), d.word_is_v[m], d.v_own[pv].astype(np.uint8), (short, 5))
+                cols = [s, c.name, *size, len(named), body]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, ask_types, strict=True)], ask_names)
 
     ask_names = ["shard", "chunk", *SIZES, "body"]
-    ask_types = [pa.int64(), pa.string(), *[pa.int64()] * 7, pa.binary()]
-    ask_schema = "shard long, chunk string, w long, v long, n long, p long, g long, b long, x long, body binary"
+    ask_types = [pa.int64(), pa.string(), *[pa.int64()] * len(SIZES), pa.binary()]
+    ask_schema = "shard long, chunk string, w long, v long, n long, p long, g long, b long, x long, d long, body binary"
 
     def answer(table):
         asked = [(r, opened(r)) for r in ({k: x for k, x in row.items()} for row in _rows(table.to_batches()))]
         for r, _ in asked:
             r.pop("body")
         shard = asked[0][0]["shard"]
-        words, at = np.unique(np.concatenate([a[0] for _, a in asked]), return_inverse=True)
+        words, at = _distinct(np.concatenate([a[0] for _, a in asked]))
         count = np.bincount(at, np.concatenate([a[1] for _, a in asked]).astype(np.float64), len(words))
-        p1 = to_codes(np.where(count > 0, (count - d1) / max(n, 1), unknown))
         shape, learnt = [], []
         for r, (_, _, vs, nu, nw, u, ng, w, rel, c, *_) in asked:
             node_v, pair_v = np.repeat(np.arange(r["v"]), nu), np.repeat(np.arange(r["v"]), nw)
@@ -580,15 +602,15 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
             both = to_codes(from_codes(prob3) + deep[gram_node] * from_codes(prob2)[gram_pair])
             prob3 = np.where(whole[gram_node], both, prob3)
             back2 = np.where(whole, to_codes(deep * from_codes(back1)[node_v]), back2)
-            out.append((r["chunk"], shard, *[r[k] for k in SIZES], _pack(count[i].astype(np.uint64), p1[i], back2, prob3, big_code[at_b[lo : lo + r["b"]]])))
+            out.append((r["chunk"], shard, *[r[k] for k in SIZES], _pack(count[i].astype(np.uint64), back2, prob3, big_code[at_b[lo : lo + r["b"]]])))
             lo += r["b"]
         k = np.flatnonzero(kinds)
-        out.append((None, shard, len(k), 0, 0, 0, 0, 0, 0, _pack(hot_words[k], kinds[k].astype(np.int64))))
-        types = [pa.string(), *[pa.int64()] * 8, pa.binary()]
+        out.append((None, shard, len(k), *[0] * (len(SIZES) - 1), _pack(hot_words[k], kinds[k].astype(np.int64))))
+        types = [pa.string(), *[pa.int64()] * (1 + len(SIZES)), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["chunk", "shard", *SIZES, "body"])
 
     asked = chunks.mapInArrow(ask, ask_schema)
-    answers = scratch.write(asked.groupBy("shard").applyInArrow(answer, "chunk string, shard long, w long, v long, n long, p long, g long, b long, x long, body binary"), "answers")
+    answers = scratch.write(asked.groupBy("shard").applyInArrow(answer, "chunk string, shard long, w long, v long, n long, p long, g long, b long, x long, d long, body binary"), "answers")
     del asked
     scratch.release()
 
@@ -607,14 +629,15 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
         for row in _rows(left.to_batches()):
             c = _Chunk(row)
             d = c.deal(hot_words, shards)
-            count, p1 = np.zeros(len(c.words)), np.zeros(len(c.words))
+            count = np.zeros(len(c.words))
             back, prob, big = np.ones(d.n_node), np.zeros(len(d.gram_node)), np.zeros(d.n_big)
             for s, r in got.items():
-                total, code, weight, own, pb = _unpack(r["body"], (np.uint64, r["w"]), (np.uint16, r["w"]), (np.uint16, r["n"]), (np.uint16, r["g"]), (np.uint16, r["b"]))
+                total, weight, own, pb = _unpack(r["body"], (np.uint64, r["w"]), (np.uint16, r["n"]), (np.uint16, r["g"]), (np.uint16, r["b"]))
                 m = d.word_order[d.part("words", s)]
-                count[m], p1[m] = total, from_codes(code)
+                count[m] = total
                 back[d.part("node", s)], prob[d.part("gram", s)] = from_codes(weight), from_codes(own)
                 big[d.big[d.part("big", s)]] = from_codes(pb)
+            p1 = from_codes(to_codes(np.where(count > 0, (count - d1) / max(n, 1), unknown)))
             shorter = p1[d.gram_word]
             spread = np.flatnonzero(d.v_hot[d.node_v[d.gram_node]])
             if len(spread):

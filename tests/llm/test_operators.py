@@ -297,6 +297,24 @@ def test_elias_fano_successor():
         assert (eq == ok).all() and (v[at[ok]] == x[ok]).all()
 
 
+def test_lm_moves_few_bytes(spark):
+    """Messages name a word once, chunks number frequent words first: what is shuffled, for each token."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(40000)]
+    words = rng.choices(vocab, [1 / (i + 10) for i in range(len(vocab))], k=160_000)
+    texts = [" ".join(words[i : i + 400]) for i in range(0, len(words), 400)]
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = shuffled()
+    assert ngram_lm.score(docs(spark, texts).coalesce(1), ngram_lm.Params(chunk_tokens=80_000, shard_tokens=40_000)).count() == len(texts)
+    assert (shuffled() - before) / len(words) < 18
+
+
 def test_lm_empty(spark):
     assert ngram_lm.score(docs(spark, [])).count() == 0
 
