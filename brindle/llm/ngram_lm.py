@@ -45,8 +45,9 @@ BEGIN = np.uint64(0xBE61000000000003)
 BITS = 36
 _MASK = np.uint64((1 << BITS) - 1)
 CODE_STEPS = 4000
-# [b, k]: the place of the k-th bit that is not set in byte b
-_SELECT0 = np.array([[*[i for i in range(8) if not b >> i & 1], *[0] * 8][:8] for b in range(256)], np.int64)
+# [8 b + k]: the place of the k-th bit that is not set in byte b
+_SELECT0 = np.array([[*[i for i in range(8) if not b >> i & 1], *[0] * 8][:8] for b in range(256)], np.int64).ravel()
+_BYTES = np.uint64(0x0101010101010101)  # times a byte: that byte eight times; times eight counts: their running sums
 
 
 @dataclass(frozen=True)
@@ -68,6 +69,19 @@ def from_codes(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, 10.0 ** (-(c.astype(np.float64) - 1) / CODE_STEPS), 0.0)
 
 
+def _select0(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th bit that is not set in each 64-bit word, which has more than k of these."""
+    u, k = np.uint64, k.astype(np.uint64)
+    x = ~word
+    x = x - ((x >> u(1)) & (_BYTES * u(0x55)))
+    x = (x & (_BYTES * u(0x33))) + ((x >> u(2)) & (_BYTES * u(0x33)))
+    upto = ((x + (x >> u(4))) & (_BYTES * u(0x0F))) * _BYTES
+    passed = (((k * _BYTES) | (_BYTES * u(0x80))) - upto) & (_BYTES * u(0x80))  # a mark for each byte that ends before the bit
+    at = np.bitwise_count(passed).astype(np.uint64) << u(3)
+    k = k - (((upto << u(8)) >> at) & u(0xFF))
+    return at.astype(np.int64) + _SELECT0[((((word >> at) & u(0xFF)) << u(3)) | k).astype(np.int64)]
+
+
 class EliasFano:
     """A non-decreasing sequence of 64-bit values: low bits packed, high bits in unary, and the zeros before each word of these."""
 
@@ -98,33 +112,21 @@ class EliasFano:
             return np.zeros(len(i), np.uint64)
         at = i.astype(np.uint64) * np.uint64(self.low_bits)
         word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        v = self.low[word] >> shift
-        over = shift + np.uint64(self.low_bits) > 64
-        v = np.where(over, v | (self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63))), v)
+        v = (self.low[word] >> shift) | ((self.low[word + 1] << np.uint64(1)) << (np.uint64(63) - shift))
         return v & np.uint64((1 << self.low_bits) - 1)
 
     def _ones_before_zero(self, h: np.ndarray) -> np.ndarray:
         """How many values have a high part of at most h; h below the number of zeros."""
         word = np.searchsorted(self.zeros, h, "right")
         left = h - np.where(word > 0, self.zeros[np.maximum(word, 1) - 1].astype(np.int64), 0)
-        octets = self.high[word].view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(8 - np.bitwise_count(octets).astype(np.int64), axis=1)
-        k = (upto <= left[:, None]).sum(1)
-        row = np.arange(len(h))
-        left = left - np.where(k > 0, upto[row, np.maximum(k, 1) - 1], 0)
-        return word * 64 + k * 8 + _SELECT0[octets[row, k], left] - h
+        return word * 64 + _select0(self.high[word], left) - h
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
         ones = np.arange(1, len(self.high) + 1) * 64 - self.zeros.astype(np.int64)
         word = np.searchsorted(ones, i, "right")
         left = i - np.where(word > 0, ones[np.maximum(word, 1) - 1], 0)
-        octets = ~self.high[word].view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(8 - np.bitwise_count(octets).astype(np.int64), axis=1)
-        k = (upto <= left[:, None]).sum(1)
-        row = np.arange(len(i))
-        left = left - np.where(k > 0, upto[row, np.maximum(k, 1) - 1], 0)
-        top = word * 64 + k * 8 + _SELECT0[octets[row, k], left] - i
+        top = word * 64 + _select0(~self.high[word], left) - i
         return (top.astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -534,33 +536,35 @@ def score(docs: DataFrame, p: Params = Params(), *, held_out_mod: int = 7, held_
         a[5], a[7] = short[_from_steps(a[5], a[3])], short[_from_steps(a[7], a[4])]
         return a
 
+    def messages(c):
+        d = c.deal(hot_words, shards)
+        local = c.word_counts()
+        nodes_of_v, pairs_of_v = np.bincount(d.node_v, minlength=len(d.v)), np.bincount(d.pair_in_v, minlength=len(d.v))
+        grams_of_node = np.bincount(d.gram_node, minlength=d.n_node)
+        begin = _runs(pairs_of_v)
+        rel = d.gram_pair - begin[d.node_v[d.gram_node]]
+        seen, place = np.zeros(len(d.hashes), bool), np.empty(len(d.hashes), np.uint32)
+        for s in range(shards):
+            size = _sizes(d, s)
+            if not any(size):
+                continue
+            m, pv, pn, pp, pg, pb = d.word_order[d.part("words", s)], *(d.part(x, s) for x in ("v", "node", "pair", "gram", "big"))
+            u32 = lambda x: x.astype(np.uint32)
+            # a word's short hash is sent once; contexts and successors are places among these
+            seen[d.node_u[pn]] = seen[d.pair_w[pp]] = True
+            named = np.flatnonzero(seen)
+            seen[named] = False
+            place[named] = np.arange(len(named), dtype=np.uint32)
+            u, w = _steps(place[d.node_u[pn]], nodes_of_v[pv]), _steps(place[d.pair_w[pp]], pairs_of_v[pv])
+            short = np.diff(_short(d.hashes[named]), prepend=np.uint64(0))
+            words = np.diff(c.words[m] // np.uint64(shards), prepend=np.uint64(0))  # the remainder is the shard
+            body = _pack(words, u32(local[m]), d.v_hash[pv][~d.v_own[pv]], u32(nodes_of_v[pv]), u32(pairs_of_v[pv]), u, u32(grams_of_node[pn]), w, u32(rel[pg]), u32(d.count[pg]), d.big_v[pb], (_short(d.big_w[pb]), 5), u32(d.big_count[pb]), d.word_is_v[m], d.v_own[pv].astype(np.uint8), (short, 5))
+            cols = [s, c.name, *size, len(named), body]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, ask_types, strict=True)], ask_names)
+
     def ask(batches):
         for row in _rows(batches):
-            c = _Chunk(row)
-            d = c.deal(hot_words, shards)
-            local = c.word_counts()
-            nodes_of_v, pairs_of_v = np.bincount(d.node_v, minlength=len(d.v)), np.bincount(d.pair_in_v, minlength=len(d.v))
-            grams_of_node = np.bincount(d.gram_node, minlength=d.n_node)
-            begin = _runs(pairs_of_v)
-            rel = d.gram_pair - begin[d.node_v[d.gram_node]]
-            seen, place = np.zeros(len(d.hashes), bool), np.empty(len(d.hashes), np.uint32)
-            for s in range(shards):
-                size = _sizes(d, s)
-                if not any(size):
-                    continue
-                m, pv, pn, pp, pg, pb = d.word_order[d.part("words", s)], *(d.part(x, s) for x in ("v", "node", "pair", "gram", "big"))
-                u32 = lambda x: x.astype(np.uint32)
-                # a word's short hash is sent once; contexts and successors are places among these
-                seen[d.node_u[pn]] = seen[d.pair_w[pp]] = True
-                named = np.flatnonzero(seen)
-                seen[named] = False
-                place[named] = np.arange(len(named), dtype=np.uint32)
-                u, w = _steps(place[d.node_u[pn]], nodes_of_v[pv]), _steps(place[d.pair_w[pp]], pairs_of_v[pv])
-                short = np.diff(_short(d.hashes[named]), prepend=np.uint64(0))
-                words = np.diff(c.words[m] // np.uint64(shards), prepend=np.uint64(0))  # the remainder is the shard
-                body = _pack(words, u32(local[m]), d.v_hash[pv][~d.v_own[pv]], u32(nodes_of_v[pv]), u32(pairs_of_v[pv]), u, u32(grams_of_node[pn]), w, u32(rel[pg]), u32(d.count[pg]), d.big_v[pb], (_short(d.big_w[pb]), 5), u32(d.big_count[pb]), d.word_is_v[m], d.v_own[pv].astype(np.uint8), (short, 5))
-                cols = [s, c.name, *size, len(named), body]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, ask_types, strict=True)], ask_names)
+            yield from messages(_Chunk(row))  # nothing of a chunk stays while the next one is dealt
 
     ask_names = ["shard", "chunk", *SIZES, "body"]
     ask_types = [pa.int64(), pa.string(), *[pa.int64()] * len(SIZES), pa.binary()]

@@ -315,6 +315,14 @@ def test_lm_moves_few_bytes(spark):
     assert (shuffled() - before) / len(words) < 18
 
 
+def test_places_of_unset_bits():
+    rng = np.random.default_rng(6)
+    some = rng.integers(0, 2**64, (3, 200), dtype=np.uint64)
+    for x in [0, 2**63 - 1, 2**64 - 2, *(some[0] | some[1] | some[2]).tolist(), *(some[0] & some[1]).tolist()]:
+        want = [i for i in range(64) if not x >> i & 1]
+        assert ngram_lm._select0(np.full(len(want), x, np.uint64), np.arange(len(want))).tolist() == want
+
+
 def test_lm_empty(spark):
     assert ngram_lm.score(docs(spark, [])).count() == 0
 
