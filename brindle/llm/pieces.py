@@ -11,9 +11,9 @@ result is the model's own encoding.
 Merges never cross from other text into a meta symbol, so stretches are independent. Every
 occurrence of a stretch draws its own skips, within and across texts, so the number of its
 segmentations has no bound but dropout's own; any recomputed task gives the same ids. A task keeps a bounded
-table of stretches with the pairs that are popped if nothing is skipped, and the ids that this gives.
+table of stretches that it has met before, with the pairs that are popped if nothing is skipped, and the ids that this gives.
 An occurrence hashes those pairs; if none is skipped, the ids stand. All other occurrences of a slice
-of texts run their own agendas side by side, one pop of each in a round of numpy operations, so no
+of texts, first ones among them, run their own agendas side by side, one pop of each in a round of numpy operations, so no
 result is ever taken from another occurrence's draws.
 
 Characters without a piece become the byte pieces of their UTF-8 form; so does a literal meta
@@ -27,6 +27,7 @@ import heapq
 import re
 from array import array
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ _MASK = (1 << 64) - 1
 _NONE = 1 << 60
 _SHORT = 48
 _NO_PAIR = (1 << 24) - 1
+_SEEN = 1 << 21
 _STRETCH = re.compile(f"{META}*[^{META}]*")
 
 
@@ -109,14 +111,14 @@ class Codec:
         left, right, rank, into = (np.array(v, np.int64) for v in zip(*pairs, strict=True)) if pairs else [np.zeros(0, np.int64)] * 4
         keys = (left << 32) | right
         self._bits = max(4, (4 * len(keys)).bit_length())
-        self._pair_key = np.full(1 << self._bits, -1, np.int64)
-        self._pair_rank, self._pair_into = np.full(1 << self._bits, _NO_PAIR, np.int32), np.zeros(1 << self._bits, np.int32)
+        # a key and its value, rank << 32 | piece, side by side; a free slot has the key -1 and the rank _NO_PAIR
+        self._pair = np.tile(np.array([-1, _NO_PAIR << 32], np.int64), 1 << self._bits)
         slot, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):
-            free = todo[self._pair_key[slot[todo]] < 0]
+            free = todo[self._pair[2 * slot[todo]] < 0]
             _, first = np.unique(slot[free], return_index=True)
             put = free[first]
-            self._pair_key[slot[put]], self._pair_rank[slot[put]], self._pair_into[slot[put]] = keys[put], rank[put], into[put]
+            self._pair[2 * slot[put]], self._pair[2 * slot[put] + 1] = keys[put], (rank[put] << 32) | into[put]
             todo = np.setdiff1d(todo, put)
             slot[todo] = (slot[todo] + 1) & ((1 << self._bits) - 1)
         self._char = np.full(0x110000, -1, np.int32)
@@ -125,23 +127,25 @@ class Codec:
                 self._char[ord(x)] = i
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).view(np.int64)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (_NO_PAIR: none) and piece of the pairs of pieces; negative pieces pair with nothing."""
         keys = (left.astype(np.int64) << 32) | right
-        keys[(left < 0) | (right < 0)] = -2
         slot = self._slot(keys)
-        while True:
-            got = self._pair_key[slot]
-            on = np.flatnonzero((got != keys) & (got != -1))
-            if not len(on):
-                return np.where(got == keys, self._pair_rank[slot], _NO_PAIR), self._pair_into[slot]
+        got = self._pair.take(2 * slot)
+        on = np.flatnonzero((got != keys) & (got != -1))
+        while len(on):
             slot[on] = (slot[on] + 1) & ((1 << self._bits) - 1)
+            got = self._pair.take(2 * slot[on])
+            on = on[(got != keys[on]) & (got != -1)]
+        value = self._pair.take(2 * slot + 1)
+        return (value >> 32).astype(np.int32), value.astype(np.int32)
 
     def _clear(self) -> None:
         """Forgets all stretches."""
         self._known: dict[str | None, int] = {}
+        self._seen = bytearray()
         self._events, self._out = array("Q"), array("i")
         self._event_at, self._out_at = array("q", [0]), array("q", [0])
 
@@ -177,9 +181,13 @@ class Codec:
         return (x ^ (x >> 29)) < self._limit
 
     def _skips(self, keys: np.ndarray, events: np.ndarray) -> np.ndarray:
-        x = (keys ^ (events * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        return (x ^ (x >> np.uint64(29))) < np.uint64(self._limit)
+        x = events * np.uint64(0x9E3779B97F4A7C15)
+        x ^= keys
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        return x < np.uint64(self._limit)
 
     def _ids(self, symbols) -> tuple[int, ...]:
         out: list[int] = []
@@ -297,29 +305,52 @@ class Codec:
         size = np.diff(ends)
         number = np.arange(len(parts)) - np.repeat(ends[:-1], size)
         draw = textscan.mix(np.repeat(np.array(seeds, np.uint64), size) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self._learn([x for x in dict.fromkeys(parts) if x not in self._known])
         known = self._known
-        state = np.array([known.get(x, -1) for x in parts], np.int64)
-        for n in np.flatnonzero(state < 0).tolist():  # long ones, by an agenda of their own
-            state[n] = self._state(self._by_agenda(parts[n], int(draw[n])))
+        state = np.fromiter(map(known.get, parts, repeat(-1)), np.int64, len(parts))
+        lacking = np.flatnonzero(state < 0)
+        new = [parts[k] for k in lacking.tolist()]
+        self._learn(self._worth_learning(new))
+        state[lacking] = list(map(known.get, new, repeat(-1)))
+        own = state < 0
+        for k, x in zip(lacking.tolist(), new, strict=True):  # long ones, by an agenda of their own
+            if x is not None and len(x) > _SHORT:
+                state[k], own[k] = self._state(self._by_agenda(x, int(draw[k]))), False
         at = np.frombuffer(self._out_at, np.int64)
         begin, n = at[state], at[state + 1] - at[state]
         ids = np.frombuffer(self._out, np.int32)
         if self._limit:
             at = np.frombuffer(self._event_at, np.int64)
             first, many = at[state], at[state + 1] - at[state]
-            row = np.repeat(np.arange(len(parts)), many)
-            event = np.frombuffer(self._events, np.uint64)[np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(row))]
-            skipped = np.zeros(len(parts), bool)
-            skipped[row[self._skips(draw[row], event)]] = True
-            drawn = np.flatnonzero(skipped)
-            own, size, _, _ = self._side_by_side([parts[k] for k in drawn], draw[drawn])
+            many[own] = 0
+            row = np.repeat(np.arange(len(parts), dtype=np.int32), many)
+            event = np.frombuffer(self._events, np.uint64).take(np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(row)))
+            own[row[self._skips(np.repeat(draw, many), event)]] = True
+            drawn = np.flatnonzero(own)
+            new, size, _, _ = self._side_by_side([parts[k] for k in drawn.tolist()], draw[drawn])
             begin[drawn] = len(ids) + np.cumsum(size) - size
             n[drawn] = size
-            ids = np.concatenate([ids, own])
+            ids = np.concatenate([ids, new])
         upto = np.concatenate([[0], np.cumsum(n)])
         return ids[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])], np.diff(upto[ends])
 
+    def _worth_learning(self, new: list[str | None]) -> list[str | None]:
+        """Of the stretches that the table lacks, one of each that occurs again; first occurrences only leave a mark.
+
+        A mark is a byte by hash: a collision puts a stretch into the table early, and no ids depend on that.
+        """
+        if not self._limit:
+            return list(dict.fromkeys(new))
+        if not self._seen:
+            self._seen = bytearray(_SEEN)
+        seen, again = self._seen, {}
+        for x in new:
+            k = hash(x) & (_SEEN - 1)
+            if seen[k] or x is None:
+                again[x] = None
+            else:
+                seen[k] = 1
+        return list(again)
+
     def _side_by_side(self, parts: list[str], draw: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The ids of short stretches, each by its own agenda, and how many; without draws also the popped pairs (rank and place), and how many."""
         size = np.array([len(x) for x in parts], np.int64)
@@ -361,54 +392,46 @@ class Codec:
     def _agendas(self, char: np.ndarray, at: np.ndarray, size: np.ndarray, draw: np.ndarray | None, width: int) -> tuple[np.ndarray, ...]:
         """One agenda for each column of ``width`` places; in a round each pops its best pair, the leftmost of equals, and skips or merges it."""
         n = len(at)
-        place = np.arange(width)[:, None]
+        place = np.arange(width, dtype=np.int32)[:, None]
         inside = place < size
-        sym = np.where(inside, char[np.where(inside, at + place, 0)], -1)
-        rank, into = self._pairs(sym[:-1].ravel(), sym[1:].ravel())
-        none = np.int32(_NO_PAIR * 64)
-        pair = np.full((width, n), none, np.int32)
-        pair[:-1] = np.where(rank == _NO_PAIR, none, rank * 64).reshape(width - 1, n) + np.where(rank == _NO_PAIR, 0, 1).reshape(width - 1, n) * place[:-1]
-        made = np.zeros((width, n), np.int32)
-        made[:-1] = into.reshape(width - 1, n)
-        nxt = np.repeat(np.arange(1, width + 1, dtype=np.int16)[:, None], n, 1)
-        prev = nxt - 2
-        done = sym.copy()
+        # one row more at either end holds no symbol, so that the first and the last have neighbours that pair with nothing
+        sym = np.full((width + 2, n), -1, np.int32)
+        sym[1:-1] = np.where(inside, char[np.where(inside, at + place, 0)], -1)
+        none = np.int32(_NO_PAIR * 64)  # and what is above it: no pair
+        pair, made = np.full((width + 2, n), none, np.int32), np.zeros((width + 2, n), np.int32)
+        rank, into = self._pairs(sym[1:-2].ravel(), sym[2:-1].ravel())
+        pair[1:-2], made[1:-2] = rank.reshape(width - 1, n) * 64 + place[:-1], into.reshape(width - 1, n)
+        cell = np.arange((width + 2) * n, dtype=np.int32)
+        nxt, prev, row_of = cell + np.int32(n), cell - np.int32(n), np.repeat(np.arange(-1, width + 1, dtype=np.int32), n)
+        pairs, syms, mades = pair[1:width], sym.ravel(), made.ravel()
+        flat = pair.ravel()
         live = np.arange(n)
         popped: list[tuple[np.ndarray, np.ndarray]] = [(live[:0], np.zeros(0, np.uint64))]
-        while len(live):
-            best = pair.min(0)
+        while True:
+            best = pairs.min(0)[live] if 2 * len(live) > n else pairs[:, live].min(0)
             go = best < none
             if not go.all():
-                done[:, live[~go]] = sym[:, ~go]
                 live, best = live[go], best[go]
-                sym, pair, made, nxt, prev = (x[:, go] for x in (sym, pair, made, nxt, prev))
                 if not len(live):
                     break
-            i, col = (best & 63).astype(np.int16), np.arange(len(live))
+            i = best & np.int32(63)
             event = ((best >> 6).astype(np.uint64) << np.uint64(32)) | i.astype(np.uint64)
+            x = (i + 1) * np.int64(n) + live
             if draw is None:
                 popped.append((live, event))
             else:
                 skip = self._skips(draw[live], event)
-                pair[i[skip], col[skip]] = none
-                i, col = i[~skip], col[~skip]
-            both, j = made[i, col], nxt[i, col]
-            sym[i, col], sym[j, col] = both, -1
-            pair[j, col] = none
-            after = nxt[j, col]
-            nxt[i, col] = after
-            on = after < size[live[col]]
-            prev[after[on], col[on]] = i[on]
-            right = np.where(on, sym[np.minimum(after, width - 1), col], -1)
-            before = prev[i, col]
-            left = np.where(before >= 0, sym[np.maximum(before, 0), col], -1)
-            rank, into = self._pairs(both, right)
-            pair[i, col] = np.where(rank == _NO_PAIR, none, rank * np.int32(64) + i)
-            made[i, col] = into
-            rank, into = self._pairs(left, both)
-            k = np.flatnonzero(before >= 0)
-            pair[before[k], col[k]] = np.where(rank[k] == _NO_PAIR, none, rank[k] * 64 + before[k])
-            made[before[k], col[k]] = into[k]
+                flat[x[skip]] = none
+                x, i = x[~skip], i[~skip]
+            both, j = mades[x], nxt[x]
+            after, before = nxt[j], prev[x]
+            syms[x], syms[j], flat[j] = both, -1, none
+            nxt[x], prev[after] = after, x
+            rank, into = self._pairs(np.concatenate([both, syms[before]]), np.concatenate([syms[after], both]))
+            m = len(x)
+            flat[x], mades[x] = rank[:m] * 64 + i, into[:m]
+            flat[before], mades[before] = rank[m:] * 64 + row_of[before], into[m:]
+        done = sym[1:-1]
         done = done.T
         kept = done >= 0
         row, event = (np.concatenate(x) for x in zip(*popped, strict=True))
@@ -419,7 +442,7 @@ class Codec:
         if ids is None:
             return None
         table = self._bytes
-        text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 

@@ -399,6 +399,26 @@ def test_dropout_equals_brute_force(spark, model, dropout):
         assert c.encode(text[:3000], key) == [i for s, k in zip(parts, keys, strict=True) for i in brute_dropout(c, s, k)]
 
 
+def test_stretches_are_learnt_when_they_occur_again(model):
+    """First occurrences run their own agendas only; the ids are the same before and after a stretch is learnt."""
+    c = pieces.Codec.load(model)
+    words = [f"zq{n}unrepeatable" for n in range(300)]
+    once, key = " ".join(words), 7
+    first = c.encode(once, key)
+    # marks by hash collide now and then
+    assert len(c._known) < 10 and len(c._out) < 100
+    assert c.encode(once, key) == first and set(c._known) >= {f"▁{w}" for w in words}
+    assert c.encode(once, key) == first == [i for w, k in zip(c._stretches(once), _draws(c, key, 300), strict=True) for i in brute_dropout(c, w, k)]
+    left = np.array([-1, 5, -1, 1 << 20], np.int32)
+    rank, _ = c._pairs(left, np.array([5, -1, -1, 1 << 20], np.int32))
+    assert (rank == pieces._NO_PAIR).all()
+
+
+def _draws(codec, key, n):
+    x = np.uint64(pieces._hash(codec.params.seed, key))
+    return pieces.textscan.mix(x + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
+
+
 def test_pieces_frame(spark):
     out = pieces.encode(docs(spark, ODD), decoded_col="back").collect()
     assert [r.back for r in sorted(out, key=lambda r: r.doc_id)] == ODD
