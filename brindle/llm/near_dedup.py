@@ -47,6 +47,7 @@ class Params:
     limit: int = 65534
     margin: float = 0.24
     block: int = 1024
+    weight: int = 1_000_000
 
     @property
     def registers(self) -> int:
@@ -206,24 +207,35 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray], left_comp: np.n
     return found
 
 
-def _remaining(members: DataFrame, comp: DataFrame, texts: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
-    """Exact links (a, b) between the members of each hub (hub, rep) that stand in different components.
+def dealt(placed: DataFrame, p: Params) -> DataFrame:
+    """The sides of all blocks: hub, rep, comp, n, side (0: left), i and j, from the members (hub, rep, comp, n) of each hub; n is the set's size.
 
-    In each group the members outside the largest component meet all members, in blocks of at most
-    about ``p.block`` sets on either side; blocks are dealt out singly and small groups share tasks.
+    The members outside a hub's largest component stand on the left, all its members on the right. They are dealt by
+    hash into as many blocks as keep a side at about ``p.block`` sets and ``p.weight`` shingles, so long texts don't fill a task.
     """
-    placed = members.join(comp, members.rep == comp.node, "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = scratch.write(placed, "members")
-    sizes = placed.groupBy("hub", "comp").agg(F.count("*").alias("n"))
-    groups = sizes.groupBy("hub").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("k"))
-    groups = groups.where("k > 1").select("hub", "main", F.ceil(F.col("n") / p.block).alias("right"), F.ceil((F.col("n") - F.col("most")) / p.block).alias("left"))
+    sizes = placed.groupBy("hub", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    groups = sizes.groupBy("hub").agg(F.max_by(F.struct("comp", "k", "n"), F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("many"))
+    many = lambda k, n: F.greatest(F.ceil(k / p.block), F.ceil(n / p.weight))
+    groups = groups.where("many > 1").select("hub", F.col("main.comp").alias("main"), many(F.col("k"), F.col("n")).alias("right"), many(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n")).alias("left"))
     rows = placed.join(groups, "hub").withColumn("h", F.xxhash64("rep"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    right = rows.select("hub", "rep", "comp", F.lit(1).alias("side"), every("left").alias("i"), F.pmod("h", "right").alias("j"))
-    left = rows.where("comp <> main").select("hub", "rep", "comp", F.lit(0).alias("side"), F.pmod("h", "left").alias("i"), every("right").alias("j"))
-    both = scratch.write(left.unionByName(right), "blocks")
-    tasks = max(1, -(-both.count() // (2 * p.block)))
-    both = both.withColumn("task", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(tasks))).join(texts.withColumnRenamed("id", "rep"), "rep")
+    right = rows.select("hub", "rep", "comp", "n", F.lit(1).alias("side"), every("left").alias("i"), F.pmod("h", "right").alias("j"))
+    left = rows.where("comp <> main").select("hub", "rep", "comp", "n", F.lit(0).alias("side"), F.pmod("h", "left").alias("i"), every("right").alias("j"))
+    return left.unionByName(right)
+
+
+def _remaining(members: DataFrame, comp: DataFrame, sizes: DataFrame, texts: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """Exact links (a, b) between the members of each hub (hub, rep) that stand in different components.
+
+    In each group the members outside the largest component meet all members, in blocks; blocks are
+    dealt out singly and small groups share tasks.
+    """
+    placed = members.join(comp, members.rep == comp.node, "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = scratch.write(placed.join(sizes, "rep"), "members")
+    both = scratch.write(dealt(placed, p), "blocks")
+    rows, shingles = both.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = max(1, -(-rows // (2 * p.block)), -(-shingles // (2 * p.weight)))
+    both = both.drop("n").withColumn("task", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(tasks))).join(texts.withColumnRenamed("id", "rep"), "rep")
 
     def run(table):
         found = []
@@ -265,15 +277,15 @@ def _components(docs: DataFrame, p: Params) -> DataFrame:
     hubs = multi.join(weight, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("hub"))
     members = scratch.write(multi.join(hubs, "bucket").where("rep <> hub").select("hub", "rep").distinct(), "stars")
     stars = members.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    need = classes.join(stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep").select("key", "rep")
+    need = classes.join(stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep").select("key", "rep", "n")
     need = scratch.write(need, "need")
     rows = possibly_in(docs.select(_row_key().alias("key"), "text"), need, "key")
     # an inner join with distinct keys: a semi join would be pushed below the bitmap's
-    texts = rows.join(need, "key").groupBy(F.col("rep").alias("id")).agg(F.min("text").alias("text"))
+    texts = rows.join(need.drop("n"), "key").groupBy(F.col("rep").alias("id")).agg(F.min("text").alias("text"))
     texts = scratch.write(texts, "texts")
     links = scratch.write(_verified(_plausible(stars, classes, p), texts, p), "links")
     comp = scratch.write(connected_components(links, scratch), "components")
-    more = _remaining(members, comp, texts, p, scratch)
+    more = _remaining(members, comp, need.drop("key"), texts, p, scratch)
     comp = scratch.write(connected_components(links.union(more), scratch), "components")
     placed = classes.select("f1", "f2", "first_id", "rep").join(comp, classes.rep == comp.node, "left").select("f1", "f2", "first_id", "component")
     label = placed.where("component is not null").groupBy("component").agg(F.min("first_id").alias("label"))

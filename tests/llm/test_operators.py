@@ -5,7 +5,7 @@ import random
 import re
 import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -100,6 +100,30 @@ def test_near_dedup_blocks_alone_find_all_links(spark):
     assert got == {i: c for i, (_, c) in enumerate(brute_components(texts, 4))}
 
 
+def test_blocks_of_long_texts_are_bounded_by_shingles(spark):
+    """Sets meet their whole group, but no block holds many more shingles than its weight, however long the texts are."""
+    p = near_dedup.Params(block=1024, weight=20_000)
+    rows = [(1, rep, rep if rep % 3 else 0, 500 if rep % 50 else 6000) for rep in range(2, 902)] + [(0, 5, 5, 90_000), (0, 6, 6, 3)]
+    got = near_dedup.dealt(spark.createDataFrame(rows, "hub long, rep long, comp long, n long"), p).collect()
+    load, met = Counter(), defaultdict(lambda: ([], []))
+    for r in got:
+        load[r.hub, r.i, r.j, r.side] += r.n
+        met[r.hub, r.i, r.j][r.side].append(r.rep)
+    assert max(n for (hub, *_), n in load.items() if hub) <= 3 * p.weight
+    pairs = Counter((hub, a, b) for (hub, *_), (left, right) in met.items() for a in left for b in right)
+    apart = [rep for _, rep, comp, _ in rows[:900] if comp]
+    assert set(pairs.values()) == {1}
+    assert {x for x in pairs if x[0]} == {(1, a, b) for a in apart for _, b, _, _ in rows[:900]}
+
+
+def test_long_texts_link_in_small_blocks(spark):
+    rng = random.Random(12)
+    texts = near_copies()[:60] + [rand_text(rng, 700, 9) for _ in range(4)]
+    p = near_dedup.Params(block=16, weight=100)
+    got = {r.doc_id: r.component_id for r in near_dedup.components(docs(spark, texts), p).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(brute_components(texts, 4))}
+
+
 def test_near_dedup_odd_tables(spark):
     assert near_dedup.components(docs(spark, [])).count() == 0
     rows = docs(spark, ["a b c d e"]).union(docs(spark, ["a b c d e"])).union(spark.createDataFrame([(None, "a b c d e", "x", "en")], DOCS))
