@@ -196,14 +196,6 @@ _CHUNK = 2048
 _TABLE = np.array(_CRC32C, np.uint32)
 
 
-def _after_zeros(n: int) -> np.ndarray:
-    """What a state of one bit becomes after n zero bytes, for each of the 32 bits."""
-    x = np.uint32(1) << np.arange(32, dtype=np.uint32)
-    for _ in range(n):
-        x = (x >> np.uint32(8)) ^ _TABLE[x & np.uint32(0xFF)]
-    return x
-
-
 def _place_tables() -> np.ndarray:
     """[k, b]: what byte b gives if k more bytes follow it."""
     out = np.empty((_CHUNK, 256), np.uint32)
@@ -217,22 +209,22 @@ _PLACES: list[np.ndarray] = []
 
 
 def crc32c(data: bytes) -> int:
-    """CRC-32C (Castagnoli). The code is linear, so a chunk's bytes are looked up by their place and combined at once."""
+    """CRC-32C (Castagnoli). The code is linear, so a chunk's bytes are looked up by their place and combined at once; the state before it is added to its first four bytes."""
     if not _PLACES:
-        _PLACES.extend((_place_tables(), _after_zeros(_CHUNK)))
-    places, jump = _PLACES
+        _PLACES.extend((_place_tables()[::-1].ravel(), np.arange(_CHUNK) * 256))
+    places, starts = _PLACES
     raw = np.frombuffer(data, np.uint8)
     c = 0xFFFFFFFF
     for lo in range(0, len(raw), _CHUNK):
         part = raw[lo : lo + _CHUNK]
         n = len(part)
-        if n < _CHUNK and n < 64:
+        if n < 64:
             for b in part.tolist():
                 c = (c >> 8) ^ _CRC32C[(c ^ b) & 0xFF]
             continue
-        bits = jump if n == _CHUNK else _after_zeros(n)
-        moved = np.bitwise_xor.reduce(bits[(np.uint32(c) >> np.arange(32, dtype=np.uint32)) & np.uint32(1) == 1], initial=np.uint32(0))
-        c = int(moved ^ np.bitwise_xor.reduce(places[np.arange(n - 1, -1, -1), part]))
+        at = starts[_CHUNK - n :] + part
+        at[:4] = starts[_CHUNK - n : _CHUNK - n + 4] + (part[:4] ^ np.frombuffer(c.to_bytes(4, "little"), np.uint8))
+        c = int(np.bitwise_xor.reduce(places[at]))
     return c ^ 0xFFFFFFFF
 
 
