@@ -17,9 +17,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.operators import leaf_pairs as lp
 from brindle.operators.frequency import trim_trailing_zeros
 from brindle.sources.shared import written
 
@@ -271,12 +272,41 @@ class Lineage:
         both = x.join(y, "v").where("s1 < s2").join(self.nodes.select(F.col("node").alias("v"), "tot"), "v")
         return both.groupBy((F.col("t1") + F.col("t2") - 2 * F.col("tot")).alias("s"), F.col("tot").alias("tot_lca")).agg(F.sum(F.col("c1") * F.col("c2")).cast("bigint").alias("n"))
 
+    def _ranked(self) -> DataFrame:
+        """(rank, t, gap) of alive leaves by their place in the tour, from 0: total, and total of the common ancestor with the next leaf.
+
+        A leaf's place is the sum of the leaves of first children beside its path: the tour's doubling.
+        """
+        both = self.children().join(self.nodes.select(F.col("node").alias("child1"), F.col("nl").alias("first")), "child1")
+        before = both.select(F.col("child2").alias("node"), F.col("first").alias("mut"))
+        steps = self.nodes.select("node", "parent", "alive").join(before, "node", "left").withColumn("mut", F.coalesce("mut", F.lit(0).cast("bigint")))
+        rank = written(sums(steps, self.nodes.count()).select("node", F.col("tot").alias("rank")), "ranks")
+        at = self.nodes.select("node", "tot", "alive").join(rank, "node")
+        gap = at.join(both, "node").select((F.col("rank") + F.col("first") - 1).alias("rank"), F.col("tot").alias("gap"))
+        return at.where("alive").select("rank", F.col("tot").alias("t")).join(gap, "rank", "left").select("rank", "t", F.coalesce("gap", "t").alias("gap"))
+
+    def _pair_profile(self) -> DataFrame:
+        """As ``_profile``, but every pair of leaves is made: in tiles of two blocks of leaves, a task for some of them, without rows of pairs."""
+        leaves = self.nodes.where("alive").count()
+        side = max(64, min(lp.SIDE, -(-leaves // 32)))
+        n = -(-leaves // side)
+        tasks = min(n * (n + 1) // 2, max(64, n * (n + 1) // 32))
+        rows = self._ranked().groupBy(F.expr(f"rank div {side}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("rank", "t", "gap"))).alias("x"))
+        blocks = written(rows.select("block", F.col("x.t").alias("t"), F.col("x.gap").alias("gap")), "blocks")
+        low = blocks.select(F.col("block").alias("j"), F.array_min("gap").alias("low"))
+        passed = Window.partitionBy("i").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+        tiles = blocks.select(F.col("block").alias("i")).join(low, F.col("i") < F.col("j")).select("i", "j", F.min("low").over(passed).alias("between"))
+        one, two = (blocks.select(F.col("block").alias(k), F.col("t").alias(f"t{x}"), F.col("gap").alias(f"gap{x}")).hint("merge") for k, x in (("i", 1), ("j", 2)))
+        own = blocks.select(F.col("block").alias("i"), F.col("block").alias("j"), F.lit(None).cast("bigint").alias("between"))
+        left = tiles.unionByName(own).join(one, "i").repartition(tasks, "i", "j")
+        right = tiles.select("i", "j").join(two, "j").repartition(tasks, "i", "j")
+        both = left.join(right.hint("merge"), ["i", "j"], "left").select("t1", "gap1", "t2", "gap2", "between")
+        return both.mapInArrow(lp.count_tiles, "s bigint, tot_lca bigint, n bigint")
+
     def distance(self, *, pairwise: bool = False) -> DataFrame:
         """(idx, freq): leaf pairs by tot_a + tot_b - 2 tot_lca; trimmed."""
-        if pairwise:
-            s = F.col("tot_a") + F.col("tot_b") - 2 * F.col("tot_lca")
-            return self._dense(self.leaf_pairs().groupBy(s.alias("idx")).agg(F.count("*").alias("freq")))
-        return self._dense(self._profile().groupBy(F.col("s").alias("idx")).agg(F.sum("n").cast("bigint").alias("freq")))
+        rows = self._pair_profile() if pairwise else self._profile()
+        return self._dense(written(rows.groupBy(F.col("s").alias("idx")).agg(F.sum("n").cast("bigint").alias("freq")), "distances"))
 
     def jaccard(self, n_bins: int, *, pairwise: bool = False) -> DataFrame:
         """(bin, freq): leaf pairs by s / (s + tot_lca) in ``n_bins`` equal bins (0 without mutations), by integers; not trimmed."""

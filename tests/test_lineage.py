@@ -3,9 +3,12 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from brindle.operators import leaf_pairs as lp
+from brindle.operators import lineage
 from brindle.operators.lineage import Lineage, check_binary, sample_leaves, with_poisson
 from brindle.operators.range_min import range_min
 from brindle.operators.simulate import birth_death
+from brindle.sources.shared import written
 
 SCHEMA = "node bigint, parent bigint, mut bigint, alive boolean"
 
@@ -67,6 +70,60 @@ def test_pairwise_equals_convolution(spark):
     assert values(tree.jaccard(50)) == values(tree.jaccard(50, pairwise=True))
 
 
+def most_rows(df):
+    """The most rows that any step of a collected frame made."""
+
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(p.plan())
+        own = p.metrics().get("numOutputRows")
+        kids = p.children()
+        return max([own.get().value() if own.isDefined() else 0, *(walk(kids.apply(k)) for k in range(kids.size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_all_pairs_make_no_rows_of_pairs(spark, monkeypatch):
+    """A comb of 300 leaves: 44,850 pairs, which were a row for each common ancestor of each pair."""
+    n = 300
+    rows = [(0, None, 0, False)]
+    for k in range(1, n):
+        inner, leaf = 2 * k - 1, 2 * k
+        rows += [(inner, max(0, 2 * k - 3), k % 4, k == n - 1), (leaf, max(0, 2 * k - 3), k % 3, True)]
+    tree = Lineage.build(spark.createDataFrame(rows, SCHEMA))
+    made = []
+    monkeypatch.setattr(lineage, "written", lambda df, name="t": (df.collect(), made.append(most_rows(df)), written(df, name))[-1])
+    assert values(tree.distance(pairwise=True)) == values(tree.distance())
+    found = tree._pair_profile()
+    assert sum(r.n for r in found.collect()) == n * (n - 1) // 2
+    made = []
+    tree.distance(pairwise=True)
+    assert max([*made, most_rows(found)]) < 10_000
+
+
+@pytest.mark.parametrize("high", [4, 10**7])
+def test_tiles_equal_a_loop(high):
+    """Narrow totals are counted in an array, wide ones sorted; blocks of several sizes, also with others between them."""
+    rng = np.random.default_rng(high)
+    gap = rng.integers(0, high, 700)
+    t = np.maximum(gap, np.concatenate(([0], gap[:-1]))) + rng.integers(0, high, 700)
+    for lo1, hi1, lo2, hi2 in ((0, 1, 1, 2), (0, 150, 150, 700), (10, 300, 520, 640), (0, 300, None, None), (5, 6, None, None)):
+        want = Counter()
+        for i in range(lo1, hi1):
+            for j in range(i + 1, hi1) if lo2 is None else range(lo2, hi2):
+                c = gap[i:j].min()
+                want[c, t[i] + t[j] - 2 * c] += 1
+        second = () if lo2 is None else (t[lo2:hi2], gap[lo2:hi2], int(gap[hi1:lo2].min()) if hi1 < lo2 else None)
+        got = Counter()
+        for lca, s, k in lp.tile(t[lo1:hi1], gap[lo1:hi1], *second):
+            for key in zip(lca, s, k, strict=True):
+                got[key[:2]] += key[2]
+        assert got == want
+
+
 def test_lca_and_contracted_children(spark):
     """A chain of 41 nodes with a second leaf at its 20th: all the chain is joined to the nodes below."""
     n = 40
