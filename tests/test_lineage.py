@@ -101,7 +101,10 @@ def test_all_pairs_make_no_rows_of_pairs(spark, monkeypatch):
     assert sum(r.n for r in found.collect()) == n * (n - 1) // 2
     made = []
     tree.distance(pairwise=True)
-    assert max([*made, most_rows(found)]) < 10_000
+    shares = tree.jaccard(20, pairwise=True)
+    assert values(shares) == values(tree.jaccard(20))
+    shares.collect()
+    assert max([*made, most_rows(found), most_rows(shares)]) < 10_000
 
 
 @pytest.mark.parametrize("high", [4, 10**7])
