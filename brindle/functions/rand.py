@@ -73,8 +73,17 @@ def poisson(lam: float, path: str, variable: str, key: Column, max_draws: int =
         going = s["p"] > stop
         return F.struct(F.when(going, s["p"] * uniform(path, variable, key, n)).otherwise(s["p"]).alias("p"), (s["k"] + going.cast("int")).alias("k"))
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(max_draws)), start, step)
-    return F.when(end["p"] > stop, F.raise_error(F.lit("too few draws")).cast("int")).otherwise(end["k"] - 1).cast("bigint")
+    def draws(s: Column, first: int, last: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(first), F.lit(last)), s, step)
+
+    def then(s: Column, f) -> Column:
+        return F.transform(F.array(s), f)[0]  # names a value, so that it is computed once
+
+    few = min(max_draws, math.ceil(lam + 4 * math.sqrt(lam)))
+    end = draws(start, 1, few)
+    if few < max_draws:  # a loop doesn't stop when the count is known: only rows that go on have the long one
+        end = then(end, lambda s: F.when(s["p"] > stop, draws(s, few + 1, max_draws)).otherwise(s))
+    return then(end, lambda s: F.when(s["p"] > stop, F.raise_error(F.lit("too few draws")).cast("int")).otherwise(s["k"] - 1)).cast("bigint")
 
 
 def ranked_sample(df: DataFrame, group: str, key: str, amount: int, path: str) -> DataFrame:

@@ -130,7 +130,8 @@ class Lineage:
 
     @staticmethod
     def build(tree: DataFrame) -> Lineage:
-        """Raises ValueError if ``tree`` is no binary tree with two alive leaves."""
+        """Raises ValueError if ``tree`` is no binary tree with two alive leaves. ``tree`` is computed once."""
+        tree = written(tree.select("node", "parent", "mut", "alive"), "tree")
         return Lineage(written(contract(sums(tree, check_tree(tree))), "nodes"))
 
     def save(self, path: str) -> None:
