@@ -25,22 +25,28 @@ from brindle.operators.frequency import trim_trailing_zeros
 from brindle.sources.shared import written
 
 
-def ancestors(tree: DataFrame) -> DataFrame:
-    """(node, anc, dist) of every node with all its ancestors and itself, by doubling.
+def by_sort(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables of a tree's size, never by broadcast: files under the limit for that hold a million rows and more, all of which would pass the driver."""
+    return left.join(right.hint("merge"), on, how)
 
-    Round k joins paths shorter than 2**k with jumps of 2**k, so a tree of depth h takes log2(h)
-    rounds; each is written, so plans and recomputation stay short. Output: nodes x depth rows.
+
+def ancestors(tree: DataFrame, some: DataFrame | None = None) -> DataFrame:
+    """(node, anc, dist) of every node (of those in ``some``) with all its ancestors and itself, by doubling.
+
+    Round k makes paths of 2**k edges and more from shorter ones and jumps of 2**k, so a tree of depth h takes log2(h)
+    rounds, as do nodes at depth h; each is written, so plans and recomputation stay short. Output: nodes x depth rows.
     """
-    paths = tree.select("node", F.col("node").alias("anc"), F.lit(0).alias("dist"))
-    jumps = tree.where("parent is not null").select("node", F.col("parent").alias("up"))
+    paths = (tree if some is None else some).select("node", F.col("node").alias("anc"), F.lit(0).alias("dist"))
+    jumps = tree.where("parent is not null").select(F.col("node").alias("anc"), F.col("parent").alias("up"))
+    join = by_sort if some is None else DataFrame.join
     step = 1
     while True:
         jumps = written(jumps, "jumps")
-        if jumps.isEmpty():
+        far = written(join(paths, jumps, "anc").select("node", F.col("up").alias("anc"), (F.col("dist") + step).alias("dist")), "paths")
+        if far.isEmpty():
             return paths
-        far = jumps.join(paths.select(F.col("node").alias("up"), "anc", "dist"), "up").select("node", "anc", (F.col("dist") + step).alias("dist"))
         paths = written(paths.unionByName(far), "paths")
-        jumps = jumps.join(jumps.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up"))
+        jumps = by_sort(jumps, jumps.select(F.col("anc").alias("up"), F.col("up").alias("up2")), "up").select("anc", F.col("up2").alias("up"))
         step *= 2
 
 
@@ -59,7 +65,7 @@ def check_tree(tree: DataFrame) -> int:
     """The number of nodes; raises ValueError unless nodes are distinct, have two children at most, one root and known parents, and two leaves or more are alive."""
     kids = tree.where("parent is not null").groupBy("parent").agg(F.count("*").alias("children"))
     seen = tree.groupBy("node").agg(F.count("*").alias("n"), F.count_if(F.col("parent").isNull()).alias("root"), F.max("alive").alias("alive"))
-    both = seen.join(kids, seen.node == kids.parent, "full")
+    both = by_sort(seen, kids, seen.node == kids.parent, "full")
     r = both.agg(
         F.count("node").alias("nodes"),
         F.sum("n").alias("rows"),
@@ -94,11 +100,11 @@ def sums(tree: DataFrame, nodes: int) -> DataFrame:
         cur = written(cur, "sums")
         moving = cur.where("jump is not null")
         if moving.isEmpty():
-            return kept.join(cur.drop("jump"), "node")
+            return by_sort(kept, cur.drop("jump"), "node")
         up = cur.select(F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("tot").alias("tot2"), F.col("depth").alias("depth2"))
-        far = moving.join(up, "jump").select("node", F.col("jump2").alias("jump"), (F.col("tot") + F.col("tot2")).alias("tot"), (F.col("depth") + F.col("depth2")).alias("depth"), "nl")
+        far = by_sort(moving, up, "jump").select("node", F.col("jump2").alias("jump"), (F.col("tot") + F.col("tot2")).alias("tot"), (F.col("depth") + F.col("depth2")).alias("depth"), "nl")
         more = moving.groupBy(F.col("jump").alias("node")).agg(F.sum("nl").alias("more"))
-        cur = far.unionByName(cur.where("jump is null")).join(more, "node", "left").select("node", "jump", "tot", "depth", (F.col("nl") + F.coalesce("more", F.lit(0).cast("bigint"))).alias("nl"))
+        cur = by_sort(far.unionByName(cur.where("jump is null")), more, "node", "left").select("node", "jump", "tot", "depth", (F.col("nl") + F.coalesce("more", F.lit(0).cast("bigint"))).alias("nl"))
     raise ValueError("the tree has a cycle")
 
 
@@ -106,18 +112,18 @@ def contract(rows: DataFrame) -> DataFrame:
     """(node, parent, mut, alive, tot, depth, nl) of the contracted tree, from the result of ``sums``."""
     rows = written(rows.where("nl > 0"), "retained")
     kids = rows.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("kids"))
-    rows = rows.join(kids, "node", "left").withColumn("kept", F.col("alive") | (F.coalesce("kids", F.lit(0)) == 2)).drop("kids")
+    rows = by_sort(rows, kids, "node", "left").withColumn("kept", F.col("alive") | (F.coalesce("kids", F.lit(0)) == 2)).drop("kids")
     link = written(rows.where("not kept").select("node", F.col("parent").alias("up")), "chains")
     while True:
         onward = link.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.lit(True).alias("on"))
-        far = written(link.join(onward, "up", "left"), "chains")
+        far = written(by_sort(link, onward, "up", "left"), "chains")
         if far.where("on").isEmpty():
             break
         link = far.select("node", F.when(F.col("on"), F.col("up2")).otherwise(F.col("up")).alias("up"))
     nodes = rows.where("kept").drop("kept")
-    nodes = nodes.join(link.select(F.col("node").alias("parent"), "up", F.lit(True).alias("on")), "parent", "left").withColumn("parent", F.when(F.col("on"), F.col("up")).otherwise(F.col("parent")))
+    nodes = by_sort(nodes, link.select(F.col("node").alias("parent"), "up", F.lit(True).alias("on")), "parent", "left").withColumn("parent", F.when(F.col("on"), F.col("up")).otherwise(F.col("parent")))
     above = rows.select(F.col("node").alias("parent"), F.col("tot").alias("tot_above"))
-    nodes = nodes.join(above, "parent", "left")
+    nodes = by_sort(nodes, above, "parent", "left")
     return nodes.select("node", "parent", (F.col("tot") - F.coalesce("tot_above", F.lit(0).cast("bigint"))).alias("mut"), "alive", "tot", "depth", "nl")
 
 
@@ -147,7 +153,7 @@ class Lineage:
         if "closure" not in self._made:
             leaves = self.nodes.where("alive").select(F.col("node").alias("leaf"))
             up = ancestors(self.nodes)
-            self._made["closure"] = written(up.join(leaves, up.node == leaves.leaf).select("leaf", F.col("anc").alias("node")), "closure")
+            self._made["closure"] = written(by_sort(up, leaves, up.node == leaves.leaf).select("leaf", F.col("anc").alias("node")), "closure")
         return self._made["closure"]
 
     def contracted(self) -> DataFrame:
@@ -171,13 +177,13 @@ class Lineage:
         """
         both = self.children()
         size = self.nodes.select(F.col("node").alias("child1"), (4 * F.col("nl") - 3).alias("tour"))
-        both = both.join(size, "child1")
+        both = by_sort(both, size, "child1")
         before = both.select(F.explode(F.array(F.struct(F.col("child1").alias("node"), F.lit(1).cast("bigint").alias("mut")), F.struct(F.col("child2").alias("node"), (F.col("tour") + 2).alias("mut")))).alias("x")).select("x.*")
-        steps = self.nodes.select("node", "parent", "alive").join(before, "node", "left").withColumn("mut", F.coalesce("mut", F.lit(0).cast("bigint")))
+        steps = by_sort(self.nodes.select("node", "parent", "alive"), before, "node", "left").withColumn("mut", F.coalesce("mut", F.lit(0).cast("bigint")))
         first = sums(steps, self.nodes.count()).select("node", F.col("tot").alias("pos"))
-        inner = first.join(both, "node").select("node", F.explode(F.array(F.col("pos"), F.col("pos") + F.col("tour") + 1)).alias("pos"))
-        last = first.join(both, "node").join(self.nodes.select("node", (4 * F.col("nl") - 3).alias("whole")), "node").select("node", (F.col("pos") + F.col("whole") - 1).alias("pos"))
-        leaves = first.join(both, "node", "left_anti")
+        inner = by_sort(first, both, "node").select("node", F.explode(F.array(F.col("pos"), F.col("pos") + F.col("tour") + 1)).alias("pos"))
+        last = by_sort(by_sort(first, both, "node"), self.nodes.select("node", (4 * F.col("nl") - 3).alias("whole")), "node").select("node", (F.col("pos") + F.col("whole") - 1).alias("pos"))
+        leaves = by_sort(first, both, "node", "left_anti")
         return leaves.select("pos", "node").unionByName(inner.select("pos", "node")).unionByName(last.select("pos", "node"))
 
     def _lifts(self) -> tuple[list[DataFrame], DataFrame]:
@@ -186,7 +192,7 @@ class Lineage:
             jumps, cur = [], written(self.nodes.where("parent is not null").select("node", F.col("parent").alias("up")), "lift")
             while not cur.isEmpty():
                 jumps.append(cur)
-                cur = written(cur.join(cur.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up")), "lift")
+                cur = written(by_sort(cur, cur.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up")), "lift")
             level = written(sums(self.nodes.select("node", "parent", F.lit(0).alias("mut"), "alive"), self.nodes.count()).select("node", F.col("depth").alias("level")), "levels")
             self._made["lifts"] = jumps, level
         return self._made["lifts"]
@@ -195,19 +201,19 @@ class Lineage:
         """(a, b, lca) of pairs (a, b) of nodes: the deepest common ancestor, by binary lifting (2 log2(depth) joins of the pairs)."""
         jumps, level = self._lifts()
         la, lb = (level.select(F.col("node").alias(x), F.col("level").alias(f"level_{x}")) for x in "ab")
-        q = pairs.select("a", "b").distinct().join(la, "a").join(lb, "b")
+        q = by_sort(by_sort(pairs.select("a", "b").distinct(), la, "a"), lb, "b")
         swap = F.col("level_a") < F.col("level_b")
         q = q.select("a", "b", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("y"), F.abs(F.col("level_a") - F.col("level_b")).alias("gap"))
         for k in reversed(range(len(jumps))):
             up = jumps[k].select(F.col("node").alias("x"), F.col("up").alias("x2"))
-            q = q.join(up, "x", "left").select("a", "b", F.when(F.col("gap") >= 1 << k, F.col("x2")).otherwise(F.col("x")).alias("x"), "y", F.when(F.col("gap") >= 1 << k, F.col("gap") - (1 << k)).otherwise(F.col("gap")).alias("gap"))
+            q = by_sort(q, up, "x", "left").select("a", "b", F.when(F.col("gap") >= 1 << k, F.col("x2")).otherwise(F.col("x")).alias("x"), "y", F.when(F.col("gap") >= 1 << k, F.col("gap") - (1 << k)).otherwise(F.col("gap")).alias("gap"))
         q = written(q.drop("gap"), "lifted")
         for k in reversed(range(len(jumps))):
             ux, uy = (jumps[k].select(F.col("node").alias(v), F.col("up").alias(f"{v}2")) for v in "xy")
             apart = F.coalesce(F.col("x2") != F.col("y2"), F.lit(False))
-            q = q.join(ux, "x", "left").join(uy, "y", "left").select("a", "b", F.when(apart, F.col("x2")).otherwise(F.col("x")).alias("x"), F.when(apart, F.col("y2")).otherwise(F.col("y")).alias("y"))
+            q = by_sort(by_sort(q, ux, "x", "left"), uy, "y", "left").select("a", "b", F.when(apart, F.col("x2")).otherwise(F.col("x")).alias("x"), F.when(apart, F.col("y2")).otherwise(F.col("y")).alias("y"))
         top = self.nodes.select(F.col("node").alias("x"), "parent")
-        return q.join(top, "x").select("a", "b", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("parent")).alias("lca"))
+        return by_sort(q, top, "x").select("a", "b", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("parent")).alias("lca"))
 
     def _dense(self, found: DataFrame, trim: bool = True) -> DataFrame:
         last = F.broadcast(found.agg(F.max("idx").alias("last")))
@@ -230,7 +236,7 @@ class Lineage:
     def balance(self) -> DataFrame:
         """(idx, mean_diff, mean_ratio) by total mutations of branching nodes, zeros where there are none; not trimmed."""
         kid = self.nodes.where("parent is not null").groupBy("parent").agg(F.max("nl").alias("hi"), F.min("nl").alias("lo"))
-        at = kid.join(self.nodes.select(F.col("node").alias("parent"), "tot"), "parent")
+        at = by_sort(kid, self.nodes.select(F.col("node").alias("parent"), "tot"), "parent")
         diff = F.col("hi") - F.col("lo")
         found = at.groupBy(F.col("tot").alias("idx")).agg(F.avg(diff).alias("mean_diff"), F.avg(diff / (F.col("hi") + F.col("lo"))).alias("mean_ratio"))
         last = F.broadcast(self.nodes.agg(F.max("tot").alias("last")))
@@ -245,15 +251,15 @@ class Lineage:
         some = self.nodes
         some = some if low is None else some.where(F.col("node") >= low)
         some = some if high is None else some.where(F.col("node") < high)
-        return self._pairs(some.select("node"), ancestors(self.nodes).select("node", "anc"))
+        return self._pairs(ancestors(self.nodes, None if low is None and high is None else some).select("node", "anc"))
 
     def leaf_pairs(self) -> DataFrame:
         """The same of all pairs of alive leaves."""
-        return self._pairs(self.nodes.where("alive").select("node"), self.closure.select(F.col("leaf").alias("node"), F.col("node").alias("anc")))
+        return self._pairs(self.closure.select(F.col("leaf").alias("node"), F.col("node").alias("anc")))
 
-    def _pairs(self, some: DataFrame, up: DataFrame) -> DataFrame:
-        t = self.nodes.select("node", "tot")
-        c = up.join(some, "node").join(t.select(F.col("node").alias("anc"), F.col("tot").alias("tot_node")), "anc")
+    def _pairs(self, up: DataFrame) -> DataFrame:
+        c = written(up.join(self.nodes.select(F.col("node").alias("anc"), F.col("tot").alias("tot_node")), "anc"), "above")
+        t = c.where("node = anc").select("node", F.col("tot_node").alias("tot"))
         x, y = c.select("anc", F.col("node").alias("a"), "tot_node"), c.select("anc", F.col("node").alias("b"))
         common = x.join(y, "anc").where("a < b").groupBy("a", "b").agg(F.max("tot_node").alias("tot_lca"))
         return common.join(t.select(F.col("node").alias("a"), F.col("tot").alias("tot_a")), "a").join(t.select(F.col("node").alias("b"), F.col("tot").alias("tot_b")), "b").select("a", "b", "tot_a", "tot_b", "tot_lca")
@@ -266,7 +272,7 @@ class Lineage:
         """
         side = self.nodes.where("parent is not null").select(F.col("node"), F.col("parent").alias("v"))
         leaf = self.nodes.where("alive").select(F.col("node").alias("leaf"), F.col("tot").alias("t"))
-        h = self.closure.join(side, "node").join(leaf, "leaf").groupBy("v", F.col("node").alias("side"), "t").agg(F.count("*").alias("c"))
+        h = by_sort(by_sort(self.closure, side, "node"), leaf, "leaf").groupBy("v", F.col("node").alias("side"), "t").agg(F.count("*").alias("c"))
         h = written(h, "profile")
         x = h.select("v", F.col("side").alias("s1"), F.col("t").alias("t1"), F.col("c").alias("c1"))
         y = h.select("v", F.col("side").alias("s2"), F.col("t").alias("t2"), F.col("c").alias("c2"))
@@ -278,13 +284,13 @@ class Lineage:
 
         A leaf's place is the sum of the leaves of first children beside its path: the tour's doubling.
         """
-        both = self.children().join(self.nodes.select(F.col("node").alias("child1"), F.col("nl").alias("first")), "child1")
+        both = by_sort(self.children(), self.nodes.select(F.col("node").alias("child1"), F.col("nl").alias("first")), "child1")
         before = both.select(F.col("child2").alias("node"), F.col("first").alias("mut"))
-        steps = self.nodes.select("node", "parent", "alive").join(before, "node", "left").withColumn("mut", F.coalesce("mut", F.lit(0).cast("bigint")))
+        steps = by_sort(self.nodes.select("node", "parent", "alive"), before, "node", "left").withColumn("mut", F.coalesce("mut", F.lit(0).cast("bigint")))
         rank = written(sums(steps, self.nodes.count()).select("node", F.col("tot").alias("rank")), "ranks")
-        at = self.nodes.select("node", "tot", "alive").join(rank, "node")
-        gap = at.join(both, "node").select((F.col("rank") + F.col("first") - 1).alias("rank"), F.col("tot").alias("gap"))
-        return at.where("alive").select("rank", F.col("tot").alias("t")).join(gap, "rank", "left").select("rank", "t", F.coalesce("gap", "t").alias("gap"))
+        at = by_sort(self.nodes.select("node", "tot", "alive"), rank, "node")
+        gap = by_sort(at, both, "node").select((F.col("rank") + F.col("first") - 1).alias("rank"), F.col("tot").alias("gap"))
+        return by_sort(at.where("alive").select("rank", F.col("tot").alias("t")), gap, "rank", "left").select("rank", "t", F.coalesce("gap", "t").alias("gap"))
 
     def _pair_profile(self) -> DataFrame:
         """As ``_profile``, but every pair of leaves is made: in tiles of two blocks of leaves, a task for some of them, without rows of pairs."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brindle.functions import bits, keys, rand
 from brindle.operators import checks, flow
 from brindle.operators import frequency as fq
-from brindle.operators.lineage import Lineage, ref_counts, sample_leaves, with_poisson
+from brindle.operators.lineage import Lineage, by_sort, ref_counts, sample_leaves, with_poisson
 from brindle.operators.range_min import block_range_min, range_min
 from brindle.sources import store as st
 from brindle.sources.shared import shared_dir, written
@@ -133,7 +133,7 @@ def _tree(spark: SparkSession, d: str, *, pruned: bool = False) -> DataFrame:
         F.when(F.col("c_custkey") > 0, F.col("c_nationkey") % 4).otherwise(0).cast("bigint").alias("mut"),
     )
     inner = t.where("parent is not null").select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
-    leaf = t.join(inner, "node", "left").withColumn("alive", F.col("inner").isNull()).drop("inner")
+    leaf = by_sort(t, inner, "node", "left").withColumn("alive", F.col("inner").isNull()).drop("inner")
     return leaf.withColumn("alive", F.col("alive") & (F.col("node") % 5 != 0)) if pruned else leaf
 
 
@@ -260,7 +260,7 @@ SELECT a, b, arg_max(x.node, m.depth) AS lca FROM p JOIN anc x ON x.leaf = a JOI
 def _(spark, d):
     tree = Lineage.build(_tree(spark, d))
     leaf = tree.nodes.where("alive").select("node")
-    pairs = leaf.select(F.col("node").alias("a"), (F.col("node") + 7).alias("b")).join(leaf.select(F.col("node").alias("b")), "b")
+    pairs = by_sort(leaf.select(F.col("node").alias("a"), (F.col("node") + 7).alias("b")), leaf.select(F.col("node").alias("b")), "b")
     return tree.lca(pairs.select("a", "b"))
 
 

@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import leaf_pairs as lp
+from brindle.operators import lineage
 from brindle.operators.lineage import Lineage, check_binary, sample_leaves, with_poisson
 from brindle.operators.range_min import range_min
 from brindle.operators.simulate import birth_death
+from brindle.sources.shared import written
 
 SCHEMA = "node bigint, parent bigint, mut bigint, alive boolean"
 
@@ -99,6 +101,19 @@ def test_all_pairs_make_no_rows_of_pairs(spark):
     assert got == {r.bin: r.freq for r in tree.jaccard(20).collect()}
 
 
+def test_joins_of_the_tree_are_not_broadcast(spark, monkeypatch):
+    """Small files can hold many rows; these passed the driver in each round."""
+    plans = []
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(lineage, "written", lambda df, name="t": (plans.append(plan(df)), written(df, name))[1])
+    tree = Lineage.build(spark.createDataFrame(grow("d0 d0 d1 d0 d1"), SCHEMA))
+    plans.append(plan(tree.lca(spark.createDataFrame([(9, 10)], "a bigint, b bigint"))))
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_build_computes_its_tree_once(spark):
     """Drawn mutations were drawn again for each use."""
     seen = spark.sparkContext.accumulator(0)
