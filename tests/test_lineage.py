@@ -114,6 +114,15 @@ def test_joins_of_the_tree_are_not_broadcast(spark, monkeypatch):
     assert not [p for p in plans if "Broadcast" in p]
 
 
+def test_pairs_of_some_nodes_make_their_paths_only(spark, monkeypatch):
+    """Four nodes near the root of a comb of 39: the paths of all nodes were made."""
+    rows = [(0, None, 0, False)] + [(k, max(0, (k - 1) // 2 * 2 - 1), k % 4, k % 2 == 0 or k == 37) for k in range(1, 39)]
+    tree, made = Lineage.build(spark.createDataFrame(rows, SCHEMA)), []
+    monkeypatch.setattr(lineage, "written", lambda df, name="t": (made.append(df.count()), written(df, name))[1])
+    assert sorted((r.a, r.b, r.tot_lca) for r in tree.pairwise_mutations(1, 5).collect()) == [(1, 2, 0), (1, 3, 1), (1, 4, 1), (2, 3, 0), (2, 4, 0), (3, 4, 1)]
+    assert max(made) <= len(rows)
+
+
 def test_build_computes_its_tree_once(spark):
     """Drawn mutations were drawn again for each use."""
     seen = spark.sparkContext.accumulator(0)
