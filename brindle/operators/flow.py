@@ -15,7 +15,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.rand import path_of, uniform
@@ -163,6 +163,16 @@ def serial(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     return df.coalesce(1).sortWithinPartitions(ordinal)
 
 
+def numbered(ordered: DataFrame, name: str = "pos") -> DataFrame:
+    """A sorted frame with each row's place from 1 in ``name``: places within the sorted partitions, after the rows of those before. No task holds more than a partition."""
+    ordered = ordered.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
+    rows = written(ordered, "ordered")  # sorted once: both uses below read the same partitions
+    size = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = F.broadcast(size.select("_part", "_low", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_skip")))
+    return rows.join(before, "_part").withColumn(name, F.col("_id") - F.col("_low") + F.col("_skip") + 1).drop("_id", "_part", "_low", "_skip")
+
+
 @contextmanager
 def in_pool(spark: SparkSession, pool: str):
     """Jobs started inside the block run in this scheduler pool."""

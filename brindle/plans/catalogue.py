@@ -359,12 +359,7 @@ def _(spark, d):
 @_query("key_double_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS pos FROM orders")
 def _(spark, d):
     rows = keys.with_key(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
-    ordered = rows.select("o_orderkey", "key").orderBy("key").withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
-    ordered = written(ordered, "ordered")  # sorted once: both uses below read the same partitions
-    size = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("low"))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    before = F.broadcast(size.select("part", "low", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("skip")))
-    return ordered.join(before, "part").select("o_orderkey", (F.col("id") - F.col("low") + F.col("skip") + 1).alias("pos"))
+    return flow.numbered(rows.select("o_orderkey", "key").orderBy("key")).select("o_orderkey", "pos")
 
 
 @_query("key_bool", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '01' ELSE '00' END AS key FROM orders")
@@ -525,8 +520,7 @@ def _(spark, d):
     store.append(part.withColumn("p_size", F.lit(0).cast(part.schema["p_size"].dataType)), ["p_partkey"])
     store.append(part, ["p_partkey"])
     store.compact(["p_partkey"])
-    rows = flow.serial(store.scan(["p_partkey"]), "p_partkey").withColumn("pos", F.monotonically_increasing_id() + 1)
-    return rows.select("p_partkey", "p_size", "pos")
+    return flow.numbered(store.scan(["p_partkey"])).select("p_partkey", "p_size", "pos")
 
 
 @_query("store_transcode", "SELECT count(*) FILTER (p_size > 10) AS migrated, count(*) FILTER (p_size <= 10) AS skipped, CAST(sum(p_size * 2) FILTER (p_size > 10) AS BIGINT) AS total FROM part")

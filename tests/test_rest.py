@@ -291,6 +291,16 @@ def test_compaction_keeps_the_last_rows(spark, tmp_path):
     assert store.raw().count() == 2 and {(r.k, r.v) for r in store.read(["k"]).collect()} == {(1, "c"), (None, "c")}
 
 
+def test_places_in_order_need_no_single_task(spark):
+    """A scan of a store was sorted and numbered in one task."""
+    from brindle.plans.catalogue import QUERIES
+
+    rows = spark.range(0, 10_000, 1, 8).select((F.col("id") * 7919 % 10_007).alias("k"))
+    got = flow.numbered(rows.orderBy("k")).collect()
+    assert sorted((r.pos, r.k) for r in got) == list(enumerate(sorted(k * 7919 % 10_007 for k in range(10_000)), 1))
+    assert "Coalesce 1" not in QUERIES["store_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_wide_and_unsigned_keys(spark):
     top = decimal.Decimal(2**64 - 1)
     df = spark.createDataFrame([(top,), (decimal.Decimal(2**63),), (decimal.Decimal(0),), (None,)], "u decimal(20,0)")
